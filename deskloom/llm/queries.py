@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import harmonic, quality_cascade, token_shards
+from . import harmonic, quality_cascade, token_shards, transducer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    lexicon = transducer.build_lexicon(docs, WORD_BPE)
+    return transducer.digests(docs, WORD_BPE, lexicon).withColumnRenamed("key", "doc_id")
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, r, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -54,7 +60,7 @@ FROM f
 
 
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op7_harmonic_packing": op7_harmonic_packing, "op9_quality_rules": op9_quality_rules}
+    return {"op1_token_shards": op1_token_shards, "op7_harmonic_packing": op7_harmonic_packing, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
