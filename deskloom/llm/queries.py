@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import harmonic, quality_cascade, token_shards, transducer
+from . import harmonic, piecewise_hash, quality_cascade, secret_scan, token_shards, transducer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,19 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(manifest).withColumnRenamed("key", "doc_id")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hash.against_next(_documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = secret_scan.scan(docs, secret_scan.fit(docs)).withColumnRenamed("key", "doc_id")
+    base = F.filter("spans", lambda s: s["kind"] != "cnn")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = harmonic.pack(_documents(spark, sf_dir), BYTE_BPE, end_id=1, capacity=2048)
     return packed.withColumnRenamed("key", "doc_id")
@@ -60,7 +73,7 @@ FROM f
 
 
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op7_harmonic_packing": op7_harmonic_packing, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
+    return {"op1_token_shards": op1_token_shards, "op3_fingerprints": op3_fingerprints, "op5_secret_scans": op5_secret_scans, "op7_harmonic_packing": op7_harmonic_packing, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,5 +20,5 @@ def folder(spark: SparkSession, name: str) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later plans start from files all executors share."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
