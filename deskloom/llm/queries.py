@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import harmonic, piecewise_hash, quality_cascade, secret_scan, token_shards, transducer
+from . import harmonic, ngram_join, piecewise_hash, quality_cascade, secret_scan, token_shards, transducer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,11 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(manifest).withColumnRenamed("key", "doc_id")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join(_documents(spark, sf_dir), size=3, num=90, den=100)
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise_hash.against_next(_documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
 
@@ -73,7 +78,7 @@ FROM f
 
 
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op3_fingerprints": op3_fingerprints, "op5_secret_scans": op5_secret_scans, "op7_harmonic_packing": op7_harmonic_packing, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
+    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op5_secret_scans": op5_secret_scans, "op7_harmonic_packing": op7_harmonic_packing, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
