@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import harmonic, ngram_join, piecewise_hash, quality_cascade, secret_scan, token_shards, transducer
+from . import crf_lang, harmonic, ngram_join, piecewise_hash, quality_cascade, secret_scan, token_shards, transducer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,14 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("key", "doc_id")
 
 
+def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = crf_lang.fit(docs, ~held_out)
+    found = crf_lang.predict(docs, model).withColumnRenamed("key", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     s = quality_cascade.scored(docs).drop("text")
@@ -78,7 +86,7 @@ FROM f
 
 
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op5_secret_scans": op5_secret_scans, "op7_harmonic_packing": op7_harmonic_packing, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
+    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op5_secret_scans": op5_secret_scans, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
