@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf_lang, harmonic, ngram_join, piecewise_hash, quality_cascade, secret_scan, token_shards, transducer
+from . import class_lm, crf_lang, harmonic, ngram_join, piecewise_hash, preference, quality_cascade, secret_scan, token_shards, transducer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,37 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise_hash.against_next(_documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    made = preference.pairs(*preference.answered_otherwise(conversations))
+    learned = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    size = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return made.select(
+        F.col("pair_id").alias("conv_id"), F.col("prompt_turns").cast("long").alias("prompt_turns"), *(f(c) for c in ("prompt", "chosen", "rejected") for f in (size, digest)),
+        learned(F.col("chosen_mask")).alias("chosen_learned"), learned(F.col("rejected_mask")).alias("rejected_learned"),
+    )
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+e AS (SELECT c.conv_id, turn, coalesce(role, '') AS role, role AS r0, coalesce(text, '') AS text, text AS t0, last FROM conversations c JOIN l USING (conv_id) WHERE turn <= last),
+y AS (SELECT conv_id - 1 AS conv_id, role, r0, text, t0 FROM e WHERE turn = last AND r0 = 'assistant'),
+ids AS (SELECT DISTINCT conv_id FROM y JOIN l USING (conv_id)),
+c AS (SELECT conv_id, turn, role, r0, text, t0 FROM e JOIN ids USING (conv_id)),
+r AS (SELECT conv_id, turn, role, r0, text, t0 FROM e JOIN ids USING (conv_id) WHERE turn < last UNION ALL SELECT conv_id, last, role, r0, text, t0 FROM y JOIN l USING (conv_id)),
+ct AS (SELECT conv_id, turn, list((r0, t0) ORDER BY r0 NULLS FIRST, t0 NULLS FIRST) AS m, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY r0 NULLS FIRST, t0 NULLS FIRST) AS s, CAST(sum(CASE WHEN r0 = 'assistant' THEN length(text) + 8 ELSE 0 END) AS BIGINT) AS k FROM c GROUP BY ALL),
+rt AS (SELECT conv_id, turn, list((r0, t0) ORDER BY r0 NULLS FIRST, t0 NULLS FIRST) AS m, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY r0 NULLS FIRST, t0 NULLS FIRST) AS s, CAST(sum(CASE WHEN r0 = 'assistant' THEN length(text) + 8 ELSE 0 END) AS BIGINT) AS k FROM r GROUP BY ALL),
+j AS (SELECT conv_id, turn, ct.s AS cs, rt.s AS rs, ct.k AS ck, rt.k AS rk, ct.m IS NOT DISTINCT FROM rt.m AS same FROM ct FULL JOIN rt USING (conv_id, turn)),
+d AS (SELECT *, coalesce(turn < min(CASE WHEN NOT same THEN turn END) OVER (PARTITION BY conv_id), true) AS p FROM j),
+g AS (SELECT conv_id, CAST(count(*) FILTER (p) AS BIGINT) AS prompt_turns, coalesce(string_agg(cs, '' ORDER BY turn) FILTER (p), '') AS prompt,
+      coalesce(string_agg(cs, '' ORDER BY turn) FILTER (NOT p), '') AS chosen, coalesce(string_agg(rs, '' ORDER BY turn) FILTER (NOT p), '') AS rejected,
+      CAST(coalesce(sum(ck) FILTER (NOT p), 0) AS BIGINT) AS chosen_learned, CAST(coalesce(sum(rk) FILTER (NOT p), 0) AS BIGINT) AS rejected_learned FROM d GROUP BY conv_id)
+SELECT conv_id, prompt_turns, length(prompt) AS prompt_chars, sha256(prompt) AS prompt_sha256, length(chosen) AS chosen_chars, sha256(chosen) AS chosen_sha256,
+       length(rejected) AS rejected_chars, sha256(rejected) AS rejected_sha256, chosen_learned, rejected_learned FROM g
+"""
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = secret_scan.scan(docs, secret_scan.fit(docs)).withColumnRenamed("key", "doc_id")
@@ -38,6 +69,13 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = class_lm.score(docs, ~held_out).withColumnRenamed("key", "doc_id")
+    return scored.withColumn("held_out", held_out)
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = harmonic.pack(_documents(spark, sf_dir), BYTE_BPE, end_id=1, capacity=2048)
     return packed.withColumnRenamed("key", "doc_id")
@@ -86,8 +124,8 @@ FROM f
 
 
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op5_secret_scans": op5_secret_scans, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
+    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op4_preference_pairs": op4_preference_pairs, "op5_secret_scans": op5_secret_scans, "op6_class_lm": op6_class_lm, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op4_preference_pairs": OP4_SQL, "op9_quality_rules": OP9_SQL}
