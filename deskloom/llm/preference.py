@@ -64,6 +64,7 @@ def pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id") -> Data
 
 def answered_otherwise(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from plain conversations: each one up to its last assistant turn, and the same start with the last reply of the next id."""
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     last = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     ended = conversations.join(last, "conv_id").where("turn <= last")
     reply = ended.where("turn = last AND role = 'assistant'").select((F.col("conv_id") - 1).alias("pair_id"), "role", "text")
