@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least id; texts without words stay."""
     found = ngram_join.join(docs, size=5, num=80, den=100)
-    stay = found.where("n = 0 OR key <=> component").select("key").distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("key")), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = found.where("n = 0 OR key <=> component").select(F.col("key").alias("__stays")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
