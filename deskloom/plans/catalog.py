@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.scope import Scope
 from ..sources.adapter import Desk, desk
 from . import metrics as M
-from .oracle import over
+from .oracle import index as index_sql, over
 
 PERIOD = M.Period(datetime(2024, 1, 8), datetime(2024, 1, 22))
 S, E = "TIMESTAMP '2024-01-08'", "TIMESTAMP '2024-01-22'"
