@@ -8,8 +8,10 @@ n-grams the first ``n - ceil(n num/den) + 1`` of each meet. The order puts n-gra
 sample changes which blocks form and never which links are found. A block is one such n-gram and a band of sizes
 that can link.
 
-Products. In each block the node with most company is the leader; every member is multiplied with it once. Seen from
-its leader L a member is the small difference D(x) = x ^ L, and |x ^ y| = |D(x) ^ D(y)|. If |D(x)| + |D(y)| is within
+Products. Small blocks give their pairs, whose shared n-grams are counted; a pair goes on only if its prefixes, as far
+as both reach in the order, can differ by no more than two sets of these sizes may: first by what counts and positions say,
+then by the prefixes themselves. In a large block the node with most company is the leader; every member is
+multiplied with it once. Seen from its leader L a member is the small difference D(x) = x ^ L, and |x ^ y| = |D(x) ^ D(y)|. If |D(x)| + |D(y)| is within
 the bound of the pair, both link with L. So only pairs with a member that doesn't link with L remain, and they need
 ``(|D(x)| + |D(y)| - bound) / 2`` n-grams of their differences in common. Leaders with few members are one block
 whose sparse product accumulates those overlaps; for others a prefix of the differences, rare n-grams first, keyed by
@@ -51,7 +53,7 @@ def ngrams(text: str, size: int) -> np.ndarray:
     out = np.full(n - k + 1, np.uint64(k))
     for j in range(k):
         out = mixed(out * M1 + h[j : n - k + 1 + j] * M2)
-    return np.unique(out)
+    return np.unique(out >> np.uint64(1))
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -122,23 +124,75 @@ def _sets(rows: DataFrame, size: int, bound: Bound) -> DataFrame:
                 n.append(len(g))
                 node.append(node_of(g))
                 if len(g) and len(last):
-                    g = g[np.argsort(last[np.minimum(np.searchsorted(last, g), len(last) - 1)] == g, kind="stable")]
+                    often = last[np.minimum(np.searchsorted(last, g), len(last) - 1)] == g
+                    g = np.sort(g | often.astype(np.uint64) << np.uint64(63))  # the top bit puts frequent n-grams last
                 prefix.append(g[: bound.prefix(len(g))].view(np.int64) if len(g) else [])
             yield pa.RecordBatch.from_pydict({"key": keys, "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
 
     return rows.mapInArrow(run, "key long, n long, node long, prefix array<long>")
 
 
-def _led(grams: DataFrame, bound: Bound) -> DataFrame:
-    """(node, leader) for every block that has two members or more."""
+def _blocks(nodes: DataFrame, bound: Bound) -> DataFrame:
+    """gram, band, node, n, at (place in the prefix), own (the node's band) and c, the block's size, for blocks of two or more."""
+    grams = nodes.where("n > 0").select("node", "n", F.posexplode("prefix").alias("at", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     held = scratch.table(grams.join(shared, "gram"), "shared")
     most = held.agg(F.max("n")).first()[0] or 1
     firsts = F.lit(bound.bands(most).tolist())
-    band = F.size(F.filter(firsts, lambda a: a <= F.col("n")))
-    members = held.withColumn("band", F.explode(F.array(band, band + 1)))
+    held = held.withColumn("own", F.size(F.filter(firsts, lambda a: a <= F.col("n"))))
+    members = held.withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     sizes = members.groupBy("gram", "band").agg(F.count("*").alias("c")).where("c > 1")
-    members = scratch.table(members.join(sizes, ["gram", "band"]), "members")
+    return scratch.table(members.join(sizes, ["gram", "band"]), "members")
+
+
+def _together(members: DataFrame, nodes: DataFrame, bound: Bound, pair_rows: int) -> DataFrame:
+    """(node, leader) for the pairs of small blocks whose prefixes agree as far as sets that link must."""
+    one, two = (members.where(F.col("c") <= pair_rows).select("gram", "band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "own"))) for x in ("a", "b"))
+    near = (F.col("node_a") < F.col("node_b")) & (F.greatest("n_a", "n_b") * bound.num <= F.least("n_a", "n_b") * bound.den)
+    pairs = one.join(two, ["gram", "band"]).where(near & (F.col("band") == F.greatest("own_a", "own_b")))  # each shared n-gram counts once
+    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("met"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    large = members.where(F.col("c") > pair_rows).groupBy("node").agg(F.count_distinct("gram").alias("large"))
+    last = F.element_at("prefix", -1)
+    about = nodes.where("n > 0").select("node", "n", F.size("prefix").alias("size"), F.shiftrightunsigned(last, 1).alias("last")).join(large, "node", "left").fillna(0, ["large"])
+    for x in ("a", "b"):
+        pairs = pairs.join(about.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "size", "last", "large"))), x)
+    # the prefix that ends first is wholly in reach of the other; of the other, all up to the last n-gram that they share
+    reach_a = F.when(F.col("last_a") <= F.col("last_b"), F.col("size_a")).otherwise(F.col("at_a") + 1)
+    reach_b = F.when(F.col("last_b") <= F.col("last_a"), F.col("size_b")).otherwise(F.col("at_b") + 1)
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (bound.den - bound.num) / (bound.den + bound.num))
+    pairs = pairs.where((F.col("last_a") == F.col("last_b")) | (reach_a + reach_b - 2 * (F.col("met") + F.least("large_a", "large_b")) <= most))
+    pairs = scratch.table(pairs.select("a", "b", "n_a", "n_b"), "together")
+    wanted = scratch.table(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "prefix"), "compared")
+    one, two = (wanted.select(F.col("node").alias(x), F.col("prefix").alias(f"p_{x}")) for x in ("a", "b"))
+
+    def test(batches):
+        for b in batches:
+            both = ([x.values.to_numpy().view(np.uint64)[x.value_offset(i) : x.value_offset(i + 1)] for i in range(len(x))] for x in (_list(b.column(c)) for c in ("p_a", "p_b")))
+            most = bound.difference(b.column("n_a").to_numpy() + b.column("n_b").to_numpy())
+            keep = []
+            for x, y, m in zip(*both, most.tolist(), strict=True):
+                x, y = x[: np.searchsorted(x, y[-1], "right")], y[: np.searchsorted(y, x[-1], "right")]
+                keep.append(len(np.setxor1d(x, y, assume_unique=True)) <= m)
+            yield pa.RecordBatch.from_pydict({"node": b.column("a"), "leader": b.column("b")}).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(test, "node long, leader long")
+
+
+class _list:
+    """An Arrow list column's numbers and offsets, also of a slice."""
+
+    def __init__(self, column):
+        self.column, self.values, self.offsets = column, column.values, column.offsets.to_numpy()
+
+    def __len__(self):
+        return len(self.column)
+
+    def value_offset(self, i: int) -> int:
+        return int(self.offsets[i])
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """(node, leader) for large blocks."""
     company = members.groupBy("node").agg(F.sum("c").alias("company"))
     best = members.join(company, "node").groupBy("gram", "band").agg(F.max(F.struct("company", "node")).alias("best"))
     pairs = members.join(best, ["gram", "band"]).select("node", F.col("best.node").alias("leader"))
@@ -147,18 +201,18 @@ def _led(grams: DataFrame, bound: Bound) -> DataFrame:
 
 def _differences(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     """leader, node, sizes, whether they link, and the n-grams in one of them only."""
-    one, two = (sets.select(F.col("node").alias(a), F.col("grams").alias(b)) for a, b in (("node", "own"), ("leader", "led")))
+    one, two = (sets.select(F.col("node").alias(a), F.col("grams").alias(b)) for a, b in (("node", "own"), ("leader", "other")))
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                own, led = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in ("own", "led"))
+                own, led = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in ("own", "other"))
                 diff = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(own, led, strict=True)]
                 n, m, d = (np.fromiter(map(len, x), np.int64, len(x)) for x in (own, led, diff))
-                yield pa.RecordBatch.from_pydict({"leader": part.column("leader"), "node": part.column("node"), "n": n, "led": m, "d": d, "links": d <= bound.difference(n + m), "diff": pa.array([x.tobytes() for x in diff], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"leader": part.column("leader"), "node": part.column("node"), "led": part.column("led"), "n": n, "base": m, "d": d, "links": d <= bound.difference(n + m), "diff": pa.array([x.tobytes() if k else b"" for x, k in zip(diff, part.column("led").to_pylist(), strict=True)], pa.binary())})
 
-    return pairs.join(one, "node").join(two, "leader").mapInArrow(run, "leader long, node long, n long, led long, d long, links boolean, diff binary")
+    return pairs.join(one, "node").join(two, "leader").mapInArrow(run, "leader long, node long, led boolean, n long, base long, d long, links boolean, diff binary")
 
 
 def product(sets: list[np.ndarray], n: np.ndarray, linked: np.ndarray, bound: Bound, tile: int = 64) -> list[tuple[int, int]]:
@@ -215,13 +269,13 @@ def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
     often = cells.groupBy("leader", "gram").agg(F.count("*").alias("c")).where("c > 1")
     rare_first = F.transform(F.sort_array(F.collect_list(F.struct("c", "gram"))), lambda x: x["gram"])
     ordered = cells.join(often, ["leader", "gram"]).groupBy("leader", "node").agg(rare_first.alias("grams"))
-    ordered = ordered.join(seen.select("leader", "node", "n", "led", "d", "links"), ["leader", "node"])
+    ordered = ordered.join(seen.select("leader", "node", "n", "base", "d", "links"), ["leader", "node"])
 
     def keys(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples(index=False):
             most = bound.difference(r.n + bound.partner(r.n))  # no partner's bound is larger
-            w = max(1, bound.difference(2 * r.led) // steps)  # sizes of differences go in classes of a width that the leader sets
+            w = max(1, bound.difference(2 * r.base) // steps)  # sizes of differences go in classes of a width that the leader sets
             own, alone = r.d // w, r.d - len(r.grams)  # n-grams that no other member has come first
             for other in range(max(0, (r.d - most) // w), (r.d + most) // w + 1):
                 need = max(1, -((most - r.d - max(1, other * w)) // 2))
@@ -247,23 +301,46 @@ def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
     return met.join(one, ["leader", "a"]).join(two, ["leader", "b"]).mapInArrow(check, "a long, b long")
 
 
-def links(nodes: DataFrame, rows: DataFrame, size: int, bound: Bound, block_rows: int = 256) -> DataFrame:
-    """(a, b): links that connect all nodes that any links connect. nodes: node, key, n, prefix."""
-    grams = nodes.where("n > 0").select("node", "n", F.explode("prefix").alias("gram"))
-    pairs = scratch.table(_led(grams, bound), "pairs")
-    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
-    asked = nodes.select("node", "key").join(wanted, "node", "left_semi")
+def _fetched(rows: DataFrame, asked: DataFrame, size: int, most_bits: int = 27) -> DataFrame:
+    """node and n-grams of the asked nodes, from the texts.
+
+    Texts aren't shuffled: a map of hashed keys, of at most 2^27 bits, goes to every task, which makes the sets of the keys
+    that are in it; the join then drops what only shares a bit with an asked key.
+    """
+    count = asked.count()
+    bits = min(most_bits, max(10, (16 * count).bit_length()))
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
+    words = asked.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(key), {1 << bits}L), 64) AS int))")).alias("bits"))
+    filled = np.zeros(1 << bits - 6, np.int64)
+    for r in words.toLocalIterator():
+        filled[r.word] = r.bits
+    known = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
 
     def build(batches):
         for b in batches:
+            at = b.column("place").to_numpy()
+            good = (known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            b = b.filter(pa.array(good))
             for i in range(0, b.num_rows, 500):
                 g = [ngrams(t, size) for t in b.column("text").slice(i, 500).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"asked": b.column("node").slice(i, 500), "node": pa.array(map(node_of, g), pa.int64()), "grams": pa.array([x.tobytes() for x in g], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"own": b.column("key").slice(i, 500), "made": pa.array(map(node_of, g), pa.int64()), "grams": pa.array([x.tobytes() for x in g], pa.binary())})
 
-    sets = rows.join(asked, rows["key"].eqNullSafe(asked["key"])).select("node", "text").mapInArrow(build, "asked long, node long, grams binary")
-    sets = scratch.table(sets.where("asked = node").drop("asked").dropDuplicates(["node"]), "sets")  # one row where a key has several texts
-    seen = scratch.table(_differences(pairs, sets, bound), "differences")
-    direct = seen.where("links").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    sets = rows.select("key", "text", place.alias("place")).mapInArrow(build, "own long, made long, grams binary")
+    return sets.join(asked, (F.col("made") == F.col("node")) & F.col("own").eqNullSafe(F.col("key"))).select("node", "grams")  # a key may have several texts
+
+
+def links(nodes: DataFrame, rows: DataFrame, size: int, bound: Bound, block_rows: int = 256, pair_rows: int = 8) -> DataFrame:
+    """(a, b): links that connect all nodes that any links connect. nodes: node, key, n, prefix."""
+    members = _blocks(nodes, bound)
+    led = _led(members.where(F.col("c") > pair_rows)).withColumn("led", F.lit(True))
+    together = _together(members, nodes, bound, pair_rows).withColumn("led", F.lit(False))
+    pairs = scratch.table(led.unionByName(together), "pairs")
+    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
+    asked = scratch.table(nodes.select("node", "key").join(wanted, "node", "left_semi"), "asked")
+    sets = scratch.table(_fetched(rows, asked, size), "sets")
+    every = scratch.table(_differences(pairs, sets, bound), "differences")
+    direct, seen = every.where("links"), every.where("led").drop("led")
+    direct = direct.where("links").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     groups = seen.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("d").alias("cells"), F.min("links").alias("all"))
     open_ = seen.join(groups.where("rows > 1 AND NOT all"), "leader")
     small = F.expr(f"rows <= {block_rows} AND cells <= 2000000")
