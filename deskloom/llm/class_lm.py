@@ -1,14 +1,15 @@
 """Perplexity under a class-based bigram model: exchange clustering, class transitions, word emissions.
 
 Counts come from every training text. Words are 64-bit hashes; the most frequent ``clustered`` words get classes by
-exchange (moves that raise the likelihood of the class bigrams), the end of a text has a class of its own, and all
-other words, unseen ones included, share one class. The probability of a token is
+exchange (moves that raise the likelihood of the class bigrams). Every other word seen ``least`` times or more, however
+many there are, gets the class that its neighbours' classes make most likely. The end of a text has a class of its own,
+and the words seen less often, unseen ones included, share one class. The probability of a token is
 
     (1 - mix) * P(class | class before) * P(word | class)  +  mix * (c + 1) / (N + V + 1)
 
 with smoothed transitions; c is the token's count, N all training tokens, V the distinct ones. Everything that
-a task or the driver holds is bounded by ``clustered``, ``classes`` and ``head``; counts of all other words
-meet the texts in a join.
+a task or the driver holds is bounded by ``clustered``, ``classes`` and ``head``; counts and classes of all other
+words meet the texts in a join.
 
 A null text is an empty one: one token, the end. Without training texts every token has probability 1. Rows with
 equal keys are scored one by one. An empty table gives no row.
@@ -155,7 +156,7 @@ def exchange(pairs: DataFrame, words: int, classes: int, fixed: list[int], round
         np.add.at(n, of, right)
         if turn == rounds:
             return of, n
-        for w in rest[np.argsort(-right[rest].sum(axis=1), kind="stable")].tolist()[turn % 2 :: 2 if turn else 1]:
+        for w in rest[np.argsort(-right[rest].sum(axis=1), kind="stable")].tolist():
             r, c, a = right[w], left[w], of[w]
             n[a] -= r
             n[:, a] -= c
@@ -187,41 +188,158 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     return w[order], c[order]
 
 
+def neighbours(docs: DataFrame, index: Index, core: int, classed: int, of: np.ndarray, classes: int, beyond: bool, text: str = "text") -> DataFrame:
+    """w, side, c: how often a word that isn't in the core stands after (side below ``classes``) or before a class.
+
+    Numbers from ``core`` to ``classed`` are wanted, and with ``beyond`` those that the index doesn't know."""
+    sent, n = docs.sparkSession.sparkContext.broadcast((index, of)), len(index.sorted)
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            w, side = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((side, w))
+            w, side = w[order], side[order]
+            new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (side[1:] != side[:-1])))
+            return pa.RecordBatch.from_pydict({"w": w[new], "side": side[new].astype(np.int32), "c": np.diff(np.append(new, len(w)))})
+
+        known, kind = sent.value
+        for _, _, texts in _texts(batches):
+            h = np.concatenate([np.asarray([END]), *(tokens(t) for t in texts)])
+            at = known(h)
+            k = kind[np.minimum(at, core)]
+            want = np.flatnonzero((at >= core) & (at < classed) | (at == n if beyond else False))
+            held.append((np.tile(h[want], 2), np.concatenate([k[want - 1], classes + k[want + 1]])))
+            size += 2 * len(want)
+            if size > 2_000_000:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return docs.select(_text(docs, text).alias("text")).mapInArrow(run, "w long, side int, c long")
+
+
+def assign(near: DataFrame, n: np.ndarray, fixed: int) -> DataFrame:
+    """w, k: the class, none of the first ``fixed``, in which each word's neighbours are most likely."""
+    classes, soft = len(n), n + 0.1
+    gain = np.concatenate([np.log(soft / soft.sum(axis=0)), np.log(soft / soft.sum(axis=1, keepdims=True)).T])
+
+    def run(batches):
+        for b in batches:
+            near = b.column("near")
+            flat = near.flatten()
+            x = np.zeros((b.num_rows, 2 * classes))
+            row = np.repeat(np.arange(b.num_rows), near.value_lengths().to_numpy(zero_copy_only=False))
+            x[row, flat.field("side").to_numpy()] = flat.field("c").to_numpy()
+            k = fixed + (x @ gain[:, fixed:]).argmax(axis=1)
+            yield pa.RecordBatch.from_pydict({"w": b.column("w"), "k": k.astype(np.int32)})
+
+    by = near.repartition("w").groupBy("w", "side").agg(F.sum("c").alias("c"))
+    lists = by.groupBy("w").agg(F.collect_list(F.struct("side", "c")).alias("near"))  # 2 x classes at most
+    return lists.mapInArrow(run, "w long, k int")
+
+
+def _sorted(tail: DataFrame) -> DataFrame:
+    return tail.repartition("row").sortWithinPartitions("row", "i")
+
+
+def _before(b: pa.RecordBatch, k: np.ndarray, last: int) -> np.ndarray:
+    """The class before each token of a sorted tail: its own entry, or the class of the token before it in the tail."""
+    before = b.column("before").to_numpy()
+    return np.where(before >= 0, before, np.append(last, k[:-1]))
+
+
+def class_pairs(docs: DataFrame, index: Index, of: np.ndarray, classes: int, classed: DataFrame | None, text: str = "text") -> np.ndarray:
+    """Class bigram counts of all texts; ``classed`` holds w and k of the words that the index doesn't know."""
+    sent, n = docs.sparkSession.sparkContext.broadcast((index, of)), len(index.sorted)
+    deep, square = classed is not None, classes * classes
+
+    def known(batches):
+        from pyspark import TaskContext
+
+        known, kind = sent.value
+        count, nth = np.zeros(square, np.int64), TaskContext.get().partitionId() << 33
+        for _, _, texts in _texts(batches):
+            h = np.concatenate([np.asarray([END]), *(tokens(t) for t in texts)])
+            at = known(h)
+            k = kind[np.minimum(at, len(kind) - 1)]
+            new = (at == n) & deep
+            count += np.bincount((k[:-1] * classes + k[1:])[~(new[:-1] | new[1:])], minlength=square)
+            if new.any():
+                i, k = np.flatnonzero(new), np.where(new, -1, k)
+                row = nth + np.searchsorted(np.flatnonzero(h == END), i)
+                yield pa.RecordBatch.from_pydict({"row": row, "i": i, "w": h[i], "before": k[i - 1].astype(np.int32), "after": k[i + 1].astype(np.int32), "c": np.zeros(len(i), np.int64)})
+            nth += len(texts) + 1
+        at = np.flatnonzero(count)
+        none = np.full(len(at), -1)
+        yield pa.RecordBatch.from_pydict({"row": none, "i": none, "w": none, "before": (at // classes).astype(np.int32), "after": (at % classes).astype(np.int32), "c": count[at]})
+
+    def joined(batches):
+        count, last = np.zeros(square, np.int64), 0
+        for b in batches:
+            k, after = b.column("k").to_numpy(), b.column("after").to_numpy()
+            if len(k):
+                count += np.bincount(_before(b, k, last) * classes + k, minlength=square) + np.bincount((k * classes + after)[after >= 0], minlength=square)
+                last = k[-1]
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"before": (at // classes).astype(np.int32), "after": (at % classes).astype(np.int32), "c": count[at]})
+
+    rows = docs.select(_text(docs, text).alias("text")).mapInArrow(known, "row long, i long, w long, before int, after int, c long")
+    if deep:
+        rows = scratch.table(rows, "class_pairs")
+        tail = rows.where("row >= 0").join(classed, "w", "left").select("row", "i", "before", "after", F.coalesce("k", F.lit(1)).alias("k"))
+        rows = rows.where("row < 0").select("before", "after", "c").unionByName(_sorted(tail).mapInArrow(joined, "before int, after int, c long"))
+    out = np.zeros((classes, classes))
+    for r in rows.groupBy("before", "after").agg(F.sum("c").alias("c")).collect():  # classes x classes at most
+        out[r.before, r.after] = r.c
+    return out
+
+
 @dataclass
 class Model:
     total: int
     distinct: int
     head: Index
     head_counts: np.ndarray
-    clustered: int
+    clustered: int  # words of the head with a class of their own choice: the first ones
     of: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # of clustered words; of others without the factor c + 1
     mix: float
+    inside: np.ndarray  # tokens of each class
+    beyond: DataFrame | None = None  # w, c, k of words beyond the head; never sent to workers
+
+    def log(self, before: np.ndarray, k: np.ndarray, seen: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return np.log10((1 - self.mix) * self.move[before, k] * seen + self.mix * base)
 
-    def parts(self, text: str) -> tuple[int, int, float, float, np.ndarray]:
-        """Tokens; known ones among the head; both scores without what words beyond the head add; those words."""
+    def parts(self, text: str) -> tuple[int, int, float, float, dict[str, np.ndarray]]:
+        """Tokens; known ones among the head; both scores without what words beyond the head add; those words with what is around them."""
         h = tokens(text)
         if not self.total:
-            return len(h), 0, 0.0, 0.0, h[:0]
+            none = h[:0]
+            return len(h), 0, 0.0, 0.0, {"i": none, "w": none, "before": none, "after": none, "seen": none.astype(float), "c1": none.astype(float)}
         at = self.head(h)
         beyond = at == len(self.head_counts) - 1
         c1 = self.head_counts[at] + 1.0
-        base = np.log10(np.where(beyond, 1.0, c1)) - np.log10(self.total + self.distinct + 1)
+        unit = 1 / (self.total + self.distinct + 1)
         word = np.minimum(at, self.clustered)
         k = self.of[word]
         before = np.concatenate([[self.of[self.head(np.asarray([END]))[0]]], k[:-1]])
-        rare = word == self.clustered
-        seen = self.emit[word] * np.where(rare, np.where(beyond, 1.0, c1), 1.0)
-        p = (1 - self.mix) * self.move[before, k] * seen + self.mix * np.power(10.0, base)
-        return len(h), int((~beyond).sum()), float(base.sum()), float(np.log10(p).sum()), h[beyond]
+        seen = self.emit[word] * np.where(word == self.clustered, c1, 1.0)
+        after = np.concatenate([[False], beyond[:-1]])
+        own = self.log(before, k, seen, c1 * unit)[~(beyond | after)].sum()
+        i = np.flatnonzero(beyond)  # the last token is the end, which is known
+        tail = {"i": i, "w": h[i], "before": np.where(after[i], -1, before[i]), "after": np.where(beyond[i + 1], -1, k[i + 1]), "seen": seen[i + 1], "c1": c1[i + 1]}
+        return len(h), int((~beyond).sum()), float(np.log10(c1[~beyond]).sum() + len(h) * np.log10(unit)), float(own), tail
 
 
-def fit(docs: DataFrame, counts: DataFrame, text: str = "text", clustered: int = 4096, classes: int = 64, head: int = 200_000, mix: float = 0.05, rounds: int = 5) -> Model:
+def fit(docs: DataFrame, counts: DataFrame, text: str = "text", clustered: int = 4096, classes: int = 64, head: int = 200_000, mix: float = 0.05, rounds: int = 5, least: int = 3) -> Model:
     """docs: the training texts; counts: ``word_counts`` of them, as a table."""
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     if not total:
-        return Model(0, 0, Index(np.empty(0, np.int64)), np.zeros(1), 0, np.zeros(1, np.int64), np.ones((1, 1)), np.ones(1), mix)
+        return Model(0, 0, Index(np.empty(0, np.int64)), np.zeros(1), 0, np.zeros(1, np.int64), np.ones((1, 1)), np.ones(1), mix, np.zeros(1))
     w, c = most_frequent(counts, head)
     first = np.flatnonzero(w == END)  # the end is always among the clustered
     if len(first):
@@ -231,13 +349,31 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text", clustered: int =
     w, c = w[order], c[order]
     m = min(clustered, len(w))
     pairs = scratch.table(pair_counts(docs, Index(w[:m]), text), "pairs")
-    of, n = exchange(pairs, m + 1, min(classes, m + 1), [0, m] if m > 0 else [0], rounds)
-    size = n.sum(axis=0)
-    share = (size + 1) / (size.sum() + len(size))
+    kinds = min(classes, m + 1)
+    of, n = exchange(pairs, m + 1, kinds, [0, m], rounds)
+    index, lowest, free = Index(w), int(c[1:].min()) if len(w) > 1 else 0, kinds > 2
+    known = m + int((c[m:] >= least).sum()) if free else m
+    deep = free and lowest > least  # words beyond the head have lower counts
+    size, number, tail = np.bincount(of[:m], weights=c[:m], minlength=kinds), m, None
+    if known > m or deep:
+        near = neighbours(docs, index, m, known, of, kinds, deep, text)
+        classed = scratch.table(assign(near, n, 2).join(counts.where(F.col("c") >= least), "w").select("w", "c", "k"), "classes")
+        for r in classed.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+            size[r.k] += r.c
+            number += r.n
+        top = classed.where(F.col("c") >= lowest).toArrow()  # of the head
+        mine = np.empty(len(w) + 1, np.int64)
+        mine[index(top.column("w").to_numpy())] = top.column("k").to_numpy()
+        of = np.concatenate([of[:m], mine[m:known], [1]])
+        tail = classed.where(F.col("c") < lowest).select("w", "k") if deep else None
+        n = class_pairs(docs, index, of, kinds, tail, text)
+    follows = n.sum(axis=0)
+    share = (follows + 1) / (follows.sum() + len(follows))
     move = (n + 5 * share) / (n.sum(axis=1, keepdims=True) + 5)
-    inside = np.bincount(of[:m], weights=c[:m], minlength=len(size))
-    emit = np.append(c[:m] / inside[of[:m]], 1 / (total - c[:m].sum() + distinct - m + 1))
-    return Model(int(total), int(distinct), Index(w), np.append(c, 0).astype(np.float64), m, of, move, emit, mix)
+    emit = np.append(c[:known] / size[of[:known]], 1 / (total - size.sum() + distinct - number + 1))
+    beyond = counts.where(F.col("c") < lowest) if len(w) > 1 else counts
+    beyond = beyond.join(tail, "w", "left") if tail is not None else beyond.withColumn("k", F.lit(None).cast("int"))
+    return Model(int(total), int(distinct), index, np.append(c, 0).astype(np.float64), known, of, move, emit, mix, size, beyond)
 
 
 def score(docs: DataFrame, train_on: Column, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -245,7 +381,9 @@ def score(docs: DataFrame, train_on: Column, key: str = "doc_id", text: str = "t
     train = docs.where(train_on)
     counts = scratch.table(word_counts(train, text), "counts")
     model = fit(train, counts, text, **settings)
+    words, model.beyond = model.beyond, None
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by head and clustered
+    kinds = {"i": pa.int32(), "w": pa.int64(), "before": pa.int32(), "after": pa.int32(), "seen": pa.float64(), "c1": pa.float64()}
 
     def run(batches):
         from pyspark import TaskContext
@@ -253,14 +391,35 @@ def score(docs: DataFrame, train_on: Column, key: str = "doc_id", text: str = "t
         task, nth = TaskContext.get().partitionId() << 33, 0
         for b, at, texts in _texts(batches):
             got = [sent.value.parts(t) for t in texts]
-            n, known, base, own, beyond = zip(*got, strict=True)
-            yield pa.RecordBatch.from_pydict({"key": b.column("key").slice(at, len(texts)), "row": pa.array(range(task + nth, task + nth + len(texts)), pa.int64()), "n": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "own": pa.array(own, pa.float64()), "beyond": pa.array(beyond, pa.list_(pa.int64()))})
+            n, known, base, own, tails = zip(*got, strict=True)
+            ends = np.cumsum([0, *(len(t["i"]) for t in tails)])
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([t[c] for t in tails]), kind) for c, kind in kinds.items()], names=list(kinds))
+            yield pa.RecordBatch.from_pydict({"key": b.column("key").slice(at, len(texts)), "row": pa.array(range(task + nth, task + nth + len(texts)), pa.int64()), "n": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "own": pa.array(own, pa.float64()), "tail": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
             nth += len(texts)
 
+    def more(batches):
+        model, last = sent.value, 0
+        unit = 1 / (model.total + model.distinct + 1)
+        for b in batches:
+            row, seen, c1, after, c = (b.column(x).to_numpy() for x in ("row", "seen", "c1", "after", "c"))
+            if not len(row):
+                continue
+            free = b.column("k").to_numpy()
+            k = np.where(free < 0, 1, free)
+            own = np.where(free < 0, (c + 1) * model.emit[-1], c / np.maximum(model.inside[k], 1))
+            add = model.log(_before(b, k, last), k, own, (c + 1) * unit)
+            add += np.where(after >= 0, model.log(k, np.maximum(after, 0), seen, c1 * unit), 0.0)
+            last = k[-1]
+            new = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            yield pa.RecordBatch.from_pydict({"row": row[new], "k": np.add.reduceat((c > 0).astype(np.int64), new), "s": np.add.reduceat(np.log10(c + 1.0), new), "own_s": np.add.reduceat(add, new)})
+
     rows = docs.select(F.col(key).cast("long").alias("key"), _text(docs, text).alias("text"))
-    part = scratch.table(rows.mapInArrow(run, "key long, row long, n long, known long, base double, own double, beyond array<long>"), "parts")
-    tail = part.select("row", F.explode("beyond").alias("w")).join(counts, "w")
-    more = tail.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1.0)).alias("s"))
-    both = part.drop("beyond").join(more, "row", "left")
-    add = F.coalesce("s", F.lit(0.0))
-    return both.select("key", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + add).alias("base_score"), (F.col("own") + add).alias("score"))
+    part = scratch.table(rows.mapInArrow(run, "key long, row long, n long, known long, base double, own double, tail array<struct<i:int,w:long,before:int,after:int,seen:double,c1:double>>"), "parts")
+    both = part.drop("tail").withColumns({"k": F.lit(0), "s": F.lit(0.0), "own_s": F.lit(0.0)})
+    if words is not None:
+        tail = part.select("row", F.inline("tail")).join(words, "w", "left")
+        tail = tail.select("row", "i", "before", "after", "seen", "c1", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("k", F.lit(-1)).alias("k"))
+        found = _sorted(tail).mapInArrow(more, "row long, k long, s double, own_s double").groupBy("row").agg(*(F.sum(x).alias(x) for x in ("k", "s", "own_s")))
+        both = part.drop("tail").join(found, "row", "left")
+    add = lambda c: F.coalesce(c, F.lit(0.0))
+    return both.select("key", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + add("s")).alias("base_score"), (F.col("own") + add("own_s")).alias("score"))

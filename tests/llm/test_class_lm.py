@@ -60,3 +60,28 @@ def test_classes_help(spark):
 def test_nothing_to_learn_from(spark):
     assert [(r.n_tokens, r.base_score, r.score) for r in run(spark, [(1, "x y")], F.lit(False))] == [(3, 0.0, 0.0)]
     assert run(spark, [], F.lit(True)) == []
+
+
+def test_words_beyond_the_core_get_classes(spark):
+    """Twenty common words and many rarer ones that take turns: a word's class tells what follows."""
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{(i * 7 + j * j) % (4 if j % 3 else 120)}" for j in range(80))) for i in range(120)]
+    docs, train = frame(spark, rows), F.col("doc_id") % 5 != 0
+    counts = lm.scratch.table(lm.word_counts(docs.where(train)), "c")
+    c = Counter(w for k, t in rows if k % 5 for w in tok(t))
+    m = lm.fit(docs.where(train), counts, clustered=9, classes=6)
+    assert m.clustered >= sum(n >= 3 for n in c.values()) > 9
+    assert (m.of[1 : m.clustered] > 1).all() and set(m.of[:1]) == {0}
+    got = {}
+    for head in (200_000, 20):  # the words beyond a small head get the same classes and scores by joins
+        got[head] = {r.key: r for r in lm.score(docs, train, clustered=9, classes=6, head=head).collect()}
+    assert all(abs(got[20][k].score - r.score) < 1e-9 and got[20][k].n_known == r.n_known for k, r in got[200_000].items())
+    held = [r for k, r in got[200_000].items() if k % 5 == 0]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_every_round_revisits_every_word(spark, monkeypatch):
+    seen, real = [], lm._f
+    monkeypatch.setattr(lm, "_f", lambda x: seen.append(1) or real(x))
+    pairs = spark.createDataFrame([(a, b, 1 + a * b) for a in range(8) for b in range(8)], "a int, b int, c long")
+    lm.exchange(pairs, 8, 4, [0, 7], rounds=3)
+    assert len(seen) == 3 * 6 * 8  # rounds, words, terms of a gain
