@@ -25,13 +25,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKETS = 1 << 16
 SEGMENT, SEGMENTS = 16, 6
+LONGEST = 64
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(b for b in range(128) if not chr(b).isalpha())
 
 
+def _pieces(run: bytes) -> list[bytes]:
+    """The whole run in pieces of at most ``LONGEST`` bytes, cut between characters."""
+    out, at = [], 0
+    while len(run) - at > LONGEST:
+        end = at + LONGEST
+        while run[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(run[at:end])
+        at = end
+    return [*out, run[at:]]
+
+
 def words(text: str) -> list[bytes]:
-    """Lower-cased words that have a letter, or a byte beyond ASCII."""
-    return [w for w in text.lower().encode("utf-8", "surrogatepass").split() if w.strip(_PLAIN)]
+    """Lower-cased words that have a letter, or a byte beyond ASCII; a longer run without white space is successive words."""
+    runs = text.lower().encode("utf-8", "surrogatepass").split()
+    return [w for run in runs for w in ((run,) if len(run) <= LONGEST else _pieces(run)) if w.strip(_PLAIN)]
 
 
 def has_letter(text: str | None) -> bool:
@@ -40,7 +54,7 @@ def has_letter(text: str | None) -> bool:
 
 def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Flat feature numbers and the first position of each word's: 2- and 3-grams with word ends, affixes of three, the word."""
-    bounded = [b"\x01" + w[:64] + b"\x02" for w in vocabulary]
+    bounded = [b"\x01" + w + b"\x02" for w in vocabulary]
     size = np.fromiter(map(len, bounded), np.int64, len(bounded))
     raw = np.frombuffer(b"".join(bounded), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(bounded)), size)
@@ -214,7 +228,7 @@ def fit(docs: DataFrame, train_on: Column, lang: str = "lang", key: str = "doc_i
                 for i in range(min(SEGMENTS, -(-len(ws) // SEGMENT))):
                     n = max(1, len(ws) - SEGMENT)
                     start = (at + i * n // SEGMENTS) % n
-                    out.append((at, i, lang, [w.decode("utf-8", "replace")[:64] for w in ws[start : start + SEGMENT]]))
+                    out.append((at, i, lang, [w.decode("utf-8", "replace") for w in ws[start : start + SEGMENT]]))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(("at", "i", "lang", "words"), zip(*out, strict=True), strict=True)), schema=pa.schema([("at", pa.int64()), ("i", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string()))]))
 

@@ -67,3 +67,12 @@ def test_null_empty_and_unlettered(spark, made):
     assert {r.lang_pred for r in crf.predict(frame(spark, made), crf.train([])).collect()} == {"und"}
     kept = crf.keep_identified(frame(spark, odd), model)
     assert kept.columns == frame(spark, odd).columns and {r.doc_id for r in kept.collect()} <= {4, None}
+
+
+def test_long_runs_are_read_to_their_end(spark):
+    assert b"".join(crf.words("a" + "日本é" * 90)) == ("a" + "日本é" * 90).encode()
+    assert all(w.decode() and len(w) <= crf.LONGEST for w in crf.words("a" + "日本é" * 90))
+    model = crf.fit(frame(spark, rows()), F.lit(True))
+    r = random.Random(5)
+    run = say(r, "en", 8).replace(" ", "")[:60] + say(r, "de", 150).replace(" ", "")
+    assert crf.predict(frame(spark, [(1, run)]), model).first().lang_pred == "de"
