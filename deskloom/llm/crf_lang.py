@@ -297,7 +297,10 @@ def label_words(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language can't be told: ``und``, or a score below ``least``. All columns stay."""
+    """``docs`` without the rows whose languages can't be told. All columns stay.
+
+    Those are texts without a letter and texts whose words' best probabilities have a mean below ``least``, whichever
+    languages these are of. Without a model only texts without a letter go."""
     languages, shared, schema, at = model.languages, _Shared(docs, model), docs.schema, docs.columns.index(text)
 
     def run(batches):
@@ -305,7 +308,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str
             rows = pa.RecordBatch.from_pydict({"key": pa.array(range(b.num_rows)), "text": b.column(at)})
             keep = np.zeros(b.num_rows, bool)
             for keys, ws, tags in _tagged([rows], shared):
-                keep[keys.to_numpy()] = [len(w) > 0 and bool(languages) and float(q.mean(axis=0).max()) >= least for w, q in zip(ws, tags, strict=True)]
+                keep[keys.to_numpy()] = [len(w) > 0 and (not languages or float(q.max(axis=1).mean()) >= least) for w, q in zip(ws, tags, strict=True)]
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)

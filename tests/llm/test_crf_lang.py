@@ -76,3 +76,16 @@ def test_long_runs_are_read_to_their_end(spark):
     r = random.Random(5)
     run = say(r, "en", 8).replace(" ", "")[:60] + say(r, "de", 150).replace(" ", "")
     assert crf.predict(frame(spark, [(1, run)]), model).first().lang_pred == "de"
+
+
+def test_code_switched_texts_are_kept(spark):
+    model = crf.fit(frame(spark, rows()), F.lit(True))
+    r = random.Random(9)
+    docs = frame(spark, [(i, " ".join(say(r, lang, 20) for lang in (PARTS if i % 2 else ("en", "de")))) for i in range(12)])
+    assert min(x.score for x in crf.predict(docs, model).collect()) < 0.5  # no language has half of each text
+    assert crf.keep_identified(docs, model).count() == 12
+
+
+def test_texts_are_kept_without_a_model(spark):
+    docs = frame(spark, [(1, "some words"), (2, "1234 !!"), (3, None)])
+    assert [r.doc_id for r in crf.keep_identified(docs, crf.train([])).collect()] == [1]
