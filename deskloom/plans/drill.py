@@ -47,11 +47,15 @@ class Card:
 
 
 def _opened(d: Desk, p: M.Period, s: Scope) -> DataFrame:
-    return M.ticket_details(d, p, s)
+    return M.ticket_details(d, p, s, rows=None)
+
+
+def _open(d: Desk, p: M.Period, s: Scope) -> DataFrame:
+    return M.backlog_tickets(d, p, s, rows=None)
 
 
 def _closed(status: str) -> Callable:
-    return lambda d, p, s: M.ticket_details(d, p, s, "closed").where(F.col("status") == status)
+    return lambda d, p, s: M.ticket_details(d, p, s, "closed", rows=None).where(F.col("status") == status)
 
 
 def cards() -> dict[str, Card]:
@@ -64,7 +68,7 @@ def cards() -> dict[str, Card]:
         "offHours": Card(M.client_messages, F.expr("off_hours_night + off_hours_weekend"), F.col("messages_in")),
         "closed": Card(_closed("closed"), one, None, {"closed_by": by, "resolution": res, "category": category}),
         "rejected": Card(_closed("rejected"), one, None, {"closed_by": by, "category": category}),
-        "open": Card(M.backlog_tickets, one, None, {"age": histogram("age_days", AGE), "category": category, "first": first, "outcome": named(F.col("final_status"), OUTCOME)}),
+        "open": Card(_open, one, None, {"age": histogram("age_days", AGE), "category": category, "first": first, "outcome": named(F.col("final_status"), OUTCOME)}),
         "unanswered": Card(_opened, flag("no_reply"), flag("status <> 'open'"), {"arrival": named(W.arrival_class(F.col("opened_at")), ARRIVAL), "category": category}),
         "expired": Card(_opened, flag("status = 'expired'"), one, {"silent": F.when(F.col("status") == "expired", silent), "first": first, "category": category}),
         "fast": Card(_opened, flag("answered_fast"), flag("answered"), {"frt": histogram("frt_seconds", FRT), "first": first}),

@@ -106,9 +106,11 @@ def backlog(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     ).select(as_of.alias("as_of"), "*")
 
 
-def backlog_tickets(desk: Desk, p: Period, scope: Scope, rows: int = BACKLOG_ROWS) -> DataFrame:
+def backlog_tickets(desk: Desk, p: Period, scope: Scope, rows: int | None = BACKLOG_ROWS) -> DataFrame:
+    """The newest tickets that are open at the end of the period; all of them if ``rows`` is None."""
     end = p.capped(desk)
-    held = scope.tickets(desk.ticket, desk.member).where((F.col("opened_at") < end) & (until() >= end)).orderBy(F.desc("opened_at"), F.desc("id")).limit(rows)
+    held = scope.tickets(desk.ticket, desk.member).where((F.col("opened_at") < end) & (until() >= end))
+    held = held if rows is None else held.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows)
     held = held.join(group_names(desk.member), "client", "left")
     return held.select("client", "group_names", "opened_at", F.datediff(end, "opened_at").alias("age_days"), "last_activity", "category", "messages_in", "messages_out", "first_responder", F.col("status").alias("final_status"), "closed_at")
 
@@ -182,14 +184,20 @@ def summary(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     return own.crossJoin(arrived.agg(F.count("*").alias("incoming"), n(W.off_hours(F.col("created_at"))).alias("off_hours")))
 
 
-def ticket_details(desk: Desk, p: Period, scope: Scope, cohort: str = "opened", client: str | None = None, rows: int = DETAIL_ROWS) -> DataFrame:
-    """Tickets opened, or closed, in the period with the flags that reports count; ``truncated`` if there were more."""
+def ticket_details(desk: Desk, p: Period, scope: Scope, cohort: str = "opened", client: str | None = None, rows: int | None = DETAIL_ROWS) -> DataFrame:
+    """Tickets opened, or closed, in the period with the flags that reports count; ``truncated`` if there were more.
+
+    Without ``rows`` every ticket is there."""
     t = scope.tickets(desk.ticket, desk.member)
     t = t.where(p.holds(F.col("opened_at")) if cohort == "opened" else p.holds(F.col("closed_at"), p.capped(desk)))
     t = t if client is None else t.where(F.col("client") == client)
-    newest = t.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows + 1)
-    more = newest.agg((F.count("*") > rows).alias("truncated"))
-    t = newest.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows).join(returned(desk, scope), "id", "left").join(group_names(desk.member), "client", "left").crossJoin(F.broadcast(more))
+    if rows is None:
+        t = t.withColumn("truncated", F.lit(False))
+    else:
+        newest = t.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows + 1)
+        more = newest.agg((F.count("*") > rows).alias("truncated"))
+        t = newest.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows).crossJoin(F.broadcast(more))
+    t = t.join(returned(desk, scope), "id", "left").join(group_names(desk.member), "client", "left")
     frt, res, closed, open_ = F.col("frt_seconds"), F.col("resolution_seconds"), F.col("status") == "closed", still_open(desk, p)
     yes = lambda c: F.coalesce(c, F.lit(False))
     return t.select(

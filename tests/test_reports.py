@@ -1,3 +1,4 @@
+import dataclasses
 import os
 
 import pytest
@@ -43,3 +44,15 @@ def test_rows_add_up_to_cards(spark):
 def test_truncated_details(spark):
     rows = M.ticket_details(desk(spark, SF), catalog.PERIOD, catalog.ALL, rows=5).collect()
     assert len(rows) == 5 and all(r.truncated for r in rows)
+
+
+@pytest.mark.parametrize("name", ["open", "closed", "unanswered"])
+def test_cards_count_beyond_the_lists_limits(spark, name):
+    d, p, s, card = desk(spark, SF), catalog.PERIOD, catalog.ALL, drill.cards()[name]
+    once = {(r.breakdown, r.label): (r["count"], r.base) for r in drill.tally(card, d, p, s).collect()}
+    rows = card.rows(d, p, s).count()
+    times = (1000 if name == "open" else 45_000) // rows + 2
+    copy = F.col("id") + F.col("copy") * 1_000_000_000
+    copies = d.ticket.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).withColumn("id", copy).drop("copy")
+    many = drill.tally(card, dataclasses.replace(d, ticket=copies), p, s).collect()
+    assert once and {(r.breakdown, r.label): (r["count"], r.base) for r in many} == {k: (c * times, b * times) for k, (c, b) in once.items()}
