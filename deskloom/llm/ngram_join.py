@@ -1,35 +1,40 @@
 """Exact n-gram Jaccard join: documents by n-grams as a sparse matrix, multiplied in blocks.
 
 Each document is the set of its distinct word n-grams (with fewer words, the whole sequence; without words, empty and
-linked with nothing). Documents with equal sets are one node. Two nodes link when ``den * overlap >= num * union``.
-
-Blocks. A link of sets x, y needs at least ``num/den`` of the larger set in common, so that in any one order of the
-n-grams the first ``n - ceil(n num/den) + 1`` of each meet. The order puts n-grams that a sample found frequent last; the
-sample changes which blocks form and never which links are found. A block is one such n-gram and a band of sizes
-that can link.
-
-Products. Small blocks give their pairs, whose shared n-grams are counted; a pair goes on only if its prefixes, as far
-as both reach in the order, can differ by no more than two sets of these sizes may: first by what counts and positions say,
-then by the prefixes themselves. In a large block the node with most company is the leader; every member is
-multiplied with it once. Seen from its leader L a member is the small difference D(x) = x ^ L, and |x ^ y| = |D(x) ^ D(y)|. If |D(x)| + |D(y)| is within
-the bound of the pair, both link with L. So only pairs with a member that doesn't link with L remain, and they need
-``(|D(x)| + |D(y)| - bound) / 2`` n-grams of their differences in common. Leaders with few members are one block
-whose sparse product accumulates those overlaps; for others a prefix of the differences, rare n-grams first, keyed by
-n-gram and both sizes, finds the pairs. No step forms all pairs of a group of near copies.
+linked with nothing). Documents with equal sets are one node. Two nodes link when ``den * overlap >= num * union``, that is,
+when their symmetric difference has at most ``(den - num) / (den + num)`` of the sum of their sizes.
+
+Blocks. Sizes fall in bands, so that sets that link are in one band or in two that follow each other. A band sets the largest
+difference H of two sets in it that link, and deals n-grams into H + s cells by hash. A difference of H n-grams spoils at most H cells,
+so sets that link agree in s cells at least. The signature of a cell is the hash of all n-grams in it: unlike documents
+with a passage in common hardly ever share one. A document with fewer than s signatures that others have too (empty cells
+counted for it) has no link and is left out; signatures that are left connect the others into blocks. So no order of n-grams,
+no sample and no limit decides what is found.
+
+Products. Each block is multiplied with itself: rows are its documents, columns its n-grams. n-grams that most rows have
+are taken off first: seen from this reference R a row is the small difference D(x) = x ^ R, and |x ^ y| = |D(x) ^ D(y)|.
+With ``slack(x) = (den - num) n(x) - (den + num) |D(x)|``, rows link without any overlap of differences when their slacks
+add up to 0 or more, so all such rows are connected through the row of largest slack. Only pairs with one of the other rows
+remain, and they need ``-(slack(x) + slack(y)) / (2 (den + num))`` n-grams of their differences in common: overlap
+counts are accumulated over the columns that two rows share, and pairs below that bound are dropped. Blocks of many rows
+do the same as Spark joins: the reference by counts of n-grams, overlaps by a prefix of the differences, rare n-grams
+first, keyed by n-gram and both sizes. No step forms all pairs of a group of near copies.
 
 Links are turned into components by alternating minima over tables in the shared folder.
 
-Sets and nodes are 64-bit hashes of n-grams and of sets. Nulls: a null text is empty; a null key is never the id
-of a component unless no other key is in it. Equal keys are rows of their own. An empty table gives no row.
+Sets, nodes and cells are told apart by 63- and 64-bit hashes; "exact" is up to their collisions. Nulls: a null text is empty;
+a null key is never the id of a component unless no other key is in it. Equal keys are rows of their own. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import scratch
 
@@ -70,20 +75,54 @@ class Bound:
         """The largest symmetric difference of two sets that link, given the sum of their sizes."""
         return both * (self.den - self.num) // (self.den + self.num)
 
-    def prefix(self, n: int) -> int:
-        return n - -(-n * self.num // self.den) + 1
+    def slack(self, n, d):
+        """Two sets link if their slacks add up to 0 at least, d being their differences from any one set."""
+        return (self.den - self.num) * n - (self.den + self.num) * d
 
     def partner(self, n):
         """The largest set that can link with one of size n."""
         return n * self.den // self.num
 
-    def bands(self, most: int) -> np.ndarray:
-        """First sizes of bands; sets that link are in one band or in two that follow each other."""
-        out, at = [], 1
-        while at <= most:
-            out.append(at)
-            at = self.partner(at) + 1
-        return np.asarray(out)
+
+class Bands:
+    """First sizes of bands, each about half as large again as the one before; cells of each and how many of them must agree."""
+
+    def __init__(self, bound: Bound, most: int = 1 << 40):
+        self.bound, self.first, self.cells, self.agree = bound, [1], [], []
+        steps = max(1, round(math.log(1.5) / math.log(bound.den / bound.num))) if bound.num < bound.den else 0
+        while self.first[-1] < most:
+            at = self.first[-1]
+            for _ in range(steps):
+                at = bound.partner(at)
+            self.first.append(at + 1 if steps else most)
+            apart = bound.difference(2 * (self.first[-1] - 1)) if steps else 0
+            empty = (apart + 1) * math.exp(-self.first[-2] * bound.num / bound.den / (apart + 1))  # cells that a small set of the band leaves empty
+            self.agree.append(1 + math.ceil(empty + 3 * math.sqrt(empty)))
+            self.cells.append(apart and apart + self.agree[-1])  # without a difference to allow, equal sets are one node
+        self.starts = np.asarray(self.first)
+
+    def of(self, n: int) -> list[int]:
+        band = int(np.searchsorted(self.starts, n, "right")) - 1
+        return [x for x in ([band, band + 1] if self.bound.partner(n) >= self.first[band + 1] else [band]) if self.cells[x]]
+
+
+def signatures(grams: np.ndarray, bands: Bands) -> list[tuple[int, int, np.ndarray]]:
+    """(parity of the band, how many signatures a link needs, signatures) for each band of a set; the last bit of a signature is the parity."""
+    out = []
+    high, code = mixed(grams) >> np.uint64(32), mixed(grams ^ M2)
+    for band in bands.of(len(grams)):
+        k, agree = bands.cells[band], bands.agree[band]
+        cell = (high * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+        total = np.zeros(k, np.uint64)
+        np.add.at(total, cell, code)
+        held = np.zeros(k, bool)
+        held[cell] = True
+        at, none = np.flatnonzero(held), np.flatnonzero(~held)
+        if len(none) >= agree:  # a link could lie in empty cells alone: it then shows in one of the first of them
+            at = np.concatenate([at, none[: len(none) - agree + 1]])
+        sig = mixed(total[at] + at.astype(np.uint64) * M1 + np.uint64((band + 1) * int(M2) % 2**64))
+        out.append((band & 1, max(1, agree - len(none)), (sig >> np.uint64(1) << np.uint64(1) | np.uint64(band & 1)).view(np.int64)))
+    return out
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,200 +135,208 @@ def _each(batches):
             yield b.slice(i, 1000).column("key"), b.slice(i, 1000).column("text").to_pylist()
 
 
-def frequent(docs: DataFrame, size: int, one_in: int = 20, least: int = 3, most: int = 200_000, key: str = "key") -> np.ndarray:
-    """n-grams that are frequent in one of ``one_in`` documents, at most ``most``; used only to order n-grams."""
-
-    def grams(batches):
-        for _, texts in _each(batches):
-            found = [ngrams(t, size) for t in texts]
-            gram, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"gram": gram.view(np.int64), "n": n.astype(np.int64)})
-
-    some = docs.where(F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)
-    top = some.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(most)
-    return np.sort(np.fromiter((r.gram for r in top.select("gram").toLocalIterator()), np.int64)).view(np.uint64)
-
-
-def _sets(rows: DataFrame, size: int, bound: Bound) -> DataFrame:
-    """key, n, node and the prefix of each row's set."""
-    late = np.sort(frequent(rows, size))
-    known = rows.sparkSession.sparkContext.broadcast(late)  # at most 200,000 numbers
+def _sets(rows: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """key, n, node and, for bands of either parity, how many signatures a link needs (0: the set isn't in such a band)."""
 
     def run(batches):
-        last = known.value
         for keys, texts in _each(batches):
-            n, node, prefix = [], [], []
-            for t in texts:
+            n, node, need = [], [], np.zeros((2, len(texts)), np.int64)
+            for i, t in enumerate(texts):
                 g = ngrams(t, size)
                 n.append(len(g))
                 node.append(node_of(g))
-                if len(g) and len(last):
-                    often = last[np.minimum(np.searchsorted(last, g), len(last) - 1)] == g
-                    g = np.sort(g | often.astype(np.uint64) << np.uint64(63))  # the top bit puts frequent n-grams last
-                prefix.append(g[: bound.prefix(len(g))].view(np.int64) if len(g) else [])
-            yield pa.RecordBatch.from_pydict({"key": keys, "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
-
-    return rows.mapInArrow(run, "key long, n long, node long, prefix array<long>")
-
-
-def _blocks(nodes: DataFrame, bound: Bound) -> DataFrame:
-    """gram, band, node, n, at (place in the prefix), own (the node's band) and c, the block's size, for blocks of two or more."""
-    grams = nodes.where("n > 0").select("node", "n", F.posexplode("prefix").alias("at", "gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    held = scratch.table(grams.join(shared, "gram"), "shared")
-    most = held.agg(F.max("n")).first()[0] or 1
-    firsts = F.lit(bound.bands(most).tolist())
-    held = held.withColumn("own", F.size(F.filter(firsts, lambda a: a <= F.col("n"))))
-    members = held.withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
-    sizes = members.groupBy("gram", "band").agg(F.count("*").alias("c")).where("c > 1")
-    return scratch.table(members.join(sizes, ["gram", "band"]), "members")
-
-
-def _together(members: DataFrame, nodes: DataFrame, bound: Bound, pair_rows: int) -> DataFrame:
-    """(node, leader) for the pairs of small blocks whose prefixes agree as far as sets that link must."""
-    one, two = (members.where(F.col("c") <= pair_rows).select("gram", "band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "own"))) for x in ("a", "b"))
-    near = (F.col("node_a") < F.col("node_b")) & (F.greatest("n_a", "n_b") * bound.num <= F.least("n_a", "n_b") * bound.den)
-    pairs = one.join(two, ["gram", "band"]).where(near & (F.col("band") == F.greatest("own_a", "own_b")))  # each shared n-gram counts once
-    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("met"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    large = members.where(F.col("c") > pair_rows).groupBy("node").agg(F.count_distinct("gram").alias("large"))
-    last = F.element_at("prefix", -1)
-    about = nodes.where("n > 0").select("node", "n", F.size("prefix").alias("size"), F.shiftrightunsigned(last, 1).alias("last")).join(large, "node", "left").fillna(0, ["large"])
-    for x in ("a", "b"):
-        pairs = pairs.join(about.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "size", "last", "large"))), x)
-    # the prefix that ends first is wholly in reach of the other; of the other, all up to the last n-gram that they share
-    reach_a = F.when(F.col("last_a") <= F.col("last_b"), F.col("size_a")).otherwise(F.col("at_a") + 1)
-    reach_b = F.when(F.col("last_b") <= F.col("last_a"), F.col("size_b")).otherwise(F.col("at_b") + 1)
-    most = F.floor((F.col("n_a") + F.col("n_b")) * (bound.den - bound.num) / (bound.den + bound.num))
-    pairs = pairs.where((F.col("last_a") == F.col("last_b")) | (reach_a + reach_b - 2 * (F.col("met") + F.least("large_a", "large_b")) <= most))
-    pairs = scratch.table(pairs.select("a", "b", "n_a", "n_b"), "together")
-    wanted = scratch.table(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "prefix"), "compared")
-    one, two = (wanted.select(F.col("node").alias(x), F.col("prefix").alias(f"p_{x}")) for x in ("a", "b"))
-
-    def test(batches):
-        for b in batches:
-            both = ([x.values.to_numpy().view(np.uint64)[x.value_offset(i) : x.value_offset(i + 1)] for i in range(len(x))] for x in (_list(b.column(c)) for c in ("p_a", "p_b")))
-            most = bound.difference(b.column("n_a").to_numpy() + b.column("n_b").to_numpy())
-            keep = []
-            for x, y, m in zip(*both, most.tolist(), strict=True):
-                x, y = x[: np.searchsorted(x, y[-1], "right")], y[: np.searchsorted(y, x[-1], "right")]
-                keep.append(len(np.setxor1d(x, y, assume_unique=True)) <= m)
-            yield pa.RecordBatch.from_pydict({"node": b.column("a"), "leader": b.column("b")}).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(one, "a").join(two, "b").mapInArrow(test, "node long, leader long")
+                for parity, least, _ in signatures(g, bands) if len(g) else ():
+                    need[parity, i] = least
+            yield pa.RecordBatch.from_pydict({"key": keys, "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "need_0": need[0], "need_1": need[1]})
 
+    return rows.mapInArrow(run, "key long, n long, node long, need_0 long, need_1 long")
 
-class _list:
-    """An Arrow list column's numbers and offsets, also of a slice."""
 
-    def __init__(self, column):
-        self.column, self.values, self.offsets = column, column.values, column.offsets.to_numpy()
-
-    def __len__(self):
-        return len(self.column)
-
-    def value_offset(self, i: int) -> int:
-        return int(self.offsets[i])
+def _tile(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    """One row (sig, node, 0) of each signature of some documents, and (sig, node, node's own place) of all that two or more of them have.
 
+    So a signature of very many documents sends one row of each tile to the task that looks for it elsewhere.
+    """
+    sig, node = np.concatenate(sigs), np.repeat(np.asarray(nodes, np.int64), [len(s) for s in sigs])
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[fresh], node[fresh]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    start = np.flatnonzero(first)
+    many = np.repeat(np.diff(np.append(start, len(sig))) > 1, np.diff(np.append(start, len(sig))))
+    place = np.where(node[many] == 0, 1, node[many])
+    return pa.RecordBatch.from_pydict({"sig": np.concatenate([sig[first], sig[many]]), "node": np.concatenate([node[first], node[many]]), "place": np.concatenate([np.zeros(len(start), np.int64), place])})
+
+
+def _shared(rows: DataFrame, size: int, bands: Bands, tile: int = 500_000) -> DataFrame:
+    """(sig, node) of signatures that two or more nodes have; rows may repeat."""
 
-def _led(members: DataFrame) -> DataFrame:
-    """(node, leader) for large blocks."""
-    company = members.groupBy("node").agg(F.sum("c").alias("company"))
-    best = members.join(company, "node").groupBy("gram", "band").agg(F.max(F.struct("company", "node")).alias("best"))
-    pairs = members.join(best, ["gram", "band"]).select("node", F.col("best.node").alias("leader"))
-    return pairs.where("node <> leader").distinct()
+    def run(batches):
+        sigs, nodes, held = [], [], 0
+        for _, texts in _each(batches):
+            for t in texts:
+                g = ngrams(t, size)
+                for _, _, s in signatures(g, bands) if len(g) else ():
+                    sigs.append(s)
+                    nodes.append(node_of(g))
+                    held += len(s)
+                if held >= tile:
+                    yield _tile(sigs, nodes)
+                    sigs, nodes, held = [], [], 0
+        if held:
+            yield _tile(sigs, nodes)
+
+    together = Window.partitionBy("sig", "place")
+    found = rows.mapInArrow(run, "sig long, node long, place long")
+    found = found.withColumn("lo", F.min("node").over(together)).withColumn("hi", F.max("node").over(together))
+    return found.where("place <> 0 OR lo < hi").select("sig", "node")
+
+
+def _blocks(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, block) of all nodes that have enough signatures in common with others; a block holds all links of its nodes."""
+    needs = nodes.select("node", F.posexplode(F.array("need_0", "need_1")).alias("parity", "need"))
+    each = shared.groupBy("node", F.expr("CAST(sig & 1 AS int)").alias("parity")).agg(F.collect_set("sig").alias("sigs"))  # no more than a text has n-grams
+    held = scratch.table(each.join(needs, ["node", "parity"]).where(F.size("sigs") >= F.col("need")).select("node", "sigs"), "signed")
+    cells = held.select("node", F.explode("sigs").alias("sig"))
+    least = cells.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig", "lo")
+    found = components(cells.join(least, "sig").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()).toDF("node", "block")
+    return scratch.table(found.union(found.select("block", "block").distinct()), "blocks", held)
+
+
+def product(sets: list[np.ndarray], bound: Bound, most: int = 4_000_000) -> np.ndarray:
+    """For each row of a block the least row that links lead to: the block's sparse product with itself.
+
+    Rows are seen from the n-grams that most of them have. A tile of the rows that aren't connected by their slack is multiplied with all, over
+    the columns that two rows have at least; what stays below the bound of a pair's sizes is dropped.
+    """
+    m = len(sets)
+    n = np.fromiter(map(len, sets), np.int64, m)
+    row = np.repeat(np.arange(m), n)
+    _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(2 * df > m)
+    has = np.zeros((m, len(common)), bool)
+    rank = np.full(len(df), -1)
+    rank[common] = np.arange(len(common))
+    inside = rank[col] >= 0
+    has[row[inside], rank[col[inside]]] = True
+    lacks, lacked = np.nonzero(~has)
+    row, col = np.concatenate([row[~inside], lacks]), np.concatenate([col[~inside], common[lacked]])
+    slack = bound.slack(n, np.bincount(row, minlength=m))
+    best = int(np.argmax(slack))
+    easy = slack + slack[best] >= 0
+    a, b = [np.flatnonzero(easy)], [np.full(int(easy.sum()), best)]
+    df = np.bincount(col, minlength=len(df))
+    keep = df[col] > 1
+    row, col = row[keep], col[keep]
+    rows_of, first = row[np.argsort(col, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(df)))])
+    order = np.argsort(row, kind="stable")
+    col_of, start = col[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=m))])
+    hard, at = np.flatnonzero(~easy), 0
+    work = np.concatenate([[0], np.cumsum(np.bincount(row, weights=df[col], minlength=m)[hard])])
+    while at < len(hard):
+        to = max(at + 1, min(at + max(1, most // m), int(np.searchsorted(work, work[at] + most, "right")) - 1))
+        counts = np.zeros((to - at) * m, np.int64)
+        for i in range(at, to):
+            c = col_of[start[hard[i]] : start[hard[i] + 1]]
+            for part in np.array_split(c, max(1, int(df[c].sum()) // most)) if len(c) else ():
+                size = df[part]
+                places = np.repeat(first[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+                counts[(i - at) * m : (i - at + 1) * m] += np.bincount(rows_of[places], minlength=m)
+        counts = counts.reshape(to - at, m)
+        good = 2 * (bound.den + bound.num) * counts + slack[hard[at:to], None] + slack[None] >= 0
+        x, y = np.nonzero(good)
+        a.append(hard[at:to][x])
+        b.append(y)
+        at = to
+    a, b, least = np.concatenate(a), np.concatenate(b), np.arange(m)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, a, before[b])
+        np.minimum.at(least, b, before[a])
+        least = least[least]
+        if (least == before).all():
+            return least
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """leader, node, sizes, whether they link, and the n-grams in one of them only."""
-    one, two = (sets.select(F.col("node").alias(a), F.col("grams").alias(b)) for a, b in (("node", "own"), ("leader", "other")))
+def _in_blocks(found: DataFrame, bound: Bound) -> DataFrame:
+    """Links (a, b) within small blocks, as stars."""
 
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                own, led = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in ("own", "other"))
-                diff = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(own, led, strict=True)]
-                n, m, d = (np.fromiter(map(len, x), np.int64, len(x)) for x in (own, led, diff))
-                yield pa.RecordBatch.from_pydict({"leader": part.column("leader"), "node": part.column("node"), "led": part.column("led"), "n": n, "base": m, "d": d, "links": d <= bound.difference(n + m), "diff": pa.array([x.tobytes() if k else b"" for x, k in zip(diff, part.column("led").to_pylist(), strict=True)], pa.binary())})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+        least = product([np.frombuffer(x, np.uint64) for x in pdf["grams"]], bound)
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"a": node, "b": node[least]})[least != np.arange(len(node))]
 
-    return pairs.join(one, "node").join(two, "leader").mapInArrow(run, "leader long, node long, led boolean, n long, base long, d long, links boolean, diff binary")
+    return found.select("block", "node", "grams").groupBy("block").applyInPandas(run, "a long, b long")
 
 
-def product(sets: list[np.ndarray], n: np.ndarray, linked: np.ndarray, bound: Bound, tile: int = 64) -> list[tuple[int, int]]:
-    """Pairs of rows with a link, at least one of each not ``linked``: the sparse product of a block of rows by itself.
+def _differences(found: DataFrame, bound: Bound) -> DataFrame:
+    """block, node, n, base (mean size in the block), d, links, best and the n-grams in a row or the block's reference, not in both.
 
-    A tile of rows at a time is multiplied with all; columns that only one row has are left out, and a pair counts
-    only if its overlap reaches the bound that the two sizes set.
+    links: the row links with the row of the largest slack, ``best``, whatever they have in common.
     """
-    d = np.fromiter(map(len, sets), np.int64, len(sets))
-    order = np.argsort(d, kind="stable")
-    gram = np.concatenate([sets[i] for i in order]) if len(sets) else np.empty(0, np.uint64)
-    row = np.repeat(np.arange(len(order)), d[order])
-    _, col, df = np.unique(gram, return_inverse=True, return_counts=True)
-    keep = df[col] > 1
-    row, col = row[keep], col[keep]
-    by_col = np.argsort(col, kind="stable")
-    rows_of, first = row[by_col], np.searchsorted(col[by_col], np.arange(len(df) + 1))
-    start = np.searchsorted(row, np.arange(len(order) + 1))
-    size, width = n[order], d[order]
-    out = []
-    for a in range(0, len(order), tile):
-        b = min(len(order), a + tile)
-        counts = np.zeros((b - a, len(order)), np.int32)
-        for i in range(a, b):
-            for c in col[start[i] : start[i + 1]].tolist():
-                counts[i - a, rows_of[first[c] : first[c + 1]]] += 1
-        apart = width[a:b, None] + width[None] - 2 * counts
-        good = apart <= bound.difference(size[a:b, None] + size[None])
-        good &= ~(linked[order][a:b, None] & linked[order][None])
-        for i, j in zip(*np.nonzero(good), strict=True):
-            if i + a < j:
-                out.append((int(order[i + a]), int(order[j])))
-    return out
+    sizes = found.groupBy("block").agg(F.count("*").alias("rows"), F.avg("n").cast("long").alias("base"))
 
+    def explode(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                g = [np.frombuffer(x, np.int64) for x in part.column("grams").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"block": np.repeat(part.column("block").to_numpy(), [len(x) for x in g]), "gram": np.concatenate(g)})
 
-def _in_blocks(seen: DataFrame, bound: Bound) -> DataFrame:
-    """Links between members of small leaders' groups, one sparse product for each leader."""
+    counts = found.select("block", "grams").mapInArrow(explode, "block long, gram long").groupBy("block", "gram").agg(F.count("*").alias("c"))
+    most = counts.join(sizes, "block").where("2 * c > rows").groupBy("block").agg(F.sort_array(F.collect_list("gram")).alias("most"))  # twice the mean set at most
+    about = scratch.table(sizes.join(most, "block", "left"), "references")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        found = product([np.frombuffer(x, np.uint64) for x in pdf["diff"]], pdf["n"].to_numpy(), pdf["links"].to_numpy(), bound)
-        a, b = (pdf["node"].to_numpy()[np.asarray([p[i] for p in found], np.int64)] for i in (0, 1))
-        return pd.DataFrame({"a": a, "b": b})
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                own = [np.frombuffer(x, np.uint64) for x in part.column("grams").to_pylist()]
+                ref = [np.asarray(x or [], np.int64).view(np.uint64) for x in part.column("most").to_pylist()]
+                diff = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(own, ref, strict=True)]
+                n, d = (np.fromiter(map(len, x), np.int64, len(x)) for x in (own, diff))
+                yield pa.RecordBatch.from_pydict({"block": part.column("block"), "node": part.column("node"), "n": n, "base": part.column("base"), "d": d, "slack": bound.slack(n, d), "diff": pa.array([x.tobytes() for x in diff], pa.binary())})
 
-    return seen.groupBy("leader").applyInPandas(run, "a long, b long")
+    seen = found.join(about, "block").mapInArrow(run, "block long, node long, n long, base long, d long, slack long, diff binary")
+    seen = scratch.table(seen, "differences")
+    best = seen.groupBy("block").agg(F.max(F.struct("slack", "node")).alias("best"))
+    return seen.join(best, "block").select("block", "node", "n", "base", "d", (F.col("slack") + F.col("best.slack") >= 0).alias("links"), F.col("best.node").alias("best"), "diff")
 
 
 def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
-    """Links between members of large leaders' groups: by the rare n-grams of their differences, for each pair of sizes."""
+    """Links between rows of large blocks: by the rare n-grams of their differences, for each pair of sizes."""
     to_array = lambda batches: (
-        pa.RecordBatch.from_pydict({"leader": b.column("leader"), "node": b.column("node"), "gram": pa.array([np.frombuffer(x, np.int64) for x in b.column("diff").to_pylist()], pa.list_(pa.int64()))}) for b in batches
+        pa.RecordBatch.from_pydict({"block": b.column("block"), "node": b.column("node"), "gram": pa.array([np.frombuffer(x, np.int64) for x in b.column("diff").to_pylist()], pa.list_(pa.int64()))}) for b in batches
     )
-    cells = seen.select("leader", "node", "diff").mapInArrow(to_array, "leader long, node long, gram array<long>").select("leader", "node", F.explode("gram").alias("gram"))
-    often = cells.groupBy("leader", "gram").agg(F.count("*").alias("c")).where("c > 1")
+    cells = seen.select("block", "node", "diff").mapInArrow(to_array, "block long, node long, gram array<long>").select("block", "node", F.explode("gram").alias("gram"))
+    often = cells.groupBy("block", "gram").agg(F.count("*").alias("c")).where("c > 1")
     rare_first = F.transform(F.sort_array(F.collect_list(F.struct("c", "gram"))), lambda x: x["gram"])
-    ordered = cells.join(often, ["leader", "gram"]).groupBy("leader", "node").agg(rare_first.alias("grams"))
-    ordered = ordered.join(seen.select("leader", "node", "n", "base", "d", "links"), ["leader", "node"])
+    ordered = cells.join(often, ["block", "gram"]).groupBy("block", "node").agg(rare_first.alias("grams"))
+    ordered = ordered.join(seen.select("block", "node", "n", "base", "d", "links"), ["block", "node"])
 
     def keys(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples(index=False):
             most = bound.difference(r.n + bound.partner(r.n))  # no partner's bound is larger
-            w = max(1, bound.difference(2 * r.base) // steps)  # sizes of differences go in classes of a width that the leader sets
+            w = max(1, bound.difference(2 * r.base) // steps)  # sizes of differences go in classes of a width that the block's mean size sets
             own, alone = r.d // w, r.d - len(r.grams)  # n-grams that no other member has come first
             for other in range(max(0, (r.d - most) // w), (r.d + most) // w + 1):
                 need = max(1, -((most - r.d - max(1, other * w)) // 2))
                 take = max(0, r.d - need + 1 - alone)
                 lo, hi = min(own, other), max(own, other)
-                out += [(r.leader, g, lo, hi, own, r.node, r.links) for g in r.grams[:take].tolist()]
-        return pd.DataFrame(out, columns=["leader", "gram", "lo", "hi", "own", "node", "links"])
+                out += [(r.block, g, lo, hi, own, r.node, r.links) for g in r.grams[:take].tolist()]
+        return pd.DataFrame(out, columns=["block", "gram", "lo", "hi", "own", "node", "links"])
 
-    keyed = ordered.mapInPandas(lambda parts: (keys(p) for p in parts), "leader long, gram long, lo long, hi long, own long, node long, links boolean")
-    on = ["leader", "gram", "lo", "hi"]
+    keyed = ordered.mapInPandas(lambda parts: (keys(p) for p in parts), "block long, gram long, lo long, hi long, own long, node long, links boolean")
+    on = ["block", "gram", "lo", "hi"]
     left = keyed.where("NOT links").select(*on, F.col("node").alias("a"), F.col("own").alias("own_a"))
     right = keyed.select(*on, F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("links").alias("links_b"))
-    met = left.join(right, on).where("a <> b AND own_a + own_b = lo + hi AND (links_b OR a < b)").select("leader", "a", "b").distinct()
-    one, two = (seen.select("leader", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("diff").alias(f"d_{k}")) for k in ("a", "b"))
+    met = left.join(right, on).where("a <> b AND own_a + own_b = lo + hi AND (links_b OR a < b)").select("block", "a", "b").distinct()
+    one, two = (seen.select("block", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("diff").alias(f"d_{k}")) for k in ("a", "b"))
 
     def check(batches):
         for b in batches:
@@ -298,54 +345,50 @@ def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
             good = apart <= bound.difference(b.column("n_a").to_numpy() + b.column("n_b").to_numpy())
             yield b.select(["a", "b"]).filter(pa.array(good))
 
-    return met.join(one, ["leader", "a"]).join(two, ["leader", "b"]).mapInArrow(check, "a long, b long")
+    return met.join(one, ["block", "a"]).join(two, ["block", "b"]).mapInArrow(check, "a long, b long")
 
 
-def _fetched(rows: DataFrame, asked: DataFrame, size: int, most_bits: int = 27) -> DataFrame:
-    """node and n-grams of the asked nodes, from the texts.
+def _fetched(rows: DataFrame, asked: DataFrame, size: int, most_bits: int = 26) -> DataFrame:
+    """asked with the n-grams of its nodes, from the texts.
 
-    Texts aren't shuffled: a map of hashed keys, of at most 2^27 bits, goes to every task, which makes the sets of the keys
-    that are in it; the join then drops what only shares a bit with an asked key.
+    Texts aren't shuffled: a map of hashed keys, of at most 2^26 bits (8 MB, in rows of 4 KB), goes to every task, which makes the
+    sets of the keys that are in it; the join then drops what only shares a bit with an asked key.
     """
-    count = asked.count()
-    bits = min(most_bits, max(10, (16 * count).bit_length()))
+    bits = min(most_bits, max(15, (16 * asked.count()).bit_length()))
     place = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
-    words = asked.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(key), {1 << bits}L), 64) AS int))")).alias("bits"))
-    filled = np.zeros(1 << bits - 6, np.int64)
-    for r in words.toLocalIterator():
-        filled[r.word] = r.bits
-    known = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+    maps = asked.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    filled = np.zeros((1 << bits - 15, 4096), np.uint8)
+    for r in maps.collect():  # 2^(bits - 15) rows at most
+        filled[r.row - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    known = rows.sparkSession.sparkContext.broadcast(filled.reshape(-1))
 
     def build(batches):
         for b in batches:
             at = b.column("place").to_numpy()
-            good = (known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            b = b.filter(pa.array(good))
+            b = b.filter(pa.array(known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
             for i in range(0, b.num_rows, 500):
                 g = [ngrams(t, size) for t in b.column("text").slice(i, 500).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"own": b.column("key").slice(i, 500), "made": pa.array(map(node_of, g), pa.int64()), "grams": pa.array([x.tobytes() for x in g], pa.binary())})
 
     sets = rows.select("key", "text", place.alias("place")).mapInArrow(build, "own long, made long, grams binary")
-    return sets.join(asked, (F.col("made") == F.col("node")) & F.col("own").eqNullSafe(F.col("key"))).select("node", "grams")  # a key may have several texts
-
-
-def links(nodes: DataFrame, rows: DataFrame, size: int, bound: Bound, block_rows: int = 256, pair_rows: int = 8) -> DataFrame:
-    """(a, b): links that connect all nodes that any links connect. nodes: node, key, n, prefix."""
-    members = _blocks(nodes, bound)
-    led = _led(members.where(F.col("c") > pair_rows)).withColumn("led", F.lit(True))
-    together = _together(members, nodes, bound, pair_rows).withColumn("led", F.lit(False))
-    pairs = scratch.table(led.unionByName(together), "pairs")
-    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
-    asked = scratch.table(nodes.select("node", "key").join(wanted, "node", "left_semi"), "asked")
-    sets = scratch.table(_fetched(rows, asked, size), "sets")
-    every = scratch.table(_differences(pairs, sets, bound), "differences")
-    direct, seen = every.where("links"), every.where("led").drop("led")
-    direct = direct.where("links").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    groups = seen.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("d").alias("cells"), F.min("links").alias("all"))
-    open_ = seen.join(groups.where("rows > 1 AND NOT all"), "leader")
-    small = F.expr(f"rows <= {block_rows} AND cells <= 2000000")
-    more = _in_blocks(open_.where(small).select(seen.columns), bound).unionByName(_by_difference(open_.where(~small).select(seen.columns), bound))
-    return scratch.table(direct.unionByName(more), "links")
+    return sets.join(asked, (F.col("made") == F.col("node")) & F.col("own").eqNullSafe(F.col("key"))).drop("own", "made", "key")  # a key may have several texts
+
+
+def links(nodes: DataFrame, rows: DataFrame, size: int, bands: Bands, block_rows: int = 2048, block_cells: int = 2_000_000) -> DataFrame:
+    """(a, b): links that connect all nodes that any links connect."""
+    bound = bands.bound
+    shared = scratch.table(_shared(rows, size, bands), "shared")
+    asked = nodes.select("node", "key", "n").join(_blocks(shared, nodes), "node")
+    sizes = asked.groupBy("block").agg(((F.count("*") <= block_rows) & (F.sum("n") <= block_cells)).alias("small"))
+    asked = scratch.table(asked.join(sizes, "block"), "asked", shared)
+    found = scratch.table(_fetched(rows, asked, size), "sets")
+    near = _in_blocks(found.where("small"), bound)
+    if asked.where("NOT small").isEmpty():
+        return scratch.table(near, "links", asked, found)
+    seen = _differences(found.where("NOT small"), bound)
+    near = near.unionByName(seen.where("links AND node <> best").select(F.col("node").alias("a"), F.col("best").alias("b")))
+    seen = seen.join(seen.where("NOT links").select("block").distinct(), "block", "left_semi")  # elsewhere all is connected
+    return scratch.table(near.unionByName(_by_difference(seen, bound)), "links", asked, found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -367,15 +410,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.toDF("node", "root")
 
 
-def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block_rows: int = 256) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block_rows: int = 2048) -> DataFrame:
     """key, n (set size) and component (the least key that links lead to) of every row."""
-    bound = Bound(num, den)
+    bands = Bands(Bound(num, den))
     rows = _rows(docs, key, text)
-    sets = scratch.table(_sets(rows, size, bound), "prefixes")
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n", "prefix")).alias("f")
-    nodes = scratch.table(sets.groupBy("node").agg(first).select("node", "f.key", "f.n", "f.prefix"), "nodes")
-    found = components(links(nodes, rows, size, bound, block_rows))
-    least = nodes.where("n > 0").select("node", "key").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = scratch.table(_sets(rows, size, bands), "set_sizes")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n", "need_0", "need_1")).alias("f")
+    nodes = scratch.table(sets.where("n > 0").groupBy("node").agg(first).select("node", "f.key", "f.n", "f.need_0", "f.need_1"), "nodes")
+    found = components(links(nodes, rows, size, bands, block_rows))
+    least = nodes.select("node", "key").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = least.groupBy("root").agg(F.min("key").alias("component"))
     of = least.join(ids, "root").select("node", "component")
     return sets.join(of, "node", "left").select("key", "n", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component")).alias("component"))
