@@ -392,17 +392,21 @@ def links(nodes: DataFrame, rows: DataFrame, size: int, bands: Bands, block_rows
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): roots are the least ids; large and small stars in turn."""
+    """(node, root) for every node of the edges (a, b) that isn't a root itself: roots are the least ids; large and small stars in turn.
+
+    Least neighbours are tables of their own, so that both sides of each join are plain exchanges and Spark can split a node
+    with very many neighbours.
+    """
     now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     while True:
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.table(large.where("u <> v").distinct(), "large_stars", now, low)
+        down = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        now = scratch.table(small.where("u <> v").distinct(), "stars")
+        now = scratch.table(small.where("u <> v").distinct(), "stars", large, down)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -1,25 +1,24 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Each rule rejects a text by figures that are plain columns. On a bounded sample each rule's cost (seconds over a
-run without rules) and its selectivity (share rejected) are measured; the rules then run in descending order of
-rejection per cost inside one CASE, so that a later rule is computed only for texts that all earlier ones let pass.
-The order changes what a run costs, never which texts are rejected.
+Each rule rejects a text by figures that are plain columns; some figures share a part, such as the array of words. On a sample of
+about ``sample_rows`` rows, drawn from the whole table, each rule's cost is counted (the work of the parts and figures that it needs and
+that no earlier rule has made, by the sample's characters and words) and its selectivity (share rejected of the rows that reach it). The next rule is
+always the one that rejects most per cost, so the order is the same in each run over the same table. Every part, figure and rule is a column
+of its own that is computed only for texts that all earlier rules let pass.
+The order changes what a run costs, never which texts are rejected, only by which rule.
 
 A null text has no words. A text without words or lines has 0 for each figure. Repeated rows are judged one by one;
-other columns pass through, also where a figure has the same name (the figures get a prefix of their own).
+other columns pass through, also where a figure has the same name: figures get a prefix of their own. A column with the name
+``out`` is replaced by the verdict.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import scratch
-
 BLANKS = " \t\n\x0b\f\r"
-BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -32,12 +31,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def word_array(text: Column) -> Column:
-    core = F.btrim(text, F.lit(BLANKS))
-    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, f"{BLANK}+"))
+    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
 def n_repeat_words(words: Column) -> Column:
-    """Words inside any window of 8 that occurs twice or more, by a 64-bit hash of each window."""
+    """Words inside any window of 8 that occurs twice or more, by 64-bit hashes of words and of windows."""
 
     def covered(starts: Column) -> Column:
         n = F.size(starts)
@@ -53,7 +51,10 @@ def n_repeat_words(words: Column) -> Column:
 
         return let(let(pairs, starts), covered)
 
-    def by_words(w: Column) -> Column:
+    def by_words(words: Column) -> Column:
+        return let(F.transform(words, lambda x: F.xxhash64(x)), by_hashes)
+
+    def by_hashes(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
         some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(repeated(h)))
         return F.when(F.size(w) < WINDOW, F.lit(0).cast("long")).otherwise(some)
@@ -61,53 +62,82 @@ def n_repeat_words(words: Column) -> Column:
     return let(words, by_words)
 
 
-def metrics(text: Column, words: Column | None = None) -> dict[str, Column]:
-    """Figures of a text as columns; ``words`` may name an array that is there already."""
-    text = F.coalesce(text, F.lit(""))
-    words = word_array(text) if words is None else words
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    as_long = lambda c: c.cast("long")
-    return {
-        "n_words": as_long(F.size(words)),
-        "word_chars": as_long(F.length(F.translate(text, BLANKS, ""))),
-        "n_symbols": as_long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))),
-        "n_lines": as_long(F.size(lines)),
-        "n_dup_lines": as_long(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))),
-        "n_repeat_words": n_repeat_words(words),
-    }
-
-
-def standard_rules(m: Metric) -> dict[str, Column]:
-    """Rules by name: true where a text is to be rejected. Integer arithmetic, so that any engine agrees."""
-    return {
-        "few_words": m("n_words") < 20,
-        "repeats": 100 * m("n_repeat_words") > 30 * m("n_words"),
-        "symbols": 100 * m("n_symbols") > 40 * m("n_words"),
-        "duplicate_lines": (m("n_lines") >= 4) & (2 * m("n_dup_lines") > m("n_lines")),
-        "short_words": m("word_chars") < 2 * m("n_words"),
-        "long_words": m("word_chars") > 20 * m("n_words"),
-    }
-
-
-def estimate(docs: DataFrame, text: str = "text", rules: Callable[[Metric], dict[str, Column]] = standard_rules, sample_rows: int = 400, fraction: float = 0.05) -> list[tuple[str, float, float]]:
-    """(rule, seconds, share rejected) on at most ``sample_rows`` rows, the best rejection per cost first."""
-    own = docs.select(F.col(text).cast("string").alias("text"))
-    some = own.sample(fraction, seed=7).limit(sample_rows)
-    sample = scratch.table(some, "sample")
-    if sample.isEmpty():
-        sample = scratch.table(own.limit(sample_rows), "sample")
-    figures = metrics(F.col("text"))
-    made = rules(figures.__getitem__)
-
-    def timed(c: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        share = sample.agg(F.avg(F.when(c, 1.0).otherwise(0.0))).first()[0]
-        return time.perf_counter() - began, share or 0.0
-
-    timed(F.lit(False))  # the first run also opens the files
-    floor = timed(F.lit(False))[0]
-    found = [(name, max(1e-3, s - floor), share) for name, (s, share) in ((k, timed(c)) for k, c in made.items())]
-    return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0]))
+def _rest(text: Column, drop: str) -> Column:
+    return F.length(F.translate(text, drop, ""))
+
+
+# parts and figures: what each needs, work for each character of a text, work for each word of it, column
+PARTS: dict[str, tuple[float, float, Callable[[Column], Column]]] = {
+    "words": (4, 2, word_array),
+    "lines": (2, 0, lambda t: F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")),
+}
+FIGURES: dict[str, tuple[str, float, float, Callable[[Column], Column]]] = {
+    "n_words": ("words", 0, 0, F.size),
+    "word_chars": ("", 1, 0, lambda t: _rest(t, BLANKS)),
+    "n_symbols": ("", 1, 0, lambda t: F.length(t) - _rest(t, SYMBOLS)),
+    "n_lines": ("lines", 0, 0, F.size),
+    "n_dup_lines": ("lines", 0.5, 0, lambda lines: F.size(lines) - F.size(F.array_distinct(lines))),
+    "n_repeat_words": ("words", 0, 60, n_repeat_words),
+}
+
+# Integer arithmetic, so that any engine agrees; true where a text is to be rejected.
+Rules = dict[str, Callable[[Metric], Column]]
+STANDARD: Rules = {
+    "few_words": lambda m: m("n_words") < 20,
+    "repeats": lambda m: 100 * m("n_repeat_words") > 30 * m("n_words"),
+    "symbols": lambda m: 100 * m("n_symbols") > 40 * m("n_words"),
+    "duplicate_lines": lambda m: (m("n_lines") >= 4) & (2 * m("n_dup_lines") > m("n_lines")),
+    "short_words": lambda m: m("word_chars") < 2 * m("n_words"),
+    "long_words": lambda m: m("word_chars") > 20 * m("n_words"),
+}
+
+
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def needs(rule: Callable[[Metric], Column]) -> list[str]:
+    """Parts, then figures, that a rule reads."""
+    read: list[str] = []
+    rule(lambda name: read.append(name) or F.lit(0).cast("long"))
+    read = list(dict.fromkeys(read))
+    return list(dict.fromkeys([FIGURES[x][0] for x in read if FIGURES[x][0]])) + read
+
+
+def with_figure(docs: DataFrame, name: str, text: str, prefix: str, when: Column | None = None) -> DataFrame:
+    """``docs`` with a part or figure as one more column, null where ``when`` doesn't hold."""
+    if name in PARTS:
+        made = PARTS[name][2](_text(text))
+    else:
+        part, *_, build = FIGURES[name]
+        made = build(F.col(prefix + part) if part else _text(text)).cast("long")
+    return docs.withColumn(prefix + name, made if when is None else F.when(when, made))
+
+
+def estimate(docs: DataFrame, text: str = "text", rules: Rules = STANDARD, sample_rows: int = 400) -> list[tuple[str, float, float]]:
+    """(rule, its work on a text, share rejected of the texts that reach it), in the order in which the rules are to run."""
+    rows = docs.count()
+    held = docs.select(F.col(text).cast("string").alias("text")).sample(min(1.0, sample_rows / max(1, rows)), seed=7)
+    for name in dict.fromkeys(x for r in rules.values() for x in [*needs(r), "words"]):
+        held = with_figure(held, name, "text", "__")
+    hit = [F.coalesce(r(lambda k: F.col(f"__{k}")), F.lit(False)).alias(n) for n, r in rules.items()]
+    found = held.groupBy(*hit).agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"), F.sum(F.size("__words")).alias("words")).collect()  # at most one row for each set of rules
+    total = max(1, sum(r["rows"] for r in found))
+    chars, words = (sum(r[c] or 0 for r in found) / total + 1 for c in ("chars", "words"))
+    made, order, left = set(), [], [(r["rows"], {n for n in rules if r[n]}) for r in found]
+
+    def work(name: str) -> float:
+        cost = [PARTS[x][:2] if x in PARTS else FIGURES[x][1:3] for x in needs(rules[name]) if x not in made]
+        return 1 + sum(c * chars + w * words for c, w in cost)
+
+    while len(order) < len(rules):
+        reach = sum(n for n, _ in left)
+        share = {r: sum(n for n, hits in left if r in hits) / max(1, reach) for r in rules if r not in [x for x, _, _ in order]}
+        best = min(share, key=lambda r: (-share[r] / work(r), work(r), r))
+        order.append((best, work(best), share[best]))
+        made |= set(needs(rules[best]))
+        left = [(n, hits) for n, hits in left if best not in hits]
+    return order
 
 
 def verdict(order: list[str], made: dict[str, Column]) -> Column:
@@ -118,16 +148,22 @@ def verdict(order: list[str], made: dict[str, Column]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def cascade(docs: DataFrame, text: str = "text", rules: Callable[[Metric], dict[str, Column]] = standard_rules, out: str = "rejected_by") -> DataFrame:
+def cascade(docs: DataFrame, text: str = "text", rules: Rules = STANDARD, out: str = "rejected_by", prefix: str = "__quality_") -> DataFrame:
     """``docs`` with the name of the rule that rejects each row (null: none does)."""
-    order = [name for name, _, _ in estimate(docs, text, rules)]
-    return docs.withColumn(out, verdict(order, rules(metrics(F.col(text).cast("string")).__getitem__)))
-
-
-def scored(docs: DataFrame, text: str = "text", prefix: str = "", rules: Callable[[Metric], dict[str, Column]] = standard_rules, out: str = "rejected_by") -> DataFrame:
-    """``docs`` with every figure and the cascade's verdict over those figures."""
-    order = [name for name, _, _ in estimate(docs, text, rules)]
-    held = docs.withColumn("__words", word_array(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    m = metrics(F.col(text).cast("string"), F.col("__words"))
-    held = held.withColumns({prefix + k: c for k, c in m.items()}).drop("__words")
-    return held.withColumn(out, verdict(order, rules(lambda k: F.col(prefix + k))))
+    held, made = docs.withColumn(out, F.lit(None).cast("string")), []
+    for name, _, _ in estimate(docs, text, rules):
+        for x in needs(rules[name]):
+            if x not in made:
+                held = with_figure(held, x, text, prefix, F.col(out).isNull())
+                made.append(x)
+        held = held.withColumn(out, F.coalesce(F.col(out), F.when(rules[name](lambda k: F.col(prefix + k)), F.lit(name))))
+    return held.drop(*(prefix + x for x in made))
+
+
+def scored(docs: DataFrame, text: str = "text", prefix: str = "quality_", rules: Rules = STANDARD, out: str = "rejected_by") -> DataFrame:
+    """``docs`` with every figure and the verdict over those figures."""
+    order, held = [name for name, _, _ in estimate(docs, text, rules)], docs
+    for x in [*PARTS, *FIGURES]:
+        held = with_figure(held, x, text, prefix)
+    made = {n: r(lambda k: F.col(prefix + k)) for n, r in rules.items()}
+    return held.drop(*(prefix + x for x in PARTS)).withColumn(out, verdict(order, made))

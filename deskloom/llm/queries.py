@@ -31,12 +31,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    made = preference.pairs(*preference.answered_otherwise(conversations))
+    made = preference.answered_otherwise(conversations)
     learned = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     size = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
     return made.select(
-        F.col("pair_id").alias("conv_id"), F.col("prompt_turns").cast("long").alias("prompt_turns"), *(f(c) for c in ("prompt", "chosen", "rejected") for f in (size, digest)),
+        "conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), *(f(c) for c in ("prompt", "chosen", "rejected") for f in (size, digest)),
         learned(F.col("chosen_mask")).alias("chosen_learned"), learned(F.col("rejected_mask")).alias("rejected_learned"),
     )
 
@@ -44,7 +44,8 @@ def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 e AS (SELECT c.conv_id, turn, coalesce(role, '') AS role, role AS r0, coalesce(text, '') AS text, text AS t0, last FROM conversations c JOIN l USING (conv_id) WHERE turn <= last),
-y AS (SELECT conv_id - 1 AS conv_id, role, r0, text, t0 FROM e WHERE turn = last AND r0 = 'assistant'),
+n AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next FROM l),
+y AS (SELECT n.conv_id, role, r0, text, t0 FROM e JOIN n ON e.conv_id = n.next WHERE n.next <> n.conv_id AND turn = last AND r0 = 'assistant'),
 ids AS (SELECT DISTINCT conv_id FROM y JOIN l USING (conv_id)),
 c AS (SELECT conv_id, turn, role, r0, text, t0 FROM e JOIN ids USING (conv_id)),
 r AS (SELECT conv_id, turn, role, r0, text, t0 FROM e JOIN ids USING (conv_id) WHERE turn < last UNION ALL SELECT conv_id, last, role, r0, text, t0 FROM y JOIN l USING (conv_id)),
@@ -90,8 +91,7 @@ def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
-    s = quality_cascade.scored(docs).drop("text")
+    s = quality_cascade.scored(_documents(spark, sf_dir).select("doc_id", "text"), prefix="")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
