@@ -16,8 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, manifest = token_shards.write_shards(_documents(spark, sf_dir), BYTE_BPE, end_id=0)
-    return token_shards.read_shards(manifest).withColumnRenamed("key", "doc_id")
+    docs = _documents(spark, sf_dir)
+    _, manifest = token_shards.write_shards(docs, BYTE_BPE, end_id=0)
+    found = token_shards.fetch(manifest, docs, "doc_id").unionByName(token_shards.without_key(manifest))
+    return found.withColumnRenamed("key", "doc_id")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

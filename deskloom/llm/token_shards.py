@@ -3,14 +3,15 @@
 ``write_shards`` encodes every text, appends an end id and writes one pair of files for each key range:
 
 * ``shard-N.ids``: the raw ids, little-endian, 16 bits wide where the vocabulary allows, in ascending key order;
-* ``shard-N.idx``: a minimal perfect hash over the distinct keys (levels of bit arrays with ranks), and for
-  each hash slot the key's 32-bit fingerprint and its first record; then each record's key and offset.
+* ``shard-N.idx``: a minimal perfect hash over the distinct keys (levels of bit arrays, ranks for each 512 bits), for each slot
+  the key's 32-bit fingerprint, its first record and their number, and the offset of each record. Keys themselves aren't stored.
 
-A key that was never stored is refused by its fingerprint except with probability 2^-32.
-Files are written under a name of their own and renamed, and hold the same bytes whichever attempt wrote them.
+The manifest holds the least and greatest key of each shard, so a lookup opens one shard, and there goes from slot to record to
+offset; the index is memory-mapped where it lies in a mounted folder. A key that was never stored is refused by the range of keys or by its fingerprint,
+except with probability 2^-32. Files are written under a name of their own and renamed, and hold the same bytes whichever attempt wrote them.
 
 Nulls: a null text is an empty one (its record holds the end id alone); rows without a key come first and are
-found by scanning only. Equal keys are stored one after another in text order; a lookup returns all of them.
+found by scanning only. Equal keys are stored one after another in text order, in one shard; a lookup returns all of them.
 An empty table gives no shard. Other columns are not read.
 """
 
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import scratch
 from .chunk_bpe import encoder
 
-MANIFEST = "shard int, path string, width int, records long, tokens long"
+MANIFEST = "shard int, path string, width int, records long, tokens long, nulls long, lo long, hi long"
+BLOCK = 64  # bytes of a bit array between ranks
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -44,10 +46,9 @@ def mix(keys: np.ndarray, seed: int) -> np.ndarray:
 class PerfectHash:
     """Minimal perfect hash: keys that are alone in a level's bit array stay there, the others go on to the next."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
-        self.sizes, self.bits = sizes, bits
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, ranks: np.ndarray):
+        self.sizes, self.bits, self.ranks = sizes, bits, ranks
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.rank = np.concatenate([[0], np.cumsum(np.unpackbits(bits).astype(np.int64))])
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 2.0) -> PerfectHash:
@@ -60,7 +61,16 @@ class PerfectHash:
             parts.append(alone)
             rest = rest[~alone[at]]
         bits = np.packbits(np.concatenate(parts)) if parts else np.empty(0, np.uint8)
-        return cls(np.asarray(sizes, np.int64), bits)
+        bits = np.pad(bits, (0, -len(bits) % BLOCK))
+        return cls(np.asarray(sizes, np.int64), bits, np.concatenate([[0], np.cumsum(np.bitwise_count(bits.reshape(-1, BLOCK)).sum(axis=1, dtype=np.int64))]))
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many bits are set before each place."""
+        byte = at >> 3
+        block = byte // BLOCK
+        whole = np.bitwise_count(self.bits.reshape(-1, BLOCK)[block]).astype(np.int64)
+        inside = (whole * (np.arange(BLOCK) < (byte % BLOCK)[:, None])).sum(axis=1)
+        return self.ranks[block] + inside + np.bitwise_count(self.bits[byte] >> (8 - (at & 7)).astype(np.uint16)).astype(np.int64)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where every level refuses it; a stored key has a slot of its own."""
@@ -71,7 +81,7 @@ class PerfectHash:
                 break
             at = self.starts[level] + (mix(keys[todo], level) % np.uint64(m)).astype(np.int64)
             hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            out[todo[hit]] = self.rank[at[hit]]
+            out[todo[hit]] = self.rank(at[hit])
             todo = todo[~hit]
         return out
 
@@ -81,23 +91,28 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 def _put(path: str, write) -> None:
-    """Write to a name of this attempt's own, then rename."""
+    """Write to a name of this attempt's own, then rename; where a store won't replace a file, the earlier attempt's equal one stays."""
     store, name = fs.FileSystem.from_uri(path)
     own = f"{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(own) as f:
         write(f)
-    store.move(own, name)
+    try:
+        store.move(own, name)
+    except OSError:
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(own)
 
 
 def _index_bytes(keys: np.ndarray, null: int, lengths: np.ndarray) -> bytes:
-    found, first = np.unique(keys[null:], return_index=True)
+    found, first, count = np.unique(keys[null:], return_index=True, return_counts=True)
     ph = PerfectHash.build(found)
     slot = ph.slots(found)
-    prints, record = np.empty(len(found), np.uint32), np.empty(len(found), np.uint32)
-    prints[slot], record[slot] = fingerprints(found), first + null
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    np.savez(b := io.BytesIO(), sizes=ph.sizes, bits=ph.bits, prints=prints, record=record, keys=keys, null=null, offsets=offsets)
-    return b.getvalue()
+    prints, record, records = (np.empty(len(found), np.uint32) for _ in range(3))
+    prints[slot], record[slot], records[slot] = fingerprints(found), first + null, count
+    parts = [ph.sizes.astype("<i8"), ph.bits, ph.ranks.astype("<i8"), prints.astype("<u4"), record.astype("<u4"), records.astype("<u4"), np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")]
+    raw = [np.asarray([null, *map(len, parts)], "<i8").tobytes(), *(x.tobytes() for x in parts)]
+    return b"".join(x + bytes(-len(x) % 8) for x in raw)
 
 
 class Shard:
@@ -105,42 +120,49 @@ class Shard:
 
     def __init__(self, path: str, width: int):
         self.store, self.name = fs.FileSystem.from_uri(path)
-        with self.store.open_input_file(f"{self.name}.idx") as f:
-            z = np.load(io.BytesIO(f.read()))
-        self.hash = PerfectHash(z["sizes"], z["bits"])
-        self.prints, self.record, self.keys, self.null, self.offsets = z["prints"], z["record"], z["keys"], int(z["null"]), z["offsets"]
-        self.dtype = np.dtype(f"<u{width}")
-
-    def records(self, keys: np.ndarray) -> np.ndarray:
-        """The first record of each key, -1 where its fingerprint isn't the stored one."""
+        if isinstance(self.store, fs.LocalFileSystem):
+            raw = np.memmap(f"{self.name}.idx", np.uint8, "r")
+        else:
+            with self.store.open_input_file(f"{self.name}.idx") as f:
+                raw = np.frombuffer(f.read(), np.uint8)
+        head, at, parts = raw[:64].view("<i8"), 64, []
+        for n, kind in zip(head[1:].tolist(), ("<i8", "u1", "<i8", "<u4", "<u4", "<u4", "<i8"), strict=True):
+            size = n * np.dtype(kind).itemsize
+            parts.append(raw[at : at + size].view(kind))
+            at += size + -size % 8
+        sizes, bits, ranks, self.prints, self.record, self.count, self.offsets = parts
+        self.hash, self.null, self.dtype = PerfectHash(sizes, bits, ranks), int(head[0]), np.dtype(f"<u{width}")
+
+    def records(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first record of each key and how many it has; 0 of them where the key's fingerprint isn't the stored one."""
         slot = self.hash.slots(keys)
         if not len(self.prints):
-            return slot
+            return slot, np.zeros(len(keys), np.int64)
         good = (slot >= 0) & (self.prints[slot] == fingerprints(keys))
-        return np.where(good, self.record[slot], -1).astype(np.int64)
+        return self.record[slot].astype(np.int64), np.where(good, self.count[slot], 0).astype(np.int64)
 
     def lookup(self, key: int) -> list[np.ndarray]:
         """The ids of every record of a key; reads only those bytes."""
-        r = int(self.records(np.asarray([key], np.int64))[0])
-        out = []
-        with self.store.open_input_file(f"{self.name}.ids") as f:
-            while 0 <= r < len(self.keys) and self.keys[r] == key:
-                a, b = self.offsets[r : r + 2].tolist()
-                out.append(np.frombuffer(f.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype))
-                r += 1
-        return out
+        first, n = (int(x[0]) for x in self.records(np.asarray([key], np.int64)))
+        return [np.frombuffer(raw, "<u4") for _, raw in self.read(np.arange(first, first + n))]
 
-    def scan(self, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
-        """Each record's number and its ids as 32-bit little-endian bytes, reading about ``step`` ids at a time."""
-        w, n, r = self.dtype.itemsize, len(self.keys), 0
-        with self.store.open_input_stream(f"{self.name}.ids") as f:
-            while r < n:
-                stop = max(r + 1, int(np.searchsorted(self.offsets, self.offsets[r] + step, "right")) - 1)
-                base = self.offsets[r]
-                raw = np.frombuffer(f.read(int(self.offsets[stop] - base) * w), self.dtype).astype("<u4").tobytes()
-                for i in range(r, stop):
+    def read(self, records: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+        """Each of some ascending records and its ids as 32-bit little-endian bytes; neighbours are read together, about ``step`` ids at a time."""
+        w, at = self.dtype.itemsize, 0
+        with self.store.open_input_file(f"{self.name}.ids") as f:
+            while at < len(records):
+                r, to = int(records[at]), at + 1
+                while to < len(records) and records[to] == records[to - 1] + 1 and self.offsets[records[to] + 1] - self.offsets[r] <= step:
+                    to += 1
+                base, end = int(self.offsets[r]), int(self.offsets[records[to - 1] + 1])
+                raw = np.frombuffer(f.read_at((end - base) * w, base * w), self.dtype).astype("<u4").tobytes()
+                for i in records[at:to].tolist():
                     yield i, raw[4 * int(self.offsets[i] - base) : 4 * int(self.offsets[i + 1] - base)]
-                r = stop
+                at = to
+
+    def scan(self) -> Iterator[tuple[int, bytes]]:
+        """Every record in stored order."""
+        return self.read(np.arange(len(self.offsets) - 1))
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None) -> tuple[str, DataFrame]:
@@ -176,9 +198,10 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
 
         _put(f"{name}.ids", ids)
         n = np.concatenate(lengths)
-        blob = _index_bytes(np.concatenate(keys), null, n)
+        own = np.concatenate(keys)
+        blob = _index_bytes(own, null, n)
         _put(f"{name}.idx", lambda f: f.write(blob))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "path": [name], "width": pa.array([enc.dtype.itemsize], pa.int32()), "records": [len(n)], "tokens": [int(n.sum())]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "path": [name], "width": pa.array([enc.dtype.itemsize], pa.int32()), "records": [len(n)], "tokens": [int(n.sum())], "nulls": [null], "lo": pa.array([int(own[null])] if null < len(own) else [None], pa.int64()), "hi": pa.array([int(own[-1])] if null < len(own) else [None], pa.int64())})
 
     spark_fs_mkdirs(spark, path)
     manifest = rows.mapInArrow(write, MANIFEST)
@@ -205,23 +228,54 @@ def open_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, f"{MANIFEST}, base long")
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """Every record, read back from the files: key, start (ids of all records before), n_tokens, ids_crc32.
+READ = "key long, start long, n_tokens long, ids_crc32 long"
+
+
+def _read(shard: Shard, base: int, key: np.ndarray, record: np.ndarray, null: bool) -> pa.Table:
+    order = np.argsort(record, kind="stable")
+    key, record = key[order], record[order]
+    crc = np.fromiter((zlib.crc32(raw) for _, raw in shard.read(record)), np.int64, len(record))
+    return pa.table({"key": pa.array(key, pa.int64(), mask=np.full(len(key), null)), "start": shard.offsets[record] + base, "n_tokens": shard.offsets[record + 1] - shard.offsets[record], "ids_crc32": crc})
+
 
-    Each key goes through its shard's perfect hash; ``indexed`` says whether that led to the key's first record.
+def fetch(manifest: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """All records of the asked keys, each found through its shard's hash: key, start (ids of all records before), n_tokens, ids_crc32.
+
+    Keys are dealt to shards by the ranges in the manifest (a few numbers for each shard); a shard's keys are looked up together.
     """
+    spark = manifest.sparkSession
+    shards = manifest.where("lo IS NOT NULL").orderBy("lo").select("lo", "hi", "path", "width", "base").toArrow()
+    known = spark.sparkContext.broadcast({c: shards.column(c).to_numpy(zero_copy_only=False) for c in shards.column_names})
+
+    def route(batches):
+        lo, hi = known.value["lo"], known.value["hi"]
+        for b in batches:
+            k = b.column(0).to_numpy()
+            at = np.searchsorted(hi, k)
+            good = (at < len(hi)) & (lo[np.minimum(at, len(lo) - 1)] <= k) if len(hi) else np.zeros(len(k), bool)
+            yield pa.RecordBatch.from_pydict({"at": at[good].astype(np.int32), "key": k[good]})
+
+    def look(group: pa.Table) -> pa.Table:
+        at, asked = group.column("at")[0].as_py(), np.unique(group.column("key").to_numpy())
+        shard = Shard(str(known.value["path"][at]), int(known.value["width"][at]))
+        first, n = shard.records(asked)
+        ends = np.cumsum(n)
+        record = np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return _read(shard, int(known.value["base"][at]), np.repeat(asked, n), record, False)
+
+    asked = keys.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    return asked.mapInArrow(route, "at int, key long").groupBy("at").applyInArrow(look, READ)
+
+
+def without_key(manifest: DataFrame) -> DataFrame:
+    """All records of rows that had no key, by scanning those that come first in a shard; columns of ``fetch``."""
 
     def read(batches):
         for b in batches:
             for row in b.to_pylist():
-                s = Shard(row["path"], row["width"])
-                crc = np.fromiter((zlib.crc32(raw) for _, raw in s.scan()), np.int64, len(s.keys))
-                key = pa.array(s.keys, mask=np.arange(len(s.keys)) < s.null)
-                first = s.records(s.keys)
-                indexed = (first <= np.arange(len(s.keys))) & (s.keys[np.maximum(first, 0)] == s.keys) & (first >= 0)
-                whole = pa.RecordBatch.from_pydict({"key": key, "start": s.offsets[:-1] + row["base"], "n_tokens": np.diff(s.offsets), "ids_crc32": crc, "indexed": indexed})
-                for i in range(0, whole.num_rows, 10_000):
-                    yield whole.slice(i, 10_000)
-
-    n = max(1, manifest.count())
-    return manifest.repartition(n, "shard").mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long, indexed boolean")
+                shard = Shard(row["path"], row["width"])
+                for i in range(0, row["nulls"], 10_000):
+                    r = np.arange(i, min(row["nulls"], i + 10_000))
+                    yield from _read(shard, row["base"], r, r, True).to_batches()
+
+    return manifest.where("nulls > 0").mapInArrow(read, READ)
