@@ -20,6 +20,7 @@ import io
 import json
 import os
 import re
+import shutil
 import tempfile
 import unicodedata
 from collections import Counter
@@ -219,7 +220,7 @@ def compile_lexicon(words: list[bytes], flat: np.ndarray, count: np.ndarray) ->
 class Lexicon:
     """A memory-mapped transducer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path):
         raw = np.memmap(path, "<i8", "r")
         self.root, at, parts = int(raw[0]), 7, []
         for n in raw[1:7].tolist():
@@ -254,16 +255,16 @@ class Lexicon:
 _STATE: dict = {}
 
 
-def mapped(uri: str) -> str:
-    """A local path of a file in the shared folder, fetched once by each worker where that folder isn't a mounted one."""
+def mapped(uri: str):
+    """A file in the shared folder to be memory-mapped; where that folder isn't a mounted one, a nameless copy that goes with its map."""
     if uri.startswith("file:"):
         return re.sub("^file:/*", "/", uri)
-    if uri not in _STATE:
-        store, name = fs.FileSystem.from_uri(uri)
-        with store.open_input_stream(name) as f, tempfile.NamedTemporaryFile(delete=False) as own:
-            own.write(f.read())
-        _STATE[uri] = own.name
-    return _STATE[uri]
+    store, name = fs.FileSystem.from_uri(uri)
+    own = tempfile.TemporaryFile()
+    with store.open_input_stream(name) as f:
+        shutil.copyfileobj(f, own)
+    own.flush()
+    return own
 
 
 class Encoder:
@@ -341,7 +342,10 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, words: int, text: str = "text") -> list[bytes]:
-    """The most frequent normalised words of all texts; at most ``words`` reach the driver."""
+    """The most frequent normalised words of all texts, seen twice or more; at most ``words`` reach the driver.
+
+    The words counted are a table; the lowest level of counts from which all words fit is found first, so that no task sends words that aren't wanted.
+    """
 
     def count(batches):
         m = Merges(vocabulary)
@@ -365,8 +369,17 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int, text: str = "te
             yield flush()
 
     rows = _texts(docs.withColumn("__k", F.lit(0)), "__k", text).select("text").mapInArrow(count, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r.word.encode() for r in top.select("word").collect()]
+    counts = scratch.table(rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word_counts")
+    level = F.floor(F.log2("n") * 16)
+    floor, fits = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
+        fits += r["count"]
+        if fits > words:
+            break
+        floor = r["level"]
+    found = [] if floor is None else counts.where(level >= floor).select("n", "word").collect()
+    scratch.drop(counts)
+    return [w.encode() for _, w in sorted(((r.n, r.word) for r in found), key=lambda x: (-x[0], x[1]))]
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = 60_000, text: str = "text") -> str:
@@ -388,6 +401,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str, key: str = "doc_id",
 
 def _encoder(vocabulary: str, lexicon: str) -> Encoder:
     if (vocabulary, lexicon) not in _STATE:
+        _STATE.clear()  # a worker keeps one
         _STATE[vocabulary, lexicon] = Encoder(vocabulary, lexicon)
     return _STATE[vocabulary, lexicon]
 
