@@ -19,10 +19,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; texts without words stay."""
+    """One row of each group of near copies: the one with the least id, of several with that id the one whose text has the least hash.
+
+    Texts without words are in no group and stay. Of rows with the same id and text one stays.
+    """
     found = ngram_join.join(docs, size=5, num=80, den=100)
-    stay = found.where("n = 0 OR key <=> component").select(F.col("key").alias("__stays")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates(["doc_id", "text"])
+    row = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    first = found.where("n > 0").groupBy("root").agg(F.min(row).alias("first")).select("first.key", "first.hash")
+    stay = first.union(found.where("n = 0").select("key", "hash").distinct()).toDF("__key", "__hash")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    return docs.join(stay, own, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

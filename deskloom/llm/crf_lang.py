@@ -5,7 +5,8 @@ itself (the lexicon), all hashed to one table; learned transitions join neighbou
 each word's probability of each language, so that code-switched texts get labels word by word; a text's language is
 the one with the largest mean probability, and its score is that mean.
 
-Training uses a bounded sample: about ``per_language`` labelled rows of each language, from each at most six short
+Training uses a bounded sample: about ``per_language`` labelled rows of each of the ``most_languages`` commonest languages, drawn row by row
+whatever their keys and texts, from each at most six short
 passages spread over the whole text, spliced into code-switched sequences so that transitions are learned too.
 
 A text that is null or has no letter is ``und`` with score 0; words without letters take no part. With no labelled
@@ -27,7 +28,7 @@ BUCKETS = 1 << 16
 SEGMENT, SEGMENTS = 16, 6
 LONGEST = 64
 _LETTER = re.compile(r"[^\W\d_]")
-_PLAIN = bytes(b for b in range(128) if not chr(b).isalpha())
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def _pieces(run: bytes) -> list[bytes]:
@@ -43,9 +44,9 @@ def _pieces(run: bytes) -> list[bytes]:
 
 
 def words(text: str) -> list[bytes]:
-    """Lower-cased words that have a letter, or a byte beyond ASCII; a longer run without white space is successive words."""
+    """Lower-cased words that have a letter; a longer run without white space is successive words."""
     runs = text.lower().encode("utf-8", "surrogatepass").split()
-    return [w for run in runs for w in ((run,) if len(run) <= LONGEST else _pieces(run)) if w.strip(_PLAIN)]
+    return [w for run in runs for w in ((run,) if len(run) <= LONGEST else _pieces(run)) if _ASCII_LETTER.search(w) or (not w.isascii() and _LETTER.search(w.decode("utf-8", "replace")))]
 
 
 def has_letter(text: str | None) -> bool:
@@ -210,15 +211,16 @@ class Tagger:
         return np.split(q, np.cumsum(lengths)[:-1])
 
 
-def fit(docs: DataFrame, train_on: Column, lang: str = "lang", key: str = "doc_id", text: str = "text", per_language: int = 400) -> Model:
+def fit(docs: DataFrame, train_on: Column, lang: str = "lang", key: str = "doc_id", text: str = "text", per_language: int = 400, most_languages: int = 500) -> Model:
     """Train on the rows where ``train_on`` holds and ``lang`` isn't null; about ``per_language`` rows of each language."""
     good = docs.where(train_on & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = {r[0]: min(1.0, per_language / r[1]) for r in good.groupBy(F.col(lang)).count().collect()}
+    known = good.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(most_languages)
+    share = {r[0]: min(1.0, per_language / r[1]) for r in known.collect()}
     if not share:
         return train([])
     part = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col(lang)]
-    drawn = (F.pmod(F.xxhash64(key), F.lit(1 << 20)) / (1 << 20)) < part
-    rows = good.where(drawn).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(key).alias("at"))
+    drawn = F.rand(5) < part
+    rows = good.where(drawn).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(key, text).alias("at"))
 
     def passages(batches):
         for b in batches:

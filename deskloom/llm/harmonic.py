@@ -5,8 +5,9 @@ pieces. A piece that would leave its bins emptier than ``slack`` is first cut: c
 whose bins they fill, and the rest is classed anew. Classes are so narrow that a bin's padding is at most ``slack``.
 
 Workers number the pieces of each class on their own; only the counts of (worker, class) meet, and give each
-worker the first number of each of its classes. The bins left short, one in a class, are repacked together by
-first fit, largest piece first: at most capacity/2 classes, whatever the input's size.
+worker the first number of each of its classes. A class leaves at most k-1 pieces over, too few for a bin; those of all classes are repacked
+together by first fit, largest piece first. That is one task whatever the input's size: below one bin's ids for each class that ``cuts`` can give,
+so fewer than capacity^2/2 pieces, and in practice some hundreds of bins (classes of very short pieces are rare).
 
 Nulls: a null text is an empty one, and gives one piece with the end id alone. Rows with equal ids stay separate
 documents. An empty table gives no piece. Other columns are not read.

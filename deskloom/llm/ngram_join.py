@@ -126,20 +126,20 @@ def signatures(grams: np.ndarray, bands: Bands) -> list[tuple[int, int, np.ndarr
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
 
 
 def _each(batches):
     for b in batches:
         for i in range(0, b.num_rows, 1000):
-            yield b.slice(i, 1000).column("key"), b.slice(i, 1000).column("text").to_pylist()
+            yield b.slice(i, 1000), b.slice(i, 1000).column("text").to_pylist()
 
 
 def _sets(rows: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """key, n, node and, for bands of either parity, how many signatures a link needs (0: the set isn't in such a band)."""
+    """key, hash (of the text), n, node and, for bands of either parity, how many signatures a link needs (0: the set isn't in such a band)."""
 
     def run(batches):
-        for keys, texts in _each(batches):
+        for rows, texts in _each(batches):
             n, node, need = [], [], np.zeros((2, len(texts)), np.int64)
             for i, t in enumerate(texts):
                 g = ngrams(t, size)
@@ -147,9 +147,9 @@ def _sets(rows: DataFrame, size: int, bands: Bands) -> DataFrame:
                 node.append(node_of(g))
                 for parity, least, _ in signatures(g, bands) if len(g) else ():
                     need[parity, i] = least
-            yield pa.RecordBatch.from_pydict({"key": keys, "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "need_0": need[0], "need_1": need[1]})
+            yield pa.RecordBatch.from_pydict({"key": rows.column("key"), "hash": rows.column("hash"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "need_0": need[0], "need_1": need[1]})
 
-    return rows.mapInArrow(run, "key long, n long, node long, need_0 long, need_1 long")
+    return rows.mapInArrow(run, "key long, hash long, n long, node long, need_0 long, need_1 long")
 
 
 def _tile(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
@@ -415,7 +415,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block_rows: int = 2048) -> DataFrame:
-    """key, n (set size) and component (the least key that links lead to) of every row."""
+    """key, n (set size), component (the least key that links lead to), root (one for each component) and hash (of the text) of every row."""
     bands = Bands(Bound(num, den))
     rows = _rows(docs, key, text)
     sets = scratch.table(_sets(rows, size, bands), "set_sizes")
@@ -424,5 +424,5 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, key: str
     found = components(links(nodes, rows, size, bands, block_rows))
     least = nodes.select("node", "key").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = least.groupBy("root").agg(F.min("key").alias("component"))
-    of = least.join(ids, "root").select("node", "component")
-    return sets.join(of, "node", "left").select("key", "n", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component")).alias("component"))
+    of = least.join(ids, "root").select("node", "root", "component")
+    return sets.join(of, "node", "left").select("key", "n", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component")).alias("component"), "root", "hash")
