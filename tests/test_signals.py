@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskloom.functions import signals as S
-from deskloom.operators.tickets import signal_columns
+from deskloom.operators import tickets as T
 from deskloom.sources.adapter import INBOUND, PHRASES
 
 
@@ -52,7 +52,9 @@ def test_labels_of_the_phrase_book(spark):
     rows = [(k, p) for k, ps in PHRASES.items() for p in ps]
     df = spark.createDataFrame([(i, "in" if k in INBOUND else "out", p[0]) for i, (k, p) in enumerate(rows)], "source_id long, direction string, txt string")
     df = df.selectExpr("*", "'c' AS client", "'a' AS author", "'r' AS recipient", "timestamp_ntz'2024-01-01 10:00:00' AS created_at")
-    got = {r.source_id: r for r in signal_columns(df).collect()}
+    got = {r.source_id: r for r in T.signal_columns(df).collect()}
+    bits = (T.ACK, T.PURE, T.THANKS, T.FRESH, T.MARKER, T.PROGRESS, T.ASKS)
     for i, (_, p) in enumerate(rows):
         r = got[i]
-        assert (r["rank"], *(int(r[c]) for c in ("ack", "pure", "thanks", "fresh", "marker", "progress", "substantive")), r.closes) == p[1:], p[0]
+        closes = "closed" if r.said & T.CLOSES else "rejected" if r.said & T.REJECTS else None
+        assert (r["rank"], *(int(bool(r.said & b)) for b in bits), closes) == p[1:], p[0]

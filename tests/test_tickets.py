@@ -1,4 +1,6 @@
-from datetime import datetime
+import pickle
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -81,19 +83,36 @@ def signals(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 4000), st.integers(0, 1), st.integers(0, 6)), min_size=1, max_size=40), st.integers(0, 40))
 def test_restart_changes_nothing(signals, steps, cut):
-    """A fold cut in two, with the state kept between, gives the same tickets; every inbound message is in at most one ticket."""
+    """Places found with the state pickled and read again at any message are the same; an inbound message is in at most one ticket."""
     rows, minute = [], 0
     for i, (gap, side, x) in enumerate(steps):
         minute += gap
         day, m = divmod(minute, 1440)
         week, weekday = divmod(day, 7)
         b = week * 180_000 + min(weekday, 5) * 36_000 + (0 if weekday >= 5 else min(max(m * 60, 28_800), 64_800) - 28_800)
-        rows.append(signals[f"{side}{PHRASES[side][x % len(PHRASES[side])]}"] | {"source_id": i, "client": "u", "at": minute * 60, "b": b})
-    whole, state, made = list(T.fold(iter([dict(r) for r in rows]))), T.Client(), []
-    for r in rows[:cut]:
-        state.step(dict(r), made)
-    for r in rows[cut:]:
-        state.step(dict(r), made)
-    assert sorted((t["id"], t["status"], t["messages_in"], t["replies"]) for t in whole) == sorted((t["id"], t["status"], t["messages_in"], t["replies"]) for t in made)
-    assert sum(t["messages_in"] for t in whole) <= sum(r["inbound"] for r in rows)
-    assert sum(t["status"] == "open" for t in whole) <= 1
+        r = signals[f"{side}{PHRASES[side][x % len(PHRASES[side])]}"]
+        rows.append((i, minute * 60, b, r["rank"], r["said"]))
+    whole, state = T.Places(), T.Places()
+    want, got = [whole.place(*r) for r in rows], []
+    for i, r in enumerate(rows):
+        state = pickle.loads(pickle.dumps(state)) if i == cut else state
+        got.append(state.place(*r))
+    assert got == want
+    for r, places in zip(rows, want):
+        assert len({t for t, p, *_ in places if p <= T.RESUMES}) <= (r[4] & T.IN)
+    opened = [t for places in want for t, p, *_ in places if p == T.OPENS]
+    assert len(opened) == len(set(opened)) and all(t in opened for places in want for t, *_ in places)
+
+
+def test_tasks_and_order_of_input_change_nothing(spark):
+    r = random.Random(1)
+    rows = []
+    for i in range(400):
+        side = r.random() < 0.5
+        client, text = f"u{r.randrange(6)}", r.choice(PHRASES[0 if side else 1])
+        rows.append((i, client, client if side else "help", "help" if side else client, "in" if side else "out", text, DAY + timedelta(minutes=20 * i)))
+    df = spark.createDataFrame(rows, M)
+    one = sorted(map(repr, T.gathered(T.placed(T.signal_columns(df), 1)).collect()))
+    assert len(one) > 30
+    r.shuffle(rows)
+    assert sorted(map(repr, T.gathered(T.placed(T.signal_columns(spark.createDataFrame(rows, M).repartition(7)), 5)).collect())) == one
