@@ -13,11 +13,12 @@ import re
 
 import numpy as np
 
+from .held import held
+
 SPACE = "\t-\r \x85\xa0  -     　"  # fixed values: Unicode White_Space
 _FAST = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _SURE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python's \s alone
-_STATE: dict = {}
 
 
 def chunks(text: str) -> list[str]:
@@ -38,7 +39,7 @@ class _Seen(dict):
 class ChunkEncoder:
     """Encodes lists of texts to one flat id array plus a length per text."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,7 +117,7 @@ class ChunkEncoder:
                 continue
             run.append(i)
             size += len(t)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 self._flush(texts, run, out, lengths)
                 run, size = [], 0
         self._flush(texts, run, out, lengths)
@@ -148,6 +149,4 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each worker process and vocabulary file."""
-    if path not in _STATE:
-        _STATE[path] = ChunkEncoder(path)
-    return _STATE[path]
+    return held(("chunks", path), lambda: ChunkEncoder(path))

@@ -24,6 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .held import held
+
 BUCKETS = 1 << 16
 SEGMENT, SEGMENTS = 16, 6
 LONGEST = 64
@@ -180,7 +182,7 @@ def train(passages: list[tuple[str, list[bytes]]], rounds: int = 6, seed: int =
 class Tagger:
     """Word probabilities of whole texts; remembers the scores of a bounded number of words."""
 
-    def __init__(self, model: Model, keep: int = 500_000):
+    def __init__(self, model: Model, keep: int = 300_000):
         self.model, self.keep = model, keep
         self.reset()
 
@@ -238,9 +240,6 @@ def fit(docs: DataFrame, train_on: Column, lang: str = "lang", key: str = "doc_i
     return train([(r.lang, [w.encode() for w in r.words]) for r in sorted(found, key=lambda r: (r.at, r.i, r.lang, r.words))])
 
 
-_TAGGERS: dict = {}
-
-
 class _Shared:
     """A model on its way to the workers: about a megabyte of weights."""
 
@@ -249,15 +248,13 @@ class _Shared:
 
 
 def _tagged(batches, shared: _Shared):
-    if _TAGGERS.get("name") != shared.name:
-        _TAGGERS.update(name=shared.name, tagger=Tagger(shared.sent.value))
-    tagger = _TAGGERS["tagger"]
+    tagger = held(("tagger", shared.name), lambda: Tagger(shared.sent.value))
     for b in batches:
         at, size = 0, 0
         lengths = b.column("text").to_pylist()
         for i, t in enumerate(lengths):
             size += len(t or "")
-            if size > 3_000_000 or i + 1 == len(lengths):
+            if size > 1_000_000 or i + 1 == len(lengths):
                 texts = lengths[at : i + 1]
                 ws = [words(t) if has_letter(t) else [] for t in texts]
                 yield b.column("key").slice(at, i + 1 - at), ws, tagger.tag(ws)

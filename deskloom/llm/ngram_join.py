@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import scratch
+from .held import release
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -130,6 +131,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _each(batches):
+    release()
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             yield b.slice(i, 1000), b.slice(i, 1000).column("text").to_pylist()
@@ -206,7 +208,7 @@ def _blocks(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return scratch.table(found.union(found.select("block", "block").distinct()), "blocks", held)
 
 
-def product(sets: list[np.ndarray], bound: Bound, most: int = 4_000_000) -> np.ndarray:
+def product(sets: list[np.ndarray], bound: Bound, most: int = 1_000_000) -> np.ndarray:
     """For each row of a block the least row that links lead to: the block's sparse product with itself.
 
     Rows are seen from the n-grams that most of them have. A tile of the rows that aren't connected by their slack is multiplied with all, over
@@ -265,6 +267,7 @@ def _in_blocks(found: DataFrame, bound: Bound) -> DataFrame:
     """Links (a, b) within small blocks, as stars."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
         least = product([np.frombuffer(x, np.uint64) for x in pdf["grams"]], bound)
         node = pdf["node"].to_numpy()

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
 from .chunk_bpe import _ODD, SPACE
+from .held import held
 
 _RUN = re.compile(f"[^{SPACE}]+")
 NONE = np.int64(1 << 40)
@@ -252,9 +253,6 @@ class Lexicon:
         return out
 
 
-_STATE: dict = {}
-
-
 def mapped(uri: str):
     """A file in the shared folder to be memory-mapped; where that folder isn't a mounted one, a nameless copy that goes with its map."""
     if uri.startswith("file:"):
@@ -400,10 +398,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str, key: str = "doc_id",
 
 
 def _encoder(vocabulary: str, lexicon: str) -> Encoder:
-    if (vocabulary, lexicon) not in _STATE:
-        _STATE.clear()  # a worker keeps one
-        _STATE[vocabulary, lexicon] = Encoder(vocabulary, lexicon)
-    return _STATE[vocabulary, lexicon]
+    return held(("transducer", vocabulary, lexicon), lambda: Encoder(vocabulary, lexicon))
 
 
 def _slices(batches, step: int = 300):
