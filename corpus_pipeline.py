@@ -26,9 +26,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngram_join.join(docs, size=5, num=80, den=100)
     row = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
     first = found.where("n > 0").groupBy("root").agg(F.min(row).alias("first")).select("first.key", "first.hash")
-    stay = first.union(found.where("n = 0").select("key", "hash").distinct()).toDF("__key", "__hash")
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    return docs.join(stay, own, "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = first.union(found.where("n = 0").select("key", "hash").distinct())
+    named = lambda df, key, text_hash: df.withColumns({"__none": key.isNull(), "__key": F.coalesce(key, F.lit(0)), "__hash": text_hash})
+    on = ["__none", "__key", "__hash"]  # texts move once, for the join and for repeated rows
+    own = named(docs, F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    return own.join(named(stay, F.col("key"), F.col("hash")).select(on), on, "left_semi").dropDuplicates(on).drop(*on)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

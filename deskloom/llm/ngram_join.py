@@ -8,7 +8,7 @@ Blocks. Sizes fall in bands, so that sets that link are in one band or in two th
 difference H of two sets in it that link, and deals n-grams into H + s cells by hash. A difference of H n-grams spoils at most H cells,
 so sets that link agree in s cells at least. The signature of a cell is the hash of all n-grams in it: unlike documents
 with a passage in common hardly ever share one. A document with fewer than s signatures that others have too (empty cells
-counted for it) has no link and is left out; signatures that are left connect the others into blocks. So no order of n-grams,
+counted for it) has no link and is left out; so is a pair whose common signatures, added up over all of them, are too few. What is left connects documents into blocks. So no order of n-grams,
 no sample and no limit decides what is found.
 
 Products. Each block is multiplied with itself: rows are its documents, columns its n-grams. n-grams that most rows have
@@ -197,15 +197,30 @@ def _shared(rows: DataFrame, size: int, bands: Bands, tile: int = 500_000) -> Da
     return found.where("place <> 0 OR lo < hi").select("sig", "node")
 
 
-def _blocks(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, block) of all nodes that have enough signatures in common with others; a block holds all links of its nodes."""
+def _blocks(shared: DataFrame, nodes: DataFrame, pair_rows: int = 8) -> DataFrame:
+    """(node, block) of all nodes that may have a link; a block holds all links of its nodes.
+
+    Signatures that up to ``pair_rows`` nodes have are counted by pair: a pair stays if that count, and all signatures of more nodes
+    that both may share, reach what either needs. A pair without any such signature has enough of the others, which star around their least node.
+    """
     needs = nodes.select("node", F.posexplode(F.array("need_0", "need_1")).alias("parity", "need"))
     each = shared.groupBy("node", F.expr("CAST(sig & 1 AS int)").alias("parity")).agg(F.collect_set("sig").alias("sigs"))  # no more than a text has n-grams
-    held = scratch.table(each.join(needs, ["node", "parity"]).where(F.size("sigs") >= F.col("need")).select("node", "sigs"), "signed")
-    cells = held.select("node", F.explode("sigs").alias("sig"))
-    least = cells.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig", "lo")
-    found = components(cells.join(least, "sig").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()).toDF("node", "block")
-    return scratch.table(found.union(found.select("block", "block").distinct()), "blocks", held)
+    held = scratch.table(each.join(needs, ["node", "parity"]).where(F.size("sigs") >= F.col("need")).select("node", "parity", "need", "sigs"), "signed")
+    cells = held.select("node", "parity", "need", F.explode("sigs").alias("sig"))
+    sizes = cells.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    cells = scratch.table(cells.join(sizes, "sig").withColumn("wide", F.col("c") > pair_rows).drop("c"), "cells")
+    wide = cells.where("wide").groupBy("node", "parity").agg(F.count("*").alias("n_wide"))
+    about = held.select("node", "parity", "need").join(wide, ["node", "parity"], "left").fillna(0, ["n_wide"])
+    one, two = (cells.where("NOT wide").select("sig", "parity", F.col("node").alias(x)) for x in ("a", "b"))
+    met = one.join(two.drop("parity"), "sig").where("a < b").groupBy("a", "b", "parity").agg(F.count("*").alias("met"))
+    for x in ("a", "b"):
+        met = met.join(about.select(F.col("node").alias(x), "parity", F.col("need").alias(f"need_{x}"), F.col("n_wide").alias(f"wide_{x}")), [x, "parity"])
+    near = met.where("met + least(wide_a, wide_b) >= greatest(need_a, need_b)").select("a", "b")
+    stars = cells.where("wide").join(about.where("n_wide >= need").select("node", "parity"), ["node", "parity"]).select("sig", "node")
+    least = stars.groupBy("sig").agg(F.min("node").alias("b"))
+    stars = stars.join(least, "sig").where("node <> b").select(F.col("node").alias("a"), "b")
+    found = components(near.union(stars).distinct()).toDF("node", "block")
+    return scratch.table(found.union(found.select("block", "block").distinct()), "blocks", held, cells)
 
 
 def product(sets: list[np.ndarray], bound: Bound, most: int = 1_000_000) -> np.ndarray:
