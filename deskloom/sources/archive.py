@@ -5,7 +5,7 @@ archive: id, username (owner of the copy), peer, bare_peer, txt, created_at, tim
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.signals import strip
 
@@ -13,15 +13,37 @@ OPERATOR_PREFIX, PAIR_MICROS = "help", 1_000_000  # fixed values
 
 
 def local_part(jid: Column) -> Column:
-    return F.substring_index(jid, "@", 1)
+    """The name before the host. Names of accounts don't differ by case, so they are kept in lower case from here on."""
+    return F.lower(F.substring_index(jid, "@", 1))
 
 
 def stanza_id(xml: Column) -> Column:
     """The text after the first bytes 0B 06 and a length; null if the length is 0 or goes past the end."""
-    rest = F.regexp_extract(F.hex(xml), "^(?:[0-9A-F]{2})*?0B06([0-9A-F]{2,})$", 1)
-    size = F.conv(F.substring(rest, 1, 2), 16, 10).cast("int")
-    good = (size > 0) & (F.length(rest) >= 2 + 2 * size)
-    return F.when(good, F.decode(F.unhex(rest.substr(F.lit(3), 2 * size)), "UTF-8"))
+    raw = F.decode(xml, "ISO-8859-1")  # one character for each byte
+    at = F.locate("\x0b\x06", raw)
+    size = F.ascii(raw.substr(at + 2, F.lit(1)))
+    good = (at > 0) & (size > 0) & (F.length(raw) >= at + 2 + size)
+    return F.when(good, F.decode(F.encode(raw.substr(at + 3, size), "ISO-8859-1"), "UTF-8"))
+
+
+def to_business_time(t: Column, source_zone: str | None, business_zone: str | None) -> Column:
+    """A wall-clock time of the source's zone as the wall-clock time of the zone that working hours are in; both zones or neither."""
+    if (source_zone is None) != (business_zone is None):
+        raise ValueError("source_zone and business_zone go together")
+    return t if source_zone is None else F.convert_timezone(F.lit(source_zone), F.lit(business_zone), t)
+
+
+def iso_time(t: Column) -> Column:
+    """The shortest ISO form of a time: no seconds if they are 0, a fraction of three or six digits only if there is one."""
+    micros = F.unix_micros(t.cast("timestamp")) % 1_000_000
+    fraction = F.when(micros == 0, "").when(micros % 1000 == 0, F.date_format(t, ".SSS")).otherwise(F.date_format(t, ".SSSSSS"))
+    seconds = F.when((F.second(t) == 0) & (micros == 0), "").otherwise(F.concat(F.date_format(t, ":ss"), fraction))
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm"), seconds)
+
+
+def dedup_hash(client: Column, identity: Column, txt: Column) -> Column:
+    """What tells a message: its client, its stanza or else its time, and its text; not its author."""
+    return F.unhex(F.sha1(F.concat(client, F.lit("\0"), identity, F.lit("\0"), txt)))
 
 
 def erlang_groups(term: Column) -> Column:
@@ -31,7 +53,16 @@ def erlang_groups(term: Column) -> Column:
     return F.filter(names, lambda g: ~F.lower(g).startswith("help") & (F.lower(g) != "all"))
 
 
-def normalized(archive: DataFrame) -> DataFrame:
+def archive_rows(spark: SparkSession, url: str, table: str = "archive", above: int = -1, to: int | None = None, tasks: int = 8, **options: str) -> DataFrame:
+    """The archive's rows with texts over JDBC, in ``tasks`` ranges of ids above a watermark."""
+    source = spark.read.format("jdbc").options(url=url, **options)
+    if to is None:
+        to = source.option("query", f"SELECT MAX(id) AS top FROM {table}").load().first()[0]
+    where = f"(SELECT * FROM {table} WHERE id > {above} AND txt IS NOT NULL) AS a"
+    return source.options(dbtable=where, partitionColumn="id", lowerBound=above + 1, upperBound=max(above + 2, (to or 0) + 1), numPartitions=tasks).load()
+
+
+def normalized(archive: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:
     """source_id, client, author, recipient, direction, txt, created_at, dedup_hash.
 
     Copies of one stanza are taken in id order: equal texts less than a second apart are a pair, written by the
@@ -39,6 +70,7 @@ def normalized(archive: DataFrame) -> DataFrame:
     A row left over was written by its owner, unless its peer has a resource.
     """
     rows = archive.where("txt IS NOT NULL").withColumn("txt", strip(F.col("txt"))).where("txt <> ''").withColumn("stanza", stanza_id(F.col("xml")))
+    rows = rows.withColumn("created_at", to_business_time(F.col("created_at"), source_zone, business_zone))
     alone = rows.where("stanza IS NULL").withColumn("nth", F.lit(1)).withColumn("paired", F.lit(False))
     w = Window.partitionBy("stanza").orderBy("id")
     match = (F.lag("txt").over(w) == F.col("txt")) & (F.col("timestamp") - F.lag("timestamp").over(w) < PAIR_MICROS)
@@ -52,16 +84,25 @@ def normalized(archive: DataFrame) -> DataFrame:
     kept = kept.withColumn("author", author).withColumn("recipient", F.when(F.col("author") == owner, peer).otherwise(owner))
     from_desk, to_desk = (F.col(c).startswith(OPERATOR_PREFIX) for c in ("author", "recipient"))
     kept = kept.where(from_desk != to_desk).withColumn("client", F.when(from_desk, F.col("recipient")).otherwise(F.col("author")))
-    identity = F.coalesce("stanza", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
-    digest = F.sha1(F.concat_ws("\0", "client", identity, "txt"))
-    out = kept.select(F.col("id").alias("source_id"), "client", "author", "recipient", F.when(from_desk, "out").otherwise("in").alias("direction"), "txt", "created_at", digest.alias("dedup_hash"))
+    digest = dedup_hash(F.col("client"), F.coalesce("stanza", iso_time(F.col("created_at"))), F.col("txt"))
+    out = kept.select(
+        F.col("id").alias("source_id"),
+        "client",
+        "author",
+        "recipient",
+        F.when(from_desk, "out").otherwise("in").alias("direction"),
+        "txt",
+        "created_at",
+        digest.alias("dedup_hash"),
+    )
     first = out.groupBy("dedup_hash").agg(F.min(F.struct(*out.columns)).alias("first"))
     return first.select("first.*")
 
 
-def memberships(users: DataFrame, last: DataFrame) -> DataFrame:
-    """client, grp, last_seen_at from (jid, grp) and (username, seconds)."""
-    seen = last.select(F.col("username").alias("client"), F.timestamp_seconds("seconds").cast("timestamp_ntz").alias("last_seen_at"))
+def memberships(users: DataFrame, last: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:
+    """client, grp, last_seen_at from (jid, grp) and (username, seconds since 1970); times are those of the zones, else UTC."""
+    utc = F.convert_timezone(F.lit("UTC"), F.lit(source_zone or "UTC"), F.timestamp_seconds("seconds").cast("timestamp_ntz"))
+    seen = last.select(F.lower("username").alias("client"), to_business_time(utc, source_zone, business_zone).alias("last_seen_at"))
     return users.select(local_part(F.col("jid")).alias("client"), "grp").distinct().join(seen, "client", "left")
 
 

@@ -1,56 +1,159 @@
-"""Tables in versions: a rebuild writes a new version beside the old one, and a pointer file then names it.
+"""Tables in versions: each commit adds folders beside those there are, and one numbered log file then names what belongs to the new version.
 
-Paths may be in any store that Spark and Arrow reach. Readers follow the pointer, and see one version or the other.
+A log file is made only if none of that number is there, so of two writers that start from one version the second fails and
+changes nothing. Readers follow the last log file, and see one version or the other. Paths may be in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
+import calendar
 import json
 import uuid
+from collections.abc import Iterable
+from datetime import date, timedelta
 
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+class ConcurrentCommit(Exception):
+    """Another writer has committed since this one read the state."""
 
 
 class Store:
-    def __init__(self, spark: SparkSession, uri: str):
-        self.spark, self.uri = spark, uri.rstrip("/")
-        self.files, self.path = fs.FileSystem.from_uri(self.uri)
-        self.files.create_dir(self.path, recursive=True)
+    """``buckets`` divide tables that have a client: what a commit touches is rewritten by bucket, the rest stays where it is."""
+
+    def __init__(self, spark: SparkSession, uri: str, buckets: int = 64, keep: int = 3):
+        self.spark, self.uri, self.buckets, self.keep = spark, uri.rstrip("/"), buckets, keep
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = lambda name: hadoop.Path(f"{self.uri}/{name}")
+        self._files = hadoop.Path(self.uri).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._path("log"))
+
+    def _versions(self) -> list[int]:
+        return sorted(int(f.getPath().getName()[:-5]) for f in self._files.listStatus(self._path("log")) if f.getPath().getName().endswith(".json"))
+
+    def _read(self, version: int) -> dict:
+        text = self.spark.read.text(f"{self.uri}/log/{version:012d}.json", wholetext=True).first()[0]
+        return json.loads(text)
 
     def state(self) -> dict:
-        """version and watermark; nothing yet is version null, watermark -1."""
-        if self.files.get_file_info(f"{self.path}/CURRENT").type == fs.FileType.NotFound:
-            return {"version": None, "watermark": -1}
-        with self.files.open_input_stream(f"{self.path}/CURRENT") as f:
-            return json.loads(f.read())
-
-    def commit(self, tables: dict[str, DataFrame], watermark: int) -> dict:
-        """Write all tables as a new version and point to it; a failure before the last step leaves the old one."""
-        state = {"version": uuid.uuid4().hex, "watermark": watermark}
-        for name, df in tables.items():
-            df.write.parquet(f"{self.uri}/{state['version']}/{name}")
-        own = f"{self.path}/CURRENT.{state['version']}"
-        with self.files.open_output_stream(own) as f:
-            f.write(json.dumps(state).encode())
-        self.files.move(own, f"{self.path}/CURRENT")
+        """version, watermark, schemas and the folders of each table; before the first commit version 0, watermark -1."""
+        found = self._versions()
+        return self._read(found[-1]) if found else {"version": 0, "watermark": -1, "tables": {}, "schemas": {}}
+
+    def bucket(self, client: Column) -> Column:
+        return F.pmod(F.xxhash64(client), F.lit(self.buckets)).cast("int")
+
+    def commit(self, base: dict, watermark: int, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, rewrite: dict[str, tuple[DataFrame, Iterable[int]]] | None = None) -> dict:
+        """A new version after ``base``: tables replaced as a whole, appended to, or rewritten in the given buckets.
+
+        A failure before the log file is there leaves the old version.
+        """
+        state = {"version": base["version"] + 1, "watermark": watermark, "tables": {k: list(v) for k, v in base["tables"].items()}, "schemas": dict(base["schemas"])}
+        own = uuid.uuid4().hex
+
+        def put(name: str, df: DataFrame) -> str:
+            at = f"{name}/{own}"
+            named = df.withColumn("bucket", self.bucket(F.col("client"))) if "client" in df.columns else df.withColumn("bucket", F.lit(0))
+            named.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.uri}/{at}")
+            state["schemas"][name] = df.schema.jsonValue()
+            return at
+
+        for name, df in (replace or {}).items():
+            state["tables"][name] = [[put(name, df), None]]
+        for name, df in (append or {}).items():
+            state["tables"][name] = [*state["tables"].get(name, []), [put(name, df), None]]
+        for name, (df, buckets) in (rewrite or {}).items():
+            gone = set(buckets)
+            old = [[at, sorted(set(range(self.buckets) if held is None else held) - gone)] for at, held in state["tables"].get(name, [])]
+            state["tables"][name] = [x for x in old if x[1]] + [[put(name, df), sorted(gone)]]
+        self._log(state)
+        self._sweep()
         return state
 
-    def table(self, name: str) -> DataFrame | None:
-        version = self.state()["version"]
-        return None if version is None else self.spark.read.parquet(f"{self.uri}/{version}/{name}")
+    def _log(self, state: dict) -> None:
+        try:
+            out = self._files.create(self._path(f"log/{state['version']:012d}.json"), False)
+        except PySparkException as e:
+            raise ConcurrentCommit(state["version"]) from e
+        except Exception as e:  # py4j's own error where Spark doesn't translate it
+            if "exist" in str(e).lower():
+                raise ConcurrentCommit(state["version"]) from e
+            raise
+        out.write(json.dumps(state).encode())
+        out.close()
+
+    def _sweep(self) -> None:
+        """Delete log files but the last ``keep``, and folders that none of those names."""
+        versions = self._versions()
+        old, kept = versions[: -self.keep], versions[-self.keep :]
+        if not old:
+            return
+        named = {at for v in kept for parts in self._read(v)["tables"].values() for at, _ in parts}
+        for v in old:
+            gone = {at for parts in self._read(v)["tables"].values() for at, _ in parts} - named
+            for at in gone:
+                self._files.delete(self._path(at), True)
+            self._files.delete(self._path(f"log/{v:012d}.json"), False)
+
+    def table(self, name: str, state: dict | None = None, buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """A table of a version, the last one unless given; only some buckets if asked."""
+        from pyspark.sql.types import IntegerType, StructField, StructType
 
+        state = state or self.state()
+        if name not in state["tables"]:
+            return None
+        schema, out = StructType.fromJson(state["schemas"][name]), None
+        for at, held in state["tables"][name]:
+            wanted = held if buckets is None else sorted(set(buckets) & set(range(self.buckets) if held is None else held))
+            part = self.spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(f"{self.uri}/{at}")
+            part = part if wanted is None else part.where(F.col("bucket").isin(wanted))
+            out = part if out is None else out.unionByName(part)
+        return out.drop("bucket")
 
-def write_sheets(sheets: dict[str, DataFrame], uri: str) -> list[str]:
-    """Each frame as a folder of CSV files named like a workbook's sheet; names are made safe and distinct."""
+    def parts(self, name: str) -> int:
+        return len(self.state()["tables"].get(name, []))
+
+    def compact(self, name: str) -> dict:
+        """Rewrite a table that many commits have added to as one folder."""
+        base = self.state()
+        return self.commit(base, base["watermark"], replace={name: self.table(name, base)})
+
+
+def monthly_ranges(start: date, end: date) -> list[tuple[date, date]]:
+    """The calendar months of a period, both ends inclusive; the first and the last may be partial."""
+    out = []
+    while start <= end:
+        last = min(end, start.replace(day=calendar.monthrange(start.year, start.month)[1]))
+        out.append((start, last))
+        start = last + timedelta(days=1)
+    return out
+
+
+Sections = list[tuple[str, DataFrame]]
+
+
+def write_sheets(sheets: dict[str, DataFrame | Sections], uri: str) -> list[str]:
+    """Each frame as a folder of CSV files named like a workbook's sheet; names are made safe and distinct.
+
+    A sheet of titled sections is a folder with one folder for each, numbered in order.
+    """
     made: list[str] = []
-    for name, df in sheets.items():
+    for name, content in sheets.items():
         safe = sheet_name(name, made)
         made.append(safe)
-        df.write.mode("overwrite").option("header", True).csv(f"{uri.rstrip('/')}/{safe}")
+        parts = [("", content)] if isinstance(content, DataFrame) else [(f"/{i:02d} {sheet_name(title, [])}", df) for i, (title, df) in enumerate(content, 1)]
+        for tail, df in parts:
+            df.write.mode("overwrite").option("header", True).csv(f"{uri.rstrip('/')}/{safe}{tail}")
     return made
 
 
+def write_json(df: DataFrame, uri: str) -> None:
+    """Records as lines of JSON; nulls are written too."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(uri)
+
+
 def sheet_name(name: str, taken: list[str], longest: int = 31) -> str:
     """Without characters that sheets forbid, at most 31 long, and unlike the others whatever the case."""
     base = "".join("_" if c in "[]:*?/\\" else c for c in name).strip("'")[:longest] or "Sheet"

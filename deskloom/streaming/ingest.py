@@ -1,56 +1,90 @@
 """Incremental ingest: new archive rows become messages, and the tickets of the clients they touch are folded anew.
 
-Rebuilding a touched client from its whole history gives the same tickets however rows were cut into batches, also
-for rows that come late. Rows seen before are known by their hash, so a batch that is read twice changes nothing.
+The result doesn't depend on where rows are cut into batches. Copies of a message lie less than a second apart, so a batch holds back
+every stanza with a row of its last two seconds; those rows wait in a table of their own until later rows have come, or until
+``settle`` says that none will. Rows seen before are known by their hash, so a batch that is read twice changes nothing.
+
+A batch writes what it touches: its messages are added, tickets are rewritten in the buckets of its clients, and only
+those buckets are read. Rebuilding a client from its whole history also takes rows that come late.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.tickets import tickets
-from ..sources.archive import normalized
+from ..sources.archive import normalized, stanza_id
 from ..sources.store import Store
 
+WAIT_MICROS = 2_000_000  # twice what may lie between the copies of a pair
+MOST_PARTS = 200
 
-def ingest(store: Store, batch: DataFrame) -> dict:
-    """Apply a batch of archive rows and return the new state.
 
-    Copies that wait for their twin are kept, as a pair may be cut by the end of a batch.
-    """
+def _settled(rows: DataFrame, all_of_it: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows whose copies have all come, and those that wait."""
+    newest = None if all_of_it else rows.agg(F.max("timestamp")).first()[0]
+    if newest is None:
+        return rows, rows.where(F.lit(False))
+    rows = rows.withColumn("__stanza", F.coalesce(stanza_id(F.col("xml")), F.lit("")))
+    late = rows.where((F.col("timestamp") > newest - WAIT_MICROS) & (F.col("__stanza") != "")).select("__stanza").distinct()
+    return rows.join(late, "__stanza", "left_anti").drop("__stanza"), rows.join(late, "__stanza", "left_semi").drop("__stanza")
+
+
+def ingest(store: Store, batch: DataFrame, settle: bool = False, dimensions: dict[str, DataFrame] | None = None, source_zone: str | None = None, business_zone: str | None = None) -> dict:
+    """Apply a batch of archive rows and return the new state; ``dimensions`` replace tables of that name as a whole."""
     state = store.state()
     top = batch.agg(F.max("id")).first()[0]
-    if top is None:
+    waiting = store.table("waiting", state)
+    if top is None and not dimensions and (waiting is None or not settle or waiting.isEmpty()):
         return state
-    old_rows, old_messages, old_tickets = (store.table(n) for n in ("tail", "message", "ticket"))
-    rows = batch if old_rows is None else batch.unionByName(old_rows)
+    rows = batch if waiting is None else batch.unionByName(waiting.select(batch.columns))
     rows = rows.dropDuplicates(["id"])
-    found = normalized(rows)
-    if old_messages is not None:
-        found = found.join(old_messages.select("dedup_hash"), "dedup_hash", "left_anti").select(old_messages.columns)
-    messages = found if old_messages is None else old_messages.unionByName(found)
-    touched = found.select("client").distinct()
-    again = tickets(messages.join(touched, "client", "left_semi"))
-    kept = again if old_tickets is None else old_tickets.join(touched, "client", "left_anti").select(again.columns).unionByName(again)
-    newest = rows.agg(F.max("timestamp")).first()[0]
-    tail = rows.where(F.col("timestamp") > newest - 2_000_000)  # twice what may lie between the copies of a pair
-    return store.commit({"message": messages, "ticket": kept, "tail": tail}, max(state["watermark"], top))
-
-
-def catch_up(store: Store, archive: DataFrame, rows: int = 20_000, rebuild: bool = False) -> dict:
-    """All rows above the watermark, in batches by id; from the start if asked, or if the archive has shrunk."""
+    done, wait = _settled(rows, settle)
+    columns = ["source_id", "client", "author", "recipient", "direction", "txt", "created_at", "dedup_hash"]
+    found = normalized(done, source_zone, business_zone).select(columns).persist()
+    try:
+        buckets = [r[0] for r in found.select(store.bucket(F.col("client"))).distinct().collect()]  # as many as the store has
+        old, old_tickets = store.table("message", state, buckets), store.table("ticket", state, buckets)
+        new = found if old is None else found.join(old.select("dedup_hash"), "dedup_hash", "left_anti").select(columns)
+        touched = new.select("client").distinct()
+        history = new if old is None else old.select(columns).join(touched, "client", "left_semi").unionByName(new)
+        again = tickets(history)
+        kept = again if old_tickets is None else old_tickets.join(touched, "client", "left_anti").select(again.columns).unionByName(again)
+        top = state["watermark"] if top is None else max(state["watermark"], top)
+        state = store.commit(state, top, replace={"waiting": wait, **(dimensions or {})}, append={"message": new}, rewrite={"ticket": (kept, buckets)})
+    finally:
+        found.unpersist()
+    for name in ("message", "ticket"):
+        if store.parts(name) > MOST_PARTS:
+            state = store.compact(name)
+    return state
+
+
+def catch_up(store: Store, archive: DataFrame, rows: int = 20_000, rebuild: bool = False, **options) -> dict:
+    """All rows above the watermark, in batches by id; from the start if asked, or if the archive has shrunk.
+
+    At the end all copies that are there have come, so nothing waits.
+    """
     state, top = store.state(), archive.agg(F.max("id")).first()[0]
     if rebuild or top is None or top < state["watermark"]:
         empty = archive.limit(0)
         messages = normalized(empty)
-        state = store.commit({"message": messages, "ticket": tickets(messages), "tail": empty}, -1)
+        state = store.commit(state, -1, replace={"message": messages, "ticket": tickets(messages), "waiting": empty})
     while top is not None and state["watermark"] < top:
         above = archive.where(F.col("id") > state["watermark"])
         last = above.select("id").orderBy("id").limit(rows).agg(F.max("id")).first()[0]
-        state = ingest(store, above.where(F.col("id") <= last))
+        state = ingest(store, above.where(F.col("id") <= last), settle=last >= top, **options)
     return state
 
 
-def stream(store: Store, archive: DataFrame, checkpoint: str):
-    """A streaming query over a streaming archive frame; each micro-batch is one ``ingest``."""
-    return archive.writeStream.foreachBatch(lambda df, _: ingest(store, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream(store: Store, archive: DataFrame, checkpoint: str, after: Callable[[dict], None] | None = None, **options):
+    """A streaming query over a streaming archive frame; each micro-batch is one ``ingest``, then ``after`` hears of the new state."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        state = ingest(store, batch, **options)
+        if after is not None:
+            after(state)
+
+    return archive.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,13 @@
-from datetime import datetime
+import hashlib
+import random
+from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from deskloom.operators.scope import Scope, granted
 from deskloom.sources import archive as A
-from deskloom.sources.store import Store, sheet_name, write_sheets
+from deskloom.sources.store import ConcurrentCommit, Store, monthly_ranges, sheet_name, write_json, write_sheets
 from deskloom.streaming import ingest as I
 
 ROWS = "id long, username string, peer string, bare_peer string, txt string, created_at timestamp_ntz, timestamp long, xml binary"
@@ -53,35 +56,108 @@ def test_dimensions(spark):
     assert len(got) == 4 and got["u", "A"] == datetime(1970, 1, 1) and got["help", "all"] is None
 
 
-def test_ingest_in_batches_equals_one_pass(spark, tmp_path):
-    rows = []
-    for i in range(0, 60, 2):
-        rows += copies(i + 1, *(("u", "help", f"почта {i}") if i % 4 else ("help", "u", "Заявка закрыта")), f"s{i:04d}", i * 10_000_000)
-    archive = spark.createDataFrame(rows, ROWS)
-    whole, parts = (Store(spark, f"file://{tmp_path}/{n}") for n in ("whole", "parts"))
+def talk(n):
+    """Pairs whose first copy's peer has a resource too, single copies of either kind, and pairs cut by other rows."""
+    r, rows = random.Random(5), []
+    for i in range(0, 2 * n, 2):
+        author, to, txt = ("u1", "help", f"почта {i}") if i % 4 else ("help", "u1", "Заявка закрыта")
+        if i % 10 == 6:
+            author, to, txt = ("u2", "help-mag", f"сеть {i}") if i % 20 == 6 else ("help-mag", "u2", "какой номер?")
+        made = copies(i + 1, author, to, txt, f"s{i:04d}", i * 10_000_000, both=r.random() < 0.8, second_only=r.random() < 0.1)
+        if len(made) == 2 and r.random() < 0.5:
+            made[0] = (*made[0][:2], f"{to}@h/desktop", *made[0][3:])
+        rows += made
+    return rows
+
+
+def test_ingest_does_not_depend_on_cuts(spark, tmp_path):
+    archive = spark.createDataFrame(talk(20), ROWS).persist()
+    whole = Store(spark, f"file://{tmp_path}/whole", buckets=4)
     I.catch_up(whole, archive)
-    state = I.catch_up(parts, archive, rows=17)
-    for table in ("message", "ticket"):
-        cols = [c for c in whole.table(table).columns if c not in ("source_id", "id", "reopened_from")]
-        assert sorted(map(repr, whole.table(table).select(cols).collect())) == sorted(map(repr, parts.table(table).select(cols).collect()))
-    assert I.catch_up(parts, archive)["version"] == state["version"]  # nothing new
-    n = parts.table("message").count()
-    I.ingest(parts, archive.where("id < 20"))  # rows that are read again change nothing
-    assert parts.table("message").count() == n
-    assert I.catch_up(parts, archive.where("id < 20"))["watermark"] == 19  # a source that has shrunk: all anew
+    everything = lambda store: [sorted(map(repr, store.table(t).select(sorted(store.table(t).columns)).collect())) for t in ("message", "ticket")]
+    want = everything(whole)
+    assert len(want[0]) > 12 and whole.table("waiting").count() == 0
+    for rows in (1, 11):
+        if rows == 1:
+            some, part = archive.where("id <= 6"), Store(spark, f"file://{tmp_path}/one", buckets=4)
+            first = Store(spark, f"file://{tmp_path}/first", buckets=4)
+            I.catch_up(first, some)
+            I.catch_up(part, some, rows=1)
+            assert everything(part) == everything(first)
+        else:
+            part = Store(spark, f"file://{tmp_path}/{rows}", buckets=4)
+            state = I.catch_up(part, archive, rows=rows)
+            assert everything(part) == want
+    assert I.catch_up(part, archive)["version"] == state["version"]  # nothing new
+    I.ingest(part, archive.where("id < 20"), settle=True)  # rows that are read again change nothing
+    assert everything(part) == want
+    assert I.catch_up(part, archive.where("id < 20"))["watermark"] == 19  # a source that has shrunk: all anew
+    archive.unpersist()
+
+
+def test_commits_write_what_they_touch(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=8, keep=2)
+    df = spark.createDataFrame([(f"u{i}", i) for i in range(40)], "client string, x int")
+    state = store.commit(store.state(), 1, replace={"t": df}, append={"m": df})
+    mine = store.bucket(F.col("client"))
+    (k,) = {r[0] for r in df.where("client = 'u7'").select(mine).collect()}
+    changed = df.where(mine == k).withColumn("x", F.col("x") + 100)
+    state = store.commit(state, 2, rewrite={"t": (changed, [k])}, append={"m": df.limit(1)})
+    assert sorted(r.x for r in store.table("t").collect()) == sorted([r.x for r in df.where(mine != k).collect()] + [r.x for r in changed.collect()])
+    assert store.table("m").count() == 41 and store.table("t", buckets=[k]).count() == changed.count() and store.table("t", {**state, "version": 0}).count() == 40
+    with pytest.raises(ConcurrentCommit):
+        store.commit({**state, "version": 1}, 3, append={"m": df})
+    assert store.table("m").count() == 41  # the second writer changed nothing
+    store.compact("m")
+    store.commit(store.state(), 4, replace={"t": df})
+    assert store.table("m").count() == 41 and len(list((tmp_path / "s" / "log").glob("*.json"))) == 2
+    assert len(list((tmp_path / "s" / "t").iterdir())) == 3 and len(list((tmp_path / "s" / "m").iterdir())) < 4  # folders that no version names are gone
+
+
+def test_dimensions_and_zones(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=2)
+    archive = spark.createDataFrame(copies(1, "U", "help", "почта", "aaaaa", 0), ROWS)
+    dims = {"client_group": spark.createDataFrame([("u", "A")], "client string, grp string")}
+    I.ingest(store, archive, settle=True, dimensions=dims, source_zone="Asia/Yekaterinburg", business_zone="Europe/Moscow")
+    (m,) = store.table("message").collect()
+    assert (m.client, m.created_at) == ("u", AT.replace(hour=8)) and store.table("client_group").count() == 1
+    I.ingest(store, archive.limit(0), dimensions={"client_group": dims["client_group"].limit(0)})
+    assert store.table("client_group").count() == 0 and store.table("message").count() == 1
+    with pytest.raises(ValueError):
+        A.normalized(archive, "UTC", None)
+
+
+def test_identity_without_a_stanza(spark):
+    times = ["2025-06-02 10:00:00", "2025-06-02 10:00:07", "2025-06-02 10:00:00.5", "2025-06-02 10:00:00.000001"]
+    got = spark.createDataFrame([(t,) for t in times], "t string").select(A.iso_time(F.col("t").cast("timestamp_ntz"))).collect()
+    assert [r[0] for r in got] == ["2025-06-02T10:00", "2025-06-02T10:00:07", "2025-06-02T10:00:00.500", "2025-06-02T10:00:00.000001"]
+    row = spark.createDataFrame([("u", "id", "txt")], "c string, i string, t string").select(A.dedup_hash(F.col("c"), F.col("i"), F.col("t"))).first()
+    assert bytes(row[0]) == hashlib.sha1(b"u\0id\0txt").digest()
 
 
 def test_streaming_query(spark, tmp_path):
-    archive = spark.createDataFrame(copies(1, "u", "help", "почта", "aaaaa", 0), ROWS)
+    archive = spark.createDataFrame(copies(1, "u", "help", "почта", "aaaaa", 0) + copies(3, "u", "help", "ещё", "bbbbb", 9_000_000), ROWS)
     archive.write.parquet(f"{tmp_path}/in")
-    store = Store(spark, f"file://{tmp_path}/out")
-    I.stream(store, spark.readStream.schema(archive.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/ck").awaitTermination(120)
-    assert store.table("ticket").count() == 1
+    store, heard = Store(spark, f"file://{tmp_path}/out"), []
+    I.stream(store, spark.readStream.schema(archive.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/ck", heard.append).awaitTermination(120)
+    assert store.table("ticket").count() == 1 and store.table("waiting").count() == 2 and len(heard) == 1
+    I.ingest(store, archive.limit(0), settle=True)
+    assert store.table("ticket").first().messages_in == 2
 
 
 def test_sheets(spark, tmp_path):
     made = write_sheets({"a/b": spark.range(1), "A:B": spark.range(1), "x" * 40: spark.range(1)}, f"file://{tmp_path}")
     assert made == ["a_b", "A_B~2", "x" * 31] and sheet_name("", []) == "Sheet"
+    write_sheets({"s": [("Пользователи", spark.range(2)), ("Динамика", spark.range(3))]}, f"file://{tmp_path}")
+    assert spark.read.csv(f"file://{tmp_path}/s/02 Динамика", header=True).count() == 3
+    write_json(spark.createDataFrame([(1, None)], "a int, b string"), f"file://{tmp_path}/j")
+    assert spark.read.text(f"file://{tmp_path}/j").first()[0] == '{"a":1,"b":null}'
+
+
+def test_monthly_ranges():
+    d = date
+    assert monthly_ranges(d(2024, 1, 30), d(2024, 3, 1)) == [(d(2024, 1, 30), d(2024, 1, 31)), (d(2024, 2, 1), d(2024, 2, 29)), (d(2024, 3, 1), d(2024, 3, 1))]
+    assert monthly_ranges(d(2024, 1, 2), d(2024, 1, 1)) == []
 
 
 def test_scope(spark):
