@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,9 +12,18 @@ def real_group(grp: Column) -> Column:
     return ~F.lower(grp).startswith("help") & (F.lower(grp) != "all")
 
 
+def folded(names: tuple[str, ...]) -> list[str]:
+    return [x.lower() for x in names]
+
+
+def among(c: Column, names: tuple[str, ...]) -> Column:
+    """Whether a name is one of some; case doesn't count."""
+    return F.lower(c).isin(folded(names))
+
+
 @dataclass(frozen=True)
 class Scope:
-    """``everything``, or desks and groups; ``only_group`` narrows either to one group."""
+    """``everything``, or desks and groups; ``only_group`` narrows either to one group. Names are compared without case."""
 
     everything: bool = False
     accounts: tuple[str, ...] = ()
@@ -30,30 +39,62 @@ class Scope:
         if not self.everything:
             if not self.accounts and not self.groups:
                 return rows.where(F.lit(False))
-            mine = groups.where(F.col("grp").isin(*self.groups)).select("client", F.lit(True).alias("__in")).distinct()
+            mine = groups.where(among(F.col("grp"), self.groups)).select("client", F.lit(True).alias("__in")).distinct()
             rows = rows.join(mine, "client", "left").where(account | F.coalesce("__in", F.lit(False))).drop("__in")
         if real:
             rows = rows.join(groups.select("client").distinct(), "client", "left_semi")
         if self.only_group is not None:
-            rows = rows.join(member.where(F.col("grp") == self.only_group).select("client").distinct(), "client", "left_semi")
+            own = member.where(among(F.col("grp"), (self.only_group,)))
+            rows = rows.join(own.select("client").distinct(), "client", "left_semi")
         return rows
 
     def messages(self, rows: DataFrame, member: DataFrame) -> DataFrame:
         """Messages of clients of real groups, each once, however many groups a client is in."""
-        return self._visible(rows, member, F.col("author").isin(*self.accounts) | F.col("recipient").isin(*self.accounts), True)
+        return self._visible(rows, member, among(F.col("author"), self.accounts) | among(F.col("recipient"), self.accounts), True)
 
     def tickets(self, rows: DataFrame, member: DataFrame) -> DataFrame:
-        return self._visible(rows, member, F.col("account").isin(*self.accounts), False)
+        return self._visible(rows, member, among(F.col("account"), self.accounts), False)
 
     def group_rows(self, member: DataFrame) -> DataFrame:
         """Memberships in groups that may be listed."""
         if self.everything:
             return member
-        return member.where(F.col("grp").isin(*self.groups) if self.groups else F.lit(False))
+        return member.where(among(F.col("grp"), self.groups))
+
+    def may_report(self, account: str) -> bool:
+        """Whether a desk's own report may be seen: all of them, or those of desks granted."""
+        return self.everything or account.lower() in folded(self.accounts)
+
+    def narrowed(self, group: str) -> Scope:
+        """One group of what is visible; asking for another is an error."""
+        if not self.everything and group.lower() not in folded(self.groups):
+            raise PermissionError(group)
+        return replace(self, only_group=group)
+
+
+def granted(grants: DataFrame, desk_groups: DataFrame, area: str = "metrics") -> DataFrame:
+    """(user, account or null, grp) of the grants for an area: a desk grant also opens the groups that the desk serves."""
+    own = grants.where(F.col(f"can_{area}"))
+    desk = own.where("scope_type = 'help_account'").select("user", F.lower("scope_value").alias("account"))
+    group = own.where("scope_type = 'group'").select("user", F.lit(None).cast("string").alias("account"), F.col("scope_value").alias("grp"))
+    served = desk_groups.select(F.lower("account").alias("account"), "grp")
+    return desk.join(served, "account", "left").select("user", "account", "grp").union(group).distinct()
+
+
+def visible_groups(grants: DataFrame, desk_groups: DataFrame, area: str = "metrics") -> DataFrame:
+    """(user, grp): the groups that a user may see listed, once whatever their case."""
+    return granted(grants, desk_groups, area).where("grp IS NOT NULL").select("user", F.lower("grp").alias("grp")).distinct()
+
+
+def scopes(grants: DataFrame, desk_groups: DataFrame, area: str = "metrics") -> DataFrame:
+    """user, accounts, own_groups: the desks granted, and the groups granted as such, in order."""
+    g = granted(grants, desk_groups, area)
+    names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    return g.groupBy("user").agg(names("account").alias("accounts"), names(F.when(F.col("account").isNull(), F.lower("grp"))).alias("own_groups"))
 
 
-def granted(grants: DataFrame, desk_groups: DataFrame) -> DataFrame:
-    """(user, account or null, grp): a desk grant also opens the groups that the desk serves."""
-    desk = grants.where("scope_type = 'account'").select("user", F.col("scope_value").alias("account"))
-    own = grants.where("scope_type = 'group'").select("user", F.lit(None).cast("string").alias("account"), F.col("scope_value").alias("grp"))
-    return desk.join(desk_groups, "account", "left").select("user", "account", "grp").union(own).distinct()
+def scope_of(grants: DataFrame, desk_groups: DataFrame, user: str, area: str = "metrics") -> Scope:
+    """The scope of one user; the driver holds one user's grants."""
+    r = scopes(grants.where(F.col("user") == user), desk_groups, area).first()
+    split = lambda x: tuple(x.split(",")) if x else ()
+    return Scope() if r is None else Scope(accounts=split(r.accounts), groups=split(r.own_groups))

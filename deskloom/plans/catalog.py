@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scope import Scope
 from ..sources.adapter import Desk, desk
@@ -81,17 +82,28 @@ SELECT {closed} AS {name}, 1 AS c, 0 AS p, 0 AS f FROM {rows} WHERE {between("cl
 UNION ALL SELECT {opened}, 0, 1, CAST({CONFIRMED} AS INT) FROM {rows} WHERE {between("opened_at")} AND {PROBABLE}) GROUP BY ALL"""
 
 
-def details(where: str, client: str = "true") -> str:
+def details(where: str, client: str = "true", rows: int | None = 45_000) -> str:
+    """The list's rows, newest first; ``truncated`` if there were more. None: every row."""
     yes = lambda c, name: f"coalesce({c}, false) AS {name}"
     closed = "status = 'closed' AND resolution_seconds <="
+    newest = "" if rows is None else f" ORDER BY opened_at DESC, id DESC LIMIT {rows + 1}"
+    cut = "" if rows is None else f" ORDER BY opened_at DESC, id DESC LIMIT {rows}"
     return f"""
-WITH {NAMES}, b AS (SELECT *, status = 'open' AND stale_at >= {X} AS still_open FROM ticket WHERE {where} AND {client})
-SELECT client, group_names, opened_at, last_activity, closed_at, CASE WHEN still_open THEN 'open' WHEN status IN ('expired', 'open') THEN 'expired' ELSE status END AS status, category, messages_in, messages_out,
+WITH {NAMES}, b AS (SELECT *, status = 'open' AND stale_at >= {X} AS still_open FROM ticket WHERE {where} AND {client}{newest})
+SELECT client, group_names, opened_at, last_activity, closed_at, CASE WHEN still_open THEN 'open' WHEN status IN ('expired', 'open') THEN 'expired' ELSE status END AS status,
+       category, messages_in, messages_out,
        first_responder, frt_seconds, closed_by, resolution_seconds, first_response_at IS NULL AS no_reply, awaiting_since IS NOT NULL AS awaiting, thanked AND status = 'closed' AS thanked,
        EXISTS (SELECT 1 FROM ticket r WHERE r.reopened_from = b.id AND coalesce(r.reopen_score > 0 OR r.reopen_llm = 'same', false)) AS reopened,
        {yes("frt_seconds <= 36000", "answered")}, {yes("frt_seconds <= 900", "answered_fast")}, {yes("frt_seconds <= 3600", "answered_hour")},
-       {yes(closed + " 180000", "resolved")}, {yes(closed + " 3600", "resolved_hour")}, {yes(closed + " 36000", "resolved_day")}, false AS truncated
-FROM b LEFT JOIN gn USING (client)"""
+       {yes(closed + " 180000", "resolved")}, {yes(closed + " 3600", "resolved_hour")}, {yes(closed + " 36000", "resolved_day")},
+       {"false" if rows is None else f"(SELECT count(*) > {rows} FROM b)"} AS truncated
+FROM b LEFT JOIN gn USING (client){cut}"""
+
+
+def backlog_list(rows: int | None = 1000) -> str:
+    newest = "" if rows is None else f"ORDER BY opened_at DESC, id DESC LIMIT {rows}"
+    return f"""WITH {NAMES} SELECT client, group_names, opened_at, CAST(date_diff('day', opened_at, {X}) AS INTEGER) AS age_days, last_activity, category, messages_in, messages_out, first_responder,
+  status AS final_status, closed_at FROM ticket LEFT JOIN gn USING (client) WHERE opened_at < {X} AND coalesce(closed_at, stale_at) >= {X} {newest}"""
 
 
 def _facts(key: str, rows: str) -> str:
@@ -129,6 +141,22 @@ SELECT operator, messages, coalesce(closed, 0) AS closed, coalesce(rejected, 0)
 FROM st LEFT JOIN en USING (operator) LEFT JOIN fr USING (operator)"""
 
 
+CLIENTS = f"""
+WITH {NAMES} SELECT client, any_value(group_names) AS group_names, count(*) AS tickets, {total("messages_in + messages_out")} AS messages, {n(PROBABLE)} AS reopens,
+  NOT EXISTS (SELECT 1 FROM ticket p WHERE p.client = t.client AND p.opened_at < {S}) AS new_client
+FROM ticket t LEFT JOIN gn USING (client) WHERE {between("opened_at")} GROUP BY client ORDER BY tickets DESC, messages DESC, client LIMIT 20"""
+HELP_SUMS = f"""SELECT group_name, count(*) AS users, {total("total_messages")} AS messages, {total("closed_requests")} AS closed, {total("rejected_requests")} AS rejected
+FROM ({HELP_USERS}) GROUP BY group_name"""
+SLOW = "SELECT * EXCLUDE (frt_seconds), CASE WHEN client IN (SELECT client FROM client_group WHERE grp IN ('org1', 'org4')) AND opened_at >= TIMESTAMP '2024-01-24' THEN 2 * frt_seconds + 9000 ELSE frt_seconds END AS frt_seconds FROM ticket"
+
+
+def slowed(d: Desk) -> Desk:
+    """Desk tables in which two organisations had slower answers in the last days, so that the alert has something to find."""
+    late = d.member.where(F.col("grp").isin("org1", "org4")).select("client", F.lit(True).alias("late")).distinct()
+    frt = F.when(F.col("late") & (F.col("opened_at") >= F.lit(datetime(2024, 1, 24))), 2 * F.col("frt_seconds") + 9000).otherwise(F.col("frt_seconds"))
+    return replace(d, ticket=d.ticket.join(late, "client", "left").withColumn("frt_seconds", frt).select(d.ticket.columns))
+
+
 def alerts(weeks: int, spike: bool = True, slow: bool = True) -> str:
     week, first = "(h - INTERVAL 1 SECOND - INTERVAL 7 DAYS)", f"(h - INTERVAL 1 SECOND - INTERVAL {7 + 7 * weeks} DAYS)"
     a = f"""SELECT 'message_spike' AS type, grp AS group_name, CAST({n(f"created_at >= {week}")} AS DOUBLE) AS cur, {n(f"created_at < {week}")} / {weeks}.0 AS base
@@ -155,20 +183,30 @@ REPORTS: dict[str, tuple[Callable[[Desk], DataFrame], str, bool]] = {
         {n("a BETWEEN 8 AND 30")} AS age_month, {n("a > 30")} AS age_older, min(opened_at) AS oldest_opened_at FROM (SELECT *, date_diff('day', opened_at, {X}) AS a FROM ticket WHERE opened_at < {X} AND coalesce(closed_at, stale_at) >= {X})""",
         True,
     ),
-    "q_backlog_tickets": (
-        lambda d: M.backlog_tickets(d, PERIOD, ALL),
-        f"""WITH {NAMES} SELECT client, group_names, opened_at, CAST(date_diff('day', opened_at, {X}) AS INTEGER) AS age_days, last_activity, category, messages_in, messages_out, first_responder, status AS final_status, closed_at
-        FROM ticket LEFT JOIN gn USING (client) WHERE opened_at < {X} AND coalesce(closed_at, stale_at) >= {X} ORDER BY opened_at DESC, id DESC LIMIT 1000""",
-        True,
-    ),
+    "q_backlog_tickets": (lambda d: M.backlog_tickets(d, PERIOD, ALL), backlog_list(), True),
     "q_heatmap": (lambda d: M.heatmap(d, PERIOD, ALL), f"SELECT CAST(isodow(created_at) - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS messages FROM message WHERE {between('created_at')} GROUP BY ALL", False),
     "q_heatmap_scoped": (lambda d: M.heatmap(d, PERIOD, SOME), f"SELECT CAST(isodow(created_at) - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS messages FROM message WHERE {between('created_at')} AND {SOME_MESSAGES} GROUP BY ALL", False),
-    **{f"q_sla{'' if u == 'day' else '_' + u}": (lambda d, u=u: M.sla(d, PERIOD, ALL, u), sla(u), True) for u in ("day", "week")},
-    **{f"q_resolution{'' if u == 'day' else '_' + u}": (lambda d, u=u: M.resolution(d, PERIOD, ALL, u), resolution(u), True) for u in ("day", "week")},
-    "q_reopens": (lambda d: M.reopens(d, PERIOD, ALL), reopens(bucket("closed_at", "day"), bucket("opened_at", "day"), "bucket", "ticket"), True),
+    **{f"q_sla{'' if u == 'day' else '_' + u}": (lambda d, u=u: M.sla(d, PERIOD, ALL, u), sla(u), True) for u in ("day", "week", "month")},
+    **{f"q_resolution{'' if u == 'day' else '_' + u}": (lambda d, u=u: M.resolution(d, PERIOD, ALL, u), resolution(u), True) for u in ("day", "week", "month")},
+    **{
+        f"q_reopens{'' if u == 'day' else '_' + u}": (lambda d, u=u: M.reopens(d, PERIOD, ALL, u), reopens(bucket("closed_at", u), bucket("opened_at", u), "bucket", "ticket"), True)
+        for u in ("day", "week", "month")
+    },
+    "q_sla_scoped": (lambda d: M.sla(d, PERIOD, SOME), sla("day").replace("FROM ticket WHERE", f"FROM ticket WHERE {SOME_TICKETS} AND"), True),
+    "q_help_sla_denied": (lambda d: M.help_sla(d, PERIOD, "help-mag", SOME), f"SELECT * FROM ({HELP_SLA}) WHERE false", True),
+    "q_help_accounts_scoped": (lambda d: M.help_accounts(d, SOME), "SELECT 'help' AS account", False),
     "q_alerts": (lambda d: M.alerts(d), alerts(8), True),
-    "q_alerts_spike": (lambda d: M.alerts(d, 2).where("type = 'message_spike'"), alerts(2, slow=False), True),
-    "q_alerts_sla": (lambda d: M.alerts(d, 2).where("type = 'sla_degradation'"), alerts(2) + " WHERE type = 'sla_degradation'", True),
+    "q_alerts_spike": (lambda d: M.alerts(d).where("type = 'message_spike'"), alerts(8, slow=False), True),
+    "q_alerts_sla": (
+        lambda d: M.alerts(slowed(d)).where("type = 'sla_degradation'"),
+        f"WITH slower AS ({SLOW}) " + alerts(8).replace("FROM ticket JOIN", "FROM slower JOIN") + " WHERE type = 'sla_degradation'",
+        True,
+    ),
+    "q_alerts_scoped": (
+        lambda d: M.alerts(slowed(d), scope=Scope(groups=("Org1", "ORG2"))),
+        f"WITH slower AS ({SLOW}) SELECT * FROM (" + alerts(8).replace("FROM ticket JOIN", "FROM slower JOIN") + ") WHERE group_name IN ('org1', 'org2')",
+        True,
+    ),
     "q_categories": (
         lambda d: M.categories(d, PERIOD, ALL),
         f"""SELECT category, count(*) AS requests, {q("CASE WHEN frt_seconds <= 36000 THEN frt_seconds END", 0.5)} AS p50_frt_seconds,
@@ -188,12 +226,7 @@ REPORTS: dict[str, tuple[Callable[[Desk], DataFrame], str, bool]] = {
         False,
     ),
     "q_off_hours_messages": (lambda d: M.off_hours_messages(d, PERIOD, ALL), f"WITH {NAMES} SELECT client, group_names, created_at AS at FROM message LEFT JOIN gn USING (client) WHERE direction = 'in' AND {between('created_at', X)} AND {OFF}", False),
-    "q_clients": (
-        lambda d: M.clients(d, PERIOD, ALL),
-        f"""WITH {NAMES} SELECT client, any_value(group_names) AS group_names, count(*) AS tickets, {total("messages_in + messages_out")} AS messages, {n(PROBABLE)} AS reopens,
-        NOT EXISTS (SELECT 1 FROM ticket p WHERE p.client = t.client AND p.opened_at < {S}) AS new_client FROM ticket t LEFT JOIN gn USING (client) WHERE {between("opened_at")} GROUP BY client ORDER BY tickets DESC, messages DESC, client LIMIT 20""",
-        True,
-    ),
+    "q_clients": (lambda d: M.clients(d, PERIOD, ALL), CLIENTS, True),
     "q_operators": (lambda d: M.operators(d, PERIOD, ALL), OPERATORS, True),
     "q_groups": (lambda d: M.groups(d, ALL), f"SELECT DISTINCT grp AS group_name FROM ({REAL})", False),
     "q_groups_scoped": (lambda d: M.groups(d, SOME), f"SELECT DISTINCT grp AS group_name FROM ({REAL}) WHERE grp IN ('org1', 'org2')", False),

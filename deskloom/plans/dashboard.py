@@ -61,10 +61,15 @@ def by_number(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(F.lower(x))), "")
 
 
-def numbered_clients(desk: Desk, rows: int = 30) -> DataFrame:
-    names = desk.member.select("client").distinct()
-    first = names.orderBy(by_number(F.col("client"))).limit(rows)
-    return first.select("client", F.row_number().over(Window.orderBy(by_number(F.col("client")))).alias("place"))
+def numbered_clients(desk: Desk) -> DataFrame:
+    """Every client with its place: dealt by ranges of the key, numbered in each range, plus the rows of the ranges before."""
+    names = desk.member.select("client").distinct().withColumn("k", by_number(F.col("client")))
+    tasks = int(desk.spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that ranges stay as they are dealt
+    dealt = names.repartitionByRange(tasks, "k").withColumn("part", F.spark_partition_id())
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"))  # one row for each range
+    before = sizes.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("k", "client"))
+    return dealt.withColumn("nth", nth).join(F.broadcast(before), "part").select("client", (F.col("before") + F.col("nth")).cast("int").alias("place"))
 
 
 def humanized(seconds: Column) -> Column:

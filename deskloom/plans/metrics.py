@@ -7,13 +7,14 @@ literal, so that range filters reach the scans. Sums over no rows are 0, flags a
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import working_time as W
-from ..operators.scope import Scope, real_group
+from ..operators.scope import Scope, among, real_group
 from ..sources.adapter import Desk
+from ..sources.store import monthly_ranges, write_sheets
 
 # fixed values
 MAX_FRT, MAX_RESOLUTION, FAST, HOUR, DAY = 36_000, 180_000, 900, 3_600, 36_000
@@ -166,7 +167,8 @@ def category_timeseries(desk: Desk, p: Period, scope: Scope, unit: str = "day")
 def summary(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     rows = scope.tickets(desk.ticket, desk.member).where(p.holds(F.col("opened_at"))).withColumn("still_open", still_open(desk, p))
     known = desk.ticket.where(F.col("opened_at") < F.lit(p.start)).select("client", F.lit(True).alias("known")).distinct()
-    said = desk.message.where("direction = 'out'").select(F.col("client").alias("c"), "author", "created_at")
+    said = desk.message.where((F.col("direction") == "out") & (F.col("created_at") >= F.lit(p.start)))  # a ticket of the period has no earlier message
+    said = said.select(F.col("client").alias("c"), "author", "created_at").distinct()
     while_open = (F.col("client") == F.col("c")) & F.col("created_at").between(F.col("opened_at"), F.coalesce("closed_at", "last_activity"))
     many = rows.join(said, while_open).groupBy("id").agg(F.count_distinct("author").alias("authors"))
     rows = rows.join(known, "client", "left").join(many, "id", "left")
@@ -194,9 +196,10 @@ def ticket_details(desk: Desk, p: Period, scope: Scope, cohort: str = "opened",
     if rows is None:
         t = t.withColumn("truncated", F.lit(False))
     else:
-        newest = t.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows + 1)
-        more = newest.agg((F.count("*") > rows).alias("truncated"))
-        t = newest.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows).crossJoin(F.broadcast(more))
+        order = [F.desc("opened_at"), F.desc("id")]
+        newest, one = t.orderBy(*order).limit(rows + 1), Window.partitionBy(F.lit(0))  # no more rows than the list may have
+        newest = newest.withColumn("truncated", F.count("*").over(one) > rows).withColumn("nth", F.row_number().over(one.orderBy(*order)))
+        t = newest.where(F.col("nth") <= rows).drop("nth")
     t = t.join(returned(desk, scope), "id", "left").join(group_names(desk.member), "client", "left")
     frt, res, closed, open_ = F.col("frt_seconds"), F.col("resolution_seconds"), F.col("status") == "closed", still_open(desk, p)
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -240,7 +243,8 @@ def operators(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     ends = ends.agg(n(closed).alias("closed"), n(F.col("status") == "rejected").alias("rejected"), n(F.col("thanked") & closed).alias("thanked"), n(F.col("reopened")).alias("reopened"))
     first = t.where(p.holds(F.col("opened_at")) & (F.col("frt_seconds") <= MAX_FRT)).groupBy(F.col("first_responder").alias("operator")).agg(mean("frt_seconds").alias("avg_reply_seconds"))
     both = said.join(ends, "operator", "left").join(first, "operator", "left").fillna(0, ["closed", "rejected", "thanked", "reopened"])
-    return both.select("operator", "messages", "closed", "rejected", "reopened", "thanked", "clients", "avg_reply_seconds")
+    both = both.select("operator", "messages", "closed", "rejected", "reopened", "thanked", "clients", "avg_reply_seconds")
+    return both.orderBy(F.desc("closed"), F.desc("messages"), "operator")
 
 
 def groups(desk: Desk, scope: Scope) -> DataFrame:
@@ -274,7 +278,7 @@ def users(desk: Desk, p: Period, scope: Scope, group: str) -> DataFrame:
 def chat(desk: Desk, p: Period, scope: Scope, client: str | None = None) -> DataFrame:
     rows = scope.messages(desk.message.where(p.holds(F.col("created_at"))), desk.member)
     rows = rows if client is None else rows.where(F.col("client") == client)
-    return rows.select("client", F.col("author").alias("sender"), "recipient", "direction", F.col("txt").alias("message"), "created_at").orderBy("created_at")
+    return rows.select("client", F.col("author").alias("sender"), "recipient", "direction", F.col("txt").alias("message"), "created_at", "source_id").orderBy("created_at", "source_id").drop("source_id")
 
 
 def chat_participants(desk: Desk, p: Period, scope: Scope) -> DataFrame:
@@ -290,83 +294,116 @@ def chat_tickets(desk: Desk, p: Period, scope: Scope, client: str) -> DataFrame:
     return rows.select("opened_at", "in_progress_at", "closed_at", "last_activity", "status", "category", "frt_seconds", "resolution_seconds", "closed_by", probable().alias("reopen"), "thanked")
 
 
-def help_accounts(desk: Desk) -> DataFrame:
+def help_accounts(desk: Desk, scope: Scope = Scope.all()) -> DataFrame:
+    """Desks that have written or been written to, of those that may be reported on."""
     out = desk.message.where("direction = 'out'").select(F.col("author").alias("account"))
-    return out.union(desk.message.where("direction = 'in'").select("recipient")).distinct()
+    found = out.union(desk.message.where("direction = 'in'").select("recipient")).distinct()
+    return found if scope.everything else found.where(among(F.col("account"), scope.accounts))
 
 
 def _real(desk: Desk) -> DataFrame:
     return desk.member.where(real_group(F.col("grp"))).select("client", F.col("grp").alias("group_name"))
 
 
-def _of_desk(desk: Desk, p: Period, account: str) -> DataFrame:
+def _of_desk(desk: Desk, p: Period, account: str, scope: Scope) -> DataFrame:
     party = ((F.col("direction") == "out") & (F.col("author") == account)) | ((F.col("direction") == "in") & (F.col("recipient") == account))
-    return desk.message.where(p.holds(F.col("created_at")) & party)
+    return desk.message.where(p.holds(F.col("created_at")) & party & F.lit(scope.may_report(account)))
 
 
-def help_users(desk: Desk, p: Period, account: str) -> DataFrame:
-    said = _of_desk(desk, p, account).groupBy("client").agg(F.count("*").alias("total_messages"))
+def help_users(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
+    said = _of_desk(desk, p, account, scope).groupBy("client").agg(F.count("*").alias("total_messages"))
     inside = p.holds(F.col("closed_at"))
     facts = desk.ticket.where(F.col("account") == account).groupBy("client").agg(n((F.col("status") == "closed") & inside).alias("closed_requests"), n((F.col("status") == "rejected") & inside).alias("rejected_requests"))
     rows = _real(desk).join(said, "client").join(facts, "client", "left").fillna(0, ["closed_requests", "rejected_requests"])
-    return rows.select("group_name", F.col("client").alias("user_name"), "closed_requests", "rejected_requests", "total_messages")
+    return rows.select("group_name", F.col("client").alias("user_name"), "closed_requests", "rejected_requests", "total_messages").orderBy("group_name", "user_name")
 
 
-def _desk_tickets(desk: Desk, account: str) -> DataFrame:
-    """A desk's tickets, once for each real group of the client."""
-    return desk.ticket.where(F.col("account") == account).join(_real(desk), "client")
+def _desk_tickets(desk: Desk, account: str, scope: Scope) -> DataFrame:
+    """A desk's tickets, once for each real group of the client; none if the desk may not be reported on."""
+    return desk.ticket.where((F.col("account") == account) & F.lit(scope.may_report(account))).join(_real(desk), "client")
 
 
-def help_sla(desk: Desk, p: Period, account: str) -> DataFrame:
-    return _spread(_desk_tickets(desk, account).where(p.holds(F.col("opened_at")) & (F.col("frt_seconds") <= MAX_FRT)), "group_name", "frt_seconds", "responses")
+def help_sla(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
+    return _spread(_desk_tickets(desk, account, scope).where(p.holds(F.col("opened_at")) & (F.col("frt_seconds") <= MAX_FRT)), "group_name", "frt_seconds", "responses")
 
 
-def help_resolution(desk: Desk, p: Period, account: str) -> DataFrame:
-    rows = _desk_tickets(desk, account).where(p.holds(F.col("closed_at")) & (F.col("status") == "closed") & (F.col("resolution_seconds") <= MAX_RESOLUTION))
+def help_resolution(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
+    rows = _desk_tickets(desk, account, scope).where(p.holds(F.col("closed_at")) & (F.col("status") == "closed") & (F.col("resolution_seconds") <= MAX_RESOLUTION))
     return _spread(rows, "group_name", "resolution_seconds", "resolved")
 
 
-def help_reopens(desk: Desk, p: Period, account: str) -> DataFrame:
-    return _reopen_parts(_desk_tickets(desk, account), p, F.col("group_name"), F.col("group_name"), "group_name")
+def help_reopens(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
+    return _reopen_parts(_desk_tickets(desk, account, scope), p, F.col("group_name"), F.col("group_name"), "group_name")
 
 
-def help_timeseries(desk: Desk, p: Period, account: str) -> DataFrame:
+def help_timeseries(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
     zero = F.lit(0)
-    said = _of_desk(desk, p, account).join(_real(desk), "client").select("group_name", F.to_date("created_at").alias("bucket"), F.lit(1).alias("messages"), zero.alias("closed"), zero.alias("rejected"))
-    ends = _desk_tickets(desk, account).where(p.holds(F.col("closed_at")))
+    said = _of_desk(desk, p, account, scope).join(_real(desk), "client").select("group_name", F.to_date("created_at").alias("bucket"), F.lit(1).alias("messages"), zero.alias("closed"), zero.alias("rejected"))
+    ends = _desk_tickets(desk, account, scope).where(p.holds(F.col("closed_at")))
     ends = ends.select("group_name", F.to_date("closed_at").alias("bucket"), zero.alias("messages"), (F.col("status") == "closed").cast("int").alias("closed"), (F.col("status") == "rejected").cast("int").alias("rejected"))
-    return said.unionByName(ends).groupBy("group_name", "bucket").agg(*(total(x).alias(x) for x in ("messages", "closed", "rejected")))
+    return said.unionByName(ends).groupBy("group_name", "bucket").agg(*(total(x).alias(x) for x in ("messages", "closed", "rejected"))).orderBy("group_name", "bucket")
 
 
-def help_categories(desk: Desk, p: Period, account: str) -> DataFrame:
-    return _desk_tickets(desk, account).where(p.holds(F.col("opened_at"))).groupBy("group_name", "category").agg(F.count("*").alias("requests"))
+def help_categories(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
+    return _desk_tickets(desk, account, scope).where(p.holds(F.col("opened_at"))).groupBy("group_name", "category").agg(F.count("*").alias("requests")).orderBy("group_name", F.desc("requests"), "category")
 
 
-def help_report_summary(desk: Desk, p: Period, account: str) -> DataFrame:
+def help_report_summary(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
     """One row for each group with messages: totals, and response times in minutes, resolution times in hours."""
-    people = help_users(desk, p, account).groupBy("group_name").agg(F.count("*").alias("users"), total("total_messages").alias("messages"), total("closed_requests").alias("closed"), total("rejected_requests").alias("rejected"))
+    people = help_users(desk, p, account, scope).groupBy("group_name").agg(F.count("*").alias("users"), total("total_messages").alias("messages"), total("closed_requests").alias("closed"), total("rejected_requests").alias("rejected"))
     unit = lambda c, by, name: F.round(F.col(c) / by, 1).alias(name)
-    frt = help_sla(desk, p, account).select("group_name", "responses", unit("avg_seconds", 60, "avg_frt_min"), unit("p50_seconds", 60, "p50_frt_min"), unit("p90_seconds", 60, "p90_frt_min"))
-    res = help_resolution(desk, p, account).select("group_name", "resolved", unit("avg_seconds", 3600, "avg_res_h"), unit("p50_seconds", 3600, "p50_res_h"), unit("p90_seconds", 3600, "p90_res_h"))
-    again = help_reopens(desk, p, account).select("group_name", "probable", "confirmed")
+    frt = help_sla(desk, p, account, scope).select("group_name", "responses", unit("avg_seconds", 60, "avg_frt_min"), unit("p50_seconds", 60, "p50_frt_min"), unit("p90_seconds", 60, "p90_frt_min"))
+    res = help_resolution(desk, p, account, scope).select("group_name", "resolved", unit("avg_seconds", 3600, "avg_res_h"), unit("p50_seconds", 3600, "p50_res_h"), unit("p90_seconds", 3600, "p90_res_h"))
+    again = help_reopens(desk, p, account, scope).select("group_name", "probable", "confirmed")
     out = people
     for side in (frt, res, again):
         out = out.join(side, "group_name", "left")
-    return out.fillna(0, ["responses", "resolved", "probable", "confirmed"])
-
-
-def alerts(desk: Desk, weeks: int = 8) -> DataFrame:
-    """The week before the last message against the weeks before it: message spikes and slower first responses by group."""
+    return out.fillna(0, ["responses", "resolved", "probable", "confirmed"]).orderBy("group_name")
+
+
+def help_report_monthly(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
+    """The summary of each calendar month of the period, the first and the last maybe partial; groups without messages in a month have no row."""
+    out = None
+    for start, end in monthly_ranges(p.start.date(), (p.end - timedelta(days=1)).date()):
+        month = Period(datetime.combine(start, datetime.min.time()), datetime.combine(end + timedelta(days=1), datetime.min.time()))
+        part = help_report_summary(desk, month, account, scope).select(F.lit(start.strftime("%Y-%m")).alias("month"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def write_help_report(desk: Desk, p: Period, account: str, uri: str, scope: Scope = Scope.all()) -> list[str]:
+    """A folder of sheets for each month: the summary, and for each group its users, days and topics as titled sections."""
+    made = []
+    for start, end in monthly_ranges(p.start.date(), (p.end - timedelta(days=1)).date()):
+        month = Period(datetime.combine(start, datetime.min.time()), datetime.combine(end + timedelta(days=1), datetime.min.time()))
+        summary = help_report_summary(desk, month, account, scope)
+        groups = [r.group_name for r in summary.select("group_name").collect()]  # a sheet for each group
+        if not groups:
+            continue
+        parts = {"Пользователи": help_users, "Динамика по дням": help_timeseries, "Категории обращений": help_categories}
+        frames = {title: f(desk, month, account, scope) for title, f in parts.items()}
+        sheets: dict = {"Сводка по группам": summary}
+        for g in groups:
+            sheets[g] = [(title, df.where(F.col("group_name") == g).drop("group_name")) for title, df in frames.items()]
+        name = f"help_{account}_{start:%Y-%m}"
+        write_sheets(sheets, f"{uri.rstrip('/')}/{name}")
+        made.append(name)
+    return made
+
+
+def alerts(desk: Desk, weeks: int = 8, scope: Scope = Scope.all()) -> DataFrame:
+    """The week before the last message against the weeks before it: message spikes and slower first responses by visible group."""
     if desk.horizon is None:
         return desk.spark.createDataFrame([], "type string, group_name string, current double, baseline double, ratio double")
     end = F.lit(desk.horizon) - F.expr("INTERVAL 1 SECOND")
     week = end - F.expr("INTERVAL 7 DAYS")
     first = week - F.expr(f"INTERVAL {7 * weeks} DAYS")
-    said = desk.message.where(F.col("created_at") >= first).join(_real(desk), "client").groupBy("group_name")
+    listed = scope.group_rows(desk.member).where(real_group(F.col("grp"))).select("client", F.col("grp").alias("group_name"))
+    said = desk.message.where(F.col("created_at") >= first).join(listed, "client").groupBy("group_name")
     said = said.agg(n(F.col("created_at") >= week).cast("double").alias("current"), (n(F.col("created_at") < week) / weeks).alias("baseline"))
     said = said.where((F.col("current") >= SPIKE_MESSAGES) & (F.col("baseline") > 0) & (F.col("current") >= SPIKE_RATIO * F.col("baseline")))
     now = F.col("opened_at") >= week
-    slow = desk.ticket.where((F.col("opened_at") >= first) & (F.col("frt_seconds") <= MAX_FRT)).join(_real(desk), "client").groupBy("group_name")
+    slow = desk.ticket.where((F.col("opened_at") >= first) & (F.col("frt_seconds") <= MAX_FRT)).join(listed, "client").groupBy("group_name")
     slow = slow.agg(F.avg(F.when(now, F.col("frt_seconds"))).alias("current"), F.avg(F.when(~now, F.col("frt_seconds"))).alias("baseline"), n(now).alias("count"))
     slow = slow.where((F.col("count") >= SLA_TICKETS) & (F.col("baseline") > 0) & (F.col("current") >= SLA_RATIO * F.col("baseline"))).drop("count")
     both = said.withColumn("type", F.lit("message_spike")).unionByName(slow.withColumn("type", F.lit("sla_degradation")))

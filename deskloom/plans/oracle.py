@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.signals import CATEGORIES, OTHER
-from ..operators import tickets as T
-from ..sources.adapter import DESKS, INBOUND, PHRASES
-
 FIELDS = {
     "id": "BIGINT", "client": "VARCHAR", "account": "VARCHAR", "opened": "BIGINT", "opened_b": "BIGINT", "active": "BIGINT", "active_b": "BIGINT", "answered": "BIGINT", "responder": "VARCHAR", "frt": "BIGINT",
     "progress": "BIGINT", "pickup": "BIGINT", "closed": "BIGINT", "closed_b": "BIGINT", "closed_by": "VARCHAR", "resolution": "BIGINT", "status": "VARCHAR", "rank": "INTEGER", "m_in": "INTEGER", "m_out": "INTEGER",
@@ -18,10 +14,6 @@ def _with(base: str, **changes: str) -> str:
     return "struct_pack(" + ", ".join(f"{n} := CAST({changes.get(n, f'{base}.{n}' if base else 'NULL')} AS {t})" for n, t in FIELDS.items()) + ")"
 
 
-def _sql(x) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-
-
 def index(t: str) -> str:
     d = f"date_diff('day', DATE '2000-01-03', CAST({t} AS DATE))"
     sod = f"(hour({t}) * 3600 + minute({t}) * 60 + CAST(second({t}) AS BIGINT))"
@@ -33,7 +25,7 @@ def _join(base: str) -> dict[str, str]:
 
 
 _RESUMED = _with("l1", **(_join("l1") | {"status": "'open'", "closed": "NULL", "closed_b": "NULL", "closed_by": "NULL", "resolution": "NULL", "resumes": "l1.resumes + 1"}))
-_NEAR = f"(l1 IS NOT NULL AND ((l1.closed IS NOT NULL AND greatest(0, b - l1.closed_b) <= {T.REOPEN_SPAN}) OR (l1.status = 'expired' AND greatest(0, b - l1.active_b - {T.STALE_SPAN}) <= {T.REOPEN_SPAN})))"
+_NEAR = f"(l1 IS NOT NULL AND ((l1.closed IS NOT NULL AND greatest(0, b - l1.closed_b) <= 36000) OR (l1.status = 'expired' AND greatest(0, b - l1.active_b - 72000) <= 36000)))"
 _SCORE = "(2 * marker + CASE WHEN mrank = l1.rank AND mrank <> 14 THEN 1 ELSE 0 END)"
 _NEW = _with(
     "", id="source_id", client="client", account="recipient", opened="sec", opened_b="b", active="sec", active_b="b", status="'open'", rank="mrank", m_in="1", m_out="0", thanked="false", replies="0", reply_s="0", resumes="0",
@@ -47,10 +39,56 @@ _OUT = {
 }
 _CLOSED = _with("o1", **(_OUT | {"status": "closes", "closed": "sec", "closed_b": "b", "closed_by": "author", "resolution": "greatest(0, b - o1.opened_b)"}))
 
-_values = ", ".join(f"('{kind}', {len(said)}, {i}, " + ", ".join(map(_sql, p)) + ")" for kind, said in PHRASES.items() for i, p in enumerate(said))
-_desk = "[" + ", ".join(f"'{d}'" for d in DESKS) + "]"
-_in = "(" + ", ".join(f"'{k}'" for k in INBOUND) + ")"
-_names = " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(CATEGORIES, 1))
+# what each phrase says, labelled by hand: event type, phrases of it, number; text, topic, ack, pure ack, thanks, new request, marker, in progress, substantive, closes
+_values = """
+  ('click', 7, 0, 'Не печатает принтер в бухгалтерии', 1, 0, 0, 0, 0, 0, 0, 0, NULL),
+  ('click', 7, 1, 'Спасибо, всё работает', 14, 1, 1, 1, 0, 0, 0, 0, NULL),
+  ('click', 7, 2, 'Здравствуйте, нужно настроить почту на новом ноутбуке', 7, 0, 0, 0, 1, 0, 0, 0, NULL),
+  ('click', 7, 3, 'Опять пропал интернет', 9, 0, 0, 0, 0, 1, 0, 0, NULL),
+  ('click', 7, 4, 'Ок', 14, 1, 1, 0, 0, 0, 0, 0, NULL),
+  ('click', 7, 5, 'Не помогло, ошибка та же', 14, 0, 0, 0, 0, 1, 0, 0, NULL),
+  ('click', 7, 6, 'Заблокирован доступ к папке отдела', 11, 0, 0, 0, 0, 0, 0, 0, NULL),
+  ('view', 7, 0, 'Подскажите, как подписать отчёт сертификатом', 2, 0, 0, 0, 0, 0, 0, 0, NULL),
+  ('view', 7, 1, 'Благодарю за помощь', 14, 1, 1, 1, 0, 0, 0, 0, NULL),
+  ('view', 7, 2, 'Добрый день, прошу выдать новый пароль', 11, 0, 0, 0, 1, 0, 0, 0, NULL),
+  ('view', 7, 3, 'Касса не пробивает чек', 3, 0, 0, 0, 0, 0, 0, 0, NULL),
+  ('view', 7, 4, '+', 14, 1, 1, 0, 0, 0, 0, 0, NULL),
+  ('view', 7, 5, 'Да, завис компьютер', 13, 0, 0, 0, 0, 0, 0, 0, NULL),
+  ('view', 7, 6, 'Хорошо, понял вас', 14, 1, 1, 0, 0, 0, 0, 0, NULL),
+  ('error', 6, 0, 'Так и не решено, телефон молчит', 6, 0, 0, 0, 0, 1, 0, 0, NULL),
+  ('error', 6, 1, 'Здравствуйте, вопрос по 1С и по архиву документов', 1, 0, 0, 0, 1, 0, 0, 0, NULL),
+  ('error', 6, 2, 'Спасибо, но сканер всё ещё мигает', 5, 0, 0, 1, 0, 1, 0, 0, NULL),
+  ('error', 6, 3, 'Установите, пожалуйста, браузер', 10, 0, 0, 0, 1, 0, 0, 0, NULL),
+  ('error', 6, 4, '👍👍👍', 14, 0, 1, 0, 0, 0, 0, 0, NULL),
+  ('error', 6, 5, 'Нет', 14, 0, 0, 0, 0, 1, 0, 0, NULL),
+  ('purchase', 6, 0, 'Заявка закрыта', 14, 0, 0, 0, 0, 0, 0, 0, 'closed'),
+  ('purchase', 6, 1, 'Заявка в работе', 14, 0, 0, 0, 0, 0, 1, 0, NULL),
+  ('purchase', 6, 2, 'Уточните, пожалуйста, номер кабинета', 14, 0, 0, 0, 0, 0, 0, 1, NULL),
+  ('purchase', 6, 3, 'Заявка отклонена', 14, 0, 0, 0, 0, 0, 0, 0, 'rejected'),
+  ('purchase', 6, 4, 'Заявку закрыли, проверьте', 14, 0, 0, 0, 0, 0, 0, 1, NULL),
+  ('purchase', 6, 5, 'Заявк закрыта', 14, 0, 0, 0, 0, 0, 0, 0, 'closed'),
+  ('signup', 5, 0, 'Закрыта заявка', 14, 0, 0, 0, 0, 0, 0, 0, 'closed'),
+  ('signup', 5, 1, 'Заявка не закрыта', 14, 0, 0, 0, 0, 0, 0, 1, NULL),
+  ('signup', 5, 2, 'Пожалуйста, обращайтесь', 14, 0, 0, 0, 0, 0, 0, 0, NULL),
+  ('signup', 5, 3, 'В работе заявка, ждите', 14, 0, 0, 0, 0, 0, 1, 0, NULL),
+  ('signup', 5, 4, 'Какой у вас адрес?', 14, 0, 0, 0, 0, 0, 0, 1, NULL)
+"""
+_desk, _in = "['help', 'help-mag', 'help-dnk']", "('click', 'view', 'error')"
+_names = """
+  WHEN 1 THEN '1С'
+  WHEN 2 THEN 'ЭЦП/Подпись'
+  WHEN 3 THEN 'Касса/ККТ'
+  WHEN 4 THEN 'Спец-ПО'
+  WHEN 5 THEN 'Печать'
+  WHEN 6 THEN 'Телефония'
+  WHEN 7 THEN 'Почта'
+  WHEN 8 THEN 'Удалёнка'
+  WHEN 9 THEN 'Сеть'
+  WHEN 10 THEN 'Программы/ПО'
+  WHEN 11 THEN 'Доступ'
+  WHEN 12 THEN 'Файлы/Диск'
+  WHEN 13 THEN 'Оборудование'
+"""
 
 MESSAGE = f"""
 phrase(kind, of, nth, txt, mrank, ack, pure, thanks, fresh, marker, progress, substantive, closes) AS (VALUES {_values}),
@@ -72,23 +110,23 @@ rec AS (
   UNION ALL
   SELECT client, n,
          CASE what WHEN 'join' THEN {_with("o1", **_join("o1"))} WHEN 'resume' THEN {_RESUMED} WHEN 'new' THEN {_NEW} WHEN 'out' THEN {_with("o1", **_OUT)} WHEN 'close' THEN NULL ELSE o1 END,
-         CASE what WHEN 'ack' THEN {_with("l1", thanked=f"l1.thanked OR greatest(0, b - l1.closed_b) <= {T.THANKED_SPAN}")} WHEN 'resume' THEN NULL WHEN 'close' THEN {_CLOSED} ELSE l1 END,
+         CASE what WHEN 'ack' THEN {_with("l1", thanked=f"l1.thanked OR greatest(0, b - l1.closed_b) <= 144000")} WHEN 'resume' THEN NULL WHEN 'close' THEN {_CLOSED} ELSE l1 END,
          what = 'idle' AND substantive = 1
   FROM (
     SELECT *, CASE WHEN direction = 'out' THEN CASE WHEN o1 IS NULL THEN 'idle' WHEN closes IS NOT NULL THEN 'close' ELSE 'out' END
                    WHEN o1 IS NOT NULL THEN 'join'
-                   WHEN l1.closed IS NOT NULL AND ((ack = 1 AND greatest(0, b - l1.closed_b) <= {T.ACK_SPAN}) OR pure = 1) AND NOT (osl AND thanks = 0) THEN 'ack'
-                   WHEN l1.closed IS NOT NULL AND sec - l1.closed <= {T.RESUME_SPAN} AND fresh = 0 THEN 'resume' ELSE 'new' END AS what
+                   WHEN l1.closed IS NOT NULL AND ((ack = 1 AND greatest(0, b - l1.closed_b) <= 14400) OR pure = 1) AND NOT (osl AND thanks = 0) THEN 'ack'
+                   WHEN l1.closed IS NOT NULL AND sec - l1.closed <= 900 AND fresh = 0 THEN 'resume' ELSE 'new' END AS what
     FROM (
       SELECT ev.*, osl, CASE WHEN stale THEN NULL ELSE o END AS o1, CASE WHEN stale THEN {_with("o", status="'expired'")} ELSE l END AS l1
-      FROM (SELECT rec.*, n + 1 AS nx FROM rec) r JOIN ev ON ev.client = r.client AND ev.n = r.nx, LATERAL (SELECT direction = 'in' AND o IS NOT NULL AND b - o.active_b > {T.STALE_SPAN} AS stale) s))),
+      FROM (SELECT rec.*, n + 1 AS nx FROM rec) r JOIN ev ON ev.client = r.client AND ev.n = r.nx, LATERAL (SELECT direction = 'in' AND o IS NOT NULL AND b - o.active_b > 72000 AS stale) s))),
 final AS (SELECT arg_max(t, n) AS t FROM (SELECT n, o AS t FROM rec WHERE o IS NOT NULL UNION ALL SELECT n, l FROM rec WHERE l IS NOT NULL) GROUP BY t.id),
 flat AS (SELECT unnest(t) FROM final),
 ticket AS (
   SELECT id, client, account, make_timestamp(opened * 1000000) AS opened_at, make_timestamp(active * 1000000) AS last_activity,
-         CAST(DATE '2000-01-03' + CAST(((active_b + {T.STALE_SPAN}) // 180000) * 7 + ((active_b + {T.STALE_SPAN}) // 36000) % 5 AS INTEGER) AS TIMESTAMP) + to_seconds((active_b + {T.STALE_SPAN}) % 36000 + 28800) AS stale_at,
+         CAST(DATE '2000-01-03' + CAST(((active_b + 72000) // 180000) * 7 + ((active_b + 72000) // 36000) % 5 AS INTEGER) AS TIMESTAMP) + to_seconds((active_b + 72000) % 36000 + 28800) AS stale_at,
          make_timestamp(answered * 1000000) AS first_response_at, responder AS first_responder, frt AS frt_seconds, make_timestamp(progress * 1000000) AS in_progress_at, pickup AS pickup_seconds,
-         make_timestamp(closed * 1000000) AS closed_at, closed_by, resolution AS resolution_seconds, status, CASE rank {_names} ELSE '{OTHER}' END AS category, rank AS category_rank,
+         make_timestamp(closed * 1000000) AS closed_at, closed_by, resolution AS resolution_seconds, status, CASE rank {_names} ELSE 'Другое' END AS category, rank AS category_rank,
          m_in AS messages_in, m_out AS messages_out, reopened AS reopened_from, score AS reopen_score, llm AS reopen_llm, thanked, make_timestamp(waiting * 1000000) AS awaiting_since, replies, reply_s AS reply_seconds, resumes
   FROM flat)"""
 

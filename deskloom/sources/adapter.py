@@ -84,6 +84,28 @@ def memberships(events: DataFrame) -> DataFrame:
     return users.select(F.concat(F.lit("u"), F.col("user_id")).alias("client"), F.explode(F.array_distinct(groups)).alias("grp"), seen.alias("last_seen_at"))
 
 
+SERVED = {"help": ("org0", "org1", "org2"), "help-mag": ("org3", "org4"), "help-dnk": ("org5", "org6")}
+
+
+def desk_groups(spark: SparkSession) -> DataFrame:
+    """account, grp: the groups that each desk serves."""
+    return spark.createDataFrame([(a, g) for a, groups in SERVED.items() for g in groups], "account string, grp string")
+
+
+def grants(customers: DataFrame) -> DataFrame:
+    """user, scope_type, scope_value, can_metrics, can_chats; group names in capitals, as people type them."""
+    k = F.col("c_custkey")
+    desk = F.get(F.array(*map(F.lit, DESKS)), F.pmod(k, F.lit(3)).cast("int"))
+    to_desk = k % 4 == 0
+    return customers.select(
+        F.concat(F.lit("m"), (k % 40).cast("string")).alias("user"),
+        F.when(to_desk, "help_account").otherwise("group").alias("scope_type"),
+        F.when(to_desk, desk).otherwise(F.concat(F.lit("ORG"), (F.col("c_nationkey") % 7).cast("string"))).alias("scope_value"),
+        (k % 5 != 0).alias("can_metrics"),
+        (k % 3 != 0).alias("can_chats"),
+    ).distinct()
+
+
 @dataclass
 class Desk:
     """What reports read: messages, tickets, memberships, and the time just after the last message."""
@@ -92,23 +114,42 @@ class Desk:
     ticket: DataFrame
     member: DataFrame
     horizon: object
+    folder: str = ""
 
     @property
     def spark(self) -> SparkSession:
         return self.message.sparkSession
 
+    @property
+    def grants(self) -> DataFrame:
+        return grants(self.spark.read.parquet(f"{self.folder}/customer.parquet").select("c_custkey", "c_nationkey"))
+
+    @property
+    def desk_groups(self) -> DataFrame:
+        return desk_groups(self.spark)
+
 
 _DESKS: dict[tuple[str, str], Desk] = {}
 
 
+def forget() -> None:
+    """Drop the tables that are held; to be called when what they were made from has changed."""
+    for d in _DESKS.values():
+        for df in (d.message, d.ticket, d.member):
+            df.unpersist()
+    _DESKS.clear()
+
+
 def desk(spark: SparkSession, sf_dir: str) -> Desk:
-    """The tables over ``events`` of a folder, held once for each session and folder."""
+    """The tables over ``events`` of a folder; those of the last folder asked for are held."""
     from ..operators.tickets import tickets
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DESKS:
+        forget()
         events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-        message = messages(events).persist()
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        message = messages(events.repartition(tasks, "user_id")).persist()  # one small file would be one task
         last = message.agg(F.max("created_at") + F.expr("INTERVAL 1 SECOND")).first()[0]
-        _DESKS[key] = Desk(message, tickets(message).persist(), memberships(events).persist(), last)
+        _DESKS[key] = Desk(message, tickets(message).persist(), memberships(events).persist(), last, sf_dir)
     return _DESKS[key]
