@@ -197,30 +197,36 @@ def _shared(rows: DataFrame, size: int, bands: Bands, tile: int = 500_000) -> Da
     return found.where("place <> 0 OR lo < hi").select("sig", "node")
 
 
-def _blocks(shared: DataFrame, nodes: DataFrame, pair_rows: int = 8) -> DataFrame:
+def _blocks(shared: DataFrame, nodes: DataFrame, pair_rows: int = 16) -> DataFrame:
     """(node, block) of all nodes that may have a link; a block holds all links of its nodes.
 
     Signatures that up to ``pair_rows`` nodes have are counted by pair: a pair stays if that count, and all signatures of more nodes
-    that both may share, reach what either needs. A pair without any such signature has enough of the others, which star around their least node.
+    that both may share, reach what either needs. A pair without any such signature shares enough of the others: then one lies
+    in the prefixes of both, rarest first, that leave out one less than a link needs, and nodes star around the least one of each.
     """
     needs = nodes.select("node", F.posexplode(F.array("need_0", "need_1")).alias("parity", "need"))
     each = shared.groupBy("node", F.expr("CAST(sig & 1 AS int)").alias("parity")).agg(F.collect_set("sig").alias("sigs"))  # no more than a text has n-grams
     held = scratch.table(each.join(needs, ["node", "parity"]).where(F.size("sigs") >= F.col("need")).select("node", "parity", "need", "sigs"), "signed")
     cells = held.select("node", "parity", "need", F.explode("sigs").alias("sig"))
     sizes = cells.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-    cells = scratch.table(cells.join(sizes, "sig").withColumn("wide", F.col("c") > pair_rows).drop("c"), "cells")
-    wide = cells.where("wide").groupBy("node", "parity").agg(F.count("*").alias("n_wide"))
-    about = held.select("node", "parity", "need").join(wide, ["node", "parity"], "left").fillna(0, ["n_wide"])
-    one, two = (cells.where("NOT wide").select("sig", "parity", F.col("node").alias(x)) for x in ("a", "b"))
+    cells = scratch.table(cells.join(sizes, "sig"), "cells")
+    wide = cells.where(F.col("c") > pair_rows).groupBy("node", "parity", "need").agg(F.sort_array(F.collect_list(F.struct("c", "sig"))).alias("wide"))
+    wide = scratch.table(wide, "wide")
+    about = held.select("node", "parity", "need").join(wide.select("node", "parity", F.size("wide").alias("n_wide")), ["node", "parity"], "left").fillna(0, ["n_wide"])
+    one, two = (cells.where(F.col("c") <= pair_rows).select("sig", "parity", F.col("node").alias(x)) for x in ("a", "b"))
     met = one.join(two.drop("parity"), "sig").where("a < b").groupBy("a", "b", "parity").agg(F.count("*").alias("met"))
     for x in ("a", "b"):
         met = met.join(about.select(F.col("node").alias(x), "parity", F.col("need").alias(f"need_{x}"), F.col("n_wide").alias(f"wide_{x}")), [x, "parity"])
-    near = met.where("met + least(wide_a, wide_b) >= greatest(need_a, need_b)").select("a", "b")
-    stars = cells.where("wide").join(about.where("n_wide >= need").select("node", "parity"), ["node", "parity"]).select("sig", "node")
-    least = stars.groupBy("sig").agg(F.min("node").alias("b"))
-    stars = stars.join(least, "sig").where("node <> b").select(F.col("node").alias("a"), "b")
-    found = components(near.union(stars).distinct()).toDF("node", "block")
-    return scratch.table(found.union(found.select("block", "block").distinct()), "blocks", held, cells)
+    near = met.where("met + least(wide_a, wide_b) >= greatest(need_a, need_b)").select(F.col("b").alias("u"), F.col("a").alias("v"))
+    prefix = F.expr("transform(slice(wide, 1, cast(size(wide) - need + 1 AS int)), x -> x.sig)")
+    stars = wide.where(F.size("wide") >= F.col("need")).select("node", F.explode(prefix).alias("sig"))
+    least = stars.groupBy("sig").agg(F.min("node").alias("v"))
+    stars = stars.join(least, "sig").where("node <> v").select(F.col("node").alias("u"), "v")
+    # a node's partners, at most pair_rows of each signature, are tied to its least one: nodes of one group mostly have the same, so few edges are left
+    tied = near.union(stars).groupBy("u").agg(F.sort_array(F.collect_set("v")).alias("v")).select("u", "v", F.col("v")[0].alias("b"))
+    edges = tied.select(F.col("u").alias("a"), "b").union(tied.select(F.explode(F.slice("v", F.lit(2), F.size("v"))), "b")).distinct()
+    found = components(edges).toDF("node", "block")
+    return scratch.table(found.union(found.select("block", "block").distinct()), "blocks", held, cells, wide)
 
 
 def product(sets: list[np.ndarray], bound: Bound, most: int = 1_000_000) -> np.ndarray:
