@@ -3,8 +3,9 @@
 Each rule rejects a text by figures that are plain columns; some figures share a part, such as the array of words. On a sample of
 about ``sample_rows`` rows, drawn from the whole table, each rule's cost is counted (the work of the parts and figures that it needs and
 that no earlier rule has made, by the sample's characters and words) and its selectivity (share rejected of the rows that reach it). The next rule is
-always the one that rejects most per cost, so the order is the same in each run over the same table. Every part, figure and rule is a column
-of its own that is computed only for texts that all earlier rules let pass.
+always the one that rejects most per cost, so the order is the same in each run over the same table. The cascade is one nested expression, in
+which each part and figure is computed once, where the first rule that needs it is reached, and not at all for texts that an earlier rule rejects;
+a filter on the verdict that the optimizer moves to the scan takes it along whole.
 The order changes what a run costs, never which texts are rejected, only by which rule.
 
 A null text has no words. A text without words or lines has 0 for each figure. Repeated rows are judged one by one;
@@ -104,14 +105,12 @@ def needs(rule: Callable[[Metric], Column]) -> list[str]:
     return list(dict.fromkeys([FIGURES[x][0] for x in read if FIGURES[x][0]])) + read
 
 
-def with_figure(docs: DataFrame, name: str, text: str, prefix: str, when: Column | None = None) -> DataFrame:
-    """``docs`` with a part or figure as one more column, null where ``when`` doesn't hold."""
+def with_figure(docs: DataFrame, name: str, text: str, prefix: str) -> DataFrame:
+    """``docs`` with a part or figure as one more column."""
     if name in PARTS:
-        made = PARTS[name][2](_text(text))
-    else:
-        part, *_, build = FIGURES[name]
-        made = build(F.col(prefix + part) if part else _text(text)).cast("long")
-    return docs.withColumn(prefix + name, made if when is None else F.when(when, made))
+        return docs.withColumn(prefix + name, PARTS[name][2](_text(text)))
+    part, *_, build = FIGURES[name]
+    return docs.withColumn(prefix + name, build(F.col(prefix + part) if part else _text(text)).cast("long"))
 
 
 def estimate(docs: DataFrame, text: str = "text", rules: Rules = STANDARD, sample_rows: int = 400) -> list[tuple[str, float, float]]:
@@ -148,16 +147,28 @@ def verdict(order: list[str], made: dict[str, Column]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def cascade(docs: DataFrame, text: str = "text", rules: Rules = STANDARD, out: str = "rejected_by", prefix: str = "__quality_") -> DataFrame:
+def first_hit(order: list[str], rules: Rules, text: Column) -> Column:
+    """The first rule in order that rejects, or null, as one expression: a part or figure is computed where the first rule that needs it is reached."""
+
+    def rule(i: int, made: dict[str, Column]) -> Column:
+        if i == len(order):
+            return F.lit(None).cast("string")
+        return bound([x for x in needs(rules[order[i]]) if x not in made], i, made)
+
+    def bound(missing: list[str], i: int, made: dict[str, Column]) -> Column:
+        if not missing:
+            return F.when(rules[order[i]](made.__getitem__), F.lit(order[i])).otherwise(rule(i + 1, made))
+        x = missing[0]
+        value = PARTS[x][2](text) if x in PARTS else FIGURES[x][3](made[FIGURES[x][0]] if FIGURES[x][0] else text).cast("long")
+        return let(value, lambda v: bound(missing[1:], i, made | {x: v}))
+
+    return rule(0, {})
+
+
+def cascade(docs: DataFrame, text: str = "text", rules: Rules = STANDARD, out: str = "rejected_by") -> DataFrame:
     """``docs`` with the name of the rule that rejects each row (null: none does)."""
-    held, made = docs.withColumn(out, F.lit(None).cast("string")), []
-    for name, _, _ in estimate(docs, text, rules):
-        for x in needs(rules[name]):
-            if x not in made:
-                held = with_figure(held, x, text, prefix, F.col(out).isNull())
-                made.append(x)
-        held = held.withColumn(out, F.coalesce(F.col(out), F.when(rules[name](lambda k: F.col(prefix + k)), F.lit(name))))
-    return held.drop(*(prefix + x for x in made))
+    order = [name for name, _, _ in estimate(docs, text, rules)]
+    return docs.withColumn(out, first_hit(order, rules, _text(text)))
 
 
 def scored(docs: DataFrame, text: str = "text", prefix: str = "quality_", rules: Rules = STANDARD, out: str = "rejected_by") -> DataFrame:
