@@ -1,9 +1,11 @@
 import dataclasses
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from deskloom.operators import verdicts as V
 from deskloom.plans import catalog, drill, metrics as M, more
 from deskloom.sources.adapter import desk
 
@@ -16,7 +18,8 @@ def views():
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for name in ("events", "customer"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
 
@@ -41,6 +44,59 @@ def test_rows_add_up_to_cards(spark):
     assert by["organisation"] == by["category"] == closed
 
 
+def test_cards_agree_with_reports(spark):
+    """Each card's total is the figure of its report."""
+    d, p, s = desk(spark, SF), catalog.PERIOD, catalog.ALL
+    fact = lambda k: {r.fact: r.value for r in drill.facts(drill.cards()[k], d, p, s).collect()}
+    total, open_ = M.summary(d, p, s).first(), M.backlog(d, p, s).first()
+    assert fact("open")["open"] == open_.open_tickets and fact("open")["до 1 дня"] == open_.age_day
+    assert fact("unanswered")["unanswered"] == total.unanswered and fact("expired")["expired"] == total.expired
+    assert fact("fast")["fast"] == total.answered_fast and fact("resolved")["day"] == total.resolved_day and fact("thanked")["thanked"] == total.thanked
+    assert fact("offHours")["off_hours"] == M.off_hours_messages(d, p, s).count()
+
+
+def test_filters_and_focus(spark):
+    d, p, s = desk(spark, SF), catalog.PERIOD, catalog.ALL
+    for k, card in drill.cards().items():
+        tally = drill.tally(card, d, p, s).collect()
+        for r in [r for r in tally if r.breakdown == "organisation"][:2]:
+            rows = drill.population(card, d, p, s, {"organisation": r.label})
+            assert rows.agg(F.sum(card.count.cast("long"))).first()[0] == r["count"]
+        if card.focus is not None and card.moment is not None:
+            assert drill.events(card, d, p, s).count() == drill.population(card, d, p, s).where(card.focus).count()
+    ranked = drill.ranked_clients(drill.cards()["closed"], d, p, s).collect()
+    assert [-r.events for r in ranked] == sorted(-r.events for r in ranked)
+
+
+def test_verdicts_are_written_back_and_kept(spark):
+    d = desk(spark, SF)
+
+    def judge(before, now):
+        return before.map(lambda x: "answer: same")
+
+    n = d.ticket.where("reopen_llm = 'pending'").count()
+    first = V.judged(d.ticket, d.message, judge, budget=3).persist()
+    assert first.count() == min(3, n) > 0
+    again = V.judged(d.ticket, d.message, judge, known=first, budget=2)
+    assert again.count() == min(5, n) and again.distinct().count() == again.count()
+    after = V.written_back(d.ticket, V.judged(d.ticket, d.message, judge, budget=None))
+    assert after.where("reopen_llm = 'pending'").count() == 0 and after.where("reopen_llm = 'same'").count() == n and after.count() == d.ticket.count()
+    assert M.reopens(dataclasses.replace(d, ticket=after), catalog.PERIOD, catalog.ALL).agg(F.sum("confirmed")).first()[0] > M.reopens(d, catalog.PERIOD, catalog.ALL).agg(F.sum("confirmed")).first()[0]
+    first.unpersist()
+
+
+def test_texts_are_cut_at_the_limit(spark):
+    rows = [(["a" * 599, "bc", "d"],), (["a" * 601],), (["a", "b", "c"],), (["x" * 300, "y" * 299, "z" * 9],), ([],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").select(V.joined(F.col("t"))).collect()]
+    assert got == ["a" * 599 + "b", "a" * 600, "a\nb\nc", "x" * 300 + "\n" + "y" * 299, V.NOTHING]
+
+
+def test_monthly_report_files(spark, tmp_path):
+    d = desk(spark, SF)
+    made = M.write_help_report(d, M.Period(datetime(2024, 1, 20), datetime(2024, 2, 3)), "help", f"file://{tmp_path}")
+    assert made == ["help_help_2024-01"] and (tmp_path / made[0] / "Сводка по группам").is_dir()
+
+
 def test_truncated_details(spark):
     rows = M.ticket_details(desk(spark, SF), catalog.PERIOD, catalog.ALL, rows=5).collect()
     assert len(rows) == 5 and all(r.truncated for r in rows)

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from deskloom.operators.scope import Scope, granted
+from deskloom.operators.scope import Scope, granted, scope_of, visible_groups
 from deskloom.sources import archive as A
 from deskloom.sources.store import ConcurrentCommit, Store, monthly_ranges, sheet_name, write_json, write_sheets
 from deskloom.streaming import ingest as I
@@ -168,6 +168,14 @@ def test_scope(spark):
     assert seen(Scope(accounts=("help",))) == ["u1", "u2"] and seen(Scope(accounts=("help",), only_group="B")) == ["u1", "u2"] and seen(Scope(accounts=("other",), groups=("all",))) == []
     tickets = said.select("client", F.lit("help").alias("account"))
     assert Scope(accounts=("help",)).tickets(tickets, member).count() == 4
-    grants = spark.createDataFrame([("x", "account", "help"), ("x", "group", "C")], "user string, scope_type string, scope_value string")
+    rows = [("x", "help_account", "HELP", True, False), ("x", "group", "C", True, True), ("y", "group", "c", False, True)]
+    grants = spark.createDataFrame(rows, "user string, scope_type string, scope_value string, can_metrics boolean, can_chats boolean")
     desks = spark.createDataFrame([("help", "A")], "account string, grp string")
     assert sorted(map(repr, granted(grants, desks).collect())) == ["Row(user='x', account='help', grp='A')", "Row(user='x', account=None, grp='C')"]
+    assert sorted(tuple(r) for r in visible_groups(grants, desks, "chats").collect()) == [("x", "c"), ("y", "c")]
+    own = scope_of(grants, desks, "x")
+    assert own == Scope(accounts=("help",), groups=("c",)) and scope_of(grants, desks, "y") == Scope() == scope_of(grants, desks, "nobody")
+    assert own.may_report("Help") and not own.may_report("help-mag") and own.narrowed("C").only_group == "C"
+    with pytest.raises(PermissionError):
+        own.narrowed("B")
+    assert seen(Scope(groups=("a",))) == ["u1"] and seen(Scope(accounts=("HELP",), only_group="b")) == ["u1", "u2"]
