@@ -147,13 +147,15 @@ WITH {NAMES} SELECT client, any_value(group_names) AS group_names, count(*) AS t
 FROM ticket t LEFT JOIN gn USING (client) WHERE {between("opened_at")} GROUP BY client ORDER BY tickets DESC, messages DESC, client LIMIT 20"""
 HELP_SUMS = f"""SELECT group_name, count(*) AS users, {total("total_messages")} AS messages, {total("closed_requests")} AS closed, {total("rejected_requests")} AS rejected
 FROM ({HELP_USERS}) GROUP BY group_name"""
-SLOW = "SELECT * EXCLUDE (frt_seconds), CASE WHEN client IN (SELECT client FROM client_group WHERE grp IN ('org1', 'org4')) AND opened_at >= TIMESTAMP '2024-01-24' THEN 2 * frt_seconds + 9000 ELSE frt_seconds END AS frt_seconds FROM ticket"
+SLOW = """SELECT * EXCLUDE (frt_seconds), CASE WHEN client IN (SELECT client FROM client_group WHERE grp IN ('org1', 'org4')) AND opened_at < TIMESTAMP '2024-01-22' THEN frt_seconds // 10
+  ELSE frt_seconds END AS frt_seconds FROM ticket"""
 
 
 def slowed(d: Desk) -> Desk:
-    """Desk tables in which two organisations had slower answers in the last days, so that the alert has something to find."""
+    """Desk tables in which two organisations had quicker answers before the last days, so that the alert has something to find."""
     late = d.member.where(F.col("grp").isin("org1", "org4")).select("client", F.lit(True).alias("late")).distinct()
-    frt = F.when(F.col("late") & (F.col("opened_at") >= F.lit(datetime(2024, 1, 24))), 2 * F.col("frt_seconds") + 9000).otherwise(F.col("frt_seconds"))
+    quick = F.col("late") & (F.col("opened_at") < F.lit(datetime(2024, 1, 22)))
+    frt = F.when(quick, F.floor(F.col("frt_seconds") / 10)).otherwise(F.col("frt_seconds"))
     return replace(d, ticket=d.ticket.join(late, "client", "left").withColumn("frt_seconds", frt).select(d.ticket.columns))
 
 

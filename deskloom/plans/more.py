@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import replace
-from datetime import datetime
+from datetime import date, datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..functions import working_time as W
 from ..operators import events, scope, verdicts
 from ..operators.scope import Scope
 from ..sources import archive
+from ..sources.store import Store, monthly_ranges
 from . import catalog as C, dashboard as D, drill, metrics as M
 
 P, ALL = C.PERIOD, C.ALL
@@ -72,6 +75,33 @@ TREND = C.REPORTS["q_category_timeseries"][1]
 KEY = r"list_aggregate(list_transform(regexp_extract_all(client, '(\d+|\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 20, '0') ELSE lower(x) END), 'string_agg', '')"
 MINUTES = "floor((epoch(created_at) - epoch(lag(created_at) OVER w)) / 60)"
 
+ARCHIVE = """SELECT source_id * 4 AS id, author AS username, txt FROM message WHERE source_id % 17 <> 0 UNION ALL SELECT source_id * 4 + 1, recipient, txt FROM message
+  UNION ALL SELECT source_id * 4 + 2, author, '  ' FROM message WHERE source_id % 13 = 0 UNION ALL SELECT source_id * 4 + 3, 'u1', 'между собой' FROM message WHERE source_id % 19 = 0"""
+
+
+def _rosters(d):
+    """The users and groups of a chat server whose desks serve the groups they have here."""
+    served = d.desk_groups.groupBy("account").agg(F.sort_array(F.collect_list("grp")).alias("groups"))
+    users = served.select(F.concat("account", F.lit("@desk")).alias("jid"), F.concat(F.lit("help-of-"), "account").alias("grp"))
+    names = F.array_join(F.transform("groups", lambda g: F.concat(F.lit('<<"'), g, F.lit('">>'))), ",")
+    term = F.concat(F.lit('[{name,<<"desk">>},{displayed_groups,[<<"all">>,<<"help-x">>,'), names, F.lit("]}]"))
+    return users, served.select(F.concat(F.lit("HELP-of-"), "account").alias("name"), term.alias("opts"))
+
+
+def _stored(d):
+    """Tickets by client after two commits to a store of buckets, the second of which rewrites some of them."""
+    spark = d.spark
+    base = spark.conf.get("spark.checkpoint.dir", None)  # the folder that the driver and all executors share
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    base = base or f"file://{tempfile.gettempdir()}/deskloom-stores"
+    store = Store(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", buckets=8)
+    state = store.commit(store.state(), 0, replace={"ticket": d.ticket.withColumn("messages_in", F.col("messages_in") + 1)})
+    state = store.commit(state, 1, rewrite={"ticket": (d.ticket.where(store.bucket(F.col("client")) < 4), range(4))})
+    store.commit(state, 2, rewrite={"ticket": (d.ticket.where(store.bucket(F.col("client")) >= 4), range(4, 8))})
+    return store.table("ticket").groupBy("client").agg(F.count("*").alias("tickets"), F.sum("messages_in").alias("messages_in"))
+
+
 FACTS = {
     "messages": {
         "total": "sum(messages_in + messages_out)", "from_clients": "sum(messages_in)", "from_clients_pct": _pct("sum(messages_in)", "sum(messages_in + messages_out)"), "from_support": "sum(messages_out)", "clients": "count(*)",
@@ -309,6 +339,34 @@ REPORTS = {
         "SELECT client, author, recipient, direction, txt, created_at FROM message",
         False,
     ),
+    "scan_archive_keyset": (
+        lambda d: archive.archived(d.message).where("id > 20000 AND txt IS NOT NULL").select("id", "username", "txt"),
+        f"SELECT id, username, txt FROM ({ARCHIVE}) WHERE id > 20000",
+        False,
+    ),
+    "scan_max_id": (lambda d: archive.archived(d.message).agg(F.max("id").alias("top")), f"SELECT max(id) AS top FROM ({ARCHIVE})", False),
+    "scan_membership": (
+        lambda d: archive.memberships(
+            d.member.select(F.concat(F.upper("client"), F.lit("@desk")).alias("jid"), "grp"),
+            d.member.where("last_seen_at IS NOT NULL").select(F.col("client").alias("username"), F.unix_seconds(F.col("last_seen_at").cast("timestamp")).alias("seconds")).distinct(),
+            "Asia/Yekaterinburg",
+            "Europe/Moscow",
+        ),
+        "SELECT client, grp, last_seen_at + INTERVAL 3 HOURS AS last_seen_at FROM client_group",
+        False,
+    ),
+    "scan_desk_groups": (
+        lambda d: archive.desk_groups(*_rosters(d)),
+        "SELECT * FROM (VALUES ('help', 'org0'), ('help', 'org1'), ('help', 'org2'), ('help-mag', 'org3'), ('help-mag', 'org4'), ('help-dnk', 'org5'), ('help-dnk', 'org6')) AS t(account, grp)",
+        False,
+    ),
+    "monthly_ranges": (
+        lambda d: d.spark.createDataFrame(monthly_ranges(date(2024, 1, 30), date(2024, 6, 3)), "first date, last date"),
+        """SELECT CAST(greatest(m, DATE '2024-01-30') AS DATE) AS first, CAST(least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE '2024-06-03') AS DATE) AS last
+        FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-07-01', INTERVAL 1 MONTH)) AS m)""",
+        False,
+    ),
+    "sink_rewrite_buckets": (_stored, "SELECT client, count(*) AS tickets, CAST(sum(messages_in) AS BIGINT) AS messages_in FROM ticket GROUP BY client", True),
     "ingest_stanza_ids": (
         lambda d: archive.archived(d.message).select("id", archive.stanza_id(F.col("xml")).alias("stanza")),
         """WITH c AS (SELECT source_id, 's' || lpad(CAST(source_id AS VARCHAR), 9, '0') AS stanza FROM message)
