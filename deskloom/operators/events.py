@@ -15,7 +15,9 @@ def _minutes(a: Column, b: Column) -> Column:
 def bursts(rows: DataFrame, key: str = "client", at: str = "at", gap: int = GAP_MINUTES) -> DataFrame:
     """The rows that start a run of times: the first of a key, and those after a quiet gap of ``gap`` minutes or more."""
     before = F.lag(at).over(Window.partitionBy(key).orderBy(at))
-    return rows.withColumn("__before", before).where(F.col("__before").isNull() | (_minutes(F.col("__before"), F.col(at)) >= gap)).drop("__before")
+    return rows.withColumn("__before", before).where(
+        F.col("__before").isNull() | (_minutes(F.col("__before"), F.col(at)) >= gap)
+    ).drop("__before")
 
 
 def conversation_days(messages: DataFrame) -> DataFrame:

@@ -90,7 +90,9 @@ def scopes(grants: DataFrame, desk_groups: DataFrame, area: str = "metrics") ->
     """user, accounts, own_groups: the desks granted, and the groups granted as such, in order."""
     g = granted(grants, desk_groups, area)
     names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    return g.groupBy("user").agg(names("account").alias("accounts"), names(F.when(F.col("account").isNull(), F.lower("grp"))).alias("own_groups"))
+    return g.groupBy("user").agg(
+        names("account").alias("accounts"), names(F.when(F.col("account").isNull(), F.lower("grp"))).alias("own_groups")
+    )
 
 
 def scope_of(grants: DataFrame, desk_groups: DataFrame, user: str, area: str = "metrics") -> Scope:

@@ -48,8 +48,13 @@ def candidates(tickets: DataFrame, messages: DataFrame) -> DataFrame:
     linked = tickets.where("reopened_from IS NOT NULL")
     pairs = linked.join(old, linked["reopened_from"] == old["p"]).select("id", "client", "opened_at", "start", "end")
     before = first_texts(pairs.select("id", "client", "start", "end"), messages)
-    now = first_texts(pairs.select("id", "client", F.col("opened_at").alias("start"), F.lit(None).cast("timestamp_ntz").alias("end")), messages)
-    return pairs.select("id", "client", "opened_at").join(before.withColumnRenamed("text", "before"), "id").join(now.withColumnRenamed("text", "now"), "id")
+    now = first_texts(
+        pairs.select("id", "client", F.col("opened_at").alias("start"), F.lit(None).cast("timestamp_ntz").alias("end")),
+        messages
+    )
+    return pairs.select("id", "client", "opened_at").join(
+        before.withColumnRenamed("text", "before"), "id"
+    ).join(now.withColumnRenamed("text", "now"), "id")
 
 
 def judged(tickets: DataFrame, messages: DataFrame, judge: Judge, known: DataFrame | None = None, budget: int | None = BUDGET) -> DataFrame:
@@ -74,4 +79,7 @@ def written_back(tickets: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Tickets with the verdicts on those that wait for one; the others as they were."""
     said = verdicts.select("client", "opened_at", F.col("verdict").alias("__verdict"))
     joined_ = tickets.join(said, ["client", "opened_at"], "left")
-    return joined_.withColumn("reopen_llm", F.when(F.col("reopen_llm") == "pending", F.coalesce("__verdict", "reopen_llm")).otherwise(F.col("reopen_llm"))).select(tickets.columns)
+    return joined_.withColumn(
+        "reopen_llm",
+        F.when(F.col("reopen_llm") == "pending", F.coalesce("__verdict", "reopen_llm")).otherwise(F.col("reopen_llm"))
+    ).select(tickets.columns)

@@ -18,7 +18,10 @@ def overall_frt(desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
 
 
 def totals(desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
-    return M.timeseries(desk, p, scope).agg(*(M.total(c).alias(c) for c in ("messages", "closed", "rejected")), F.round(F.avg("messages")).cast("long").alias("per_bucket"))
+    return M.timeseries(desk, p, scope).agg(
+        *(M.total(c).alias(c) for c in ("messages", "closed", "rejected")),
+        F.round(F.avg("messages")).cast("long").alias("per_bucket")
+    )
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -28,7 +31,10 @@ def share(part: Column, whole: Column) -> Column:
 
 def reopen_rate(desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
     sums = M.reopens(desk, p, scope).agg(*(M.total(c).alias(c) for c in ("closed", "probable", "confirmed")))
-    return sums.select("*", share(F.col("probable"), F.col("closed")).alias("probable_pct"), share(F.col("confirmed"), F.col("closed")).alias("confirmed_pct"))
+    return sums.select(
+        "*", share(F.col("probable"), F.col("closed")).alias("probable_pct"),
+        share(F.col("confirmed"), F.col("closed")).alias("confirmed_pct")
+    )
 
 
 def classified(desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
@@ -47,8 +53,12 @@ def heatmap_average(desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
 def category_trend(desk: Desk, p: M.Period, scope: Scope, top: int = TREND_TOP) -> DataFrame:
     """Requests by day of the largest named categories, the rest pooled, days without any filled with 0."""
     trend = M.category_timeseries(desk, p, scope)
-    best = trend.where(F.col("category") != OTHER).groupBy("category").agg(F.sum("requests").alias("n")).orderBy(F.desc("n"), "category").limit(top).select("category", F.lit(True).alias("top"))
-    pooled = trend.join(F.broadcast(best), "category", "left").select("bucket", F.when(F.col("top"), F.col("category")).otherwise(POOLED).alias("category"), "requests")
+    best = trend.where(F.col("category") != OTHER).groupBy("category").agg(F.sum("requests").alias("n")).orderBy(F.desc("n"), "category").limit(top).select(
+        "category", F.lit(True).alias("top")
+    )
+    pooled = trend.join(F.broadcast(best), "category", "left").select(
+        "bucket", F.when(F.col("top"), F.col("category")).otherwise(POOLED).alias("category"), "requests"
+    )
     names = best.select("category").union(desk.spark.createDataFrame([(POOLED,)], "category string"))
     grid = trend.select("bucket").distinct().crossJoin(F.broadcast(names))  # days by seven names
     sums = pooled.groupBy("bucket", "category").agg(F.sum("requests").alias("requests"))
@@ -67,9 +77,14 @@ def numbered_clients(desk: Desk) -> DataFrame:
     tasks = int(desk.spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that ranges stay as they are dealt
     dealt = names.repartitionByRange(tasks, "k").withColumn("part", F.spark_partition_id())
     sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"))  # one row for each range
-    before = sizes.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = sizes.select(
+        "part",
+        F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
     nth = F.row_number().over(Window.partitionBy("part").orderBy("k", "client"))
-    return dealt.withColumn("nth", nth).join(F.broadcast(before), "part").select("client", (F.col("before") + F.col("nth")).cast("int").alias("place"))
+    return dealt.withColumn("nth", nth).join(F.broadcast(before), "part").select(
+        "client", (F.col("before") + F.col("nth")).cast("int").alias("place")
+    )
 
 
 def humanized(seconds: Column) -> Column:

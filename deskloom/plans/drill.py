@@ -76,9 +76,18 @@ def cards() -> dict[str, Card]:
     res = histogram("resolution_seconds", RESOLUTION)
     return {
         "messages": Card(M.client_messages, F.expr("messages_in + messages_out"), facts=_message_facts()),
-        "offHours": Card(M.client_messages, F.expr("off_hours_night + off_hours_weekend"), F.col("messages_in"), facts=_off_hours_facts(), focus=F.expr("off_hours_night + off_hours_weekend > 0")),
-        "closed": Card(_closed("closed"), one, None, {"closed_by": by, "resolution": res, "category": category}, _closed_facts(), moment=F.col("closed_at")),
-        "rejected": Card(_closed("rejected"), one, None, {"closed_by": by, "category": category}, {"rejected": F.count("*")}, moment=F.col("closed_at")),
+        "offHours": Card(
+            M.client_messages, F.expr("off_hours_night + off_hours_weekend"), F.col("messages_in"),
+            facts=_off_hours_facts(), focus=F.expr("off_hours_night + off_hours_weekend > 0")
+        ),
+        "closed": Card(
+            _closed("closed"), one, None, {"closed_by": by, "resolution": res, "category": category}, _closed_facts(),
+            moment=F.col("closed_at")
+        ),
+        "rejected": Card(
+            _closed("rejected"), one, None, {"closed_by": by, "category": category}, {"rejected": F.count("*")},
+            moment=F.col("closed_at")
+        ),
         "open": Card(
             _open,
             one,
@@ -104,25 +113,43 @@ def cards() -> dict[str, Card]:
             F.col("status") == "expired",
             F.col("last_activity"),
         ),
-        "fast": Card(_opened, flag("answered_fast"), flag("answered"), {"frt": histogram("frt_seconds", FRT), "first": first}, _fast_facts(), ~F.col("answered_fast"), F.col("opened_at")),
-        "resolved": Card(_opened, flag("resolved_hour"), flag("resolved"), {"resolution": res, "closed_by": by}, _resolved_facts(), ~F.col("resolved_hour"), F.col("opened_at")),
-        "thanked": Card(_opened, flag("thanked"), flag("status = 'closed'"), {"closed_by": by, "category": category}, _thanked_facts(), F.col("thanked"), F.col("closed_at")),
+        "fast": Card(
+            _opened, flag("answered_fast"), flag("answered"), {"frt": histogram("frt_seconds", FRT), "first": first},
+            _fast_facts(), ~F.col("answered_fast"), F.col("opened_at")
+        ),
+        "resolved": Card(
+            _opened, flag("resolved_hour"), flag("resolved"), {"resolution": res, "closed_by": by}, _resolved_facts(),
+            ~F.col("resolved_hour"), F.col("opened_at")
+        ),
+        "thanked": Card(
+            _opened, flag("thanked"), flag("status = 'closed'"), {"closed_by": by, "category": category},
+            _thanked_facts(), F.col("thanked"), F.col("closed_at")
+        ),
     }
 
 
 def _message_facts() -> dict[str, Column]:
     both = M.total(F.col("messages_in") + F.col("messages_out"))
-    return {"total": both, "from_clients": M.total("messages_in"), "from_clients_pct": _share(M.total("messages_in"), both), "from_support": M.total("messages_out"), "clients": F.count("*")}
+    return {
+        "total": both, "from_clients": M.total("messages_in"), "from_clients_pct": _share(M.total("messages_in"), both),
+        "from_support": M.total("messages_out"), "clients": F.count("*")
+    }
 
 
 def _off_hours_facts() -> dict[str, Column]:
     off = M.total(F.col("off_hours_night") + F.col("off_hours_weekend"))
-    return {"off_hours": off, "off_hours_pct": _share(off, M.total("messages_in")), "night": M.total("off_hours_night"), "weekend": M.total("off_hours_weekend"), "incoming": M.total("messages_in")}
+    return {
+        "off_hours": off, "off_hours_pct": _share(off, M.total("messages_in")), "night": M.total("off_hours_night"),
+        "weekend": M.total("off_hours_weekend"), "incoming": M.total("messages_in")
+    }
 
 
 def _closed_facts() -> dict[str, Column]:
     all_, thanked, again = F.count("*"), M.n(F.col("thanked")), M.n(F.col("reopened"))
-    return {"closed": all_, "median_resolution": _median("resolution_seconds", "resolved"), "thanked": thanked, "thanked_pct": _share(thanked, all_), "reopened": again, "reopened_pct": _share(again, all_)}
+    return {
+        "closed": all_, "median_resolution": _median("resolution_seconds", "resolved"), "thanked": thanked,
+        "thanked_pct": _share(thanked, all_), "reopened": again, "reopened_pct": _share(again, all_)
+    }
 
 
 def _open_facts() -> dict[str, Column]:
@@ -150,12 +177,18 @@ def _expired_facts() -> dict[str, Column]:
 
 def _fast_facts() -> dict[str, Column]:
     fast, hour, all_ = M.n(F.col("answered_fast")), M.n(F.col("answered_hour")), F.count("*")
-    return {"fast": fast, "fast_pct": _share(fast, all_), "hour": hour, "hour_pct": _share(hour, all_), "median_frt": _median("frt_seconds"), "answered": all_}
+    return {
+        "fast": fast, "fast_pct": _share(fast, all_), "hour": hour, "hour_pct": _share(hour, all_),
+        "median_frt": _median("frt_seconds"), "answered": all_
+    }
 
 
 def _resolved_facts() -> dict[str, Column]:
     hour, day, all_ = M.n(F.col("resolved_hour")), M.n(F.col("resolved_day")), F.count("*")
-    return {"hour": hour, "hour_pct": _share(hour, all_), "day": day, "day_pct": _share(day, all_), "median_resolution": _median("resolution_seconds"), "resolved": all_}
+    return {
+        "hour": hour, "hour_pct": _share(hour, all_), "day": day, "day_pct": _share(day, all_),
+        "median_resolution": _median("resolution_seconds"), "resolved": all_
+    }
 
 
 def _thanked_facts() -> dict[str, Column]:
@@ -167,7 +200,9 @@ def population(card: Card, desk: Desk, p: M.Period, scope: Scope, only: dict[str
     rows = card.rows(desk, p, scope)
     rows = rows if card.base is None else rows.where(card.base > 0)
     for breakdown, label in (only or {}).items():
-        rows = rows.where(F.coalesce("group_names", F.lit(NO_GROUP)) == label if breakdown == "organisation" else card.breakdowns[breakdown] == label)
+        rows = rows.where(
+            F.coalesce("group_names", F.lit(NO_GROUP)) == label if breakdown == "organisation" else card.breakdowns[breakdown] == label
+        )
     return rows
 
 
@@ -197,7 +232,12 @@ def tally(card: Card, desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
     """One pass: each row gives a line for every breakdown it has a label in, summed before the shuffle."""
     labels = {"organisation": F.coalesce("group_names", F.lit(NO_GROUP)), **card.breakdowns}
     lines = F.array(*(F.struct(F.lit(k).alias("breakdown"), c.alias("label")) for k, c in labels.items()))
-    rows = card.rows(desk, p, scope).select(card.count.cast("long").alias("count"), (card.base if card.base is not None else F.lit(0)).cast("long").alias("base"), lines.alias("lines"))
+    rows = card.rows(desk, p, scope).select(
+        card.count.cast("long").alias("count"),
+        (card.base if card.base is not None else F.lit(0)).cast("long").alias("base"), lines.alias("lines")
+    )
     rows = rows.where("base > 0") if card.base is not None else rows
-    flat = rows.select("count", "base", F.explode("lines").alias("line")).select("count", "base", "line.breakdown", "line.label").where("label IS NOT NULL")
+    flat = rows.select(
+        "count", "base", F.explode("lines").alias("line")
+    ).select("count", "base", "line.breakdown", "line.label").where("label IS NOT NULL")
     return flat.groupBy("breakdown", "label").agg(M.total("count").alias("count"), M.total("base").alias("base"))

@@ -76,7 +76,9 @@ def still_open(desk: Desk, p: Period) -> Column:
 
 def returned(desk: Desk, scope: Scope) -> DataFrame:
     """id of tickets that a visible ticket probably continues."""
-    return scope.tickets(desk.ticket, desk.member).where(probable()).select(F.col("reopened_from").alias("id"), F.lit(True).alias("reopened")).distinct()
+    return scope.tickets(desk.ticket, desk.member).where(probable()).select(
+        F.col("reopened_from").alias("id"), F.lit(True).alias("reopened")
+    ).distinct()
 
 
 def timeseries(desk: Desk, p: Period, scope: Scope, unit: str = "day") -> DataFrame:
@@ -88,8 +90,12 @@ def timeseries(desk: Desk, p: Period, scope: Scope, unit: str = "day") -> DataFr
         return rows.groupBy("bucket").agg(*(total(x).alias(x) for x in names))
 
     one, closed = F.lit(1), F.col("closed_at")
-    parts = part(messages, F.col("created_at"), messages=one).unionByName(part(tickets, F.col("opened_at"), opened=one)).unionByName(part(tickets, until(), resolved=one))
-    parts = parts.unionByName(part(tickets, closed, closed=(F.col("status") == "closed").cast("int"), rejected=(F.col("status") == "rejected").cast("int")))
+    parts = part(messages, F.col("created_at"), messages=one).unionByName(
+        part(tickets, F.col("opened_at"), opened=one)
+    ).unionByName(part(tickets, until(), resolved=one))
+    parts = parts.unionByName(
+        part(tickets, closed, closed=(F.col("status") == "closed").cast("int"), rejected=(F.col("status") == "rejected").cast("int"))
+    )
     base = tickets.agg(n((F.col("opened_at") < F.lit(p.start)) & (until() >= F.lit(p.start))).alias("before"))
     by = parts.groupBy("bucket").agg(*(total(x).alias(x) for x in names))
     running = F.sum(F.col("opened") - F.col("resolved")).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # a row for each bucket
@@ -102,7 +108,8 @@ def backlog(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     held = scope.tickets(desk.ticket, desk.member).where((F.col("opened_at") < end) & (until() >= end))
     as_of = end if desk.horizon is None or p.end < desk.horizon else end - F.expr("INTERVAL 1 SECOND")
     return held.agg(
-        F.count("*").alias("open_tickets"), n(age <= 1).alias("age_day"), n(age.between(2, 3)).alias("age_three_days"), n(age.between(4, 7)).alias("age_week"), n(age.between(8, 30)).alias("age_month"),
+        F.count("*").alias("open_tickets"), n(age <= 1).alias("age_day"), n(age.between(2, 3)).alias("age_three_days"),
+        n(age.between(4, 7)).alias("age_week"), n(age.between(8, 30)).alias("age_month"),
         n(age > 30).alias("age_older"), F.min("opened_at").alias("oldest_opened_at"),
     ).select(as_of.alias("as_of"), "*")
 
@@ -113,7 +120,10 @@ def backlog_tickets(desk: Desk, p: Period, scope: Scope, rows: int | None = BACK
     held = scope.tickets(desk.ticket, desk.member).where((F.col("opened_at") < end) & (until() >= end))
     held = held if rows is None else held.orderBy(F.desc("opened_at"), F.desc("id")).limit(rows)
     held = held.join(group_names(desk.member), "client", "left")
-    return held.select("client", "group_names", "opened_at", F.datediff(end, "opened_at").alias("age_days"), "last_activity", "category", "messages_in", "messages_out", "first_responder", F.col("status").alias("final_status"), "closed_at")
+    return held.select(
+        "client", "group_names", "opened_at", F.datediff(end, "opened_at").alias("age_days"), "last_activity",
+        "category", "messages_in", "messages_out", "first_responder", F.col("status").alias("final_status"), "closed_at"
+    )
 
 
 def heatmap(desk: Desk, p: Period, scope: Scope) -> DataFrame:
@@ -123,7 +133,10 @@ def heatmap(desk: Desk, p: Period, scope: Scope) -> DataFrame:
 
 
 def _spread(rows: DataFrame, by: Column | str, c: str, count: str) -> DataFrame:
-    return rows.groupBy(by).agg(F.count("*").alias(count), mean(c).alias("avg_seconds"), at(c, 0.5).alias("p50_seconds"), at(c, 0.9).alias("p90_seconds"))
+    return rows.groupBy(by).agg(
+        F.count("*").alias(count), mean(c).alias("avg_seconds"), at(c, 0.5).alias("p50_seconds"),
+        at(c, 0.9).alias("p90_seconds")
+    )
 
 
 def sla(desk: Desk, p: Period, scope: Scope, unit: str = "day") -> DataFrame:
@@ -134,14 +147,21 @@ def sla(desk: Desk, p: Period, scope: Scope, unit: str = "day") -> DataFrame:
 
 def resolution(desk: Desk, p: Period, scope: Scope, unit: str = "day") -> DataFrame:
     t = W.next_working_day(F.col("closed_at"))
-    rows = scope.tickets(desk.ticket, desk.member).where(p.holds(t) & (F.col("status") == "closed") & (F.col("resolution_seconds") <= MAX_RESOLUTION))
+    rows = scope.tickets(desk.ticket, desk.member).where(
+        p.holds(t) & (F.col("status") == "closed") & (F.col("resolution_seconds") <= MAX_RESOLUTION)
+    )
     return _spread(rows, W.bucket(t, unit).alias("bucket"), "resolution_seconds", "resolved")
 
 
 def _reopen_parts(rows: DataFrame, p: Period, key_closed: Column, key_opened: Column, name: str) -> DataFrame:
     zero = F.lit(0)
-    ended = rows.where(p.holds(F.col("closed_at")) & F.col("status").isin("closed", "rejected")).select(key_closed.alias(name), F.lit(1).alias("closed"), zero.alias("probable"), zero.alias("confirmed"))
-    again = rows.where(p.holds(F.col("opened_at")) & probable()).select(key_opened.alias(name), zero.alias("closed"), F.lit(1).alias("probable"), confirmed().cast("int").alias("confirmed"))
+    ended = rows.where(p.holds(F.col("closed_at")) & F.col("status").isin("closed", "rejected")).select(
+        key_closed.alias(name), F.lit(1).alias("closed"), zero.alias("probable"), zero.alias("confirmed")
+    )
+    again = rows.where(p.holds(F.col("opened_at")) & probable()).select(
+        key_opened.alias(name), zero.alias("closed"), F.lit(1).alias("probable"),
+        confirmed().cast("int").alias("confirmed")
+    )
     return ended.unionByName(again).groupBy(name).agg(*(total(x).alias(x) for x in ("closed", "probable", "confirmed")))
 
 
@@ -154,8 +174,12 @@ def categories(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     rows = scope.tickets(desk.ticket, desk.member).where(p.holds(F.col("opened_at")))
     solved = F.when((F.col("status") == "closed") & (F.col("resolution_seconds") <= MAX_RESOLUTION), F.col("resolution_seconds"))
     return rows.groupBy("category").agg(
-        F.count("*").alias("requests"), at(F.when(F.col("frt_seconds") <= MAX_FRT, F.col("frt_seconds")), 0.5).alias("p50_frt_seconds"), at(solved, 0.5).alias("p50_resolution_seconds"),
-        mean(F.col("messages_in") + F.col("messages_out")).alias("avg_messages"), n(probable()).alias("reopens"), n(F.col("first_response_at").isNull() & ~still_open(desk, p)).alias("unanswered"),
+        F.count("*").alias("requests"), at(
+            F.when(F.col("frt_seconds") <= MAX_FRT, F.col("frt_seconds")), 0.5
+        ).alias("p50_frt_seconds"), at(solved, 0.5).alias("p50_resolution_seconds"),
+        mean(F.col("messages_in") + F.col("messages_out")).alias("avg_messages"), n(probable()).alias("reopens"), n(
+            F.col("first_response_at").isNull() & ~still_open(desk, p)
+        ).alias("unanswered"),
     )
 
 
@@ -175,18 +199,29 @@ def summary(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     frt, res, closed = F.col("frt_seconds"), F.col("resolution_seconds"), F.col("status") == "closed"
     msgs, open_ = F.col("messages_in") + F.col("messages_out"), F.col("still_open")
     own = rows.agg(
-        F.count("*").alias("opened"), n(closed).alias("closed"), n(F.col("status") == "rejected").alias("rejected"), n(F.col("status").isin("expired", "open") & ~open_).alias("expired"), n(open_).alias("still_open"),
-        n(F.col("first_response_at").isNull() & ~open_).alias("unanswered"), n(frt <= MAX_FRT).alias("answered"), n(frt <= FAST).alias("answered_fast"), n(frt <= HOUR).alias("answered_hour"),
-        n(closed & (res <= MAX_RESOLUTION)).alias("resolved"), n(closed & (res <= HOUR)).alias("resolved_hour"), n(closed & (res <= DAY)).alias("resolved_day"), n(F.col("in_progress_at").isNotNull()).alias("in_progress"),
-        mean("pickup_seconds").alias("avg_pickup_seconds"), n(F.col("thanked") & closed).alias("thanked"), total("replies").alias("replies"), total("reply_seconds").alias("reply_seconds"),
-        mean(msgs).alias("avg_messages"), at(msgs, 0.5).alias("p50_messages"), at(msgs, 0.9).alias("p90_messages"), n(F.col("authors") > 1).alias("handoffs"), F.count_distinct("client").alias("clients"),
+        F.count("*").alias("opened"), n(closed).alias("closed"), n(F.col("status") == "rejected").alias("rejected"), n(
+            F.col("status").isin("expired", "open") & ~open_
+        ).alias("expired"), n(open_).alias("still_open"),
+        n(
+            F.col("first_response_at").isNull() & ~open_
+        ).alias("unanswered"), n(frt <= MAX_FRT).alias("answered"), n(frt <= FAST).alias("answered_fast"), n(frt <= HOUR).alias("answered_hour"),
+        n(closed & (res <= MAX_RESOLUTION)).alias("resolved"), n(closed & (res <= HOUR)).alias("resolved_hour"), n(closed & (res <= DAY)).alias("resolved_day"), n(
+            F.col("in_progress_at").isNotNull()
+        ).alias("in_progress"),
+        mean("pickup_seconds").alias("avg_pickup_seconds"), n(F.col("thanked") & closed).alias("thanked"),
+        total("replies").alias("replies"), total("reply_seconds").alias("reply_seconds"),
+        mean(msgs).alias("avg_messages"), at(msgs, 0.5).alias("p50_messages"), at(msgs, 0.9).alias("p90_messages"),
+        n(F.col("authors") > 1).alias("handoffs"), F.count_distinct("client").alias("clients"),
         F.count_distinct(F.when(F.col("known").isNull(), F.col("client"))).alias("new_clients"),
     )
     arrived = scope.messages(desk.message.where((F.col("direction") == "in") & p.holds(F.col("created_at"))), desk.member)
     return own.crossJoin(arrived.agg(F.count("*").alias("incoming"), n(W.off_hours(F.col("created_at"))).alias("off_hours")))
 
 
-def ticket_details(desk: Desk, p: Period, scope: Scope, cohort: str = "opened", client: str | None = None, rows: int | None = DETAIL_ROWS) -> DataFrame:
+def ticket_details(
+    desk: Desk, p: Period, scope: Scope, cohort: str = "opened", client: str | None = None,
+    rows: int | None = DETAIL_ROWS
+) -> DataFrame:
     """Tickets opened, or closed, in the period with the flags that reports count; ``truncated`` if there were more.
 
     Without ``rows`` every ticket is there."""
@@ -204,10 +239,16 @@ def ticket_details(desk: Desk, p: Period, scope: Scope, cohort: str = "opened",
     frt, res, closed, open_ = F.col("frt_seconds"), F.col("resolution_seconds"), F.col("status") == "closed", still_open(desk, p)
     yes = lambda c: F.coalesce(c, F.lit(False))
     return t.select(
-        "client", "group_names", "opened_at", "last_activity", "closed_at", F.when(open_, "open").when(F.col("status").isin("expired", "open"), "expired").otherwise(F.col("status")).alias("status"),
-        "category", "messages_in", "messages_out", "first_responder", "frt_seconds", "closed_by", "resolution_seconds", F.col("first_response_at").isNull().alias("no_reply"),
-        F.col("awaiting_since").isNotNull().alias("awaiting"), (F.col("thanked") & closed).alias("thanked"), yes(F.col("reopened")).alias("reopened"), yes(frt <= MAX_FRT).alias("answered"),
-        yes(frt <= FAST).alias("answered_fast"), yes(frt <= HOUR).alias("answered_hour"), yes(closed & (res <= MAX_RESOLUTION)).alias("resolved"), yes(closed & (res <= HOUR)).alias("resolved_hour"),
+        "client", "group_names", "opened_at", "last_activity", "closed_at", F.when(open_, "open").when(
+            F.col("status").isin("expired", "open"), "expired"
+        ).otherwise(F.col("status")).alias("status"),
+        "category", "messages_in", "messages_out", "first_responder", "frt_seconds", "closed_by", "resolution_seconds",
+        F.col("first_response_at").isNull().alias("no_reply"),
+        F.col("awaiting_since").isNotNull().alias("awaiting"), (F.col("thanked") & closed).alias("thanked"),
+        yes(F.col("reopened")).alias("reopened"), yes(frt <= MAX_FRT).alias("answered"),
+        yes(frt <= FAST).alias("answered_fast"), yes(frt <= HOUR).alias("answered_hour"), yes(
+            closed & (res <= MAX_RESOLUTION)
+        ).alias("resolved"), yes(closed & (res <= HOUR)).alias("resolved_hour"),
         yes(closed & (res <= DAY)).alias("resolved_day"), "truncated",
     )
 
@@ -216,9 +257,13 @@ def client_messages(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     t, inbound = F.col("created_at"), F.col("direction") == "in"
     rows = scope.messages(desk.message.where(p.holds(t, p.capped(desk))), desk.member)
     by = rows.groupBy("client").agg(
-        n(inbound).alias("messages_in"), n(~inbound).alias("messages_out"), n(inbound & (F.weekday(t) < 5) & W.off_hours(t)).alias("off_hours_night"), n(inbound & (F.weekday(t) >= 5)).alias("off_hours_weekend")
+        n(inbound).alias("messages_in"), n(~inbound).alias("messages_out"), n(
+            inbound & (F.weekday(t) < 5) & W.off_hours(t)
+        ).alias("off_hours_night"), n(inbound & (F.weekday(t) >= 5)).alias("off_hours_weekend")
+    )
+    return by.join(group_names(desk.member), "client", "left").select(
+        "client", "group_names", "messages_in", "messages_out", "off_hours_night", "off_hours_weekend"
     )
-    return by.join(group_names(desk.member), "client", "left").select("client", "group_names", "messages_in", "messages_out", "off_hours_night", "off_hours_weekend")
 
 
 def off_hours_messages(desk: Desk, p: Period, scope: Scope) -> DataFrame:
@@ -229,10 +274,15 @@ def off_hours_messages(desk: Desk, p: Period, scope: Scope) -> DataFrame:
 
 def clients(desk: Desk, p: Period, scope: Scope, rows: int = TOP_CLIENTS) -> DataFrame:
     t = scope.tickets(desk.ticket, desk.member).where(p.holds(F.col("opened_at")))
-    top = t.groupBy("client").agg(F.count("*").alias("tickets"), total(F.col("messages_in") + F.col("messages_out")).alias("messages"), n(probable()).alias("reopens"))
+    top = t.groupBy("client").agg(
+        F.count("*").alias("tickets"), total(F.col("messages_in") + F.col("messages_out")).alias("messages"),
+        n(probable()).alias("reopens")
+    )
     top = top.orderBy(F.desc("tickets"), F.desc("messages"), "client").limit(rows)
     known = desk.ticket.where(F.col("opened_at") < F.lit(p.start)).select("client", F.lit(True).alias("known")).distinct()
-    return top.join(known, "client", "left").join(group_names(desk.member), "client", "left").select("client", "group_names", "tickets", "messages", "reopens", F.col("known").isNull().alias("new_client"))
+    return top.join(known, "client", "left").join(group_names(desk.member), "client", "left").select(
+        "client", "group_names", "tickets", "messages", "reopens", F.col("known").isNull().alias("new_client")
+    )
 
 
 def operators(desk: Desk, p: Period, scope: Scope) -> DataFrame:
@@ -240,8 +290,13 @@ def operators(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     said = said.groupBy(F.col("author").alias("operator")).agg(F.count("*").alias("messages"), F.count_distinct("client").alias("clients"))
     t, closed = scope.tickets(desk.ticket, desk.member), F.col("status") == "closed"
     ends = t.where(p.holds(F.col("closed_at"))).join(returned(desk, scope), "id", "left").groupBy(F.col("closed_by").alias("operator"))
-    ends = ends.agg(n(closed).alias("closed"), n(F.col("status") == "rejected").alias("rejected"), n(F.col("thanked") & closed).alias("thanked"), n(F.col("reopened")).alias("reopened"))
-    first = t.where(p.holds(F.col("opened_at")) & (F.col("frt_seconds") <= MAX_FRT)).groupBy(F.col("first_responder").alias("operator")).agg(mean("frt_seconds").alias("avg_reply_seconds"))
+    ends = ends.agg(
+        n(closed).alias("closed"), n(F.col("status") == "rejected").alias("rejected"),
+        n(F.col("thanked") & closed).alias("thanked"), n(F.col("reopened")).alias("reopened")
+    )
+    first = t.where(
+        p.holds(F.col("opened_at")) & (F.col("frt_seconds") <= MAX_FRT)
+    ).groupBy(F.col("first_responder").alias("operator")).agg(mean("frt_seconds").alias("avg_reply_seconds"))
     both = said.join(ends, "operator", "left").join(first, "operator", "left").fillna(0, ["closed", "rejected", "thanked", "reopened"])
     both = both.select("operator", "messages", "closed", "rejected", "reopened", "thanked", "clients", "avg_reply_seconds")
     return both.orderBy(F.desc("closed"), F.desc("messages"), "operator")
@@ -255,7 +310,9 @@ def _by_client(desk: Desk, p: Period, scope: Scope) -> tuple[DataFrame, DataFram
     said = scope.messages(desk.message.where(p.holds(F.col("created_at"))), desk.member).groupBy("client").agg(F.count("*").alias("total"))
     end, inside = p.capped(desk), p.holds(F.col("closed_at"))
     facts = scope.tickets(desk.ticket, desk.member).groupBy("client").agg(
-        n((F.col("status") == "closed") & inside).alias("closed"), n((F.col("status") == "rejected") & inside).alias("rejected"), n((F.col("opened_at") < end) & (until() >= end)).alias("open_at_end")
+        n((F.col("status") == "closed") & inside).alias("closed"), n((F.col("status") == "rejected") & inside).alias("rejected"), n(
+            (F.col("opened_at") < end) & (until() >= end)
+        ).alias("open_at_end")
     )
     return said, facts
 
@@ -264,34 +321,51 @@ def companies(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     said, facts = _by_client(desk, p, scope)
     rows = scope.group_rows(desk.member).where(real_group(F.col("grp"))).join(said, "client", "left").join(facts, "client", "left")
     return rows.groupBy(F.col("grp").alias("group_name")).agg(
-        F.count_distinct(F.when(F.col("total").isNotNull(), F.col("client"))).alias("active_users"), F.count_distinct("client").alias("total_users"), total("closed").alias("closed_requests"),
+        F.count_distinct(
+            F.when(F.col("total").isNotNull(), F.col("client"))
+        ).alias("active_users"), F.count_distinct("client").alias("total_users"), total("closed").alias("closed_requests"),
         total("rejected").alias("rejected_requests"), total("open_at_end").alias("open_requests"), total("total").alias("total_messages"),
     ).where("total_messages > 0")
 
 
 def users(desk: Desk, p: Period, scope: Scope, group: str) -> DataFrame:
     said, facts = _by_client(desk, p, scope)
-    rows = desk.member.where(F.col("grp") == group).join(said, "client", "left").join(facts, "client", "left").fillna(0, ["closed", "rejected", "open_at_end", "total"])
-    return rows.select(F.col("client").alias("user_name"), "last_seen_at", F.col("closed").alias("closed_requests"), F.col("rejected").alias("rejected_requests"), F.col("open_at_end").alias("open_requests"), F.col("total").alias("total_messages"))
+    rows = desk.member.where(F.col("grp") == group).join(said, "client", "left").join(facts, "client", "left").fillna(
+        0, ["closed", "rejected", "open_at_end", "total"]
+    )
+    return rows.select(
+        F.col("client").alias("user_name"), "last_seen_at", F.col("closed").alias("closed_requests"),
+        F.col("rejected").alias("rejected_requests"), F.col("open_at_end").alias("open_requests"),
+        F.col("total").alias("total_messages")
+    )
 
 
 def chat(desk: Desk, p: Period, scope: Scope, client: str | None = None) -> DataFrame:
     rows = scope.messages(desk.message.where(p.holds(F.col("created_at"))), desk.member)
     rows = rows if client is None else rows.where(F.col("client") == client)
-    return rows.select("client", F.col("author").alias("sender"), "recipient", "direction", F.col("txt").alias("message"), "created_at", "source_id").orderBy("created_at", "source_id").drop("source_id")
+    return rows.select(
+        "client", F.col("author").alias("sender"), "recipient", "direction", F.col("txt").alias("message"),
+        "created_at", "source_id"
+    ).orderBy("created_at", "source_id").drop("source_id")
 
 
 def chat_participants(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     rows = scope.messages(desk.message.where(p.holds(F.col("created_at"))), desk.member)
     last = F.max(F.struct("created_at", "source_id", "txt", "direction"))  # combined before the shuffle, unlike a row number
     by = rows.groupBy("client").agg(F.count("*").alias("messages"), last.alias("last"))
-    return by.select("client", F.col("last.created_at").alias("last_at"), "messages", F.left("last.txt", F.lit(140)).alias("last_text"), F.col("last.direction").alias("last_direction"))
+    return by.select(
+        "client", F.col("last.created_at").alias("last_at"), "messages",
+        F.left("last.txt", F.lit(140)).alias("last_text"), F.col("last.direction").alias("last_direction")
+    )
 
 
 def chat_tickets(desk: Desk, p: Period, scope: Scope, client: str) -> DataFrame:
     rows = scope.tickets(desk.ticket.where(F.col("client") == client), desk.member)
     rows = rows.where((F.col("opened_at") < F.lit(p.end)) & (F.coalesce("closed_at", "last_activity") >= F.lit(p.start)))
-    return rows.select("opened_at", "in_progress_at", "closed_at", "last_activity", "status", "category", "frt_seconds", "resolution_seconds", "closed_by", probable().alias("reopen"), "thanked")
+    return rows.select(
+        "opened_at", "in_progress_at", "closed_at", "last_activity", "status", "category", "frt_seconds",
+        "resolution_seconds", "closed_by", probable().alias("reopen"), "thanked"
+    )
 
 
 def help_accounts(desk: Desk, scope: Scope = Scope.all()) -> DataFrame:
@@ -306,16 +380,23 @@ def _real(desk: Desk) -> DataFrame:
 
 
 def _of_desk(desk: Desk, p: Period, account: str, scope: Scope) -> DataFrame:
-    party = ((F.col("direction") == "out") & (F.col("author") == account)) | ((F.col("direction") == "in") & (F.col("recipient") == account))
+    party = ((F.col("direction") == "out") & (F.col("author") == account)) | (
+        (F.col("direction") == "in") & (F.col("recipient") == account)
+    )
     return desk.message.where(p.holds(F.col("created_at")) & party & F.lit(scope.may_report(account)))
 
 
 def help_users(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
     said = _of_desk(desk, p, account, scope).groupBy("client").agg(F.count("*").alias("total_messages"))
     inside = p.holds(F.col("closed_at"))
-    facts = desk.ticket.where(F.col("account") == account).groupBy("client").agg(n((F.col("status") == "closed") & inside).alias("closed_requests"), n((F.col("status") == "rejected") & inside).alias("rejected_requests"))
+    facts = desk.ticket.where(F.col("account") == account).groupBy("client").agg(
+        n((F.col("status") == "closed") & inside).alias("closed_requests"),
+        n((F.col("status") == "rejected") & inside).alias("rejected_requests")
+    )
     rows = _real(desk).join(said, "client").join(facts, "client", "left").fillna(0, ["closed_requests", "rejected_requests"])
-    return rows.select("group_name", F.col("client").alias("user_name"), "closed_requests", "rejected_requests", "total_messages").orderBy("group_name", "user_name")
+    return rows.select(
+        "group_name", F.col("client").alias("user_name"), "closed_requests", "rejected_requests", "total_messages"
+    ).orderBy("group_name", "user_name")
 
 
 def _desk_tickets(desk: Desk, account: str, scope: Scope) -> DataFrame:
@@ -324,11 +405,16 @@ def _desk_tickets(desk: Desk, account: str, scope: Scope) -> DataFrame:
 
 
 def help_sla(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
-    return _spread(_desk_tickets(desk, account, scope).where(p.holds(F.col("opened_at")) & (F.col("frt_seconds") <= MAX_FRT)), "group_name", "frt_seconds", "responses")
+    return _spread(
+        _desk_tickets(desk, account, scope).where(p.holds(F.col("opened_at")) & (F.col("frt_seconds") <= MAX_FRT)),
+        "group_name", "frt_seconds", "responses"
+    )
 
 
 def help_resolution(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
-    rows = _desk_tickets(desk, account, scope).where(p.holds(F.col("closed_at")) & (F.col("status") == "closed") & (F.col("resolution_seconds") <= MAX_RESOLUTION))
+    rows = _desk_tickets(desk, account, scope).where(
+        p.holds(F.col("closed_at")) & (F.col("status") == "closed") & (F.col("resolution_seconds") <= MAX_RESOLUTION)
+    )
     return _spread(rows, "group_name", "resolution_seconds", "resolved")
 
 
@@ -338,22 +424,42 @@ def help_reopens(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()
 
 def help_timeseries(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
     zero = F.lit(0)
-    said = _of_desk(desk, p, account, scope).join(_real(desk), "client").select("group_name", F.to_date("created_at").alias("bucket"), F.lit(1).alias("messages"), zero.alias("closed"), zero.alias("rejected"))
+    said = _of_desk(desk, p, account, scope).join(_real(desk), "client").select(
+        "group_name", F.to_date("created_at").alias("bucket"), F.lit(1).alias("messages"), zero.alias("closed"),
+        zero.alias("rejected")
+    )
     ends = _desk_tickets(desk, account, scope).where(p.holds(F.col("closed_at")))
-    ends = ends.select("group_name", F.to_date("closed_at").alias("bucket"), zero.alias("messages"), (F.col("status") == "closed").cast("int").alias("closed"), (F.col("status") == "rejected").cast("int").alias("rejected"))
-    return said.unionByName(ends).groupBy("group_name", "bucket").agg(*(total(x).alias(x) for x in ("messages", "closed", "rejected"))).orderBy("group_name", "bucket")
+    ends = ends.select(
+        "group_name", F.to_date("closed_at").alias("bucket"), zero.alias("messages"),
+        (F.col("status") == "closed").cast("int").alias("closed"),
+        (F.col("status") == "rejected").cast("int").alias("rejected")
+    )
+    return said.unionByName(ends).groupBy("group_name", "bucket").agg(
+        *(total(x).alias(x) for x in ("messages", "closed", "rejected"))
+    ).orderBy("group_name", "bucket")
 
 
 def help_categories(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
-    return _desk_tickets(desk, account, scope).where(p.holds(F.col("opened_at"))).groupBy("group_name", "category").agg(F.count("*").alias("requests")).orderBy("group_name", F.desc("requests"), "category")
+    return _desk_tickets(desk, account, scope).where(p.holds(F.col("opened_at"))).groupBy("group_name", "category").agg(F.count("*").alias("requests")).orderBy(
+        "group_name", F.desc("requests"), "category"
+    )
 
 
 def help_report_summary(desk: Desk, p: Period, account: str, scope: Scope = Scope.all()) -> DataFrame:
     """One row for each group with messages: totals, and response times in minutes, resolution times in hours."""
-    people = help_users(desk, p, account, scope).groupBy("group_name").agg(F.count("*").alias("users"), total("total_messages").alias("messages"), total("closed_requests").alias("closed"), total("rejected_requests").alias("rejected"))
+    people = help_users(desk, p, account, scope).groupBy("group_name").agg(
+        F.count("*").alias("users"), total("total_messages").alias("messages"),
+        total("closed_requests").alias("closed"), total("rejected_requests").alias("rejected")
+    )
     unit = lambda c, by, name: F.round(F.col(c) / by, 1).alias(name)
-    frt = help_sla(desk, p, account, scope).select("group_name", "responses", unit("avg_seconds", 60, "avg_frt_min"), unit("p50_seconds", 60, "p50_frt_min"), unit("p90_seconds", 60, "p90_frt_min"))
-    res = help_resolution(desk, p, account, scope).select("group_name", "resolved", unit("avg_seconds", 3600, "avg_res_h"), unit("p50_seconds", 3600, "p50_res_h"), unit("p90_seconds", 3600, "p90_res_h"))
+    frt = help_sla(desk, p, account, scope).select(
+        "group_name", "responses", unit("avg_seconds", 60, "avg_frt_min"), unit("p50_seconds", 60, "p50_frt_min"),
+        unit("p90_seconds", 60, "p90_frt_min")
+    )
+    res = help_resolution(desk, p, account, scope).select(
+        "group_name", "resolved", unit("avg_seconds", 3600, "avg_res_h"), unit("p50_seconds", 3600, "p50_res_h"),
+        unit("p90_seconds", 3600, "p90_res_h")
+    )
     again = help_reopens(desk, p, account, scope).select("group_name", "probable", "confirmed")
     out = people
     for side in (frt, res, again):
@@ -400,17 +506,32 @@ def alerts(desk: Desk, weeks: int = 8, scope: Scope = Scope.all()) -> DataFrame:
     first = week - F.expr(f"INTERVAL {7 * weeks} DAYS")
     listed = scope.group_rows(desk.member).where(real_group(F.col("grp"))).select("client", F.col("grp").alias("group_name"))
     said = desk.message.where(F.col("created_at") >= first).join(listed, "client").groupBy("group_name")
-    said = said.agg(n(F.col("created_at") >= week).cast("double").alias("current"), (n(F.col("created_at") < week) / weeks).alias("baseline"))
-    said = said.where((F.col("current") >= SPIKE_MESSAGES) & (F.col("baseline") > 0) & (F.col("current") >= SPIKE_RATIO * F.col("baseline")))
+    said = said.agg(
+        n(F.col("created_at") >= week).cast("double").alias("current"),
+        (n(F.col("created_at") < week) / weeks).alias("baseline")
+    )
+    said = said.where(
+        (F.col("current") >= SPIKE_MESSAGES) & (F.col("baseline") > 0) & (F.col("current") >= SPIKE_RATIO * F.col("baseline"))
+    )
     now = F.col("opened_at") >= week
     slow = desk.ticket.where((F.col("opened_at") >= first) & (F.col("frt_seconds") <= MAX_FRT)).join(listed, "client").groupBy("group_name")
-    slow = slow.agg(F.avg(F.when(now, F.col("frt_seconds"))).alias("current"), F.avg(F.when(~now, F.col("frt_seconds"))).alias("baseline"), n(now).alias("count"))
-    slow = slow.where((F.col("count") >= SLA_TICKETS) & (F.col("baseline") > 0) & (F.col("current") >= SLA_RATIO * F.col("baseline"))).drop("count")
+    slow = slow.agg(
+        F.avg(F.when(now, F.col("frt_seconds"))).alias("current"),
+        F.avg(F.when(~now, F.col("frt_seconds"))).alias("baseline"), n(now).alias("count")
+    )
+    slow = slow.where(
+        (F.col("count") >= SLA_TICKETS) & (F.col("baseline") > 0) & (F.col("current") >= SLA_RATIO * F.col("baseline"))
+    ).drop("count")
     both = said.withColumn("type", F.lit("message_spike")).unionByName(slow.withColumn("type", F.lit("sla_degradation")))
-    return both.select("type", "group_name", F.round("current", 6).alias("current"), F.round("baseline", 6).alias("baseline"), F.round(F.col("current") / F.col("baseline"), 1).alias("ratio")).orderBy(F.desc("ratio"))
+    return both.select(
+        "type", "group_name", F.round("current", 6).alias("current"), F.round("baseline", 6).alias("baseline"),
+        F.round(F.col("current") / F.col("baseline"), 1).alias("ratio")
+    ).orderBy(F.desc("ratio"))
 
 
 def sync_status(desk: Desk) -> DataFrame:
     said = desk.message.select(F.lit("messages").alias("what"), F.lit("all").alias("value"))
-    by = desk.ticket.select(F.lit("status").alias("what"), F.col("status").alias("value")).union(desk.ticket.where("reopen_llm IS NOT NULL").select(F.lit("verdict"), "reopen_llm"))
+    by = desk.ticket.select(F.lit("status").alias("what"), F.col("status").alias("value")).union(
+        desk.ticket.where("reopen_llm IS NOT NULL").select(F.lit("verdict"), "reopen_llm")
+    )
     return said.union(by).groupBy("what", "value").agg(F.count("*").alias("rows"))

@@ -21,7 +21,9 @@ P, ALL = C.PERIOD, C.ALL
 
 
 def _sql_histogram(c: str, *bounds: tuple[int | None, str]) -> str:
-    return f"CASE WHEN {c} IS NULL THEN NULL " + " ".join(f"WHEN {c} <= {most} THEN '{label}'" for most, label in bounds[:-1]) + f" ELSE '{bounds[-1][1]}' END"
+    return f"CASE WHEN {c} IS NULL THEN NULL " + " ".join(
+        f"WHEN {c} <= {most} THEN '{label}'" for most, label in bounds[:-1]
+    ) + f" ELSE '{bounds[-1][1]}' END"
 
 
 # labels and bounds of the SQL, written out here so that a wrong one in the cards shows
@@ -32,7 +34,10 @@ FIRST = "coalesce(first_responder, 'никто')"
 OUTCOME = "CASE final_status WHEN 'open' THEN 'так и не закрыта' WHEN 'closed' THEN 'закрыта позже' WHEN 'rejected' THEN 'отклонена позже' WHEN 'expired' THEN 'истекла позже' END"
 AGE = _sql_histogram("age_days", (1, "до 1 дня"), (3, "2-3 дня"), (7, "4-7 дней"), (30, "8-30 дней"), (None, "больше месяца"))
 FRT = _sql_histogram("frt_seconds", (300, "до 5 мин"), (900, "5-15 мин"), (3600, "15-60 мин"), (14400, "1-4 ч"), (None, "больше 4 ч"))
-RES = _sql_histogram("resolution_seconds", (3600, "до 1 ч"), (14400, "1-4 ч"), (36000, "4 ч - 1 раб. день"), (180000, "1-5 раб. дней"), (None, "больше 5 раб. дней"))
+RES = _sql_histogram(
+    "resolution_seconds", (3600, "до 1 ч"), (14400, "1-4 ч"), (36000, "4 ч - 1 раб. день"), (180000, "1-5 раб. дней"),
+    (None, "больше 5 раб. дней")
+)
 OPENED, CLOSED = C.details(C.between("opened_at"), rows=None), C.details(C.between("closed_at", C.X), rows=None)
 MESSAGES, BACKLOG = C.REPORTS["q_client_messages"][1], C.backlog_list(None)
 def _n(cond: str) -> str:
@@ -54,13 +59,19 @@ CARDS = {
     "expired": (OPENED, "true", "CAST(status = 'expired' AS INT)", "1", {"silent": SILENT, "first": FIRST, "category": "category"}),
     "fast": (OPENED, "true", "CAST(answered_fast AS INT)", "CAST(answered AS INT)", {"frt": FRT, "first": FIRST}),
     "resolved": (OPENED, "true", "CAST(resolved_hour AS INT)", "CAST(resolved AS INT)", {"resolution": RES, "closed_by": "closed_by"}),
-    "thanked": (OPENED, "true", "CAST(thanked AS INT)", "CAST(status = 'closed' AS INT)", {"closed_by": "closed_by", "category": "category"}),
+    "thanked": (
+        OPENED, "true", "CAST(thanked AS INT)", "CAST(status = 'closed' AS INT)",
+        {"closed_by": "closed_by", "category": "category"}
+    ),
 }
 
 
 def _tally(rows: str, where: str, count: str, base: str | None, breakdowns: dict[str, str]) -> str:
     lines = {"organisation": f"coalesce(group_names, '{NO_GROUP}')", **breakdowns}
-    parts = " UNION ALL ".join(f"SELECT '{k}' AS breakdown, {label} AS label, {count} AS c, {base or '0'} AS b FROM d WHERE {where}" for k, label in lines.items())
+    parts = " UNION ALL ".join(
+        f"SELECT '{k}' AS breakdown, {label} AS label, {count} AS c, {base or '0'} AS b FROM d WHERE {where}" for k,
+        label in lines.items()
+    )
     return f"SELECT breakdown, label, {C.total('c')} AS count, {C.total('b')} AS base FROM (WITH d AS ({rows}) {parts}) WHERE label IS NOT NULL AND {'b > 0' if base else 'true'} GROUP BY ALL"
 
 
@@ -75,8 +86,10 @@ TREND = C.REPORTS["q_category_timeseries"][1]
 KEY = r"list_aggregate(list_transform(regexp_extract_all(client, '(\d+|\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 20, '0') ELSE lower(x) END), 'string_agg', '')"
 MINUTES = "floor((epoch(created_at) - epoch(lag(created_at) OVER w)) / 60)"
 
-ARCHIVE = """SELECT source_id * 4 AS id, author AS username, txt FROM message WHERE source_id % 17 <> 0 UNION ALL SELECT source_id * 4 + 1, recipient, txt FROM message
-  UNION ALL SELECT source_id * 4 + 2, author, '  ' FROM message WHERE source_id % 13 = 0 UNION ALL SELECT source_id * 4 + 3, 'u1', 'между собой' FROM message WHERE source_id % 19 = 0"""
+ARCHIVE = """SELECT source_id * 4 AS id, author AS username, txt FROM message WHERE source_id % 17 <> 0 UNION ALL SELECT
+  source_id * 4 + 1, recipient, txt FROM message
+  UNION ALL SELECT source_id * 4 + 2, author, '  ' FROM message WHERE source_id % 13 = 0 UNION ALL SELECT source_id * 4 + 3,
+    'u1', 'между собой' FROM message WHERE source_id % 19 = 0"""
 
 
 def _rosters(d):
@@ -104,32 +117,47 @@ def _stored(d):
 
 FACTS = {
     "messages": {
-        "total": "sum(messages_in + messages_out)", "from_clients": "sum(messages_in)", "from_clients_pct": _pct("sum(messages_in)", "sum(messages_in + messages_out)"), "from_support": "sum(messages_out)", "clients": "count(*)",
+        "total": "sum(messages_in + messages_out)", "from_clients": "sum(messages_in)", "from_clients_pct": _pct(
+            "sum(messages_in)", "sum(messages_in + messages_out)"
+        ), "from_support": "sum(messages_out)", "clients": "count(*)",
     },
     "offHours": {
-        "off_hours": "sum(off_hours_night + off_hours_weekend)", "off_hours_pct": _pct("sum(off_hours_night + off_hours_weekend)", "sum(messages_in)"), "night": "sum(off_hours_night)", "weekend": "sum(off_hours_weekend)",
+        "off_hours": "sum(off_hours_night + off_hours_weekend)", "off_hours_pct": _pct(
+            "sum(off_hours_night + off_hours_weekend)", "sum(messages_in)"
+        ), "night": "sum(off_hours_night)", "weekend": "sum(off_hours_weekend)",
         "incoming": "sum(messages_in)",
     },
     "closed": {
-        "closed": "count(*)", "median_resolution": "round(median(resolution_seconds) FILTER (WHERE resolved), 6)", "thanked": _n("thanked"), "thanked_pct": _pct(_n("thanked")), "reopened": _n("reopened"), "reopened_pct": _pct(_n("reopened")),
+        "closed": "count(*)", "median_resolution": "round(median(resolution_seconds) FILTER (WHERE resolved), 6)",
+        "thanked": _n("thanked"), "thanked_pct": _pct(_n("thanked")), "reopened": _n("reopened"),
+        "reopened_pct": _pct(_n("reopened")),
     },
     "rejected": {"rejected": "count(*)"},
     "open": {
-        "open": "count(*)", "до 1 дня": _n("age_days <= 1"), "2-3 дня": _n("age_days BETWEEN 2 AND 3"), "4-7 дней": _n("age_days BETWEEN 4 AND 7"), "8-30 дней": _n("age_days BETWEEN 8 AND 30"), "больше месяца": _n("age_days > 30"),
+        "open": "count(*)", "до 1 дня": _n("age_days <= 1"), "2-3 дня": _n("age_days BETWEEN 2 AND 3"),
+        "4-7 дней": _n("age_days BETWEEN 4 AND 7"), "8-30 дней": _n("age_days BETWEEN 8 AND 30"),
+        "больше месяца": _n("age_days > 30"),
         "oldest_day": "date_diff('day', DATE '1970-01-01', CAST(min(opened_at) AS DATE))",
     },
     "unanswered": {
-        "unanswered": _n("no_reply"), "unanswered_pct": _pct(_n("no_reply")), "off_hours_pct": _pct(_n("no_reply AND (isodow(opened_at) >= 6 OR hour(opened_at) < 8 OR hour(opened_at) >= 18)"), _n("no_reply")),
+        "unanswered": _n("no_reply"), "unanswered_pct": _pct(_n("no_reply")), "off_hours_pct": _pct(
+            _n("no_reply AND (isodow(opened_at) >= 6 OR hour(opened_at) < 8 OR hour(opened_at) >= 18)"), _n("no_reply")
+        ),
     },
     "expired": {
-        "expired": _n("status = 'expired'"), "expired_pct": _pct(_n("status = 'expired'")), "support_silent": _n(MUTE), "support_silent_pct": _pct(_n(MUTE), _n("status = 'expired'")),
+        "expired": _n("status = 'expired'"), "expired_pct": _pct(_n("status = 'expired'")), "support_silent": _n(MUTE), "support_silent_pct": _pct(
+            _n(MUTE), _n("status = 'expired'")
+        ),
         "client_silent": _n(QUIET), "client_silent_pct": _pct(_n(QUIET), _n("status = 'expired'")),
     },
     "fast": {
-        "fast": _n("answered_fast"), "fast_pct": _pct(_n("answered_fast")), "hour": _n("answered_hour"), "hour_pct": _pct(_n("answered_hour")), "median_frt": "round(median(frt_seconds), 6)", "answered": "count(*)",
+        "fast": _n("answered_fast"), "fast_pct": _pct(_n("answered_fast")), "hour": _n("answered_hour"),
+        "hour_pct": _pct(_n("answered_hour")), "median_frt": "round(median(frt_seconds), 6)", "answered": "count(*)",
     },
     "resolved": {
-        "hour": _n("resolved_hour"), "hour_pct": _pct(_n("resolved_hour")), "day": _n("resolved_day"), "day_pct": _pct(_n("resolved_day")), "median_resolution": "round(median(resolution_seconds), 6)", "resolved": "count(*)",
+        "hour": _n("resolved_hour"), "hour_pct": _pct(_n("resolved_hour")), "day": _n("resolved_day"),
+        "day_pct": _pct(_n("resolved_day")), "median_resolution": "round(median(resolution_seconds), 6)",
+        "resolved": "count(*)",
     },
     "thanked": {"thanked": _n("thanked"), "thanked_pct": _pct(_n("thanked")), "closed": "count(*)"},
 }
@@ -147,11 +175,18 @@ def _facts(key: str):
 
 
 MOMENTS = {
-    "closed": (CLOSED, "status = 'closed'", "closed_at"), "rejected": (CLOSED, "status = 'rejected'", "closed_at"), "unanswered": (OPENED, "no_reply AND status <> 'open'", "opened_at"),
-    "expired": (OPENED, "status = 'expired'", "last_activity"), "fast": (OPENED, "answered AND NOT answered_fast", "opened_at"), "resolved": (OPENED, "resolved AND NOT resolved_hour", "opened_at"),
+    "closed": (CLOSED, "status = 'closed'", "closed_at"), "rejected": (CLOSED, "status = 'rejected'", "closed_at"), "unanswered": (
+        OPENED, "no_reply AND status <> 'open'", "opened_at"
+    ),
+    "expired": (OPENED, "status = 'expired'", "last_activity"), "fast": (
+        OPENED, "answered AND NOT answered_fast", "opened_at"
+    ), "resolved": (OPENED, "resolved AND NOT resolved_hour", "opened_at"),
     "thanked": (OPENED, "status = 'closed' AND thanked", "coalesce(closed_at, opened_at)"),
 }
-EVENTS = " UNION ALL ".join(f"SELECT '{k}' AS card, client, group_names, {at} AS \"at\" FROM (SELECT * FROM ({rows})) WHERE {where}" for k, (rows, where, at) in MOMENTS.items())
+EVENTS = " UNION ALL ".join(
+    f"SELECT '{k}' AS card, client, group_names, {at} AS \"at\" FROM (SELECT * FROM ({rows})) WHERE {where}" for k,
+    (rows, where, at) in MOMENTS.items()
+)
 
 
 def _events(d):
@@ -164,22 +199,29 @@ def _events(d):
 
 def _side(name: str, start: str, end: str) -> str:
     """The first three texts of a client within a span, at most 600 characters, as the rule for cutting has it."""
-    return f"""{name}_t AS (SELECT l.id, m.txt, row_number() OVER (PARTITION BY l.id ORDER BY m.created_at, m.source_id) AS r FROM linked l JOIN message m
+    return f"""{name}_t AS (SELECT l.id, m.txt, row_number() OVER (PARTITION BY l.id ORDER BY m.created_at, m.source_id) AS r
+      FROM linked l JOIN message m
   ON m.client = l.client AND m.direction = 'in' AND m.created_at >= {start} AND {end}),
-{name}_s AS (SELECT id, max(txt) FILTER (r = 1) AS a, max(txt) FILTER (r = 2) AS b, max(txt) FILTER (r = 3) AS c FROM {name}_t WHERE r <= 3 GROUP BY id),
-{name}_2 AS (SELECT id, c, length(a) > 600 OR length(a) + length(b) > 600 AS full2, CASE WHEN length(a) > 600 THEN left(a, 600) WHEN b IS NULL THEN a
+{name}_s AS (SELECT id, max(txt) FILTER (r = 1) AS a, max(txt) FILTER (r = 2) AS b, max(txt) FILTER (r = 3) AS c FROM {name}_t
+  WHERE r <= 3 GROUP BY id),
+{name}_2 AS (SELECT id, c, length(a) > 600 OR length(a) + length(b) > 600 AS full2, CASE WHEN length(a) > 600 THEN left(a, 600)
+  WHEN b IS NULL THEN a
   WHEN length(a) + length(b) > 600 THEN a || left(b, 600 - length(a)) ELSE a || chr(10) || b END AS s FROM {name}_s),
-{name} AS (SELECT id, CASE WHEN coalesce(full2, false) OR c IS NULL THEN s WHEN length(s) + length(c) > 600 THEN s || left(c, greatest(0, 600 - length(s))) ELSE s || chr(10) || c END AS text FROM {name}_2)"""
+{name} AS (SELECT id, CASE WHEN coalesce(full2, false) OR c IS NULL THEN s WHEN length(s) + length(c) > 600 THEN s || left(c,
+  greatest(0, 600 - length(s))) ELSE s || chr(10) || c END AS text FROM {name}_2)"""
 
 
-TEXTS = f"""WITH linked AS (SELECT t.id, t.client, t.opened_at, t.reopen_llm, p.opened_at AS s, coalesce(p.closed_at, p.last_activity) AS e FROM ticket t JOIN ticket p ON p.id = t.reopened_from),
+TEXTS = f"""WITH linked AS (SELECT t.id, t.client, t.opened_at, t.reopen_llm, p.opened_at AS s, coalesce(p.closed_at,
+  p.last_activity) AS e FROM ticket t JOIN ticket p ON p.id = t.reopened_from),
 {_side("bef", "l.s", "m.created_at <= l.e")},
 {_side("aft", "l.opened_at", "true")},
-texts AS (SELECT l.id, l.client, l.opened_at, l.reopen_llm = 'pending' IS TRUE AS pending, coalesce(bef.text, '(текст недоступен)') AS before, coalesce(aft.text, '(текст недоступен)') AS now
+texts AS (SELECT l.id, l.client, l.opened_at, l.reopen_llm = 'pending' IS TRUE AS pending, coalesce(bef.text,
+  '(текст недоступен)') AS before, coalesce(aft.text, '(текст недоступен)') AS now
   FROM linked l LEFT JOIN bef USING (id) LEFT JOIN aft USING (id))"""
 SAME = "CASE WHEN substr(before, 1, 2) = substr(now, 1, 2) THEN 'same' ELSE 'new' END"
 JUDGED = f"""{TEXTS}, said AS (SELECT id, {SAME} AS verdict FROM texts WHERE pending),
-judged AS (SELECT t.* EXCLUDE (reopen_llm), CASE WHEN reopen_llm = 'pending' THEN coalesce(verdict, reopen_llm) ELSE reopen_llm END AS reopen_llm FROM ticket t LEFT JOIN said USING (id))"""
+judged AS (SELECT t.* EXCLUDE (reopen_llm), CASE WHEN reopen_llm = 'pending' THEN coalesce(verdict, reopen_llm) ELSE reopen_llm
+  END AS reopen_llm FROM ticket t LEFT JOIN said USING (id))"""
 
 
 def same_first_word(before: pd.Series, now: pd.Series) -> pd.Series:
@@ -192,9 +234,12 @@ def _judged(d):
 
 
 GRANTS = """WITH gr AS (SELECT DISTINCT 'm' || (c_custkey % 40) AS usr, c_custkey % 4 = 0 AS desk,
-    CASE WHEN c_custkey % 4 = 0 THEN ['help', 'help-mag', 'help-dnk'][CAST(c_custkey % 3 AS INTEGER) + 1] ELSE 'ORG' || (c_nationkey % 7) END AS v, c_custkey % 5 <> 0 AS can_metrics, c_custkey % 3 <> 0 AS can_chats FROM customer),
-  served(account, grp) AS (VALUES ('help', 'org0'), ('help', 'org1'), ('help', 'org2'), ('help-mag', 'org3'), ('help-mag', 'org4'), ('help-dnk', 'org5'), ('help-dnk', 'org6')),
-  g AS (SELECT DISTINCT usr, v AS account, s.grp FROM gr LEFT JOIN served s ON s.account = v WHERE desk AND can_metrics UNION SELECT usr, NULL, v FROM gr WHERE NOT desk AND can_metrics)"""
+    CASE WHEN c_custkey % 4 = 0 THEN ['help', 'help-mag', 'help-dnk'][CAST(c_custkey % 3 AS INTEGER) + 1] ELSE 'ORG' ||
+      (c_nationkey % 7) END AS v, c_custkey % 5 <> 0 AS can_metrics, c_custkey % 3 <> 0 AS can_chats FROM customer),
+  served(account, grp) AS (VALUES ('help', 'org0'), ('help', 'org1'), ('help', 'org2'), ('help-mag', 'org3'), ('help-mag',
+    'org4'), ('help-dnk', 'org5'), ('help-dnk', 'org6')),
+  g AS (SELECT DISTINCT usr, v AS account, s.grp FROM gr LEFT JOIN served s ON s.account = v WHERE desk AND can_metrics UNION
+    SELECT usr, NULL, v FROM gr WHERE NOT desk AND can_metrics)"""
 
 _month = lambda a, b: C.HELP_SUMS.replace(C.S, f"TIMESTAMP '{a}'").replace(C.E, f"TIMESTAMP '{b}'")
 MONTHLY = f"SELECT '2024-01' AS month, * FROM ({_month('2024-01-08', '2024-02-01')}) UNION ALL SELECT '2024-02', * FROM ({_month('2024-02-01', '2024-02-11')})"
@@ -216,11 +261,20 @@ REPORTS = {
         f"SELECT source_id, coalesce(lag(direction) OVER w = direction AND lag(author) OVER w = author AND {MINUTES} < 5, false) AS continued FROM message WINDOW w AS (PARTITION BY client, CAST(created_at AS DATE) ORDER BY created_at, source_id)",
         False,
     ),
-    "q_overall_frt": (lambda d: D.overall_frt(d, P, ALL), f"SELECT round(sum(avg_seconds * responses) / sum(responses), 4) AS mean_seconds, round(sum(p50_seconds * responses) / sum(responses), 4) AS typical_seconds FROM ({SLA})", True),
-    "q_totals": (lambda d: D.totals(d, P, ALL), f"SELECT {C.total('messages')} AS messages, {C.total('closed')} AS closed, {C.total('rejected')} AS rejected, CAST(round(avg(messages)) AS BIGINT) AS per_bucket FROM ({TIMES})", True),
+    "q_overall_frt": (
+        lambda d: D.overall_frt(d, P, ALL),
+        f"SELECT round(sum(avg_seconds * responses) / sum(responses), 4) AS mean_seconds, round(sum(p50_seconds * responses) / sum(responses), 4) AS typical_seconds FROM ({SLA})",
+        True
+    ),
+    "q_totals": (
+        lambda d: D.totals(d, P, ALL),
+        f"SELECT {C.total('messages')} AS messages, {C.total('closed')} AS closed, {C.total('rejected')} AS rejected, CAST(round(avg(messages)) AS BIGINT) AS per_bucket FROM ({TIMES})",
+        True
+    ),
     "q_reopen_rate": (
         lambda d: D.reopen_rate(d, P, ALL),
-        f"""SELECT c AS closed, p AS probable, f AS confirmed, CAST(floor(100.0 * p / c + 0.5) AS BIGINT) AS probable_pct, CAST(floor(100.0 * f / c + 0.5) AS BIGINT) AS confirmed_pct
+        f"""SELECT c AS closed, p AS probable, f AS confirmed, CAST(floor(100.0 * p / c + 0.5) AS BIGINT) AS probable_pct,
+          CAST(floor(100.0 * f / c + 0.5) AS BIGINT) AS confirmed_pct
         FROM (SELECT {C.total("closed")} AS c, {C.total("probable")} AS p, {C.total("confirmed")} AS f FROM ({REOPENS}))""",
         True,
     ),
@@ -231,16 +285,21 @@ REPORTS = {
     ),
     "q_heatmap_avg": (
         lambda d: D.heatmap_average(d, P, ALL),
-        f"""WITH days AS (SELECT isodow(unnest(range({C.S}, {C.E}, INTERVAL 1 DAY))) AS w), often AS (SELECT w, count(*) AS k FROM days GROUP BY w)
-        SELECT CAST(w - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, CAST(floor(count(*) / any_value(k)::DOUBLE + 0.5) AS BIGINT) AS messages
+        f"""WITH days AS (SELECT isodow(unnest(range({C.S}, {C.E}, INTERVAL 1 DAY))) AS w), often AS (SELECT w, count(*) AS k
+          FROM days GROUP BY w)
+        SELECT CAST(w - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, CAST(floor(count(*) /
+          any_value(k)::DOUBLE + 0.5) AS BIGINT) AS messages
         FROM message JOIN often ON w = isodow(created_at) WHERE {C.between("created_at")} GROUP BY ALL""",
         False,
     ),
     "q_category_trend": (
         lambda d: D.category_trend(d, P, ALL),
-        f"""WITH t AS ({TREND}), top AS (SELECT category FROM t WHERE category <> 'Другое' GROUP BY category ORDER BY sum(requests) DESC, category LIMIT 6),
-        n AS (SELECT category FROM top UNION ALL SELECT 'Прочие'), p AS (SELECT bucket, CASE WHEN category IN (SELECT category FROM top) THEN category ELSE 'Прочие' END AS category, requests FROM t)
-        SELECT b.bucket, n.category, {C.total("requests")} AS requests FROM (SELECT DISTINCT bucket FROM t) b CROSS JOIN n LEFT JOIN p ON p.bucket = b.bucket AND p.category = n.category GROUP BY ALL""",
+        f"""WITH t AS ({TREND}), top AS (SELECT category FROM t WHERE category <> 'Другое' GROUP BY category ORDER BY
+          sum(requests) DESC, category LIMIT 6),
+        n AS (SELECT category FROM top UNION ALL SELECT 'Прочие'), p AS (SELECT bucket, CASE WHEN category IN (SELECT category
+          FROM top) THEN category ELSE 'Прочие' END AS category, requests FROM t)
+        SELECT b.bucket, n.category, {C.total("requests")} AS requests FROM (SELECT DISTINCT bucket FROM t) b CROSS JOIN n LEFT
+          JOIN p ON p.bucket = b.bucket AND p.category = n.category GROUP BY ALL""",
         True,
     ),
     "sort_numeric_collation": (
@@ -250,7 +309,8 @@ REPORTS = {
     ),
     "fn_humanize_seconds": (
         lambda d: d.ticket.select("id", D.humanized(F.col("frt_seconds")).alias("frt")),
-        """SELECT id, CASE WHEN frt_seconds IS NULL THEN '-' WHEN frt_seconds < 60 THEN frt_seconds || ' с' WHEN frt_seconds < 3600 THEN (frt_seconds // 60) || ' мин ' || lpad(CAST(frt_seconds % 60 AS VARCHAR), 2, '0') || ' с'
+        """SELECT id, CASE WHEN frt_seconds IS NULL THEN '-' WHEN frt_seconds < 60 THEN frt_seconds || ' с' WHEN frt_seconds <
+          3600 THEN (frt_seconds // 60) || ' мин ' || lpad(CAST(frt_seconds % 60 AS VARCHAR), 2, '0') || ' с'
         ELSE (frt_seconds // 3600) || ' ч ' || lpad(CAST(frt_seconds % 3600 // 60 AS VARCHAR), 2, '0') || ' мин' END AS frt FROM ticket""",
         True,
     ),
@@ -260,27 +320,42 @@ REPORTS = {
         True,
     ),
     "fn_buckets": (
-        lambda d: d.message.select("source_id", *(W.bucket(F.col("created_at"), u).alias(u) for u in ("day", "week", "month")), W.next_working_day(F.col("created_at")).alias("shifted"), W.arrival_class(F.col("created_at")).alias("arrival")),
-        f"""SELECT source_id, {C.bucket("created_at", "day")} AS day, {C.bucket("created_at", "week")} AS week, {C.bucket("created_at", "month")} AS month, {C.shifted("created_at")} AS shifted,
+        lambda d: d.message.select(
+            "source_id", *(W.bucket(F.col("created_at"), u).alias(u) for u in ("day", "week", "month")),
+            W.next_working_day(F.col("created_at")).alias("shifted"),
+            W.arrival_class(F.col("created_at")).alias("arrival")
+        ),
+        f"""SELECT source_id, {C.bucket("created_at", "day")} AS day, {C.bucket("created_at", "week")} AS week,
+          {C.bucket("created_at", "month")} AS month, {C.shifted("created_at")} AS shifted,
         CASE WHEN isodow(created_at) >= 6 THEN 'weekend' WHEN {C.OFF} THEN 'night' ELSE 'working' END AS arrival FROM message""",
         False,
     ),
     "join_self_reopen": (
-        lambda d: d.ticket.alias("t").join(d.ticket.alias("p"), F.col("t.reopened_from") == F.col("p.id")).select("t.id", F.col("p.id").alias("before"), "t.reopen_score", F.col("p.status").alias("before_status")),
+        lambda d: d.ticket.alias("t").join(d.ticket.alias("p"), F.col("t.reopened_from") == F.col("p.id")).select(
+            "t.id", F.col("p.id").alias("before"), "t.reopen_score", F.col("p.status").alias("before_status")
+        ),
         "SELECT t.id, p.id AS before, t.reopen_score, p.status AS before_status FROM ticket t JOIN ticket p ON p.id = t.reopened_from",
         True,
     ),
     "join_previous_message": (
-        lambda d: d.message.select("source_id", F.lag("direction").over(M.Window.partitionBy("client").orderBy("created_at", "source_id")).alias("before")),
+        lambda d: d.message.select(
+            "source_id",
+            F.lag("direction").over(M.Window.partitionBy("client").orderBy("created_at", "source_id")).alias("before")
+        ),
         "SELECT source_id, lag(direction) OVER (PARTITION BY client ORDER BY created_at, source_id) AS before FROM message",
         False,
     ),
     "join_latest_ticket": (
-        lambda d: d.ticket.groupBy("client", "status").agg(F.max(F.struct("opened_at", "id")).alias("t")).select("client", "status", "t.opened_at", "t.id"),
+        lambda d: d.ticket.groupBy("client", "status").agg(
+            F.max(F.struct("opened_at", "id")).alias("t")
+        ).select("client", "status", "t.opened_at", "t.id"),
         "SELECT client, status, opened_at, id FROM (SELECT *, row_number() OVER (PARTITION BY client, status ORDER BY opened_at DESC, id DESC) AS r FROM ticket) WHERE r = 1",
         True,
     ),
-    "limit_first3_texts": (lambda d: verdicts.candidates(d.ticket, d.message), f"{TEXTS} SELECT id, client, opened_at, before, now FROM texts", True),
+    "limit_first3_texts": (
+        lambda d: verdicts.candidates(d.ticket, d.message),
+        f"{TEXTS} SELECT id, client, opened_at, before, now FROM texts", True
+    ),
     "q_verdicts": (
         lambda d: verdicts.judged(d.ticket, d.message, same_first_word, budget=None),
         f"{TEXTS} SELECT client, opened_at, {SAME} AS verdict FROM texts WHERE pending",
@@ -296,41 +371,63 @@ REPORTS = {
         f"{JUDGED} {C.REPORTS['q_reopens'][1].replace('ticket', 'judged')}",
         True,
     ),
-    "q_clients_judged": (lambda d: M.clients(_judged(d), P, ALL), f"{JUDGED}, {C.CLIENTS.strip()[5:].replace('FROM ticket', 'FROM judged')}", True),
+    "q_clients_judged": (
+        lambda d: M.clients(_judged(d), P, ALL),
+        f"{JUDGED}, {C.CLIENTS.strip()[5:].replace('FROM ticket', 'FROM judged')}", True
+    ),
     **{f"q_facts_{k}": (_facts(k), _fact_sql(k), True) for k in FACTS},
     "q_drill_events": (_events, EVENTS, True),
-    "q_visible_groups": (lambda d: scope.visible_groups(d.grants, d.desk_groups), f"{GRANTS} SELECT DISTINCT usr AS \"user\", lower(grp) AS grp FROM g WHERE grp IS NOT NULL", False),
-    "q_visible_groups_chats": (lambda d: scope.visible_groups(d.grants, d.desk_groups, "chats"), f"{GRANTS.replace('AND can_metrics', 'AND can_chats')} SELECT DISTINCT usr AS \"user\", lower(grp) AS grp FROM g WHERE grp IS NOT NULL", False),
+    "q_visible_groups": (
+        lambda d: scope.visible_groups(d.grants, d.desk_groups),
+        f"{GRANTS} SELECT DISTINCT usr AS \"user\", lower(grp) AS grp FROM g WHERE grp IS NOT NULL", False
+    ),
+    "q_visible_groups_chats": (
+        lambda d: scope.visible_groups(d.grants, d.desk_groups, "chats"),
+        f"{GRANTS.replace('AND can_metrics', 'AND can_chats')} SELECT DISTINCT usr AS \"user\", lower(grp) AS grp FROM g WHERE grp IS NOT NULL",
+        False
+    ),
     "q_scope": (
         lambda d: scope.scopes(d.grants, d.desk_groups),
         f"""{GRANTS} SELECT usr AS "user", coalesce(string_agg(DISTINCT account, ',' ORDER BY account), '') AS accounts,
-        coalesce(string_agg(DISTINCT CASE WHEN account IS NULL THEN lower(grp) END, ',' ORDER BY CASE WHEN account IS NULL THEN lower(grp) END), '') AS own_groups FROM g GROUP BY usr""",
+        coalesce(string_agg(DISTINCT CASE WHEN account IS NULL THEN lower(grp) END, ',' ORDER BY CASE WHEN account IS NULL THEN
+          lower(grp) END), '') AS own_groups FROM g GROUP BY usr""",
         False,
     ),
     "scope_only_group": (
         lambda d: M.heatmap(d, P, C.SOME.narrowed("ORG2")),
-        f"""SELECT CAST(isodow(created_at) - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS messages FROM message
-        WHERE {C.between("created_at")} AND {C.SOME_MESSAGES} AND client IN (SELECT client FROM client_group WHERE grp = 'org2') GROUP BY ALL""",
+        f"""SELECT CAST(isodow(created_at) - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS
+          messages FROM message
+        WHERE {C.between("created_at")} AND {C.SOME_MESSAGES} AND client IN (SELECT client FROM client_group WHERE grp = 'org2')
+          GROUP BY ALL""",
         False,
     ),
     "like_ci": (
         lambda d: M.heatmap(d, P, Scope(accounts=("HELP",), groups=("Org1", "ORG2"))),
-        f"""SELECT CAST(isodow(created_at) - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS messages FROM message
+        f"""SELECT CAST(isodow(created_at) - 1 AS INTEGER) AS weekday, CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS
+          messages FROM message
         WHERE {C.between("created_at")} AND {C.SOME_MESSAGES} GROUP BY ALL""",
         False,
     ),
     "q_help_report_monthly": (
-        lambda d: M.help_report_monthly(d, M.Period(datetime(2024, 1, 8), datetime(2024, 2, 11)), "help").select("month", "group_name", "users", "messages", "closed", "rejected"),
+        lambda d: M.help_report_monthly(
+            d, M.Period(datetime(2024, 1, 8), datetime(2024, 2, 11)), "help"
+        ).select("month", "group_name", "users", "messages", "closed", "rejected"),
         MONTHLY,
         True,
     ),
     "dedup_hash": (
-        lambda d: d.message.select("source_id", F.hex(archive.dedup_hash(F.col("client"), archive.iso_time(F.col("created_at")), F.col("txt"))).alias("hash")),
+        lambda d: d.message.select(
+            "source_id",
+            F.hex(archive.dedup_hash(F.col("client"), archive.iso_time(F.col("created_at")), F.col("txt"))).alias("hash")
+        ),
         """SELECT source_id, upper(sha1(client || chr(0) || strftime(created_at, '%Y-%m-%dT%H:%M') || CASE WHEN second(created_at) = 0 THEN '' ELSE strftime(created_at, ':%S') END || chr(0) || txt)) AS hash FROM message""",
         False,
     ),
     "to_business_time": (
-        lambda d: d.message.select("source_id", archive.to_business_time(F.col("created_at"), "Asia/Yekaterinburg", "Europe/Moscow").alias("at")),
+        lambda d: d.message.select(
+            "source_id",
+            archive.to_business_time(F.col("created_at"), "Asia/Yekaterinburg", "Europe/Moscow").alias("at")
+        ),
         "SELECT source_id, created_at - INTERVAL 2 HOURS AS \"at\" FROM message",
         False,
     ),
@@ -348,7 +445,10 @@ REPORTS = {
     "scan_membership": (
         lambda d: archive.memberships(
             d.member.select(F.concat(F.upper("client"), F.lit("@desk")).alias("jid"), "grp"),
-            d.member.where("last_seen_at IS NOT NULL").select(F.col("client").alias("username"), F.unix_seconds(F.col("last_seen_at").cast("timestamp")).alias("seconds")).distinct(),
+            d.member.where("last_seen_at IS NOT NULL").select(
+                F.col("client").alias("username"),
+                F.unix_seconds(F.col("last_seen_at").cast("timestamp")).alias("seconds")
+            ).distinct(),
             "Asia/Yekaterinburg",
             "Europe/Moscow",
         ),
@@ -362,16 +462,22 @@ REPORTS = {
     ),
     "monthly_ranges": (
         lambda d: d.spark.createDataFrame(monthly_ranges(date(2024, 1, 30), date(2024, 6, 3)), "first date, last date"),
-        """SELECT CAST(greatest(m, DATE '2024-01-30') AS DATE) AS first, CAST(least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE '2024-06-03') AS DATE) AS last
+        """SELECT CAST(greatest(m, DATE '2024-01-30') AS DATE) AS first, CAST(least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE
+          '2024-06-03') AS DATE) AS last
         FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-07-01', INTERVAL 1 MONTH)) AS m)""",
         False,
     ),
-    "sink_rewrite_buckets": (_stored, "SELECT client, count(*) AS tickets, CAST(sum(messages_in) AS BIGINT) AS messages_in FROM ticket GROUP BY client", True),
+    "sink_rewrite_buckets": (
+        _stored,
+        "SELECT client, count(*) AS tickets, CAST(sum(messages_in) AS BIGINT) AS messages_in FROM ticket GROUP BY client",
+        True
+    ),
     "ingest_stanza_ids": (
         lambda d: archive.archived(d.message).select("id", archive.stanza_id(F.col("xml")).alias("stanza")),
         """WITH c AS (SELECT source_id, 's' || lpad(CAST(source_id AS VARCHAR), 9, '0') AS stanza FROM message)
         SELECT source_id * 4 AS id, stanza FROM c WHERE source_id % 17 <> 0 UNION ALL SELECT source_id * 4 + 1, stanza FROM c
-        UNION ALL SELECT source_id * 4 + 2, stanza FROM c WHERE source_id % 13 = 0 UNION ALL SELECT source_id * 4 + 3, stanza FROM c WHERE source_id % 19 = 0""",
+        UNION ALL SELECT source_id * 4 + 2, stanza FROM c WHERE source_id % 13 = 0 UNION ALL SELECT source_id * 4 + 3, stanza
+          FROM c WHERE source_id % 19 = 0""",
         False,
     ),
 }

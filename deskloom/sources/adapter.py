@@ -81,7 +81,10 @@ def memberships(events: DataFrame) -> DataFrame:
     org = lambda n: F.concat(F.lit("org"), F.pmod(F.col("user_id") + n, F.lit(7)))
     groups = F.array(F.lit("all"), org(0), F.when(F.col("user_id") % 10 == 0, org(3)).otherwise(org(0)))
     seen = F.when(F.col("user_id") % 4 != 0, F.col("seen"))
-    return users.select(F.concat(F.lit("u"), F.col("user_id")).alias("client"), F.explode(F.array_distinct(groups)).alias("grp"), seen.alias("last_seen_at"))
+    return users.select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("client"), F.explode(F.array_distinct(groups)).alias("grp"),
+        seen.alias("last_seen_at")
+    )
 
 
 SERVED = {"help": ("org0", "org1", "org2"), "help-mag": ("org3", "org4"), "help-dnk": ("org5", "org6")}

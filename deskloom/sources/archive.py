@@ -53,13 +53,19 @@ def erlang_groups(term: Column) -> Column:
     return F.filter(names, lambda g: ~F.lower(g).startswith("help") & (F.lower(g) != "all"))
 
 
-def archive_rows(spark: SparkSession, url: str, table: str = "archive", above: int = -1, to: int | None = None, tasks: int = 8, **options: str) -> DataFrame:
+def archive_rows(
+    spark: SparkSession, url: str, table: str = "archive", above: int = -1, to: int | None = None, tasks: int = 8,
+    **options: str
+) -> DataFrame:
     """The archive's rows with texts over JDBC, in ``tasks`` ranges of ids above a watermark."""
     source = spark.read.format("jdbc").options(url=url, **options)
     if to is None:
         to = source.option("query", f"SELECT MAX(id) AS top FROM {table}").load().first()[0]
     where = f"(SELECT * FROM {table} WHERE id > {above} AND txt IS NOT NULL) AS a"
-    return source.options(dbtable=where, partitionColumn="id", lowerBound=above + 1, upperBound=max(above + 2, (to or 0) + 1), numPartitions=tasks).load()
+    return source.options(
+        dbtable=where, partitionColumn="id", lowerBound=above + 1, upperBound=max(above + 2, (to or 0) + 1),
+        numPartitions=tasks
+    ).load()
 
 
 def normalized(archive: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:
@@ -69,7 +75,9 @@ def normalized(archive: DataFrame, source_zone: str | None = None, business_zone
     first copy's owner. In a run of rows that each match the one before, pairs are the 1st and 2nd, the 3rd and 4th, ...
     A row left over was written by its owner, unless its peer has a resource.
     """
-    rows = archive.where("txt IS NOT NULL").withColumn("txt", strip(F.col("txt"))).where("txt <> ''").withColumn("stanza", stanza_id(F.col("xml")))
+    rows = archive.where("txt IS NOT NULL").withColumn("txt", strip(F.col("txt"))).where("txt <> ''").withColumn(
+        "stanza", stanza_id(F.col("xml"))
+    )
     rows = rows.withColumn("created_at", to_business_time(F.col("created_at"), source_zone, business_zone))
     alone = rows.where("stanza IS NULL").withColumn("nth", F.lit(1)).withColumn("paired", F.lit(False))
     w = Window.partitionBy("stanza").orderBy("id")
@@ -77,7 +85,9 @@ def normalized(archive: DataFrame, source_zone: str | None = None, business_zone
     runs = rows.where("stanza IS NOT NULL").withColumn("match", F.coalesce(match, F.lit(False)))
     runs = runs.withColumn("run", F.sum(F.when(F.col("match"), 0).otherwise(1)).over(w))
     in_run = Window.partitionBy("stanza", "run").orderBy("id")
-    runs = runs.withColumn("nth", F.row_number().over(in_run)).withColumn("paired", F.lead("id").over(in_run).isNotNull()).drop("match", "run")
+    runs = runs.withColumn("nth", F.row_number().over(in_run)).withColumn(
+        "paired", F.lead("id").over(in_run).isNotNull()
+    ).drop("match", "run")
     kept = alone.unionByName(runs).where("nth % 2 = 1")
     owner, peer = local_part(F.col("username")), local_part(F.col("bare_peer"))
     author = F.when(F.col("paired") | ~F.col("peer").contains("/"), owner).otherwise(local_part(F.col("peer")))
@@ -108,7 +118,9 @@ def memberships(users: DataFrame, last: DataFrame, source_zone: str | None = Non
 
 def desk_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
     """account, grp: the groups that each desk serves, named in the options of the desk's own group."""
-    desks = users.where(F.lower("grp").startswith("help") & F.lower("jid").startswith("help")).select(local_part(F.col("jid")).alias("account"), F.lower("grp").alias("k"))
+    desks = users.where(
+        F.lower("grp").startswith("help") & F.lower("jid").startswith("help")
+    ).select(local_part(F.col("jid")).alias("account"), F.lower("grp").alias("k"))
     served = groups.select(F.lower("name").alias("k"), F.explode(erlang_groups(F.col("opts"))).alias("grp"))
     return desks.join(served, "k").select("account", "grp").distinct()
 
@@ -117,14 +129,23 @@ def archived(messages: DataFrame) -> DataFrame:
     """An archive whose normal form is ``messages``: two copies of each, some single, with service rows and private talk between."""
     m = messages.withColumn("micros", F.unix_micros(F.col("created_at").cast("timestamp")))
     stanza = F.concat(F.lit("s"), F.lpad(F.col("source_id").cast("string"), 9, "0"))
-    xml = F.concat(F.unhex(F.lit("010B050B06")), F.unhex(F.lpad(F.hex(F.length(stanza)), 2, "0")), F.encode(stanza, "UTF-8"), F.unhex(F.lit("FF0B06")))
+    xml = F.concat(
+        F.unhex(F.lit("010B050B06")), F.unhex(F.lpad(F.hex(F.length(stanza)), 2, "0")), F.encode(stanza, "UTF-8"),
+        F.unhex(F.lit("FF0B06"))
+    )
     host = lambda c: F.concat(c, F.lit("@desk"))
 
     def copy(owner: str, other: str, shift: int, resource: str, place: int, txt: Column = F.col("txt")) -> DataFrame:
-        return m.select((F.col("source_id") * 4 + place).alias("id"), F.col(owner).alias("username"), F.concat(host(F.col(other)), F.lit(resource)).alias("peer"), host(F.col(other)).alias("bare_peer"), txt.alias("txt"), "created_at", (F.col("micros") + shift).alias("timestamp"), xml.alias("xml"), "source_id")
+        return m.select(
+            (F.col("source_id") * 4 + place).alias("id"), F.col(owner).alias("username"),
+            F.concat(host(F.col(other)), F.lit(resource)).alias("peer"), host(F.col(other)).alias("bare_peer"),
+            txt.alias("txt"), "created_at", (F.col("micros") + shift).alias("timestamp"), xml.alias("xml"), "source_id"
+        )
 
     sent = copy("author", "recipient", 0, "", 0).where("source_id % 17 <> 0")
     received = copy("recipient", "author", 1500, "/phone", 1)
     service = copy("author", "recipient", 3000, "", 2, F.lit("  ")).where("source_id % 13 = 0")
-    private = copy("author", "recipient", 5000, "", 3, F.lit("между собой")).where("source_id % 19 = 0").withColumn("username", F.lit("u1")).withColumn("bare_peer", F.lit("u2@desk")).withColumn("peer", F.lit("u2@desk"))
+    private = copy(
+        "author", "recipient", 5000, "", 3, F.lit("между собой")
+    ).where("source_id % 19 = 0").withColumn("username", F.lit("u1")).withColumn("bare_peer", F.lit("u2@desk")).withColumn("peer", F.lit("u2@desk"))
     return sent.unionByName(received).unionByName(service).unionByName(private).drop("source_id")

@@ -31,7 +31,9 @@ class Store:
         self._files.mkdirs(self._path("log"))
 
     def _versions(self) -> list[int]:
-        return sorted(int(f.getPath().getName()[:-5]) for f in self._files.listStatus(self._path("log")) if f.getPath().getName().endswith(".json"))
+        return sorted(
+            int(f.getPath().getName()[:-5]) for f in self._files.listStatus(self._path("log")) if f.getPath().getName().endswith(".json")
+        )
 
     def _read(self, version: int) -> dict:
         text = self.spark.read.text(f"{self.uri}/log/{version:012d}.json", wholetext=True).first()[0]
@@ -45,12 +47,18 @@ class Store:
     def bucket(self, client: Column) -> Column:
         return F.pmod(F.xxhash64(client), F.lit(self.buckets)).cast("int")
 
-    def commit(self, base: dict, watermark: int, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, rewrite: dict[str, tuple[DataFrame, Iterable[int]]] | None = None) -> dict:
+    def commit(
+        self, base: dict, watermark: int, replace: dict[str, DataFrame] | None = None,
+        append: dict[str, DataFrame] | None = None, rewrite: dict[str, tuple[DataFrame, Iterable[int]]] | None = None
+    ) -> dict:
         """A new version after ``base``: tables replaced as a whole, appended to, or rewritten in the given buckets.
 
         A failure before the log file is there leaves the old version.
         """
-        state = {"version": base["version"] + 1, "watermark": watermark, "tables": {k: list(v) for k, v in base["tables"].items()}, "schemas": dict(base["schemas"])}
+        state = {
+            "version": base["version"] + 1, "watermark": watermark,
+            "tables": {k: list(v) for k, v in base["tables"].items()}, "schemas": dict(base["schemas"])
+        }
         own = uuid.uuid4().hex
 
         def put(name: str, df: DataFrame) -> str:
@@ -143,7 +151,9 @@ def write_sheets(sheets: dict[str, DataFrame | Sections], uri: str) -> list[str]
     for name, content in sheets.items():
         safe = sheet_name(name, made)
         made.append(safe)
-        parts = [("", content)] if isinstance(content, DataFrame) else [(f"/{i:02d} {sheet_name(title, [])}", df) for i, (title, df) in enumerate(content, 1)]
+        parts = [("", content)] if isinstance(content, DataFrame) else [
+            (f"/{i:02d} {sheet_name(title, [])}", df) for i, (title, df) in enumerate(content, 1)
+        ]
         for tail, df in parts:
             df.write.mode("overwrite").option("header", True).csv(f"{uri.rstrip('/')}/{safe}{tail}")
     return made

@@ -32,7 +32,10 @@ def _settled(rows: DataFrame, all_of_it: bool) -> tuple[DataFrame, DataFrame]:
     return rows.join(late, "__stanza", "left_anti").drop("__stanza"), rows.join(late, "__stanza", "left_semi").drop("__stanza")
 
 
-def ingest(store: Store, batch: DataFrame, settle: bool = False, dimensions: dict[str, DataFrame] | None = None, source_zone: str | None = None, business_zone: str | None = None) -> dict:
+def ingest(
+    store: Store, batch: DataFrame, settle: bool = False, dimensions: dict[str, DataFrame] | None = None,
+    source_zone: str | None = None, business_zone: str | None = None
+) -> dict:
     """Apply a batch of archive rows and return the new state; ``dimensions`` replace tables of that name as a whole."""
     state = store.state()
     top = batch.agg(F.max("id")).first()[0]
@@ -53,7 +56,10 @@ def ingest(store: Store, batch: DataFrame, settle: bool = False, dimensions: dic
         again = tickets(history)
         kept = again if old_tickets is None else old_tickets.join(touched, "client", "left_anti").select(again.columns).unionByName(again)
         top = state["watermark"] if top is None else max(state["watermark"], top)
-        state = store.commit(state, top, replace={"waiting": wait, **(dimensions or {})}, append={"message": new}, rewrite={"ticket": (kept, buckets)})
+        state = store.commit(
+            state, top, replace={"waiting": wait, **(dimensions or {})}, append={"message": new},
+            rewrite={"ticket": (kept, buckets)}
+        )
     finally:
         found.unpersist()
     for name in ("message", "ticket"):
