@@ -48,7 +48,7 @@ def _pieces(run: bytes) -> list[bytes]:
 def words(text: str) -> list[bytes]:
     """Lower-cased words that have a letter; a longer run without white space is successive words."""
     runs = text.lower().encode("utf-8", "surrogatepass").split()
-    return [w for run in runs for w in ((run,) if len(run) <= LONGEST else _pieces(run)) if _ASCII_LETTER.search(w) or (not w.isascii() and _LETTER.search(w.decode("utf-8", "replace")))]
+    return [w for run in runs for w in ((run,) if len(run) <= LONGEST else _pieces(run)) if w.isalpha() or _ASCII_LETTER.search(w) or (not w.isascii() and _LETTER.search(w.decode("utf-8", "replace")))]
 
 
 def has_letter(text: str | None) -> bool:
@@ -182,7 +182,7 @@ def train(passages: list[tuple[str, list[bytes]]], rounds: int = 6, seed: int =
 class Tagger:
     """Word probabilities of whole texts; remembers the scores of a bounded number of words."""
 
-    def __init__(self, model: Model, keep: int = 300_000):
+    def __init__(self, model: Model, keep: int = 400_000):
         self.model, self.keep = model, keep
         self.reset()
 
