@@ -13,7 +13,7 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; a local one where that is unset, as in tests, and never on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "deskloom-checkpoints")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
