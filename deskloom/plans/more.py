@@ -105,7 +105,7 @@ def _stored(d):
     """Tickets by client after two commits to a store of buckets, the second of which rewrites some of them."""
     spark = d.spark
     base = spark.conf.get("spark.checkpoint.dir", None)  # the folder that the driver and all executors share
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a shared folder")
     base = base or f"file://{tempfile.gettempdir()}/deskloom-stores"
     store = Store(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", buckets=8)
