@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import class_lm, crf_lang, harmonic, ngram_join, piecewise_hash, preference, quality_cascade, secret_scan, token_shards, transducer
+from . import class_lm, crf_lang, decontaminate, harmonic, ngram_join, piecewise_hash, preference, quality_cascade, secret_scan, token_shards, transducer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -125,9 +125,32 @@ FROM f
 """
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, w, CAST(least(10, len(w)) AS INTEGER) AS n FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+x AS (SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN (SELECT DISTINCT n FROM g) ON len(w) >= n)),
+h AS (SELECT r, k, x.n, item_id FROM x JOIN g ON x.n = g.n AND x.s = g.s),
+c AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM h) GROUP BY r),
+l AS (SELECT r, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS t FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
+"""
+
+
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op4_preference_pairs": op4_preference_pairs, "op5_secret_scans": op5_secret_scans, "op6_class_lm": op6_class_lm, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe}
+    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op4_preference_pairs": op4_preference_pairs, "op5_secret_scans": op5_secret_scans, "op6_class_lm": op6_class_lm, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe, "op11_decontamination": op11_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_pairs": OP4_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op4_preference_pairs": OP4_SQL, "op9_quality_rules": OP9_SQL, "op11_decontamination": OP11_SQL}
