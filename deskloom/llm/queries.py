@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import class_lm, crf_lang, decontaminate, harmonic, ngram_join, piecewise_hash, preference, quality_cascade, secret_scan, token_shards, transducer
+from . import class_lm, crf_lang, decontaminate, harmonic, ngram_join, piecewise_hash, preference, quality_cascade, secret_scan, token_shards, transducer, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -148,8 +148,21 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model)
+    shares = F.array(*(F.lit(float(x)) for x in model.explained)).cast("array<double>")
+    return whitening.transform(rows, model).select(
+        F.col("key").alias("vec_id"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"),
+        F.posexplode("whitened").alias("__at", "whitened"),
+    ).select(
+        "vec_id", (F.col("__at") + 1).alias("component"), "n", "deviation", "whitened", F.get(shares, F.col("__at")).alias("explained"), F.lit(error).alias("identity_error")
+    )
+
+
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op4_preference_pairs": op4_preference_pairs, "op5_secret_scans": op5_secret_scans, "op6_class_lm": op6_class_lm, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe, "op11_decontamination": op11_decontamination}
+    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op4_preference_pairs": op4_preference_pairs, "op5_secret_scans": op5_secret_scans, "op6_class_lm": op6_class_lm, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe, "op11_decontamination": op11_decontamination, "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
