@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import class_lm, crf_lang, decontaminate, harmonic, ngram_join, piecewise_hash, preference, quality_cascade, secret_scan, token_shards, transducer, whitening
+from . import class_lm, crf_lang, decontaminate, dual_tree, harmonic, ngram_join, piecewise_hash, preference, quality_cascade, secret_scan, token_shards, transducer, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -148,6 +148,12 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return dual_tree.mine(rows, F.col("vec_id") % 50 == 0, label=label)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     model = whitening.fit(rows)
@@ -162,7 +168,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op4_preference_pairs": op4_preference_pairs, "op5_secret_scans": op5_secret_scans, "op6_class_lm": op6_class_lm, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe, "op11_decontamination": op11_decontamination, "op13_whitening": op13_whitening}
+    return {"op1_token_shards": op1_token_shards, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_fingerprints": op3_fingerprints, "op4_preference_pairs": op4_preference_pairs, "op5_secret_scans": op5_secret_scans, "op6_class_lm": op6_class_lm, "op7_harmonic_packing": op7_harmonic_packing, "op8_crf_language": op8_crf_language, "op9_quality_rules": op9_quality_rules, "op10_transducer_bpe": op10_transducer_bpe, "op11_decontamination": op11_decontamination, "op12_hard_negatives": op12_hard_negatives, "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:

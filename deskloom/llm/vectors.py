@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 LARGEST = float(1 << 20)  # entries beyond it have no integer form that sums of squares of some thousand dimensions hold
 
 
-def usable(vector: str) -> Column:
-    """Whether a vector has entries, all of them finite and none beyond ``LARGEST``."""
-    good = lambda x: x.isNotNull() & F.coalesce(F.abs(x.cast("double")) <= LARGEST, F.lit(False))  # noqa: E731  NaN counts as greater
+def usable(vector: str, largest: float = LARGEST) -> Column:
+    """Whether a vector has entries, all of them finite and none beyond ``largest``."""
+    good = lambda x: x.isNotNull() & F.coalesce(F.abs(x.cast("double")) <= largest, F.lit(False))  # noqa: E731  NaN counts as greater
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, good), F.lit(False))
 
 
-def usual_length(df: DataFrame, vector: str) -> int:
-    """The length that most vectors have, of several the longest; 0 without vectors."""
+def usual_length(df: DataFrame, vector: str) -> tuple[int, int]:
+    """The length that most vectors have, of several the longest, and how many have it; 0 without vectors."""
     top = df.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return top["n"] if top else 0
+    return (top["n"], top["count"]) if top else (0, 0)
 
 
 def matrix(column: pa.Array, scale: int, shift: int, dims: int) -> np.ndarray:

@@ -129,7 +129,7 @@ def fit(
     ``block`` is the number of vectors multiplied in a pass, at least ``components``, so that as many tied values are found.
     """
     rows = _rows(df, vector)
-    dims = vectors.usual_length(rows, "vector")
+    dims, _ = vectors.usual_length(rows, "vector")
     rows = rows.where(F.size("vector") == dims)
     n, sums = _totals(rows, scale, shift, dims)
     nothing = Whitening(scale, shift, n, sums, np.zeros((dims, 0)), np.zeros(0), np.zeros(0), 0)
