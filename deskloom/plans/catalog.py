@@ -218,7 +218,13 @@ def _query(make: Callable[[Desk], DataFrame]) -> Callable[[SparkSession, str], D
 
 REPORTS: dict[str, tuple[Callable[[Desk], DataFrame], str, bool]] = {
     "message": (lambda d: d.message, "SELECT * FROM message", False),
-    "ticket": (lambda d: d.ticket, "SELECT * FROM ticket", True),
+    "ticket": (lambda d: d.ticket.drop("desk_authors"), "SELECT * FROM ticket", True),
+    "corr_handoff": (
+        lambda d: d.ticket.select("id", F.col("desk_authors").cast("long").alias("desk_authors")),
+        """SELECT t.id, count(DISTINCT m.author) AS desk_authors FROM ticket t LEFT JOIN message m ON m.client = t.client AND m.direction = 'out'
+        AND m.created_at >= t.opened_at AND m.created_at <= coalesce(t.closed_at, t.last_activity) GROUP BY t.id""",
+        True,
+    ),
     "client_group": (lambda d: d.member, "SELECT * FROM client_group", False),
     **{f"q_timeseries{'' if u == 'day' else '_' + u}": (lambda d, u=u: M.timeseries(d, PERIOD, ALL, u), timeseries(u), True) for u in ("day", "week", "month")},
     "q_timeseries_scoped": (lambda d: M.timeseries(d, PERIOD, SOME), timeseries("day", SOME_MESSAGES, SOME_TICKETS), True),

@@ -191,11 +191,7 @@ def category_timeseries(desk: Desk, p: Period, scope: Scope, unit: str = "day")
 def summary(desk: Desk, p: Period, scope: Scope) -> DataFrame:
     rows = scope.tickets(desk.ticket, desk.member).where(p.holds(F.col("opened_at"))).withColumn("still_open", still_open(desk, p))
     known = desk.ticket.where(F.col("opened_at") < F.lit(p.start)).select("client", F.lit(True).alias("known")).distinct()
-    said = desk.message.where((F.col("direction") == "out") & (F.col("created_at") >= F.lit(p.start)))  # a ticket of the period has no earlier message
-    said = said.select(F.col("client").alias("c"), "author", "created_at").distinct()
-    while_open = (F.col("client") == F.col("c")) & F.col("created_at").between(F.col("opened_at"), F.coalesce("closed_at", "last_activity"))
-    many = rows.join(said, while_open).groupBy("id").agg(F.count_distinct("author").alias("authors"))
-    rows = rows.join(known, "client", "left").join(many, "id", "left")
+    rows = rows.join(known, "client", "left")
     frt, res, closed = F.col("frt_seconds"), F.col("resolution_seconds"), F.col("status") == "closed"
     msgs, open_ = F.col("messages_in") + F.col("messages_out"), F.col("still_open")
     own = rows.agg(
@@ -211,7 +207,7 @@ def summary(desk: Desk, p: Period, scope: Scope) -> DataFrame:
         mean("pickup_seconds").alias("avg_pickup_seconds"), n(F.col("thanked") & closed).alias("thanked"),
         total("replies").alias("replies"), total("reply_seconds").alias("reply_seconds"),
         mean(msgs).alias("avg_messages"), at(msgs, 0.5).alias("p50_messages"), at(msgs, 0.9).alias("p90_messages"),
-        n(F.col("authors") > 1).alias("handoffs"), F.count_distinct("client").alias("clients"),
+        n(F.col("desk_authors") > 1).alias("handoffs"), F.count_distinct("client").alias("clients"),
         F.count_distinct(F.when(F.col("known").isNull(), F.col("client"))).alias("new_clients"),
     )
     arrived = scope.messages(desk.message.where((F.col("direction") == "in") & p.holds(F.col("created_at"))), desk.member)

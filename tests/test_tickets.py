@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from deskloom.operators import tickets as T
 
@@ -91,7 +92,7 @@ def test_restart_changes_nothing(signals, steps, cut):
         week, weekday = divmod(day, 7)
         b = week * 180_000 + min(weekday, 5) * 36_000 + (0 if weekday >= 5 else min(max(m * 60, 28_800), 64_800) - 28_800)
         r = signals[f"{side}{PHRASES[side][x % len(PHRASES[side])]}"]
-        rows.append((i, minute * 60, b, r["rank"], r["said"]))
+        rows.append((i, minute * 60_000_000, b, r["rank"], r["said"]))
     whole, state = T.Places(), T.Places()
     want, got = [whole.place(*r) for r in rows], []
     for i, r in enumerate(rows):
@@ -104,6 +105,34 @@ def test_restart_changes_nothing(signals, steps, cut):
     assert len(opened) == len(set(opened)) and all(t in opened for places in want for t, *_ in places)
 
 
+def test_fractions_of_a_second_order_messages(spark):
+    """Closed at 10.1 s, the client is back at 10.9 s with a lower id: the ticket is open again, and times keep their fractions."""
+    at = lambda s: DAY.replace(hour=10, second=int(s), microsecond=round(s % 1 * 1_000_000))
+    rows = [(1, "u", "u", "help", "in", "почта", at(0.25)), (5, "u", "help", "u", "out", "Заявка закрыта", at(10.1)), (3, "u", "u", "help", "in", "не открывается", at(10.9))]
+    rows += [(9, "u", "help-b", "u", "out", "какой номер?", at(11.2)), (8, "u", "help-a", "u", "out", "смотрим", at(11.3))]
+    (t,) = T.tickets(spark.createDataFrame(rows, M)).collect()
+    assert (t.status, t.resumes, t.first_responder, t.opened_at, t.last_activity, t.closed_at, t.desk_authors) == ("open", 1, "help", at(0.25), at(11.3), None, 3)
+    one = T.tickets(spark.createDataFrame([rows[0], *rows[3:]], M)).first()
+    assert (one.first_responder, one.first_response_at) == ("help-b", at(11.2))
+
+
+def test_states_and_parts_take_up_where_a_pass_ended(spark):
+    """Messages placed in two passes, the second from stored states, with tickets merged from parts, give what one pass gives."""
+    r, rows, when = random.Random(7), [], DAY
+    for i in range(500):
+        side, client, when = r.random() < 0.5, f"u{r.randrange(5)}", when + timedelta(minutes=r.choice([1, 7, 300]))
+        rows.append((i, client, client if side else "help", "help" if side else client, "in" if side else "out", r.choice(PHRASES[0 if side else 1]), when))
+    s = T.signal_columns(spark.createDataFrame(rows, M)).persist()
+    early = T.folded(s.where("source_id < 230")).persist()
+    states = early.where("state IS NOT NULL")
+    late = T.folded(s.where("source_id >= 230"), states.select("client", "state")).persist()
+    parts = [T.accumulated(f.where("state IS NULL")) for f in (early, late)]
+    want = sorted(map(repr, T.gathered(T.placed(s)).collect()))
+    assert sorted(map(repr, T.finished(T.merged(*parts)).collect())) == want and len(want) > 40
+    last = {x.client: (x["at"], x.source_id) for x in late.where("state IS NOT NULL").collect()}
+    assert last == {x.client: tuple(x.p) for x in s.groupBy("client").agg(F.max(F.struct("at", "source_id")).alias("p")).collect()}
+
+
 def test_tasks_and_order_of_input_change_nothing(spark):
     r = random.Random(1)
     rows = []
