@@ -68,47 +68,56 @@ def archive_rows(
     ).load()
 
 
-def normalized(archive: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:
-    """source_id, client, author, recipient, direction, txt, created_at, dedup_hash.
+def prepared(archive: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:
+    """The archive's rows that say something, with their stanza and business time instead of the raw one."""
+    rows = archive.where("txt IS NOT NULL").withColumn("txt", strip(F.col("txt"))).where("txt <> ''").withColumn("stanza", stanza_id(F.col("xml")))
+    at = to_business_time(F.col("created_at"), source_zone, business_zone)
+    return rows.select("id", "username", "peer", "bare_peer", "txt", at.alias("created_at"), "timestamp", "stanza")
+
 
-    Copies of one stanza are taken in id order: equal texts less than a second apart are a pair, written by the
-    first copy's owner. In a run of rows that each match the one before, pairs are the 1st and 2nd, the 3rd and 4th, ...
-    A row left over was written by its owner, unless its peer has a resource.
+def paired(rows: DataFrame) -> DataFrame:
+    """Prepared rows with nth, paired and last.
+
+    Copies of one stanza are taken in id order: equal texts less than a second apart are a pair. In a run of rows that each match the
+    one before, pairs are the 1st and 2nd, the 3rd and 4th, ...; ``nth`` is the place in the run, ``paired`` says whether another follows, ``last`` whether
+    the row is its stanza's last.
     """
-    rows = archive.where("txt IS NOT NULL").withColumn("txt", strip(F.col("txt"))).where("txt <> ''").withColumn(
-        "stanza", stanza_id(F.col("xml"))
-    )
-    rows = rows.withColumn("created_at", to_business_time(F.col("created_at"), source_zone, business_zone))
-    alone = rows.where("stanza IS NULL").withColumn("nth", F.lit(1)).withColumn("paired", F.lit(False))
+    alone = rows.where("stanza IS NULL").withColumns({"nth": F.lit(1), "paired": F.lit(False), "last": F.lit(True)})
     w = Window.partitionBy("stanza").orderBy("id")
     match = (F.lag("txt").over(w) == F.col("txt")) & (F.col("timestamp") - F.lag("timestamp").over(w) < PAIR_MICROS)
-    runs = rows.where("stanza IS NOT NULL").withColumn("match", F.coalesce(match, F.lit(False)))
+    runs = rows.where("stanza IS NOT NULL").withColumns({"match": F.coalesce(match, F.lit(False)), "last": F.lead("id").over(w).isNull()})
     runs = runs.withColumn("run", F.sum(F.when(F.col("match"), 0).otherwise(1)).over(w))
     in_run = Window.partitionBy("stanza", "run").orderBy("id")
-    runs = runs.withColumn("nth", F.row_number().over(in_run)).withColumn(
-        "paired", F.lead("id").over(in_run).isNotNull()
-    ).drop("match", "run")
-    kept = alone.unionByName(runs).where("nth % 2 = 1")
+    runs = runs.withColumns({"nth": F.row_number().over(in_run), "paired": F.lead("id").over(in_run).isNotNull()}).drop("match", "run")
+    return alone.unionByName(runs)
+
+
+def authored(kept: DataFrame, *more: str) -> DataFrame:
+    """A message for each row, with ``alone``: its author if the row had no partner. Only messages between a desk and a client.
+
+    A pair was written by its first copy's owner, a row left over by its owner too, unless its peer has a resource.
+    """
     owner, peer = local_part(F.col("username")), local_part(F.col("bare_peer"))
-    author = F.when(F.col("paired") | ~F.col("peer").contains("/"), owner).otherwise(local_part(F.col("peer")))
-    kept = kept.withColumn("author", author).withColumn("recipient", F.when(F.col("author") == owner, peer).otherwise(owner))
+    alone = F.when(F.col("peer").contains("/"), local_part(F.col("peer"))).otherwise(owner)
+    kept = kept.withColumn("alone", alone).withColumn("author", F.when(F.col("paired"), owner).otherwise(F.col("alone")))
+    kept = kept.withColumn("recipient", F.when(F.col("author") == owner, peer).otherwise(owner))
     from_desk, to_desk = (F.col(c).startswith(OPERATOR_PREFIX) for c in ("author", "recipient"))
     kept = kept.where(from_desk != to_desk).withColumn("client", F.when(from_desk, F.col("recipient")).otherwise(F.col("author")))
     digest = dedup_hash(F.col("client"), F.coalesce("stanza", iso_time(F.col("created_at"))), F.col("txt"))
-    out = kept.select(
-        F.col("id").alias("source_id"),
-        "client",
-        "author",
-        "recipient",
-        F.when(from_desk, "out").otherwise("in").alias("direction"),
-        "txt",
-        "created_at",
-        digest.alias("dedup_hash"),
-    )
-    first = out.groupBy("dedup_hash").agg(F.min(F.struct(*out.columns)).alias("first"))
+    direction = F.when(from_desk, "out").otherwise("in").alias("direction")
+    return kept.select(F.col("id").alias("source_id"), "client", "author", "recipient", direction, "txt", "created_at", digest.alias("dedup_hash"), "alone", *more)
+
+
+def first_of_hash(messages: DataFrame) -> DataFrame:
+    first = messages.groupBy("dedup_hash").agg(F.min(F.struct(*messages.columns)).alias("first"))
     return first.select("first.*")
 
 
+def normalized(archive: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:
+    """source_id, client, author, recipient, direction, txt, created_at, dedup_hash: each message once, the first of its hash."""
+    return first_of_hash(authored(paired(prepared(archive, source_zone, business_zone)).where("nth % 2 = 1")).drop("alone"))
+
+
 def memberships(users: DataFrame, last: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:
     """client, grp, last_seen_at from (jid, grp) and (username, seconds since 1970); times are those of the zones, else UTC."""
     utc = F.convert_timezone(F.lit("UTC"), F.lit(source_zone or "UTC"), F.timestamp_seconds("seconds").cast("timestamp_ntz"))

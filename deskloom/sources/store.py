@@ -2,6 +2,9 @@
 
 A log file is made only if none of that number is there, so of two writers that start from one version the second fails and
 changes nothing. Readers follow the last log file, and see one version or the other. Paths may be in any store that Spark reaches.
+
+A folder of a table is a part, cut in one of three ways: by bucket of its clients, so that some can be rewritten; by month, so that reports
+read theirs only; or by slices of a key's hash with a filter for each, so that a search reads the slices that may hold its keys.
 """
 
 from __future__ import annotations
@@ -10,10 +13,22 @@ import calendar
 import json
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
+
+from . import blooms
+
+
+SLICE, MONTH = StructField("slice", IntegerType()), StructField("month", StringType())
+MONTHLY = ("message",)  # tables cut by month
+
+
+def month(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM")
 
 
 class ConcurrentCommit(Exception):
@@ -42,40 +57,52 @@ class Store:
     def state(self) -> dict:
         """version, watermark, schemas and the folders of each table; before the first commit version 0, watermark -1."""
         found = self._versions()
-        return self._read(found[-1]) if found else {"version": 0, "watermark": -1, "tables": {}, "schemas": {}}
+        return self._read(found[-1]) if found else {"version": 0, "watermark": -1, "tables": {}, "schemas": {}, "facts": {}}
 
     def bucket(self, client: Column) -> Column:
         return F.pmod(F.xxhash64(client), F.lit(self.buckets)).cast("int")
 
     def commit(
-        self, base: dict, watermark: int, replace: dict[str, DataFrame] | None = None,
-        append: dict[str, DataFrame] | None = None, rewrite: dict[str, tuple[DataFrame, Iterable[int]]] | None = None
-    ) -> dict:
+        self, base: dict, watermark: int, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None,
+        rewrite: dict[str, tuple[DataFrame, Iterable[int]]] | None = None, keys: dict[str, str] | None = None, months: dict[str, str] | None = None, facts: dict | None = None,
+    ) -> dict:
         """A new version after ``base``: tables replaced as a whole, appended to, or rewritten in the given buckets.
 
+        Tables in ``keys`` are sliced by that column, those in ``months`` cut by the month of that time, others by bucket. ``facts`` are kept with the version.
         A failure before the log file is there leaves the old version.
         """
         state = {
-            "version": base["version"] + 1, "watermark": watermark,
-            "tables": {k: list(v) for k, v in base["tables"].items()}, "schemas": dict(base["schemas"])
-        }
+            "version": base["version"] + 1, "watermark": watermark, "tables": {k: list(v) for k, v in base["tables"].items()},
+            "schemas": dict(base["schemas"]), "facts": base.get("facts", {}) | (facts or {}),
+        }
         own = uuid.uuid4().hex
 
-        def put(name: str, df: DataFrame) -> str:
-            at = f"{name}/{own}"
-            named = df.withColumn("bucket", self.bucket(F.col("client"))) if "client" in df.columns else df.withColumn("bucket", F.lit(0))
-            named.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.uri}/{at}")
+        def put(name: str, df: DataFrame, held: list[int] | None = None) -> list:
+            to, slices = f"{self.uri}/{name}/part={own}", None
             state["schemas"][name] = df.schema.jsonValue()
-            return at
-
-        for name, df in (replace or {}).items():
-            state["tables"][name] = [[put(name, df), None]]
-        for name, df in (append or {}).items():
-            state["tables"][name] = [*state["tables"].get(name, []), [put(name, df), None]]
-        for name, (df, buckets) in (rewrite or {}).items():
-            gone = set(buckets)
-            old = [[at, sorted(set(range(self.buckets) if held is None else held) - gone)] for at, held in state["tables"].get(name, [])]
-            state["tables"][name] = [x for x in old if x[1]] + [[put(name, df), sorted(gone)]]
+            if key := (keys or {}).get(name):
+                slices = max(1, -(-df.count() // blooms.SLICE_ROWS))
+                sliced = df.withColumn("slice", blooms.slice_of(blooms.key_hash(key), slices))
+                sliced.repartition("slice").write.partitionBy("slice").parquet(to)
+                written = self.spark.read.schema(StructType([*df.schema.fields, SLICE])).parquet(to)
+                blooms.filters(written.select("slice", blooms.key_hash(key).alias("h")), slices).write.parquet(f"{self.uri}/{name}_filter/part={own}")
+            elif time := (months or {}).get(name):
+                df.withColumn("month", month(F.col(time))).repartition("month").write.partitionBy("month").parquet(to)
+            else:
+                named = df.withColumn("bucket", self.bucket(F.col("client"))) if "client" in df.columns else df.withColumn("bucket", F.lit(0))
+                named.repartition("bucket").write.partitionBy("bucket").parquet(to)
+            return [own, held, slices]
+
+        made = [(name, df, None) for name, df in [*(replace or {}).items(), *(append or {}).items()]]
+        made += [(name, df, sorted(set(buckets))) for name, (df, buckets) in (rewrite or {}).items()]
+        with ThreadPoolExecutor(max(1, len(made))) as pool:  # small writes, each of which waits for the last task of its own jobs
+            parts = dict(zip((name for name, *_ in made), pool.map(lambda x: put(*x), made), strict=True))
+        for name, part in parts.items():
+            old = [] if name in (replace or {}) else state["tables"].get(name, [])
+            if part[1] is not None:
+                left = [[at, sorted(set(range(self.buckets) if held is None else held) - set(part[1])), n] for at, held, n in old]
+                old = [x for x in left if x[1]]
+            state["tables"][name] = [*old, part]
         self._log(state)
         self._sweep()
         return state
@@ -98,27 +125,61 @@ class Store:
         old, kept = versions[: -self.keep], versions[-self.keep :]
         if not old:
             return
-        named = {at for v in kept for parts in self._read(v)["tables"].values() for at, _ in parts}
+        live = {(name, at) for v in kept for name, parts in self._read(v)["tables"].items() for at, *_ in parts}
         for v in old:
-            gone = {at for parts in self._read(v)["tables"].values() for at, _ in parts} - named
-            for at in gone:
-                self._files.delete(self._path(at), True)
+            for name, at in {(name, at) for name, parts in self._read(v)["tables"].items() for at, *_ in parts} - live:
+                self._files.delete(self._path(f"{name}/part={at}"), True)
+                self._files.delete(self._path(f"{name}_filter/part={at}"), True)
             self._files.delete(self._path(f"log/{v:012d}.json"), False)
 
-    def table(self, name: str, state: dict | None = None, buckets: Iterable[int] | None = None) -> DataFrame | None:
-        """A table of a version, the last one unless given; only some buckets if asked."""
-        from pyspark.sql.types import IntegerType, StructField, StructType
+    def _of(self, name: str, state: dict, paths: list[str], *extra: StructField) -> DataFrame:
+        schema = StructType.fromJson(state["schemas"][name])
+        whole = StructType([*schema.fields, *extra, StructField("part", StringType())])
+        return self.spark.read.schema(whole).option("basePath", f"{self.uri}/{name}").parquet(*paths)
 
+    def table(self, name: str, state: dict | None = None, buckets: Iterable[int] | None = None, months: tuple[str, str] | None = None) -> DataFrame | None:
+        """A table of a version, the last one unless given; only some buckets, or the months from one to another, if asked."""
         state = state or self.state()
         if name not in state["tables"]:
             return None
-        schema, out = StructType.fromJson(state["schemas"][name]), None
-        for at, held in state["tables"][name]:
+        schema, out, whole, by_month = StructType.fromJson(state["schemas"][name]), None, [], name in MONTHLY
+        for at, held, _ in state["tables"][name]:
+            path = f"{self.uri}/{name}/part={at}"
             wanted = held if buckets is None else sorted(set(buckets) & set(range(self.buckets) if held is None else held))
-            part = self.spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(f"{self.uri}/{at}")
-            part = part if wanted is None else part.where(F.col("bucket").isin(wanted))
+            if wanted is None:
+                whole.append(path)
+                continue
+            part = self._of(name, state, [path], StructField("bucket", IntegerType())).where(F.col("bucket").isin(wanted)).select(schema.names)
             out = part if out is None else out.unionByName(part)
-        return out.drop("bucket")
+        if whole:
+            part = self._of(name, state, whole, *([MONTH] if by_month else []))
+            if by_month and months:
+                part = part.where(F.col("month").between(*months))
+            out = part.select(schema.names) if out is None else out.unionByName(part.select(schema.names))
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def hits(self, name: str, keys: DataFrame, key: str, state: dict | None = None) -> list[tuple[str, int]]:
+        """(part, slice) of a sliced table that may hold one of the keys."""
+        state = state or self.state()
+        parts = state["tables"].get(name, [])
+        if not parts:
+            return []
+        schema = StructType([StructField("slices", IntegerType()), SLICE, StructField("bits", BinaryType()), StructField("part", StringType())])
+        paths = [f"{self.uri}/{name}_filter/part={at}" for at, *_ in parts]
+        known = self.spark.read.schema(schema).option("basePath", f"{self.uri}/{name}_filter").parquet(*paths)
+        return blooms.hits(known, keys.select(blooms.key_hash(key).alias("h")), sorted({n for *_, n in parts}))
+
+    def find(self, name: str, keys: DataFrame, key: str, state: dict | None = None) -> DataFrame | None:
+        """The rows of a sliced table with one of the keys; only slices that may hold one are read, and None stands for none of them."""
+        state = state or self.state()
+        got = self.hits(name, keys, key, state)
+        if not got:
+            return None
+        rows = self._of(name, state, [f"{self.uri}/{name}/part={at}/slice={n}" for at, n in got], SLICE)
+        return rows.join(keys.select(key).distinct(), key, "left_semi").select(StructType.fromJson(state["schemas"][name]).names)
+
+    def workspace(self) -> Workspace:
+        return Workspace(self)
 
     def parts(self, name: str) -> int:
         return len(self.state()["tables"].get(name, []))
@@ -126,7 +187,23 @@ class Store:
     def compact(self, name: str) -> dict:
         """Rewrite a table that many commits have added to as one folder."""
         base = self.state()
-        return self.commit(base, base["watermark"], replace={name: self.table(name, base)})
+        return self.commit(base, base["watermark"], replace={name: self.table(name, base)}, months={"message": "created_at"})
+
+
+class Workspace:
+    """A folder of the store for tables that a commit is made from; no version names it."""
+
+    def __init__(self, store: Store):
+        self.store, self.at, self.n = store, f"work/{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.store.uri}/{self.at}/{self.n}"
+        df.write.parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        self.store._files.delete(self.store._path(self.at), True)
 
 
 def monthly_ranges(start: date, end: date) -> list[tuple[date, date]]:
