@@ -314,25 +314,33 @@ class Model:
     def log(self, before: np.ndarray, k: np.ndarray, seen: np.ndarray, base: np.ndarray) -> np.ndarray:
         return np.log10((1 - self.mix) * self.move[before, k] * seen + self.mix * base)
 
-    def parts(self, text: str) -> tuple[int, int, float, float, dict[str, np.ndarray]]:
-        """Tokens; known ones among the head; both scores without what words beyond the head add; those words with what is around them."""
-        h = tokens(text)
+    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """For each text: its tokens; known ones among the head; both scores without what words beyond the head add; where its words beyond
+        the head begin among those of all, one end more; and those words with what is around them, ``i`` within their text."""
+        each = [tokens(t) for t in texts]
+        lengths, h = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
         if not self.total:
-            none = h[:0]
-            return len(h), 0, 0.0, 0.0, {"i": none, "w": none, "before": none, "after": none, "seen": none.astype(float), "c1": none.astype(float)}
+            none, zero = h[:0], np.zeros(len(each))
+            return lengths, zero.astype(np.int64), zero, zero, np.zeros(len(each) + 1, np.int64), {"i": none, "w": none, "before": none, "after": none, "seen": none.astype(float), "c1": none.astype(float)}
+        starts = np.cumsum(lengths) - lengths
         at = self.head(h)
         beyond = at == len(self.head_counts) - 1
         c1 = self.head_counts[at] + 1.0
         unit = 1 / (self.total + self.distinct + 1)
         word = np.minimum(at, self.clustered)
         k = self.of[word]
-        before = np.concatenate([[self.of[self.head(np.asarray([END]))[0]]], k[:-1]])
+        before, after = np.roll(k, 1), np.roll(beyond, 1)
+        before[starts], after[starts] = self.of[self.head(np.asarray([END]))[0]], False
         seen = self.emit[word] * np.where(word == self.clustered, c1, 1.0)
-        after = np.concatenate([[False], beyond[:-1]])
-        own = self.log(before, k, seen, c1 * unit)[~(beyond | after)].sum()
-        i = np.flatnonzero(beyond)  # the last token is the end, which is known
-        tail = {"i": i, "w": h[i], "before": np.where(after[i], -1, before[i]), "after": np.where(beyond[i + 1], -1, k[i + 1]), "seen": seen[i + 1], "c1": c1[i + 1]}
-        return len(h), int((~beyond).sum()), float(np.log10(c1[~beyond]).sum() + len(h) * np.log10(unit)), float(own), tail
+        own, plain = np.zeros(len(h)), ~(beyond | after)
+        own[plain] = self.log(before[plain], k[plain], seen[plain], c1[plain] * unit)
+        base = np.where(beyond, 0.0, np.log10(self.head_counts + 1.0)[at])
+        i = np.flatnonzero(beyond)  # a text's last token is the end, which is known
+        ends = np.searchsorted(i, np.append(starts, len(h)))
+        within = i - np.repeat(starts, np.diff(ends))
+        tail = {"i": within, "w": h[i], "before": np.where(after[i], -1, before[i]), "after": np.where(beyond[i + 1], -1, k[i + 1]), "seen": seen[i + 1], "c1": c1[i + 1]}
+        total = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token
+        return lengths, total((~beyond).astype(np.int64)), total(base) + lengths * np.log10(unit), total(own), ends, tail
 
 
 def fit(docs: DataFrame, counts: DataFrame, text: str = "text", clustered: int = 4096, classes: int = 64, head: int = 200_000, mix: float = 0.05, rounds: int = 5, least: int = 3) -> Model:
@@ -390,11 +398,9 @@ def score(docs: DataFrame, train_on: Column, key: str = "doc_id", text: str = "t
 
         task, nth = TaskContext.get().partitionId() << 33, 0
         for b, at, texts in _texts(batches):
-            got = [sent.value.parts(t) for t in texts]
-            n, known, base, own, tails = zip(*got, strict=True)
-            ends = np.cumsum([0, *(len(t["i"]) for t in tails)])
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([t[c] for t in tails]), kind) for c, kind in kinds.items()], names=list(kinds))
-            yield pa.RecordBatch.from_pydict({"key": b.column("key").slice(at, len(texts)), "row": pa.array(range(task + nth, task + nth + len(texts)), pa.int64()), "n": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "own": pa.array(own, pa.float64()), "tail": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+            n, known, base, own, ends, tail = sent.value.parts(texts)
+            flat = pa.StructArray.from_arrays([pa.array(tail[c], kind) for c, kind in kinds.items()], names=list(kinds))
+            yield pa.RecordBatch.from_pydict({"key": b.column("key").slice(at, len(texts)), "row": pa.array(range(task + nth, task + nth + len(texts)), pa.int64()), "n": pa.array(n), "known": pa.array(known), "base": pa.array(base), "own": pa.array(own), "tail": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
             nth += len(texts)
 
     def more(batches):

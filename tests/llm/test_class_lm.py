@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from deskloom.llm import class_lm as lm
@@ -33,23 +34,54 @@ def test_probabilities_sum_to_one(spark, made):
     words = {w for _, t in made for w in tok(t)} - {b"\n"}
     c = Counter(w for _, t in made for w in tok(t))
     for before in ("", "one ", "neverseen "):
-        start = m.parts(before.strip())
+        start = m.parts([before.strip()])
         p = 0.0
         for w in [*sorted(words), b"unseen-word"]:
             # the probability of w after ``before``: what the text with w has more, its own end left out
-            one, two = m.parts(before + w.decode("utf-8")), None
+            one, two = m.parts([before + w.decode("utf-8")]), None
             h = lm.tokens(before + w.decode("utf-8"))[:-1]
             k = m.of[min(int(m.head(h[-1:])[0]), m.clustered)]
             prev = m.of[min(int(m.head(h[-2:-1] if len(h) > 1 else lm.np.asarray([lm.END]))[0]), m.clustered)]
             seen = m.emit[min(int(m.head(h[-1:])[0]), m.clustered)]
             rare = int(m.head(h[-1:])[0]) >= m.clustered
             p += (1 - m.mix) * m.move[prev, k] * seen * (c[w] + 1 if rare else 1) + m.mix * (c[w] + 1) / (m.total + m.distinct + 1)
-            assert one[0] == len(h) + 1 and start and two is None
+            assert one[0][0] == len(h) + 1 and start and two is None
         end = m.of[int(m.head(lm.np.asarray([lm.END]))[0])]
         p += (1 - m.mix) * m.move[prev, end] + m.mix * (c[b"\n"] + 1) / (m.total + m.distinct + 1)
         assert abs(p - 1) < 1e-9
 
 
+@pytest.mark.parametrize("head", [200_000, 5])
+def test_scores_like_a_loop_over_tokens(spark, made, head):
+    """The whole score, token by token in plain Python, from what the model says of classes; with words beyond the head too."""
+    import math
+
+    docs = frame(spark, [*made, (None, None), (77, "x"), (77, "x never seen x " * 40)])
+    counts = lm.scratch.table(lm.word_counts(docs.where("doc_id < 5")), "c")
+    m = lm.fit(docs.where("doc_id < 5"), counts, head=head, clustered=4, classes=6, rounds=2)
+    c = {r.w: r.c for r in counts.collect()}
+    k_of = {} if m.beyond is None else {r.w: r.k for r in m.beyond.collect()}
+    size = dict(enumerate(m.inside))
+
+    def log_p(h):
+        total, before = 0.0, int(m.of[int(m.head(lm.np.asarray([lm.END]))[0])])
+        for w in h.tolist():
+            at, n = int(m.head(lm.np.asarray([w]))[0]), c.get(w, 0)
+            if at < m.clustered:
+                k, emit = int(m.of[at]), float(m.emit[at])
+            elif k_of.get(w) is not None:
+                k, emit = int(k_of[w]), n / max(size[int(k_of[w])], 1)
+            else:
+                k, emit = 1, (n + 1) * float(m.emit[-1])
+            total += math.log10((1 - m.mix) * float(m.move[before, k]) * emit + m.mix * (n + 1) / (m.total + m.distinct + 1))
+            before = k
+        return total
+
+    got = lm.score(docs, F.col("doc_id") < 5, head=head, clustered=4, classes=6, rounds=2).collect()
+    want = [log_p(lm.tokens(r.text or "")) for r in docs.collect()]
+    assert len(got) == len(want) and all(abs(a - b) < 1e-8 for a, b in zip(sorted(r.score for r in got), sorted(want), strict=True))
+
+
 def test_classes_help(spark):
     rows = [(i, " ".join(f"{'a' if (i + j) % 2 else 'b'}{(i * j) % 9}" for j in range(30))) for i in range(60)]
     got = run(spark, rows, F.col("doc_id") % 5 != 0)
