@@ -213,16 +213,22 @@ class Tagger:
         return np.split(q, np.cumsum(lengths)[:-1])
 
 
-def fit(docs: DataFrame, train_on: Column, lang: str = "lang", key: str = "doc_id", text: str = "text", per_language: int = 400, most_languages: int = 500) -> Model:
-    """Train on the rows where ``train_on`` holds and ``lang`` isn't null; about ``per_language`` rows of each language."""
-    good = docs.where(train_on & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    known = good.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(most_languages)
-    share = {r[0]: min(1.0, per_language / r[1]) for r in known.collect()}
-    if not share:
+def fit(docs: DataFrame, train_on: Column, lang: str = "lang", text: str = "text", per_language: int = 400, most_rows: int = 200_000) -> Model:
+    """Train on the rows where ``train_on`` holds and ``lang`` isn't null: about ``per_language`` distinct texts of each language, with very many languages
+    fewer of each, ``most_rows`` in all (that many languages at most, the commonest).
+
+    Nothing but the text and ``lang`` decides what is learned: texts are drawn by their hash, so that neither ids nor files nor the order of rows matter.
+    """
+    good = docs.where(train_on & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    good = good.withColumn("at", F.xxhash64("text"))
+    known = good.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows).collect()
+    if not known:
         return train([])
-    part = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col(lang)]
-    drawn = F.rand(5) < part
-    rows = good.where(drawn).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(key, text).alias("at"))
+    each = min(per_language, max(1, most_rows // len(known)))
+    share = {r["lang"]: min(1.0, each / r["n"]) for r in known}
+    part = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col("lang")]
+    drawn = F.pmod(F.xxhash64(F.lit("drawn"), "text"), F.lit(1 << 30)) < part * float(1 << 30)
+    rows = good.where(drawn).dropDuplicates(["lang", "at"])  # copies of a text are equal, so it doesn't matter which stays
 
     def passages(batches):
         for b in batches:

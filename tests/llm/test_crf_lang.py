@@ -57,6 +57,36 @@ def test_forward_backward_equals_all_paths():
     assert np.allclose(got, want) and np.allclose(moves, wanted)
 
 
+def test_prediction_like_a_plain_forward_pass(spark):
+    """Language and score of whole documents, by sums over paths in plain Python."""
+    model = crf.fit(frame(spark, rows()), F.lit(True))
+    r = random.Random(9)
+    texts = [say(r, "en", 3), say(r, "de", 7) + " 12 -- " + say(r, "fr", 9), say(r, "fr", 60), "ein", "the\n\ncat " * 20]
+    got = {x.key: x for x in crf.predict(frame(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        e = [list(map(float, row)) for row in model.emissions(crf.words(t)).astype(np.float32)]
+        k = range(len(model.languages))
+        a = [[float(model.begin[j]) + e[0][j] for j in k]]
+        for row in e[1:]:
+            a.append([row[j] + float(np.logaddexp.reduce([a[-1][h] + float(model.move[h, j]) for h in k])) for j in k])
+        b = [[0.0 for _ in k]]
+        for row in reversed(e[1:]):
+            b.insert(0, [float(np.logaddexp.reduce([float(model.move[h, j]) + row[j] + b[0][j] for j in k])) for h in k])
+        whole = float(np.logaddexp.reduce(a[-1]))
+        mean = [sum(np.exp(x[j] + y[j] - whole) for x, y in zip(a, b, strict=True)) / len(e) for j in k]
+        assert got[i].lang_pred == model.languages[int(np.argmax(mean))] and abs(got[i].score - max(mean)) < 1e-5
+
+
+def test_ids_files_and_order_do_not_decide_what_is_learned(spark):
+    some = rows()
+    other = [(1000 - 7 * i, t, lang) for i, t, lang in reversed(some)]
+    models = [crf.fit(frame(spark, x).repartition(n), F.lit(True), per_language=10) for x, n in ((some, 1), (other, 5))]
+    words = crf.words("the cat schung eaux")
+    assert models[0].languages == models[1].languages and np.array_equal(models[0].emissions(words), models[1].emissions(words))
+    one = crf.fit(frame(spark, [(i, "ein und der ich", "de") for i in range(3000)] + some), F.lit(True), per_language=10)
+    assert set(one.languages) == {"en", "de", "fr"}
+
+
 def test_null_empty_and_unlettered(spark, made):
     model = crf.fit(frame(spark, rows()), F.lit(True))
     odd = [(1, None), (2, ""), (3, "1234 !!! 👍"), (4, "éé"), (4, "éé"), (None, "the ing")]
