@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import replace
 from datetime import date, datetime
@@ -14,7 +13,9 @@ from ..functions import working_time as W
 from ..operators import events, scope, verdicts
 from ..operators.scope import Scope
 from ..sources import archive
-from ..sources.store import Store, monthly_ranges
+from ..sources.store import Store, monthly_ranges, scratch_folder
+from ..streaming import ingest
+from ..streaming.served import Served
 from . import catalog as C, dashboard as D, drill, metrics as M
 
 P, ALL = C.PERIOD, C.ALL
@@ -104,17 +105,43 @@ def _rosters(d):
 def _stored(d):
     """Tickets by client after two commits to a store of buckets, the second of which rewrites some of them."""
     spark = d.spark
-    base = spark.conf.get("spark.checkpoint.dir", None)  # the folder that the driver and all executors share
-    if not base and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    base = base or f"file://{tempfile.gettempdir()}/deskloom-stores"
-    store = Store(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", buckets=8)
+    store = Store(spark, scratch_folder(spark, "store"), buckets=8)
     state = store.commit(store.state(), 0, replace={"ticket": d.ticket.withColumn("messages_in", F.col("messages_in") + 1)})
     state = store.commit(state, 1, rewrite={"ticket": (d.ticket.where(store.bucket(F.col("client")) < 4), range(4))})
     store.commit(state, 2, rewrite={"ticket": (d.ticket.where(store.bucket(F.col("client")) >= 4), range(4, 8))})
     return store.table("ticket").groupBy("client").agg(F.count("*").alias("tickets"), F.sum("messages_in").alias("messages_in"))
 
 
+_SERVED: dict[tuple[str, str], Served] = {}
+
+
+def _served(d) -> Served:
+    """A store that the desk's archive has gone into: most of it at once, the rest in two smaller batches; held for a session and folder."""
+    key = (d.spark.sparkContext.applicationId, d.folder)
+    if key not in _SERVED:
+        _SERVED.clear()
+        store = Store(d.spark, scratch_folder(d.spark, "served"))
+        rows = archive.archived(d.message)
+        top = rows.agg(F.max("id")).first()[0]
+        for above, to in ((-1, top * 8 // 10), (top * 8 // 10, top * 9 // 10), (top * 9 // 10, top)):
+            ingest.ingest(store, rows.where(f"id > {above} AND id <= {to}"), {"client_group": d.member.where(f"{to} = {top} OR client < 'u5'")})
+        _SERVED[key] = Served(store)
+    return _SERVED[key]
+
+
+SHOWN = """client, account, opened_at, last_activity, stale_at, first_response_at, first_responder, frt_seconds, in_progress_at, pickup_seconds, closed_at, closed_by,
+resolution_seconds, status, category, messages_in, messages_out, reopened_from IS NOT NULL AS linked, reopen_score, reopen_llm, thanked, awaiting_since, replies, reply_seconds, resumes"""
+
+
+def _over_jdbc(d):
+    """The archive in an embedded database, read above an id in ranges of about as many rows."""
+    url = f"jdbc:derby:memory:desk{uuid.uuid4().hex};create=true"
+    rows = archive.archived(d.message).select("id", "username", "txt").where("id <= 8000 OR id > 20000")  # a gap in the ids
+    rows.toDF("ID", "USERNAME", "TXT").write.format("jdbc").options(url=url, dbtable="archive", driver=DERBY, createTableColumnTypes="USERNAME VARCHAR(200), TXT VARCHAR(2000)").save()
+    return archive.archive_rows(d.spark, url, above=4000, driver=DERBY).select(F.col("ID").alias("id"), F.col("USERNAME").alias("username"), F.col("TXT").alias("txt"))
+
+
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 FACTS = {
     "messages": {
         "total": "sum(messages_in + messages_out)", "from_clients": "sum(messages_in)", "from_clients_pct": _pct(
@@ -441,6 +468,22 @@ REPORTS = {
         f"SELECT id, username, txt FROM ({ARCHIVE}) WHERE id > 20000",
         False,
     ),
+    "scan_archive_jdbc": (_over_jdbc, f"SELECT id, username, txt FROM ({ARCHIVE}) WHERE id > 4000 AND (id <= 8000 OR id > 20000)", False),
+    "sink_message_dedup": (
+        lambda d: ingest.messages(_served(d).store).select("client", "author", "recipient", "direction", "txt", "created_at"),
+        "SELECT client, author, recipient, direction, txt, created_at FROM message", False,
+    ),
+    "st_state_reload": (lambda d: ingest.tickets(_served(d).store).selectExpr(*SHOWN.replace("\n", " ").split(", ")), f"SELECT {SHOWN} FROM ticket", True),
+    "sink_dim_refresh": (lambda d: _served(d).store.table("client_group"), "SELECT client, grp, last_seen_at FROM client_group", False),
+    "sink_watermark": (
+        lambda d: d.spark.createDataFrame([(_served(d).store.state()["watermark"],)], "watermark long"), f"SELECT max(id) AS watermark FROM ({ARCHIVE})", False
+    ),
+    "st_dedup": (
+        lambda d: _served(d).store.find("seen", ingest.messages(_served(d).store), "dedup_hash").select(F.hex("dedup_hash").alias("hash")),
+        "SELECT upper(sha1(client || chr(0) || 's' || lpad(CAST(source_id AS VARCHAR), 9, '0') || chr(0) || txt)) AS hash FROM message", False,
+    ),
+    "q_stored_timeseries": (lambda d: M.timeseries(_served(d).desk(P), P, ALL), C.timeseries("day"), True),
+    "q_stored_summary": (lambda d: M.summary(_served(d).desk(P), P, ALL), C.SUMMARY, True),
     "scan_max_id": (lambda d: archive.archived(d.message).agg(F.max("id").alias("top")), f"SELECT max(id) AS top FROM ({ARCHIVE})", False),
     "scan_membership": (
         lambda d: archive.memberships(

@@ -53,19 +53,33 @@ def erlang_groups(term: Column) -> Column:
     return F.filter(names, lambda g: ~F.lower(g).startswith("help") & (F.lower(g) != "all"))
 
 
-def archive_rows(
-    spark: SparkSession, url: str, table: str = "archive", above: int = -1, to: int | None = None, tasks: int = 8,
-    **options: str
-) -> DataFrame:
-    """The archive's rows with texts over JDBC, in ``tasks`` ranges of ids above a watermark."""
-    source = spark.read.format("jdbc").options(url=url, **options)
-    if to is None:
-        to = source.option("query", f"SELECT MAX(id) AS top FROM {table}").load().first()[0]
-    where = f"(SELECT * FROM {table} WHERE id > {above} AND txt IS NOT NULL) AS a"
-    return source.options(
-        dbtable=where, partitionColumn="id", lowerBound=above + 1, upperBound=max(above + 2, (to or 0) + 1),
-        numPartitions=tasks
-    ).load()
+def id_ranges(counts: list[tuple[int, int]], width: int, tasks: int) -> list[tuple[int, int]]:
+    """Ranges [from, to) of ids with about equal numbers of rows, from rows by bucket of ``width`` ids."""
+    share, held, out = sum(n for _, n in counts) / max(1, tasks), 0, []
+    for bucket, n in sorted(counts):
+        if not out or (held >= share and len(out) < tasks):
+            out.append([bucket * width, 0])
+            held = 0
+        out[-1][1], held = (bucket + 1) * width, held + n
+    return [tuple(r) for r in out]
+
+
+def archive_rows(spark: SparkSession, url: str, table: str = "archive", above: int = -1, to: int | None = None, tasks: int = 8, **options: str) -> DataFrame:
+    """The archive's rows with texts over JDBC, above a watermark and up to ``to``, in ``tasks`` ranges of ids with about as many rows each.
+
+    Ids have gaps, so ranges come from the numbers of rows in 64 buckets of ids for each task, which the database counts.
+    """
+    source = lambda query: spark.read.format("jdbc").options(url=url, **options).option("query", query).load()
+    some = f"FROM {table} WHERE id > {above} AND txt IS NOT NULL" + ("" if to is None else f" AND id <= {to}")
+    low, high = source(f"SELECT MIN(id) AS low, MAX(id) AS high {some}").first()
+    columns = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if low is None:
+        return columns.load().where(F.lit(False))
+    width = (int(high) - int(low)) // (64 * tasks) + 1
+    counts = source(f"SELECT b, COUNT(*) AS n FROM (SELECT FLOOR(id / {width}) AS b {some}) AS x GROUP BY b").collect()
+    ranges = id_ranges([(int(b), int(n)) for b, n in counts], width, tasks)
+    inside = [f"id >= {max(s, above + 1)} AND id < {e} AND txt IS NOT NULL" + ("" if to is None else f" AND id <= {to}") for s, e in ranges]
+    return spark.read.jdbc(url, table, predicates=inside, properties=dict(options))
 
 
 def prepared(archive: DataFrame, source_zone: str | None = None, business_zone: str | None = None) -> DataFrame:

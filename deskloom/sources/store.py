@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import calendar
 import json
+import tempfile
 import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -27,6 +28,15 @@ SLICE, MONTH = StructField("slice", IntegerType()), StructField("month", StringT
 MONTHLY = ("message",)  # tables cut by month
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``; a local one where that is unset, as in tests, and never on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/deskloom-stores"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def month(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM")
 
