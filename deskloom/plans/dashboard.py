@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.scope import Scope
 from ..sources.adapter import Desk
+from ..sources.store import scratch_folder
 from . import metrics as M
 
 OTHER, POOLED, TREND_TOP = "Другое", "Прочие", 6  # fixed values
@@ -72,10 +73,15 @@ def by_number(name: Column) -> Column:
 
 
 def numbered_clients(desk: Desk) -> DataFrame:
-    """Every client with its place: dealt by ranges of the key, numbered in each range, plus the rows of the ranges before."""
+    """Every client with its place: dealt by ranges of the key, numbered in each range, plus the rows of the ranges before.
+
+    What is dealt is written once, as both the numbers and the sizes of ranges are read from it.
+    """
     names = desk.member.select("client").distinct().withColumn("k", by_number(F.col("client")))
     tasks = int(desk.spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that ranges stay as they are dealt
-    dealt = names.repartitionByRange(tasks, "k").withColumn("part", F.spark_partition_id())
+    path = scratch_folder(desk.spark, "ranges")
+    names.repartitionByRange(tasks, "k").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = desk.spark.read.schema("client string, k string, part int").parquet(path)
     sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"))  # one row for each range
     before = sizes.select(
         "part",

@@ -220,6 +220,25 @@ def events(card: Card, desk: Desk, p: M.Period, scope: Scope, only: dict[str, st
     return rows.select("client", "group_names", F.coalesce(card.moment, F.col("opened_at")).alias("at"))
 
 
+def every_event(desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
+    """(card, client, group_names, at) of all cards that have moments: each cohort is made once, and a row gives a line for each card that it counts for."""
+    out = None
+    for cohort in ("closed", "opened"):
+        lines = []
+        for name, card in cards().items():
+            ends = name in ("closed", "rejected")
+            if card.moment is None or ends != (cohort == "closed"):
+                continue
+            counts = (F.col("status") == name) if ends else F.lit(True)
+            for test in ([] if card.base is None else [card.base > 0]) + ([] if card.focus is None else [card.focus]):
+                counts = counts & test
+            lines.append(F.when(counts, F.struct(F.lit(name).alias("card"), F.coalesce(card.moment, F.col("opened_at")).alias("at"))))
+        rows = M.ticket_details(desk, p, scope, cohort, rows=None)
+        found = rows.select("client", "group_names", F.explode(F.array_compact(F.array(*lines))).alias("e")).select("e.card", "client", "group_names", "e.at")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def ranked_clients(card: Card, desk: Desk, p: M.Period, scope: Scope) -> DataFrame:
     """client, group_names, events: who has most of them first, names in the order of their numbers."""
     from .dashboard import by_number

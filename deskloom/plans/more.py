@@ -217,11 +217,7 @@ EVENTS = " UNION ALL ".join(
 
 
 def _events(d):
-    out = None
-    for k in MOMENTS:
-        part = drill.events(drill.cards()[k], d, P, ALL).select(F.lit(k).alias("card"), "client", "group_names", "at")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return drill.every_event(d, P, ALL)
 
 
 def _side(name: str, start: str, end: str) -> str:
@@ -268,7 +264,10 @@ GRANTS = """WITH gr AS (SELECT DISTINCT 'm' || (c_custkey % 40) AS usr, c_custke
   g AS (SELECT DISTINCT usr, v AS account, s.grp FROM gr LEFT JOIN served s ON s.account = v WHERE desk AND can_metrics UNION
     SELECT usr, NULL, v FROM gr WHERE NOT desk AND can_metrics)"""
 
-_month = lambda a, b: C.HELP_SUMS.replace(C.S, f"TIMESTAMP '{a}'").replace(C.E, f"TIMESTAMP '{b}'")
+def _month(a: str, b: str) -> str:
+    return C.REPORTS["q_help_report_summary"][1].replace(C.S, f"TIMESTAMP '{a}'").replace(C.E, f"TIMESTAMP '{b}'")
+
+
 MONTHLY = f"SELECT '2024-01' AS month, * FROM ({_month('2024-01-08', '2024-02-01')}) UNION ALL SELECT '2024-02', * FROM ({_month('2024-02-01', '2024-02-11')})"
 
 REPORTS = {
@@ -436,9 +435,7 @@ REPORTS = {
         False,
     ),
     "q_help_report_monthly": (
-        lambda d: M.help_report_monthly(
-            d, M.Period(datetime(2024, 1, 8), datetime(2024, 2, 11)), "help"
-        ).select("month", "group_name", "users", "messages", "closed", "rejected"),
+        lambda d: M.help_report_monthly(d, M.Period(datetime(2024, 1, 8), datetime(2024, 2, 11)), "help"),
         MONTHLY,
         True,
     ),
@@ -458,6 +455,11 @@ REPORTS = {
         "SELECT source_id, created_at - INTERVAL 2 HOURS AS \"at\" FROM message",
         False,
     ),
+    "to_business_time_summer": (
+        lambda d: d.message.select("source_id", archive.to_business_time(F.expr("created_at + INTERVAL 75 DAYS"), "Europe/Berlin", "Asia/Yekaterinburg").alias("at")),
+        """SELECT source_id, t + to_hours(CASE WHEN t < TIMESTAMP '2024-03-31 03:00:00' THEN 4 ELSE 3 END) AS "at" FROM (SELECT source_id, created_at + INTERVAL 75 DAYS AS t FROM message)""",
+        False,
+    ),
     "ingest_messages": (
         lambda d: archive.normalized(archive.archived(d.message)).select("client", "author", "recipient", "direction", "txt", "created_at"),
         "SELECT client, author, recipient, direction, txt, created_at FROM message",
