@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+BLIND = "UNICODE_CI_AI"  # the collation in which names are equal: neither case nor accents count
+
 
 def real_group(grp: Column) -> Column:
-    """Not a desk's own group, and not the group of all; case doesn't count."""
-    return ~F.lower(grp).startswith("help") & (F.lower(grp) != "all")
+    """Not a desk's own group, and not the group of all; neither case nor accents count."""
+    return ~F.collate(grp, BLIND).startswith(F.lit("help")) & (F.collate(grp, BLIND) != "all")
 
 
 def folded(names: tuple[str, ...]) -> list[str]:
-    return [x.lower() for x in names]
+    """Names as Python compares them: in lower case, without accents."""
+    return ["".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c)) for x in names]
 
 
 def among(c: Column, names: tuple[str, ...]) -> Column:
-    """Whether a name is one of some; case doesn't count."""
-    return F.lower(c).isin(folded(names))
+    """Whether a group's name is one of some; neither case nor accents count."""
+    return F.collate(c, BLIND).isin(list(names)) if names else F.lit(False)
+
+
+def account_among(c: Column, names: tuple[str, ...]) -> Column:
+    """Whether an account is one of some. Ingest keeps accounts in lower case, so plain comparisons, which scans of messages can do fast, are enough."""
+    return F.lower(c).isin([x.lower() for x in names])
+
+
+def one_spelling(member: DataFrame) -> DataFrame:
+    """Memberships with one spelling for group names that differ by case or accents alone, the least one, so that they group, join and sort as one name."""
+    names = member.select("grp").distinct()
+    least = names.groupBy(F.collate("grp", BLIND).alias("k")).agg(F.min("grp").alias("name"))
+    same = names.join(least, F.collate("grp", BLIND) == F.col("k")).select("grp", "name")
+    rest = [c for c in member.columns if c not in ("client", "grp")]
+    return member.join(same, "grp").groupBy("client", F.col("name").alias("grp")).agg(*(F.max(c).alias(c) for c in rest)).select(member.columns)
 
 
 @dataclass(frozen=True)
@@ -50,10 +68,10 @@ class Scope:
 
     def messages(self, rows: DataFrame, member: DataFrame) -> DataFrame:
         """Messages of clients of real groups, each once, however many groups a client is in."""
-        return self._visible(rows, member, among(F.col("author"), self.accounts) | among(F.col("recipient"), self.accounts), True)
+        return self._visible(rows, member, account_among(F.col("author"), self.accounts) | account_among(F.col("recipient"), self.accounts), True)
 
     def tickets(self, rows: DataFrame, member: DataFrame) -> DataFrame:
-        return self._visible(rows, member, among(F.col("account"), self.accounts), False)
+        return self._visible(rows, member, account_among(F.col("account"), self.accounts), False)
 
     def group_rows(self, member: DataFrame) -> DataFrame:
         """Memberships in groups that may be listed."""
@@ -63,11 +81,11 @@ class Scope:
 
     def may_report(self, account: str) -> bool:
         """Whether a desk's own report may be seen: all of them, or those of desks granted."""
-        return self.everything or account.lower() in folded(self.accounts)
+        return self.everything or folded((account,))[0] in folded(self.accounts)
 
     def narrowed(self, group: str) -> Scope:
         """One group of what is visible; asking for another is an error."""
-        if not self.everything and group.lower() not in folded(self.groups):
+        if not self.everything and folded((group,))[0] not in folded(self.groups):
             raise PermissionError(group)
         return replace(self, only_group=group)
 

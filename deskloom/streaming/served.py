@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from ..operators.scope import one_spelling
 from ..plans.metrics import Period
 from ..sources.adapter import Desk
 from ..sources.store import Store
@@ -16,7 +17,7 @@ def stored_desk(store: Store, state: dict | None = None, period: Period | None =
     months = None if period is None else (f"{period.start:%Y-%m}", f"{period.end - timedelta(microseconds=1):%Y-%m}")
     newest = state.get("facts", {}).get("newest")
     horizon = datetime.fromisoformat(newest) + timedelta(seconds=1) if newest else None
-    return Desk(ingest.messages(store, state, months).drop("dedup_hash"), ingest.tickets(store, state), store.table("client_group", state), horizon)
+    return Desk(ingest.messages(store, state, months).drop("dedup_hash"), ingest.tickets(store, state), one_spelling(store.table("client_group", state)), horizon)
 
 
 class Served:

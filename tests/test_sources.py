@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from deskloom.operators.scope import Scope, granted, scope_of, visible_groups
+from deskloom.operators.scope import Scope, granted, one_spelling, scope_of, visible_groups
 from deskloom.sources import archive as A
 from deskloom.sources.store import ConcurrentCommit, Store, monthly_ranges, sheet_name, write_json, write_sheets
 from deskloom.streaming import ingest as I
@@ -152,4 +152,7 @@ def test_scope(spark):
     assert own.may_report("Help") and not own.may_report("help-mag") and own.narrowed("C").only_group == "C"
     with pytest.raises(PermissionError):
         own.narrowed("B")
+    assert seen(Scope(groups=("Á",))) == ["u1"] and Scope(groups=("Zoë",)).narrowed("zoe").only_group == "zoe"
+    spelt = spark.createDataFrame([("u1", "Zoë"), ("u2", "zoe"), ("u2", "ZOE"), ("u3", "Zo")], "client string, grp string")
+    assert sorted(map(tuple, one_spelling(spelt).collect())) == [("u1", "ZOE"), ("u2", "ZOE"), ("u3", "Zo")]
     assert seen(Scope(groups=("a",))) == ["u1"] and seen(Scope(accounts=("HELP",), only_group="b")) == ["u1", "u2"]
