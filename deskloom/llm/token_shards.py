@@ -165,12 +165,15 @@ class Shard:
         return self.read(np.arange(len(self.offsets) - 1))
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None) -> tuple[str, DataFrame]:
+def write_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None, records: int = 100_000) -> tuple[str, DataFrame]:
     """Write all of ``docs``; returns the folder and its manifest, one row for each shard.
 
-    The key is a long. Each task holds a batch of texts and two numbers for each record of its shard.
+    The key is a long. Each task holds a batch of texts and two numbers for each record of its shard. Unless their number is given there are as many
+    shards as the session's shuffles have partitions, or as many more as keep them to about ``records`` records, so that a shard's index stays small whatever the table's size.
     """
     spark = docs.sparkSession
+    if shards is None and (wanted := -(-docs.count() // records)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        shards = wanted
     path = path or scratch.folder(spark, "shards")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(*([shards] if shards else []), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")

@@ -49,6 +49,15 @@ def test_a_second_attempt_leaves_the_files(tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["x"] and (tmp_path / "x").read_bytes() == b"same"
 
 
+def test_shards_grow_with_the_rows(spark):
+    rows = [(i, f"text {i}") for i in range(120)]
+    few = ts.write_shards(frame(spark, rows), PATH, end_id=0)[1]
+    many = ts.write_shards(frame(spark, rows), PATH, end_id=0, records=10)[1]
+    assert few.count() <= 4 and 10 <= many.count() <= 12
+    found = sorted((tuple(r) for r in ts.fetch(many, frame(spark, rows), "doc_id").collect()), key=lambda r: r[1])
+    assert found == expected(rows)
+
+
 def test_empty_table(spark):
     _, manifest = ts.write_shards(frame(spark, []), PATH, end_id=0)
     assert ts.fetch(manifest, frame(spark, [(1, "x")]), "doc_id").count() == 0 and ts.without_key(manifest).count() == 0
