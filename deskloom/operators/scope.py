@@ -36,7 +36,9 @@ def one_spelling(member: DataFrame) -> DataFrame:
     least = names.groupBy(F.collate("grp", BLIND).alias("k")).agg(F.min("grp").alias("name"))
     same = names.join(least, F.collate("grp", BLIND) == F.col("k")).select("grp", "name")
     rest = [c for c in member.columns if c not in ("client", "grp")]
-    return member.join(same, "grp").groupBy("client", F.col("name").alias("grp")).agg(*(F.max(c).alias(c) for c in rest)).select(member.columns)
+    named = member.join(same, "grp").withColumn("grp", F.col("name"))
+    once = named.groupBy("client", "grp").agg(*(F.max(c).alias(c) for c in rest)) if rest else named.select("client", "grp").distinct()
+    return once.select(member.columns)
 
 
 @dataclass(frozen=True)
