@@ -92,6 +92,28 @@ class Scope:
         return replace(self, only_group=group)
 
 
+# what the roles open; nothing else is open to anyone
+ROLES = ("admin", "manager", "user")
+OPEN_TO = {
+    "admin": ("admin",), "metrics": ("admin", "manager"), "chat": ("admin", "manager"), "help": ("admin", "manager"),
+    "companies": ROLES, "users": ROLES, "groups": ROLES,
+}
+
+
+def open_areas(accounts: DataFrame) -> DataFrame:
+    """(user, area): what the role of each account (user, role, enabled) opens. Who isn't enabled, or has no known role, opens nothing."""
+    opened = F.array_compact(F.array(*(F.when(F.col("role").isin(*roles), area) for area, roles in OPEN_TO.items())))
+    return accounts.where("enabled").select("user", F.explode(opened).alias("area"))
+
+
+def scope_in(accounts: DataFrame, grants: DataFrame, desk_groups: DataFrame, user: str, area: str) -> Scope:
+    """The scope of a signed-in user in an area: all for an administrator, what is granted for others; an area that the role doesn't open is an error."""
+    who = accounts.where((F.col("user") == user) & F.col("enabled")).first()
+    if who is None or who.role not in OPEN_TO.get(area, ()):
+        raise PermissionError(area)
+    return Scope.all() if who.role == "admin" else scope_of(grants, desk_groups, user, "chats" if area == "chat" else "metrics")
+
+
 def granted(grants: DataFrame, desk_groups: DataFrame, area: str = "metrics") -> DataFrame:
     """(user, account or null, grp) of the grants for an area: a desk grant also opens the groups that the desk serves."""
     own = grants.where(F.col(f"can_{area}"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..functions import working_time as W
 from ..operators import events, scope, verdicts
 from ..operators.scope import Scope
 from ..sources import archive
-from ..sources.store import Store, monthly_ranges, scratch_folder
+from ..sources.store import Store, monthly_ranges, scratch_folder, write_json, write_sheets
 from ..streaming import ingest
 from ..streaming.served import Served
 from . import catalog as C, dashboard as D, drill, metrics as M
@@ -102,6 +102,38 @@ def _rosters(d):
     return users, served.select(F.concat(F.lit("HELP-of-"), "account").alias("name"), term.alias("opts"))
 
 
+def _by_month(d):
+    """The months from the first message to the last, whose ends may be partial, with their messages, each moved by up to 149 days to fill several months."""
+    moved = d.message.select((F.col("created_at") + F.make_dt_interval(F.col("source_id").cast("int") % 150)).alias("created_at"))
+    lo, hi = moved.agg(F.min("created_at"), F.max("created_at")).first()
+    ranges = monthly_ranges(lo.date(), hi.date()) if lo else []
+    months = d.spark.createDataFrame(ranges, "first date, last date").withColumn("month", F.trunc("first", "month"))
+    counts = moved.groupBy(F.trunc("created_at", "month").alias("month")).agg(F.count("*").alias("messages"))
+    return months.join(counts, "month").select("first", "last", "messages")
+
+
+KEPT = "id, client, account, opened_at, closed_at, first_response_at, frt_seconds, status, category, messages_in, messages_out, thanked"
+
+
+def _as_json(d):
+    """Tickets written as lines of JSON and read back."""
+    rows, uri = d.ticket.selectExpr(*KEPT.split(", ")), scratch_folder(d.spark, "json")
+    write_json(rows, uri)
+    return d.spark.read.schema(rows.schema).json(uri)
+
+
+def _as_sheets(d):
+    """A sheet with two sections, counts of tickets and of messages, written as CSV and read back."""
+    uri, wanted = scratch_folder(d.spark, "sheets"), {"tickets": (d.ticket, "status"), "messages": (d.message, "direction")}
+    sections = [(title, df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n"))) for title, (df, c) in wanted.items()]
+    (sheet,) = write_sheets({"How many?": sections}, uri)
+    parts = [
+        d.spark.read.schema("name string, n long").option("header", True).csv(f"{uri}/{sheet}/{i:02d} {title}").select(F.lit(title).alias("section"), "name", "n")
+        for i, (title, _) in enumerate(sections, 1)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _stored(d):
     """Tickets by client after two commits to a store of buckets, the second of which rewrites some of them."""
     spark = d.spark
@@ -522,16 +554,33 @@ REPORTS = {
     ),
     "scan_desk_groups": (
         lambda d: archive.desk_groups(*_rosters(d)),
-        "SELECT * FROM (VALUES ('help', 'org0'), ('help', 'org1'), ('help', 'org2'), ('help-mag', 'org3'), ('help-mag', 'org4'), ('help-dnk', 'org5'), ('help-dnk', 'org6')) AS t(account, grp)",
+        """SELECT DISTINCT CASE WHEN grp < 'org3' THEN 'help' WHEN grp < 'org5' THEN 'help-mag' ELSE 'help-dnk' END AS account, grp
+        FROM client_group WHERE grp LIKE 'org%'""",
         False,
     ),
     "monthly_ranges": (
-        lambda d: d.spark.createDataFrame(monthly_ranges(date(2024, 1, 30), date(2024, 6, 3)), "first date, last date"),
-        """SELECT CAST(greatest(m, DATE '2024-01-30') AS DATE) AS first, CAST(least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE
-          '2024-06-03') AS DATE) AS last
-        FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-07-01', INTERVAL 1 MONTH)) AS m)""",
+        _by_month,
+        """WITH moved AS (SELECT created_at + to_days(CAST(source_id % 150 AS INTEGER)) AS created_at FROM message),
+        ends AS (SELECT min(created_at) AS lo, max(created_at) AS hi FROM moved),
+        months AS (SELECT date_trunc('month', created_at) AS m, count(*) AS messages FROM moved GROUP BY ALL)
+        SELECT CAST(greatest(m, CAST(lo AS DATE)) AS DATE) AS first, CAST(least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, CAST(hi AS DATE)) AS DATE) AS last, messages
+        FROM months, ends""",
+        False,
+    ),
+    "role_areas": (
+        lambda d: scope.open_areas(d.accounts),
+        """WITH a AS (SELECT DISTINCT c_custkey % 40 AS n FROM customer)
+        SELECT 'm' || n AS "user", unnest(CASE WHEN n % 8 = 0 THEN ['admin', 'metrics', 'chat', 'help', 'companies', 'users', 'groups']
+          WHEN n % 8 < 5 THEN ['metrics', 'chat', 'help', 'companies', 'users', 'groups'] ELSE ['companies', 'users', 'groups'] END) AS area
+        FROM a WHERE n % 11 <> 3""",
         False,
     ),
+    "sink_json": (_as_json, f"SELECT {KEPT} FROM ticket", True),
+    "sink_sheets": (
+        _as_sheets,
+        "SELECT 'tickets' AS section, status AS name, count(*) AS n FROM ticket GROUP BY ALL UNION ALL SELECT 'messages', direction, count(*) FROM message GROUP BY ALL",
+        True,
+    ),
     "sink_rewrite_buckets": (
         _stored,
         "SELECT client, count(*) AS tickets, CAST(sum(messages_in) AS BIGINT) AS messages_in FROM ticket GROUP BY client",

@@ -90,9 +90,19 @@ def memberships(events: DataFrame) -> DataFrame:
 SERVED = {"help": ("org0", "org1", "org2"), "help-mag": ("org3", "org4"), "help-dnk": ("org5", "org6")}
 
 
-def desk_groups(spark: SparkSession) -> DataFrame:
-    """account, grp: the groups that each desk serves."""
-    return spark.createDataFrame([(a, g) for a, groups in SERVED.items() for g in groups], "account string, grp string")
+def desk_groups(member: DataFrame) -> DataFrame:
+    """account, grp: the groups with members that each desk serves."""
+    desk = F.coalesce(*(F.when(F.col("grp").isin(*groups), account) for account, groups in SERVED.items()))
+    return member.select(desk.alias("account"), "grp").where("account IS NOT NULL").distinct()
+
+
+def accounts(customers: DataFrame) -> DataFrame:
+    """user, role, enabled: those who may sign in, the same users as in ``grants``."""
+    n = F.col("n")
+    role = F.when(n % 8 == 0, "admin").when(n % 8 < 5, "manager").otherwise("user")
+    return customers.select((F.col("c_custkey") % 40).alias("n")).distinct().select(
+        F.concat(F.lit("m"), n.cast("string")).alias("user"), role.alias("role"), (n % 11 != 3).alias("enabled")
+    )
 
 
 def grants(customers: DataFrame) -> DataFrame:
@@ -127,9 +137,13 @@ class Desk:
     def grants(self) -> DataFrame:
         return grants(self.spark.read.parquet(f"{self.folder}/customer.parquet").select("c_custkey", "c_nationkey"))
 
+    @property
+    def accounts(self) -> DataFrame:
+        return accounts(self.spark.read.parquet(f"{self.folder}/customer.parquet").select("c_custkey"))
+
     @property
     def desk_groups(self) -> DataFrame:
-        return desk_groups(self.spark)
+        return desk_groups(self.member)
 
 
 _DESKS: dict[tuple[str, str], Desk] = {}

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from deskloom.operators.scope import Scope, granted, one_spelling, scope_of, visible_groups
+from deskloom.operators.scope import Scope, granted, one_spelling, open_areas, scope_in, scope_of, visible_groups
 from deskloom.sources import archive as A
 from deskloom.sources.store import ConcurrentCommit, Store, monthly_ranges, sheet_name, write_json, write_sheets
 from deskloom.streaming import ingest as I
@@ -156,3 +156,32 @@ def test_scope(spark):
     spelt = spark.createDataFrame([("u1", "Zoë"), ("u2", "zoe"), ("u2", "ZOE"), ("u3", "Zo")], "client string, grp string")
     assert sorted(map(tuple, one_spelling(spelt).collect())) == [("u1", "ZOE"), ("u2", "ZOE"), ("u3", "Zo")]
     assert seen(Scope(groups=("a",))) == ["u1"] and seen(Scope(accounts=("HELP",), only_group="b")) == ["u1", "u2"]
+
+
+def test_roles_open_areas_and_grants_fill_them(spark):
+    people = [("a", "admin", True), ("m", "manager", True), ("u", "user", True), ("off", "admin", False), ("odd", "guest", True), ("none", None, True), ("unsure", "admin", None)]
+    accounts = spark.createDataFrame(people, "user string, role string, enabled boolean")
+    tables = {"companies", "users", "groups"}
+    seen = {}
+    for r in open_areas(accounts).collect():
+        assert r.area not in seen.setdefault(r.user, set())
+        seen[r.user].add(r.area)
+    assert seen == {"a": tables | {"admin", "metrics", "chat", "help"}, "m": tables | {"metrics", "chat", "help"}, "u": tables}
+    rows = [("m", "group", "Org1", True, False), ("m", "group", "Org2", False, True), ("u", "help_account", "help", True, False), ("a", "group", "Org1", True, True)]
+    grants = spark.createDataFrame(rows, "user string, scope_type string, scope_value string, can_metrics boolean, can_chats boolean")
+    served = spark.createDataFrame([("help", "org1")], "account string, grp string")
+    into = lambda user, area: scope_in(accounts, grants, served, user, area)
+    assert into("a", "admin") == into("a", "companies") == Scope.all()
+    assert into("m", "metrics") == Scope(groups=("org1",)) and into("m", "chat") == Scope(groups=("org2",))
+    assert into("u", "companies") == Scope(accounts=("help",))
+    for user, area in (("u", "metrics"), ("u", "chat"), ("m", "admin"), ("off", "users"), ("odd", "users"), ("none", "users"), ("unsure", "users"), ("nobody", "users"), ("a", "unheard")):
+        with pytest.raises(PermissionError):
+            into(user, area)
+
+
+def test_desks_serve_the_groups_that_have_members(spark):
+    from deskloom.sources.adapter import desk_groups
+
+    member = spark.createDataFrame([("u1", "all"), ("u1", "org0"), ("u2", "org0"), ("u2", "org6"), ("u3", None)], "client string, grp string")
+    assert sorted(tuple(r) for r in desk_groups(member).collect()) == [("help", "org0"), ("help-dnk", "org6")]
+    assert desk_groups(member.limit(0)).count() == 0
