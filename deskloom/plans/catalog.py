@@ -12,6 +12,7 @@ from ..operators.scope import Scope
 from ..sources.adapter import Desk, desk
 from . import metrics as M
 from .oracle import index as index_sql, over
+from .orders import in_order, order_of
 
 PERIOD = M.Period(datetime(2024, 1, 8), datetime(2024, 1, 22))
 S, E = "TIMESTAMP '2024-01-08'", "TIMESTAMP '2024-01-22'"
@@ -212,8 +213,8 @@ FROM ticket JOIN ({REAL}) USING (client), horizon WHERE opened_at >= {first} AND
     return f"SELECT type, group_name, round(cur, 6) AS \"current\", round(CAST(base AS DOUBLE), 6) AS baseline, round(cur / base, 1) AS ratio FROM ({' UNION ALL '.join([a] * spike + [b] * slow)})"
 
 
-def _query(make: Callable[[Desk], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: make(desk(spark, sf_dir))
+def _query(name: str, make: Callable[[Desk], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: in_order(make(desk(spark, sf_dir)), order_of(name))
 
 
 REPORTS: dict[str, tuple[Callable[[Desk], DataFrame], str, bool]] = {
@@ -400,7 +401,7 @@ REPORTS: dict[str, tuple[Callable[[Desk], DataFrame], str, bool]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(make) for name, (make, _, _) in REPORTS.items()}
+    return {name: _query(name, make) for name, (make, _, _) in REPORTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -598,7 +598,7 @@ REPORTS = {
 
 
 def queries() -> dict:
-    return {name: C._query(make) for name, (make, _, _) in REPORTS.items()}
+    return {name: C._query(name, make) for name, (make, _, _) in REPORTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
