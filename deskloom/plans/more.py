@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import working_time as W
 from ..operators import events, scope, verdicts
 from ..operators.scope import Scope
-from ..sources import archive
+from ..sources import archive, embedded
 from ..sources.store import Store, monthly_ranges, scratch_folder, write_json, write_sheets
 from ..streaming import ingest
 from ..streaming.served import Served
@@ -177,14 +178,15 @@ resolution_seconds, status, category, messages_in, messages_out, reopened_from I
 
 
 def _over_jdbc(d):
-    """The archive in an embedded database, read above an id in ranges of about as many rows."""
-    url = f"jdbc:derby:memory:desk{uuid.uuid4().hex};create=true"
+    """The archive in embedded databases, each read above an id in ranges of about as many rows."""
     rows = archive.archived(d.message).select("id", "username", "txt").where("id <= 8000 OR id > 20000")  # a gap in the ids
-    rows.toDF("ID", "USERNAME", "TXT").write.format("jdbc").options(url=url, dbtable="archive", driver=DERBY, createTableColumnTypes="USERNAME VARCHAR(200), TXT VARCHAR(2000)").save()
-    return archive.archive_rows(d.spark, url, above=4000, driver=DERBY).select(F.col("ID").alias("id"), F.col("USERNAME").alias("username"), F.col("TXT").alias("txt"))
+    urls = embedded.databases(rows, scratch_folder(d.spark, "databases"), "ID BIGINT, USERNAME VARCHAR(200), TXT VARCHAR(2000)")
+    with ThreadPoolExecutor(4) as pool:  # each asks its database for the numbers of rows
+        found = list(pool.map(lambda url: archive.archive_rows(d.spark, url, above=4000, tasks=4, driver=embedded.DRIVER), urls))
+    read = reduce(DataFrame.unionAll, found) if found else d.spark.createDataFrame([], "ID long, USERNAME string, TXT string")
+    return read.select(F.col("ID").alias("id"), F.col("USERNAME").alias("username"), F.col("TXT").alias("txt"))
 
 
-DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 FACTS = {
     "messages": {
         "total": "sum(messages_in + messages_out)", "from_clients": "sum(messages_in)", "from_clients_pct": _pct(

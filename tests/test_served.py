@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from datetime import datetime
 
 import pytest
@@ -76,3 +79,23 @@ def test_archive_over_jdbc(spark):
     assert sorted(r.ID for r in got.collect()) == [i for i, *_ in rows if 5 < i <= 1_000_030]
     assert 2 <= got.rdd.getNumPartitions() <= 4 and max(got.rdd.mapPartitions(lambda p: [len(list(p))]).collect()) < 60
     assert A.archive_rows(spark, url, above=2_000_000, driver=driver).count() == 0
+
+
+def test_archive_over_jdbc_on_executors_of_their_own(tmp_path):
+    """A database that one process writes is read by others: executors here are processes apart from the driver."""
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config(
+    "spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from deskloom.sources import archive as A, embedded as E
+rows = spark.range(1, 900).selectExpr("id", "concat('u', id % 3) AS username", "CASE WHEN id % 5 > 0 THEN concat('a,', chr(34), chr(10), id) END AS txt")
+urls = E.databases(rows, "file://{tmp_path}/db", "ID BIGINT, USERNAME VARCHAR(20), TXT VARCHAR(20)", shard_rows=300)
+assert len(urls) == 3 and all(u.startswith("jdbc:derby:jar:(") for u in urls)
+got = [A.archive_rows(spark, u, above=40, tasks=2, driver=E.DRIVER) for u in urls]
+read = sorted(tuple(r) for r in got[0].union(got[1]).union(got[2]).collect())
+assert read == [(i, f"u{{i % 3}}", f'a,"' + chr(10) + str(i)) for i in range(41, 900) if i % 5], read[:9]
+assert E.databases(rows.where("false"), "file://{tmp_path}/none", "ID BIGINT, USERNAME VARCHAR(20), TXT VARCHAR(20)") == []
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ran = subprocess.run([sys.executable, "-c", code], env={k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-3000:]
