@@ -18,7 +18,8 @@ add up to 0 or more, so all such rows are connected through the row of largest s
 remain, and they need ``-(slack(x) + slack(y)) / (2 (den + num))`` n-grams of their differences in common: overlap
 counts are accumulated over the columns that two rows share, and pairs below that bound are dropped. Blocks of many rows
 do the same as Spark joins: the reference by counts of n-grams, overlaps by a prefix of the differences, rare n-grams
-first, keyed by n-gram and both sizes. No step forms all pairs of a group of near copies.
+first, keyed by n-gram and both sizes. A group of near copies that is less than half of such a block is far from its reference: it's connected
+before, in parts of rows with the same least hash, and rows that are connected form no pair. No step forms all pairs of a group of near copies.
 
 Links are turned into components by alternating minima over tables in the shared folder.
 
@@ -331,8 +332,40 @@ def _differences(found: DataFrame, bound: Bound) -> DataFrame:
     return seen.join(best, "block").select("block", "node", "n", "base", "d", (F.col("slack") + F.col("best.slack") >= 0).alias("links"), F.col("best.node").alias("best"), "diff")
 
 
-def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
-    """Links between rows of large blocks: by the rare n-grams of their differences, for each pair of sizes."""
+def _connected(rows: DataFrame, bound: Bound, block_rows: int, block_cells: int, hashes: int = 3) -> DataFrame:
+    """(node, root): rows of large blocks that links connect with a row of a lesser id, as far as parts of the blocks show it.
+
+    A part holds a block's rows whose n-grams have the same least hash, for each of some hashes; near copies mostly do. Small parts are
+    multiplied with themselves, in others rows link with the one of largest slack. So each group of near copies is connected, mostly, before pairs are formed.
+    """
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                g = [np.frombuffer(x, np.uint64) for x in part.column("grams").to_pylist()]
+                block = part.column("block").to_numpy().view(np.uint64)
+                for k in range(1, hashes + 1):
+                    least = np.fromiter((mixed(x ^ np.uint64(k * int(M1) % 2**64)).min() for x in g), np.uint64, len(g))
+                    at = mixed(mixed(block + np.uint64(k)) * M1 + least).view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"block": at, "node": part.column("node"), "n": part.column("n"), "grams": part.column("grams")})
+
+    parts = scratch.table(rows.select("block", "node", "n", "grams").mapInArrow(run, "block long, node long, n long, grams binary"), "parts")
+    sizes = parts.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("cells")).where("rows > 1")
+    parts = parts.join(sizes.select("block", ((F.col("rows") <= block_rows) & (F.col("cells") <= block_cells)).alias("small")), "block")
+    seen = _differences(parts.where("NOT small"), bound)
+    near = _in_blocks(parts.where("small"), bound).unionByName(seen.where("links AND node <> best").select(F.col("node").alias("a"), F.col("best").alias("b")))
+    return components(near)
+
+
+def _by_difference(seen: DataFrame, connected: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
+    """Links between rows of large blocks: by the rare n-grams of their differences, for each pair of sizes.
+
+    Rows that are connected already form no pair: those that link with the best row, and those of one root in ``connected``. Of a row's links with
+    such a part one is given.
+    """
+    part = F.when(F.col("links"), F.col("best")).otherwise(F.coalesce("root", "node"))
+    seen = seen.join(connected, "node", "left").withColumn("part", part).drop("root", "best")
     to_array = lambda batches: (
         pa.RecordBatch.from_pydict({"block": b.column("block"), "node": b.column("node"), "gram": pa.array([np.frombuffer(x, np.int64) for x in b.column("diff").to_pylist()], pa.list_(pa.int64()))}) for b in batches
     )
@@ -340,7 +373,7 @@ def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
     often = cells.groupBy("block", "gram").agg(F.count("*").alias("c")).where("c > 1")
     rare_first = F.transform(F.sort_array(F.collect_list(F.struct("c", "gram"))), lambda x: x["gram"])
     ordered = cells.join(often, ["block", "gram"]).groupBy("block", "node").agg(rare_first.alias("grams"))
-    ordered = ordered.join(seen.select("block", "node", "n", "base", "d", "links"), ["block", "node"])
+    ordered = ordered.join(seen.select("block", "node", "n", "base", "d", "links", "part"), ["block", "node"])
 
     def keys(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -352,14 +385,14 @@ def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
                 need = max(1, -((most - r.d - max(1, other * w)) // 2))
                 take = max(0, r.d - need + 1 - alone)
                 lo, hi = min(own, other), max(own, other)
-                out += [(r.block, g, lo, hi, own, r.node, r.links) for g in r.grams[:take].tolist()]
-        return pd.DataFrame(out, columns=["block", "gram", "lo", "hi", "own", "node", "links"])
+                out += [(r.block, g, lo, hi, own, r.node, r.links, r.part) for g in r.grams[:take].tolist()]
+        return pd.DataFrame(out, columns=["block", "gram", "lo", "hi", "own", "node", "links", "part"])
 
-    keyed = ordered.mapInPandas(lambda parts: (keys(p) for p in parts), "block long, gram long, lo long, hi long, own long, node long, links boolean")
+    keyed = ordered.mapInPandas(lambda parts: (keys(p) for p in parts), "block long, gram long, lo long, hi long, own long, node long, links boolean, part long")
     on = ["block", "gram", "lo", "hi"]
-    left = keyed.where("NOT links").select(*on, F.col("node").alias("a"), F.col("own").alias("own_a"))
-    right = keyed.select(*on, F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("links").alias("links_b"))
-    met = left.join(right, on).where("a <> b AND own_a + own_b = lo + hi AND (links_b OR a < b)").select("block", "a", "b").distinct()
+    left = keyed.where("NOT links").select(*on, F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("part").alias("part_a"))
+    right = keyed.select(*on, F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("links").alias("links_b"), F.col("part").alias("part_b"))
+    met = left.join(right, on).where("part_a <> part_b AND own_a + own_b = lo + hi AND (links_b OR a < b)").select("block", "a", "b", "part_b").distinct()
     one, two = (seen.select("block", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("diff").alias(f"d_{k}")) for k in ("a", "b"))
 
     def check(batches):
@@ -367,9 +400,10 @@ def _by_difference(seen: DataFrame, bound: Bound, steps: int = 8) -> DataFrame:
             x, y = ([np.frombuffer(v, np.uint64) for v in b.column(c).to_pylist()] for c in ("d_a", "d_b"))
             apart = np.fromiter((len(np.setxor1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)), np.int64, len(x))
             good = apart <= bound.difference(b.column("n_a").to_numpy() + b.column("n_b").to_numpy())
-            yield b.select(["a", "b"]).filter(pa.array(good))
+            yield b.select(["a", "b", "part_b"]).filter(pa.array(good))
 
-    return met.join(one, ["block", "a"]).join(two, ["block", "b"]).mapInArrow(check, "a long, b long")
+    good = met.join(one, ["block", "a"]).join(two, ["block", "b"]).mapInArrow(check, "a long, b long, part_b long")
+    return good.groupBy("a", "part_b").agg(F.min("b").alias("b")).select("a", "b")
 
 
 def _fetched(rows: DataFrame, asked: DataFrame, size: int, most_bits: int = 26) -> DataFrame:
@@ -412,7 +446,10 @@ def links(nodes: DataFrame, rows: DataFrame, size: int, bands: Bands, block_rows
     seen = _differences(found.where("NOT small"), bound)
     near = near.unionByName(seen.where("links AND node <> best").select(F.col("node").alias("a"), F.col("best").alias("b")))
     seen = seen.join(seen.where("NOT links").select("block").distinct(), "block", "left_semi")  # elsewhere all is connected
-    return scratch.table(near.unionByName(_by_difference(seen, bound)), "links", asked, found)
+    hard = found.where("NOT small").join(seen.where("NOT links").select("block", "node").distinct(), ["block", "node"], "left_semi")
+    connected = _connected(hard, bound, block_rows, block_cells)
+    near = near.unionByName(connected.toDF("a", "b")).unionByName(_by_difference(seen, connected, bound))
+    return scratch.table(near, "links", asked, found)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -89,6 +89,18 @@ def test_large_groups_by_their_differences(spark):
     assert got == brute(rows, 3, 90)
 
 
+def test_a_minority_of_near_copies_in_a_large_block_forms_no_pairs(spark, monkeypatch):
+    """Near copies among more texts of other kinds, so that none of them is near the block's reference."""
+    rows = [(i, " ".join([*(f"a{j}" for j in range(60)), f"x{i}"])) for i in range(60)]
+    rows += [(60 + i, " ".join(f"d{i}-{j}" for j in range(60))) for i in range(70)]
+    seen, components = [], nj.components
+    monkeypatch.setattr(nj, "_blocks", lambda shared, nodes: nodes.selectExpr("node", "1L AS block"))
+    monkeypatch.setattr(nj, "components", lambda edges: seen.append(edges.count()) or components(edges))
+    got = sorted((tuple(x)[:3] for x in nj.join(frame(spark, rows), 3, 90, 100, block_rows=4).collect()), key=repr)
+    assert got == brute(rows, 3, 90)
+    assert seen[-1] <= 2 * len(rows)
+
+
 def test_empty_table(spark):
     assert nj.join(frame(spark, []), 3, 90, 100).count() == 0
 
