@@ -19,11 +19,10 @@ def local_part(jid: Column) -> Column:
 
 def stanza_id(xml: Column) -> Column:
     """The text after the first bytes 0B 06 and a length; null if the length is 0 or goes past the end."""
-    raw = F.decode(xml, "ISO-8859-1")  # one character for each byte
-    at = F.locate("\x0b\x06", raw)
-    size = F.ascii(raw.substr(at + 2, F.lit(1)))
-    good = (at > 0) & (size > 0) & (F.length(raw) >= at + 2 + size)
-    return F.when(good, F.decode(F.encode(raw.substr(at + 3, size), "ISO-8859-1"), "UTF-8"))
+    rest = F.regexp_extract(F.decode(xml, "ISO-8859-1"), r"(?s)\x0B\x06(.*)", 1)  # one character for each byte; empty where the mark isn't
+    size = F.ascii(rest)
+    good = (size > 0) & (F.length(rest) > size)
+    return F.when(good, F.decode(F.encode(rest.substr(F.lit(2), size), "ISO-8859-1"), "UTF-8"))
 
 
 def to_business_time(t: Column, source_zone: str | None, business_zone: str | None) -> Column:
@@ -96,14 +95,13 @@ def paired(rows: DataFrame) -> DataFrame:
     one before, pairs are the 1st and 2nd, the 3rd and 4th, ...; ``nth`` is the place in the run, ``paired`` says whether another follows, ``last`` whether
     the row is its stanza's last.
     """
-    alone = rows.where("stanza IS NULL").withColumns({"nth": F.lit(1), "paired": F.lit(False), "last": F.lit(True)})
-    w = Window.partitionBy("stanza").orderBy("id")
+    rows = rows.withColumn("single", F.when(F.col("stanza").isNull(), F.col("id")))  # a row without a stanza is alone
+    w = Window.partitionBy("stanza", "single").orderBy("id")
     match = (F.lag("txt").over(w) == F.col("txt")) & (F.col("timestamp") - F.lag("timestamp").over(w) < PAIR_MICROS)
-    runs = rows.where("stanza IS NOT NULL").withColumns({"match": F.coalesce(match, F.lit(False)), "last": F.lead("id").over(w).isNull()})
-    runs = runs.withColumn("run", F.sum(F.when(F.col("match"), 0).otherwise(1)).over(w))
-    in_run = Window.partitionBy("stanza", "run").orderBy("id")
-    runs = runs.withColumns({"nth": F.row_number().over(in_run), "paired": F.lead("id").over(in_run).isNotNull()}).drop("match", "run")
-    return alone.unionByName(runs)
+    runs = rows.withColumns({"match": F.coalesce(match, F.lit(False)), "last": F.lead("id").over(w).isNull(), "place": F.row_number().over(w)})
+    begins = F.max(F.when(~F.col("match"), F.col("place"))).over(w)  # of the run at hand; one order serves all windows
+    runs = runs.withColumns({"nth": F.col("place") - begins + 1, "paired": F.coalesce(F.lead("match").over(w), F.lit(False))})
+    return runs.drop("match", "place", "single")
 
 
 def authored(kept: DataFrame, *more: str) -> DataFrame:
@@ -123,7 +121,8 @@ def authored(kept: DataFrame, *more: str) -> DataFrame:
 
 
 def first_of_hash(messages: DataFrame) -> DataFrame:
-    first = messages.groupBy("dedup_hash").agg(F.min(F.struct(*messages.columns)).alias("first"))
+    dealt = messages.repartition("dedup_hash")  # few rows share a hash, so adding up before the shuffle would sort all rows once more for nothing
+    first = dealt.groupBy("dedup_hash").agg(F.min(F.struct(*messages.columns)).alias("first"))
     return first.select("first.*")
 
 

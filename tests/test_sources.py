@@ -185,3 +185,12 @@ def test_desks_serve_the_groups_that_have_members(spark):
     member = spark.createDataFrame([("u1", "all"), ("u1", "org0"), ("u2", "org0"), ("u2", "org6"), ("u3", None)], "client string, grp string")
     assert sorted(tuple(r) for r in desk_groups(member).collect()) == [("help", "org0"), ("help-dnk", "org6")]
     assert desk_groups(member.limit(0)).count() == 0
+
+
+def test_pairing_sorts_the_rows_once(spark):
+    """All that pairing asks of a stanza's rows comes from one order of them, and rows without a stanza go along."""
+    rows = copies(1, "u", "help", "x", "aaaaa", 0) + [(9, "u", "help@h", "help@h", "y", AT, 40, None), (10, "u", "help@h", "help@h", "y", AT, 40, None)]
+    met = A.paired(A.prepared(spark.createDataFrame(rows, ROWS)))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count(" Sort [") == 1 and "Union" not in plan
+    assert sorted((r.id, r.nth, r.paired, r.last) for r in met.collect()) == [(1, 1, True, False), (2, 2, False, True), (9, 1, False, True), (10, 1, False, True)]
