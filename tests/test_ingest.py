@@ -158,6 +158,34 @@ def test_filters_hold_what_they_were_made_of():
         assert blooms.holds(made, h[:n]).all() and blooms.holds(made, h[n:]).sum() == 0 and len(made) <= max(128, 10 * n)
 
 
+def test_filters_take_a_bounded_number_of_keys_at_once(monkeypatch):
+    """However many keys a slice has or is asked for, the bits of only so many are numbered at once."""
+    import numpy as np
+
+    sizes, places = [], blooms._places
+    monkeypatch.setattr(blooms, "_places", lambda h, bits: sizes.append(len(h)) or places(h, bits))
+    h = np.random.default_rng(6).integers(-(1 << 63), (1 << 63) - 1, 150_000)
+    assert blooms.holds(blooms.made(h[:100_000]), h).sum() == 100_000 and max(sizes) <= 1 << 15
+
+
+def test_a_part_of_few_slices_is_asked_in_shares(spark, tmp_path, monkeypatch):
+    """Filters of a part with one slice meet many keys in several groups, and say the same."""
+    monkeypatch.setattr(blooms, "SLICE_ROWS", 100)
+    groups, cogroup = [], type(spark.range(1).groupBy("id")).cogroup
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "cogroup", lambda a, b: groups.append(b._df) or cogroup(a, b))
+    known = spark.createDataFrame([("a", 1, 0, blooms_of(range(3))), ("b", 1, 0, blooms_of(range(5000, 5003)))], "part string, slices int, slice int, bits binary")
+    assert blooms.hits(known, spark.range(2, 1000).select(F.col("id").alias("h")), [1]) == [("a", 0)]
+    largest = groups[0].groupBy("slices", "slice", "share").count().agg(F.max("count")).first()[0]
+    assert largest < 200
+    assert blooms.hits(known, spark.range(0).select(F.col("id").alias("h")), [1]) == []
+
+
+def blooms_of(keys):
+    import numpy as np
+
+    return blooms.made(np.asarray(list(keys), np.int64))
+
+
 def test_a_rebuild_takes_the_place_of_all_tables_in_one_commit(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", keep=99)
     rows = shuffled(12, 5)
