@@ -41,6 +41,11 @@ def month(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM")
 
 
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with one value of a column together, but large values dealt over many tasks: a table may have one month or bucket only."""
+    return rows.hint("rebalance", by)
+
+
 class ConcurrentCommit(Exception):
     """Another writer has committed since this one read the state."""
 
@@ -93,14 +98,14 @@ class Store:
             if key := (keys or {}).get(name):
                 slices = max(1, -(-df.count() // blooms.SLICE_ROWS))
                 sliced = df.withColumn("slice", blooms.slice_of(blooms.key_hash(key), slices))
-                sliced.repartition("slice").write.partitionBy("slice").parquet(to)
+                _dealt(sliced, "slice").write.partitionBy("slice").parquet(to)
                 written = self.spark.read.schema(StructType([*df.schema.fields, SLICE])).parquet(to)
                 blooms.filters(written.select("slice", blooms.key_hash(key).alias("h")), slices).write.parquet(f"{self.uri}/{name}_filter/part={own}")
             elif time := (months or {}).get(name):
-                df.withColumn("month", month(F.col(time))).repartition("month").write.partitionBy("month").parquet(to)
+                df.withColumn("month", month(F.col(time))).transform(_dealt, "month").write.partitionBy("month").parquet(to)
             else:
                 named = df.withColumn("bucket", self.bucket(F.col("client"))) if "client" in df.columns else df.withColumn("bucket", F.lit(0))
-                named.repartition("bucket").write.partitionBy("bucket").parquet(to)
+                _dealt(named, "bucket").write.partitionBy("bucket").parquet(to)
             return [own, held, slices]
 
         made = [(name, df, None) for name, df in [*(replace or {}).items(), *(append or {}).items()]]

@@ -114,7 +114,7 @@ def ingest(
         met = keep(paired(all_rows))
         odd = F.col("nth") % 2 == 1
         of_stanza = met.where("stanza IS NOT NULL").withColumn("had", F.max("old").over(Window.partitionBy("stanza")))
-        ends = of_stanza.where("last").select(*HALF, odd.alias("open"), "had").where("open OR had").drop("had")
+        ends = keep(of_stanza.where("last").select(*HALF, odd.alias("open"), "had").where("open OR had").drop("had"))
         made = authored(met.where(odd), "old", "paired").where("NOT old OR (paired AND author <> alone)")
         made = keep(first_of_hash(made))
         seen = store.find("seen", made.select("dedup_hash"), "dedup_hash", state)
@@ -148,9 +148,9 @@ def ingest(
         ended = fold.where("state IS NOT NULL").select("client", "ticket", "state", F.struct("at", F.col("source_id").alias("id")).alias("place"))
         whole = parts.select(F.col("ticket"), F.struct(*parts.columns).alias("parts"))
         nowhere = F.struct(F.lit(-(1 << 62)).cast("long").alias("at"), F.lit(0).cast("long").alias("id"))
-        states = ended.join(whole, "ticket", "left").join(starts.select("client", "start"), "client", "left").select(
+        states = keep(ended.join(whole, "ticket", "left").join(starts.select("client", "start"), "client", "left").select(
             "client", "state", "place", "parts", F.coalesce("start.place", nowhere).alias("base"), F.lit(version).alias("version")
-        )
+        ))
         made_now = {
             "message": changed.where("NOT fixes").select(MESSAGE), "fixed": changed.where("fixes").select(*MESSAGE, F.lit(version).alias("version")), "half": ends,
             "seen": changed.where("NOT fixes").select("dedup_hash", "source_id"), "state": states, "ticket": rows_of_tickets,

@@ -186,6 +186,19 @@ def blooms_of(keys):
     return blooms.made(np.asarray(list(keys), np.int64))
 
 
+def test_a_month_and_a_table_without_clients_are_written_by_many_tasks(spark, tmp_path):
+    """Rows of one month, and tickets, which have no column of clients, don't all go through one task."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        store = Store(spark, f"file://{tmp_path}/s")
+        rows = spark.range(0, 40_000, 1, 8).select("id", F.sha1(F.col("id").cast("string")).alias("txt"), F.lit(AT).alias("created_at"))
+        state = store.commit(store.state(), 0, replace={"message": rows, "ticket": rows}, months={"message": "created_at"})
+        for name in ("message", "ticket"):
+            assert store.table(name, state).select(F.input_file_name()).distinct().count() > 3 and store.table(name, state).count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_a_rebuild_takes_the_place_of_all_tables_in_one_commit(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", keep=99)
     rows = shuffled(12, 5)
