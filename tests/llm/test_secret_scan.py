@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from deskloom.llm import secret_scan as ss
 from .conftest import frame
@@ -61,6 +62,30 @@ def test_network_finds_secrets_without_telling_words(spark):
     assert base == every == []
 
 
+def test_learns_from_every_finding(spark, monkeypatch):
+    """No finding is left out of the fit, however many there are and however many shards they make; a rare class is in every shard."""
+    r = random.Random(7)
+    rows = [(i, f"row {i} has token = \"{''.join(r.choice('0123456789abcdef') for _ in range(40))}\" inside") for i in range(2000)]
+    rows += [(5000 + i, f"{PLAIN[i % len(PLAIN)]} {i * 37}.{i}") for i in range(1000)] + [(9000, "y1" * 300)]
+    docs = frame(spark, rows)
+    want = {(t[s:e], *ss.windows(t, s, e)) for _, t in rows for s, e in ss.candidates(t)}
+    held = {(x.label, x.held): x["count"] for x in ss.findings(docs).groupBy("label", "held").count().collect()}
+    assert sum(held.values()) == len(want) and held[1, True] + held[1, False] == 2000
+    assert ss.findings(docs).selectExpr("max(size(windows))").first()[0] == 15
+    net = ss.fit(docs)
+    assert net.held_out["positive"] == ss.SHOWINGS * held[1, True] > 750 and net.held_out["unlabelled"] == held[0, True] and net.held_out["recall"] >= 0.98
+    monkeypatch.setattr(ss, "SHARD", 1000)
+    few = frame(spark, [*rows[:20], *rows[2000:]])
+    n = {(x.label, x.held): x["count"] for x in ss.findings(few).groupBy("label", "held").count().collect()}
+    table, shards = ss.dealt(ss.findings(few), n)
+    of = {x.shard: (x.good, x.other) for x in table.groupBy("shard").agg(F.expr("count_if(label = 1)").alias("good"), F.expr("count_if(label = 0)").alias("other")).collect()}
+    assert len(of) == shards > 1 and all(good and other for good, other in of.values())
+    assert table.where("label = 0").count() == n[0, True] + n[0, False]
+    assert table.where("holds").count() == n[0, True] + n.get((1, True), 0)
+    fits = [ss.fit(few) for _ in range(2)]
+    assert fits[0].threshold == fits[1].threshold and fits[0].held_out["recall"] >= 0.9
+
+
 def test_scan_against_brute_force(spark, made):
     net = trained(spark)
     rows = [*made, (900, "x" * 3000 + " q9Xw7LmZ2kPv81TsRb4Yd0 " + "y" * 3000), *enumerate(TEXTS, 2000)]
